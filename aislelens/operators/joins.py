@@ -1,0 +1,24 @@
+"""Join helpers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A dimension is broadcast only when a check proves it has at most this many
+# rows; beyond it the join is left to the planner (sort-merge, AQE re-plan).
+BROADCAST_MAX_ROWS = 100_000
+
+
+def has_at_most(df: DataFrame, max_rows: int) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows.
+
+    Reads at most ``max_rows + 1`` rows, so the check stays cheap however
+    large the input is.
+    """
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """``broadcast(df)`` when its size is proven small, else ``df`` unchanged."""
+    return F.broadcast(df) if has_at_most(df, max_rows) else df

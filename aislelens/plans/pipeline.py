@@ -1,0 +1,105 @@
+"""The dataset graph: bronze -> silver -> gold, as composed DataFrames.
+
+``Pipeline`` exposes every dataset lazily; nothing runs until an action.
+``build`` writes the datasets in dependency order into an output folder
+(S4/S5), after which downstream queries read the written tables instead of
+re-running the plans.
+"""
+
+from __future__ import annotations
+
+import os
+from functools import cached_property
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..config import DEFAULT, Thresholds
+from ..operators import gold, silver
+from ..sources.adapter import Source
+
+
+class Pipeline:
+    def __init__(self, spark: SparkSession, sf_dir: str, thresholds: Thresholds = DEFAULT,
+                 orders_as_of=None, events_as_of=None):
+        self.spark = spark
+        self.src = Source(spark, sf_dir)
+        self.t = thresholds
+        # two clocks: each source is dated by its own latest day unless given
+        self.orders_as_of = orders_as_of
+        self.events_as_of = events_as_of
+
+    # -- bronze (S2) -------------------------------------------------------
+    @property
+    def stores(self) -> DataFrame:
+        return self.src.stores
+
+    @property
+    def stores_small(self) -> DataFrame:
+        return self.src.stores_small
+
+    # -- silver ------------------------------------------------------------
+    @cached_property
+    def customers(self) -> DataFrame:
+        return silver.silver_customers(self.src.customers_raw)
+
+    @cached_property
+    def orders(self) -> DataFrame:
+        return silver.silver_orders(self.src.orders_raw)
+
+    @cached_property
+    def inventory_rolled(self) -> DataFrame:
+        return silver.inventory_rolled(self.src.inventory_raw, self.t.short_rows)
+
+    def inventory(self, audit: bool = False) -> DataFrame:
+        return silver.silver_inventory(self.src.inventory_raw, self.t.short_rows, audit=audit)
+
+    @cached_property
+    def crm_summary(self) -> DataFrame:
+        return silver.crm_summary(self.src.crm_events_raw, self.events_as_of)
+
+    # -- gold --------------------------------------------------------------
+    @cached_property
+    def order_features(self) -> DataFrame:
+        return gold.order_features(self.orders, self.orders_as_of, self.t.lookback_days)
+
+    def customer_360(self, audit: bool = False) -> DataFrame:
+        return gold.customer_360(self.customers, self.stores_small, self.order_features,
+                                 self.crm_summary, self.t.churn_days, audit=audit)
+
+    @cached_property
+    def inventory_health(self) -> DataFrame:
+        return gold.inventory_health(self.inventory_rolled, self.t.reorder_days, self.t.watch_days)
+
+    @cached_property
+    def staffing_summary(self) -> DataFrame:
+        return gold.staffing_summary(self.src.staffing_raw, self.stores_small)
+
+
+def build(spark: SparkSession, sf_dir: str, out_dir: str,
+          thresholds: Thresholds = DEFAULT) -> dict[str, str]:
+    """Materialise the pipeline datasets (overwrite) under ``out_dir``.
+
+    Returns dataset name -> path. Each write is one Spark job; later
+    datasets read the earlier written ones, so lineage stays short.
+    """
+    p = Pipeline(spark, sf_dir, thresholds)
+    paths: dict[str, str] = {}
+
+    def write(name: str, df: DataFrame) -> DataFrame:
+        path = os.path.join(out_dir, name)
+        df.write.mode("overwrite").parquet(path)
+        paths[name] = path
+        return spark.read.parquet(path)
+
+    for name, df in p.src.bronze().items():
+        write(name, df)
+    customers = write("customers", p.customers)
+    orders = write("orders", p.orders)
+    write("inventory", p.inventory(audit=True))
+    crm = write("crm_summary", p.crm_summary)
+    features = gold.order_features(orders, None, thresholds.lookback_days)
+    write("customer_360", gold.customer_360(customers, p.stores_small, features, crm,
+                                            thresholds.churn_days, audit=True))
+    write("inventory_health", p.inventory_health)
+    write("store_staffing_summary", p.staffing_summary)
+    return paths
