@@ -183,6 +183,117 @@ SELECT st.store_id, s.region, st.role, st.current_headcount, st.budgeted_headcou
 FROM b_staffing_raw st JOIN b_stores s ON st.store_id = s.store_id"""
 
 
+# ---------------------------------------------------------------- forecast
+_fcat = _case_index("sku_id % 5", C.FORECAST_CATEGORIES)
+CTE["f_signals_exact"] = f"""
+SELECT sku_id, '{C.FORECAST_SKU_PREFIX}' || CAST(sku_id AS VARCHAR) AS sku_name, {_fcat} AS category, txn_date,
+       total_qty_sold, CAST(_inv_sum AS DOUBLE) / _inv_n AS avg_inventory,
+       CAST(_price_cents AS DOUBLE) / CAST(_price_n * 100 AS DOUBLE) AS avg_unit_price,
+       {rr('_s_sum', '_s_n', 1)} AS demand_7d_avg, {rr('_l_sum', '_l_n', 1)} AS demand_14d_avg,
+       {rr_long('_s_sum * 10', '_s_n')} AS _t7, {rr_long('_l_sum * 10', '_l_n')} AS _t14,
+       _price_cents, _price_n
+FROM (SELECT *, SUM(total_qty_sold) OVER ws AS _s_sum, COUNT(total_qty_sold) OVER ws AS _s_n,
+             SUM(total_qty_sold) OVER wl AS _l_sum, COUNT(total_qty_sold) OVER wl AS _l_n
+      FROM (SELECT sku_id, txn_date, CAST(SUM(CAST(qty_sold AS BIGINT)) AS BIGINT) AS total_qty_sold,
+                   SUM(CAST(inventory_on_hand AS BIGINT)) AS _inv_sum, COUNT(inventory_on_hand) AS _inv_n,
+                   SUM({cents('unit_price')}) AS _price_cents, COUNT(unit_price) AS _price_n
+            FROM s_inventory GROUP BY sku_id, txn_date)
+      WINDOW ws AS (PARTITION BY sku_id ORDER BY txn_date ROWS BETWEEN {C.ROLLING_SHORT_ROWS - 1} PRECEDING AND CURRENT ROW),
+             wl AS (PARTITION BY sku_id ORDER BY txn_date ROWS BETWEEN {C.ROLLING_LONG_ROWS - 1} PRECEDING AND CURRENT ROW))"""
+
+CTE["f_signals"] = """
+SELECT sku_id, sku_name, category, txn_date, total_qty_sold, avg_inventory, avg_unit_price,
+       demand_7d_avg, demand_14d_avg FROM f_signals_exact"""
+
+_band = round(C.TREND_BAND * 100)
+CTE["f_forecast"] = f"""
+SELECT sku_id, sku_name, category, demand_7d_avg, demand_14d_avg, trend, predicted_units_7d,
+       CASE WHEN trend = 'DOWN' THEN 'Medium' ELSE 'High' END AS confidence, signal_date, avg_unit_price
+FROM (SELECT sku_id, sku_name, category, demand_7d_avg, demand_14d_avg,
+             CASE WHEN _t7 * 100 > _t14 * {100 + _band} THEN 'UP'
+                  WHEN _t7 * 100 < _t14 * {100 - _band} THEN 'DOWN' ELSE 'FLAT' END AS trend,
+             CAST({rr_long(f'_t7 * {C.FORECAST_HORIZON_DAYS}', '10')} AS INTEGER) AS predicted_units_7d,
+             txn_date AS signal_date, {rr('_price_cents', '_price_n * 100', 2)} AS avg_unit_price
+      FROM f_signals_exact WHERE txn_date = (SELECT MAX(txn_date) FROM f_signals_exact))"""
+
+CTE["f_spine"] = f"""
+SELECT store_id, sku_id, txn_date, day_of_week, seasonal_mult, is_observed, is_stockout, qty_sold,
+       unit_price, inventory_on_hand,
+       CAST(SUM(CAST(qty_sold AS BIGINT)) OVER w AS DOUBLE) / COUNT(*) OVER w AS demand_7d_calendar_avg
+FROM (SELECT sp.store_id, sp.sku_id, sp.txn_date, CAST(dayofweek(sp.txn_date) + 1 AS INTEGER) AS day_of_week,
+             CASE WHEN dayofweek(sp.txn_date) + 1 IN (1, 7) THEN CAST(1.2 AS DOUBLE)
+                  WHEN dayofweek(sp.txn_date) + 1 = 2 THEN CAST(0.85 AS DOUBLE) ELSE CAST(1.0 AS DOUBLE) END
+               AS seasonal_mult,
+             (i.qty_sold IS NOT NULL OR i.inventory_on_hand IS NOT NULL) AS is_observed,
+             COALESCE(i.inventory_on_hand, 0) = 0 AS is_stockout,
+             COALESCE(i.qty_sold, 0) AS qty_sold, i.unit_price, COALESCE(i.inventory_on_hand, 0) AS inventory_on_hand
+      FROM (SELECT store_id, sku_id, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS txn_date
+            FROM (SELECT DISTINCT store_id, sku_id FROM s_inventory),
+                 (SELECT MIN(txn_date) AS lo, MAX(txn_date) AS hi FROM s_inventory)) sp
+      LEFT JOIN s_inventory i ON sp.store_id = i.store_id AND sp.sku_id = i.sku_id AND sp.txn_date = i.txn_date)
+WINDOW w AS (PARTITION BY store_id, sku_id ORDER BY txn_date
+             ROWS BETWEEN {C.ROLLING_SHORT_ROWS - 1} PRECEDING AND CURRENT ROW)"""
+
+# ---------------------------------------------------------------- churn
+CTE["c_labels"] = f"""
+SELECT customer_id, recency_days,
+       CASE WHEN ROW_NUMBER() OVER (ORDER BY recency_days DESC, customer_id ASC)
+                 <= GREATEST({C.CHURN_LABEL_MINIMUM},
+                             CAST(floor(CAST({C.CHURN_LABEL_SHARE} AS DOUBLE) * COUNT(*) OVER ()) AS BIGINT))
+            THEN 1 ELSE 0 END AS churn_label
+FROM g_customer_360"""
+
+_lo, _mid = C.TIER_CUTS
+CTE["c_scores"] = f"""
+SELECT customer_id, customer_name, store_id, region, segment, recency_days, order_count_90d,
+       total_spend_90d, churn_prob,
+       CASE WHEN churn_prob <= CAST({_lo} AS DOUBLE) THEN '{C.TIER_LABELS[0]}'
+            WHEN churn_prob <= CAST({_mid} AS DOUBLE) THEN '{C.TIER_LABELS[1]}'
+            ELSE '{C.TIER_LABELS[2]}' END AS risk_tier
+FROM (SELECT *, round(CAST(1 AS DOUBLE) / (CAST(1 AS DOUBLE)
+               + exp(CAST(-(recency_days - 60) AS DOUBLE) / CAST(20 AS DOUBLE)
+                     + CAST(0.3 AS DOUBLE) * order_count_90d)), 6) AS churn_prob
+      FROM g_customer_360)"""
+
+# ---------------------------------------------------------------- KPIs
+_HIGH = C.TIER_LABELS[2]
+_micro = "CAST(round(churn_prob * 1000000) AS BIGINT)"
+CTE["k_tiers"] = f"""
+SELECT risk_tier, customers, {rr('customers * 100', 'SUM(customers) OVER ()', 1)} AS pct
+FROM (SELECT risk_tier, COUNT(*) AS customers FROM c_scores GROUP BY risk_tier)"""
+
+CTE["k_revenue"] = f"""
+SELECT {rr(f"SUM({cents('c.total_spend_90d')})", '300', 0)} AS monthly_revenue_at_risk,
+       COUNT(*) AS high_risk_customers
+FROM c_scores cs JOIN g_customer_360 c USING (customer_id) WHERE cs.risk_tier = '{_HIGH}'"""
+
+CTE["k_totals"] = """
+SELECT COUNT(DISTINCT customer_id) AS total_customers, COUNT(DISTINCT store_id) AS total_stores
+FROM g_customer_360"""
+
+CTE["k_reorder"] = """
+SELECT COUNT(*) FILTER (WHERE inventory_status = 'REORDER NOW') AS reorder_count FROM g_inventory_health"""
+
+CTE["k_risk_list"] = f"""
+SELECT customer_id, customer_name, region, segment, recency_days, order_count_90d,
+       CAST({cents('total_spend_90d')} AS DOUBLE) / 100 AS total_spend_90d,
+       {rr(_micro, '1000', 3)} AS churn_prob, risk_tier
+FROM c_scores WHERE risk_tier = '{_HIGH}' ORDER BY c_scores.churn_prob DESC, customer_id LIMIT 25"""
+
+CTE["k_layer_counts"] = "\nUNION ALL\n".join(
+    f"SELECT '{label}' AS tbl, COUNT(*) AS \"rows\" FROM {cte}" for label, cte in [
+        ("bronze.customers_raw", "b_customers_raw"), ("bronze.orders_raw", "b_orders_raw"),
+        ("bronze.inventory_raw", "b_inventory_raw"), ("bronze.crm_events_raw", "b_crm_events_raw"),
+        ("bronze.staffing_raw", "b_staffing_raw"), ("silver.customers", "s_customers"),
+        ("silver.orders", "s_orders"), ("silver.inventory", "s_inventory"),
+        ("silver.crm_summary", "s_crm_summary"), ("gold.customer_360", "g_customer_360"),
+        ("gold.churn_scores", "c_scores"), ("gold.inventory_health", "g_inventory_health"),
+        ("gold.demand_forecast", "f_forecast"), ("gold.store_staffing_summary", "g_staffing")])
+
+CTE["k_platform"] = "SELECT * FROM (VALUES " + ", ".join(
+    f"('{t}', '{l}', '{s}')" for t, l, s in C.LAYER_TABLES) + ") AS v(tbl, layer, source)"
+
+
 def _deps(body: str) -> list[str]:
     return [n for n in CTE if re.search(rf"\b{n}\b", body)]
 

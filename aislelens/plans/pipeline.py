@@ -14,10 +14,13 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from ..config import DEFAULT, Thresholds
-from ..operators import gold, silver
+from ..operators import churn, forecast, gold, kpis, silver
 from ..sources.adapter import Source
 
 
+_FITTED: dict = {}
+
+
 class Pipeline:
     def __init__(self, spark: SparkSession, sf_dir: str, thresholds: Thresholds = DEFAULT,
                  orders_as_of=None, events_as_of=None):
@@ -74,6 +77,63 @@ class Pipeline:
     def staffing_summary(self) -> DataFrame:
         return gold.staffing_summary(self.src.staffing_raw, self.stores_small)
 
+    # -- forecast ----------------------------------------------------------
+    @cached_property
+    def signals_exact(self) -> DataFrame:
+        return forecast.demand_signals_exact(self.inventory(), self.t)
+
+    @cached_property
+    def demand_signals(self) -> DataFrame:
+        return forecast.demand_signals(self.inventory(), self.t)
+
+    @cached_property
+    def demand_forecast(self) -> DataFrame:
+        return forecast.demand_forecast(self.signals_exact, self.t)
+
+    @cached_property
+    def daily_spine(self) -> DataFrame:
+        return forecast.daily_spine(self.inventory(), self.t)
+
+    # -- churn -------------------------------------------------------------
+    @cached_property
+    def churn_labels(self) -> DataFrame:
+        return churn.churn_label(self.customer_360())
+
+    @cached_property
+    def rule_scores(self) -> DataFrame:
+        """Deterministic scores (same schema as the model's) for the KPIs."""
+        return churn.rule_scores(self.customer_360())
+
+    @property
+    def fitted(self):
+        """(model, metrics, path) of the GBT churn model, fitted once per
+        input folder and session; later calls load the saved model."""
+        key = (id(self.spark), self.src.sf_dir, self.t)
+        if key not in _FITTED:
+            _FITTED[key] = churn.fit_churn(self.customer_360(), self.churn_labels)
+        return _FITTED[key]
+
+    @cached_property
+    def model_scores(self) -> DataFrame:
+        return churn.score_churn(self.fitted[0], self.customer_360())
+
+    # -- KPI inputs ----------------------------------------------------------
+    def layer_tables(self, scores: DataFrame | None = None) -> dict[str, DataFrame]:
+        """The 14 platform tables by their display names."""
+        b = self.src
+        return {
+            "bronze.customers_raw": b.customers_raw, "bronze.orders_raw": b.orders_raw,
+            "bronze.inventory_raw": b.inventory_raw, "bronze.crm_events_raw": b.crm_events_raw,
+            "bronze.staffing_raw": b.staffing_raw,
+            "silver.customers": self.customers, "silver.orders": self.orders,
+            "silver.inventory": self.inventory(), "silver.crm_summary": self.crm_summary,
+            "gold.customer_360": self.customer_360(),
+            "gold.churn_scores": scores if scores is not None else self.rule_scores,
+            "gold.inventory_health": self.inventory_health,
+            "gold.demand_forecast": self.demand_forecast,
+            "gold.store_staffing_summary": self.staffing_summary,
+        }
+
 
 def build(spark: SparkSession, sf_dir: str, out_dir: str,
           thresholds: Thresholds = DEFAULT) -> dict[str, str]:

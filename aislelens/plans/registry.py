@@ -11,6 +11,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .. import config as C
+from ..operators import forecast as FC
+from ..operators import kpis as K
 from . import oracle as O
 from .pipeline import Pipeline
 
@@ -41,10 +44,72 @@ def queries() -> dict[str, Query]:
         "customer_360": lambda s, d: _p(s, d).customer_360(audit=False),
         "inventory_health": lambda s, d: _p(s, d).inventory_health,
         "store_staffing_summary": lambda s, d: _p(s, d).staffing_summary,
+        # Q9-Q11, Q22, D-SPINE forecast
+        "demand_signals": lambda s, d: _p(s, d).demand_signals,
+        "demand_forecast": lambda s, d: _p(s, d).demand_forecast,
+        "demand_top10": lambda s, d: FC.top_demand(_p(s, d).demand_forecast, 10),
+        "demand_top20": lambda s, d: FC.demand_serving(_p(s, d).demand_forecast, 20),
+        "inventory_daily_spine": lambda s, d: _p(s, d).daily_spine,
+        # M1/Q12 label, rule-score twin of Q13, Q13 model scores (rows-only)
+        "churn_label": lambda s, d: _p(s, d).churn_labels,
+        "churn_scores_rule": lambda s, d: _p(s, d).rule_scores,
+        "churn_scores": lambda s, d: _p(s, d).model_scores,
+        "churn_model_metrics": lambda s, d: _p(s, d).fitted[1],
+        # Q14-Q31, Q33-Q36 KPIs (over the rule-score twin, so SQL can check them)
+        "risk_tier_distribution": lambda s, d: K.risk_tier_distribution(_p(s, d).rule_scores),
+        "top_churn_risk": lambda s, d: K.top_churn_risk(_p(s, d).rule_scores, 10),
+        "churn_risk_list": lambda s, d: K.churn_risk_list(_p(s, d).rule_scores, 25),
+        "revenue_at_risk": _revenue_at_risk,
+        "customer_store_totals": lambda s, d: K.customer_store_totals(_p(s, d).customer_360()),
+        "reorder_count": lambda s, d: K.reorder_count(_p(s, d).inventory_health),
+        "executive_summary": _executive_summary,
+        "regional_churn": lambda s, d: K.regional_churn(_p(s, d).rule_scores),
+        "regional_churn_pivot": lambda s, d: K.regional_churn_pivot(_p(s, d).rule_scores),
+        "churn_by_segment": lambda s, d: K.churn_by_segment(_p(s, d).rule_scores),
+        "inventory_alerts": lambda s, d: K.inventory_alerts(_p(s, d).inventory_health, 20),
+        "inventory_alerts_served": _alerts_served,
+        "staffing_gaps": lambda s, d: K.staffing_gaps(_p(s, d).staffing_summary),
+        "layer_row_counts": lambda s, d: K.layer_row_counts(_p(s, d).layer_tables()),
+        "platform_stats": lambda s, d: K.platform_stats(_p(s, d).layer_tables()),
+        "platform_total_rows": lambda s, d: K.platform_total_rows(K.platform_stats(_p(s, d).layer_tables())),
+        "assistant_kpis": lambda s, d: K.assistant_kpis(_p(s, d).rule_scores),
+        "assistant_inventory": lambda s, d: K.assistant_inventory(_p(s, d).inventory_health),
+        "assistant_regions": lambda s, d: K.assistant_regions(_p(s, d).rule_scores),
+        "assistant_demand": lambda s, d: K.assistant_demand(_p(s, d).demand_forecast),
+        "assistant_staffing": lambda s, d: K.assistant_staffing(_p(s, d).staffing_summary),
+        "display_bands": lambda s, d: K.display_bands(_p(s, d).rule_scores),
+        "stockout_rate": lambda s, d: K.stockout_rate(_p(s, d).inventory_health),
+        "weekly_revenue_at_risk": _weekly_revenue,
+        "regional_stockouts": _regional_stockouts,
     }
     return q
 
 
+def _revenue_at_risk(spark, sf_dir):
+    p = _p(spark, sf_dir)
+    return K.revenue_at_risk(p.rule_scores, p.customer_360())
+
+
+def _executive_summary(spark, sf_dir):
+    p = _p(spark, sf_dir)
+    return K.executive_summary(p.rule_scores, p.customer_360(), p.inventory_health)
+
+
+def _alerts_served(spark, sf_dir):
+    p = _p(spark, sf_dir)
+    return K.inventory_alerts_served(p.inventory_health, p.stores_small, 25)
+
+
+def _weekly_revenue(spark, sf_dir):
+    p = _p(spark, sf_dir)
+    return K.weekly_revenue_at_risk(p.inventory_health, p.inventory())
+
+
+def _regional_stockouts(spark, sf_dir):
+    p = _p(spark, sf_dir)
+    return K.regional_stockouts(p.inventory_health, p.stores_small)
+
+
 def oracle_sql() -> dict[str, str]:
     s = O.select_all
     return {
@@ -63,4 +128,86 @@ def oracle_sql() -> dict[str, str]:
         "customer_360": s("g_customer_360"),
         "inventory_health": s("g_inventory_health"),
         "store_staffing_summary": s("g_staffing"),
+        "demand_signals": s("f_signals"),
+        "demand_forecast": s("f_forecast"),
+        "demand_top10": O.sql("""SELECT sku_id, sku_name, category, demand_7d_avg, trend, predicted_units_7d
+            FROM f_forecast ORDER BY demand_7d_avg DESC, sku_id LIMIT 10"""),
+        "demand_top20": O.sql("""SELECT sku_id, sku_name, category, trend, demand_7d_avg, predicted_units_7d,
+            confidence, avg_unit_price FROM f_forecast ORDER BY demand_7d_avg DESC, sku_id LIMIT 20"""),
+        "inventory_daily_spine": s("f_spine"),
+        "churn_label": s("c_labels"),
+        "churn_scores_rule": s("c_scores"),
+        "risk_tier_distribution": s("k_tiers"),
+        "top_churn_risk": O.sql(f"""SELECT customer_id, customer_name, region, segment, recency_days,
+            order_count_90d, churn_prob, risk_tier FROM k_risk_list
+            ORDER BY churn_prob DESC, customer_id LIMIT 10"""),
+        "churn_risk_list": s("k_risk_list"),
+        "revenue_at_risk": s("k_revenue"),
+        "customer_store_totals": s("k_totals"),
+        "reorder_count": s("k_reorder"),
+        "executive_summary": O.sql("""SELECT
+            COALESCE((SELECT pct FROM k_tiers WHERE risk_tier = 'High'), CAST(0 AS DOUBLE)) AS churn_rate_pct,
+            CAST(COALESCE(monthly_revenue_at_risk, 0) AS BIGINT) AS revenue_at_risk,
+            CAST(COALESCE(high_risk_customers, 0) AS BIGINT) AS high_risk_customers,
+            (SELECT total_customers FROM k_totals) AS total_customers,
+            (SELECT total_stores FROM k_totals) AS total_stores,
+            (SELECT reorder_count FROM k_reorder) AS inventory_alerts
+            FROM k_revenue"""),
+        "regional_churn": O.sql("SELECT region, risk_tier, COUNT(*) AS cnt FROM c_scores GROUP BY region, risk_tier"),
+        "regional_churn_pivot": O.sql("""SELECT region,
+            COUNT(*) FILTER (WHERE risk_tier = 'High') AS "High",
+            COUNT(*) FILTER (WHERE risk_tier = 'Medium') AS "Medium",
+            COUNT(*) FILTER (WHERE risk_tier = 'Low') AS "Low"
+            FROM c_scores GROUP BY region"""),
+        "churn_by_segment": O.sql(f"""SELECT segment, total, high_risk, {O.rr('high_risk * 100', 'total', 1)} AS high_risk_pct
+            FROM (SELECT segment, COUNT(*) AS total, COUNT(*) FILTER (WHERE risk_tier = 'High') AS high_risk
+                  FROM c_scores GROUP BY segment)"""),
+        "inventory_alerts": O.sql("""SELECT store_id, sku_id, inventory_on_hand, days_of_supply, inventory_status
+            FROM g_inventory_health WHERE inventory_status = 'REORDER NOW'
+            ORDER BY days_of_supply ASC, store_id, sku_id LIMIT 20"""),
+        "inventory_alerts_served": O.sql("""SELECT ih.store_id, s.region, ih.sku_id, ih.inventory_on_hand,
+            ih.days_of_supply, ih.avg_daily_demand_7d, ih.inventory_status
+            FROM g_inventory_health ih JOIN b_stores s USING (store_id)
+            WHERE ih.inventory_status = 'REORDER NOW'
+            ORDER BY ih.days_of_supply ASC, ih.store_id, ih.sku_id LIMIT 25"""),
+        "staffing_gaps": O.sql("""SELECT store_id, region, role, current_headcount, budgeted_headcount,
+            headcount_gap, staffing_status FROM g_staffing WHERE staffing_status = 'UNDERSTAFFED'"""),
+        "layer_row_counts": s("k_layer_counts"),
+        "platform_stats": O.sql("""SELECT p.tbl AS "table", p.layer, p.source, CAST(COALESCE(c."rows", 0) AS BIGINT) AS "rows"
+            FROM k_platform p LEFT JOIN k_layer_counts c ON p.tbl = c.tbl"""),
+        "platform_total_rows": O.sql('SELECT CAST(SUM("rows") AS BIGINT) AS total_rows FROM k_layer_counts'),
+        "assistant_kpis": O.sql(f"""SELECT COUNT(*) AS total_customers,
+            COUNT(*) FILTER (WHERE risk_tier = 'High') AS high_risk,
+            {O.rr('SUM(CAST(round(churn_prob * 1000000) AS BIGINT))', 'COUNT(*) * 10000', 1)} AS avg_churn_pct
+            FROM c_scores"""),
+        "assistant_inventory": O.sql(f"""SELECT COUNT(*) AS cnt,
+            {O.rr('SUM(CAST(round(days_of_supply * 10) AS BIGINT))', 'COUNT(days_of_supply) * 10', 1)} AS avg_dos
+            FROM g_inventory_health WHERE inventory_status = 'REORDER NOW'"""),
+        "assistant_regions": O.sql("""SELECT region, COUNT(*) FILTER (WHERE risk_tier = 'High') AS high_risk
+            FROM c_scores GROUP BY region ORDER BY high_risk DESC, region LIMIT 5"""),
+        "assistant_demand": O.sql("""SELECT sku_id, sku_name, category, trend, demand_7d_avg FROM f_forecast
+            WHERE trend = 'UP' ORDER BY demand_7d_avg DESC, sku_id LIMIT 5"""),
+        "assistant_staffing": O.sql("""SELECT COUNT(*) FILTER (WHERE staffing_status = 'UNDERSTAFFED') AS gaps
+            FROM g_staffing"""),
+        "display_bands": O.sql(f"""SELECT customer_id, recency_days, churn_prob,
+            recency_days > {C.DISPLAY_RECENCY_ALERT} AS recency_alert,
+            CASE WHEN churn_prob > CAST({C.DISPLAY_PROB_BANDS[1]} AS DOUBLE) THEN 'red'
+                 WHEN churn_prob > CAST({C.DISPLAY_PROB_BANDS[0]} AS DOUBLE) THEN 'amber' ELSE 'green' END AS prob_band
+            FROM k_risk_list"""),
+        "stockout_rate": O.sql(f"""SELECT COUNT(*) AS combos,
+            COUNT(*) FILTER (WHERE inventory_status = 'REORDER NOW') AS reorder_now,
+            {O.rr("COUNT(*) FILTER (WHERE inventory_status = 'REORDER NOW') * 100", 'COUNT(*)', 1)} AS stockout_rate_pct
+            FROM g_inventory_health"""),
+        "weekly_revenue_at_risk": O.sql(f"""SELECT
+            {O.rr(f"SUM(CAST(round(h.avg_daily_demand_7d * 10) AS BIGINT) * {O.cents('i.unit_price')} * 7)", '1000', 2)}
+              AS weekly_revenue_at_risk,
+            COUNT(*) AS reorder_combos
+            FROM g_inventory_health h JOIN s_inventory i
+              ON h.store_id = i.store_id AND h.sku_id = i.sku_id AND h.signal_date = i.txn_date
+            WHERE h.inventory_status = 'REORDER NOW'"""),
+        "regional_stockouts": O.sql(f"""SELECT region, combos, reorder_now,
+            {O.rr('reorder_now * 100', 'combos', 1)} AS reorder_pct
+            FROM (SELECT s.region, COUNT(*) AS combos,
+                         COUNT(*) FILTER (WHERE h.inventory_status = 'REORDER NOW') AS reorder_now
+                  FROM g_inventory_health h JOIN b_stores s USING (store_id) GROUP BY s.region)"""),
     }
