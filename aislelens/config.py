@@ -88,6 +88,24 @@ NO_DATA_TEXT = "No specific data available for this query."
 FALLBACK_HEADER = "Here's what the live data shows:\n\n"
 FALLBACK_BULLET = "• "
 
+RAG_PROMPT_TEMPLATE = (
+    "You are RetailAdvisor, an AI assistant for retail store managers.\n"
+    "Answer using only the customer data provided below. Be concise and actionable.\n\n"
+    "CUSTOMER DATA:\n%s\n\nQUESTION: %s\n\nANSWER:")
+ASSISTANT_SYSTEM_TEMPLATE = (
+    "You are RetailAdvisor, an AI assistant for retail executives at a %d-customer retail chain. "
+    "Answer using ONLY the data provided. Be concise \u2014 2-3 sentences max \u2014 and give a "
+    "concrete recommendation.")
+ASSISTANT_USER_TEMPLATE = "LIVE RETAIL DATA:\n%s\n\nQUESTION: %s"
+KPI_TEXT = "KPIs: %d total customers, %d at high churn risk (%.1f%% avg churn probability)."
+INVENTORY_TEXT = ("Inventory: %d SKU/store combos need immediate reorder. "
+                  "Average days of supply remaining: %.1f days.")
+REGION_TEXT = "Churn by region: %s."
+REGION_ITEM = "%s: %d at-risk"
+DEMAND_TEXT = "Top trending SKUs (demand UP): %s."
+DEMAND_ITEM = "%s (%s)"
+STAFFING_TEXT = "Staffing: %d role/store combinations are understaffed."
+
 LAYER_TABLES = [                  # (table label, layer, source label)
     ("bronze.customers_raw", "Bronze", "Postgres (mock)"),
     ("bronze.orders_raw", "Bronze", "Postgres (mock)"),

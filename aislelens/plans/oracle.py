@@ -294,6 +294,116 @@ CTE["k_platform"] = "SELECT * FROM (VALUES " + ", ".join(
     f"('{t}', '{l}', '{s}')" for t, l, s in C.LAYER_TABLES) + ") AS v(tbl, layer, source)"
 
 
+# ---------------------------------------------------------------- text
+CTE["t_notes"] = """
+SELECT customer_id, COALESCE(string_agg(notes, '; ' ORDER BY event_date, event_id), '') AS all_notes
+FROM b_crm_events_raw GROUP BY customer_id"""
+
+CTE["t_rag_documents"] = """
+SELECT CAST(c.customer_id AS VARCHAR) AS doc_id,
+       concat_ws(' | ', 'Customer: ' || c.customer_name, 'Segment: ' || c.segment, 'Region: ' || c.region,
+                 'Orders 90d: ' || CAST(c.order_count_90d AS VARCHAR),
+                 'Spend 90d: $' || CAST(CAST(c.total_spend_90d AS DECIMAL(18,2)) AS VARCHAR),
+                 'Recency days: ' || CAST(c.recency_days AS VARCHAR),
+                 'Churn risk: ' || CASE WHEN c.is_churned = 1 THEN 'High' ELSE 'Low' END,
+                 'CRM notes: ' || n.all_notes) AS document,
+       c.customer_id, c.customer_name, c.segment, c.region
+FROM g_customer_360 c LEFT JOIN t_notes n ON c.customer_id = n.customer_id"""
+
+SNAPSHOT_LAG_DAYS = 7
+CTE["b_orders_raw_prev"] = f"""
+SELECT * FROM b_orders_raw WHERE order_date <= (SELECT MAX(order_date) FROM b_orders_raw) - {SNAPSHOT_LAG_DAYS}"""
+CTE["b_crm_events_raw_prev"] = f"""
+SELECT * FROM b_crm_events_raw
+WHERE event_date <= (SELECT MAX(event_date) FROM b_crm_events_raw) - {SNAPSHOT_LAG_DAYS}"""
+_PREV_CHAIN = ["s_orders", "s_crm_summary", "g_order_features", "g_customer_360", "t_notes",
+               "t_rag_documents"]
+_PREV_NAMES = ["b_orders_raw", "b_crm_events_raw"] + _PREV_CHAIN
+for _n in _PREV_CHAIN:
+    _body = CTE[_n]
+    for _m in _PREV_NAMES:
+        _body = re.sub(rf"\b{_m}\b", f"{_m}_prev", _body)
+    CTE[f"{_n}_prev"] = _body
+
+_DOC_COLS = ["document", "customer_id", "customer_name", "segment", "region"]
+CTE["t_rag_changes"] = f"""
+SELECT doc_id, _change_type, {', '.join(_DOC_COLS)}
+FROM (SELECT COALESCE(n.doc_id, o.doc_id) AS doc_id,
+             CASE WHEN o.doc_id IS NULL THEN 'insert' WHEN n.doc_id IS NULL THEN 'delete'
+                  WHEN {' OR '.join(f'o.{c} IS DISTINCT FROM n.{c}' for c in _DOC_COLS)} THEN 'update' END
+               AS _change_type,
+             {', '.join(f'CASE WHEN n.doc_id IS NULL THEN o.{c} ELSE n.{c} END AS {c}' for c in _DOC_COLS)}
+      FROM t_rag_documents_prev o FULL OUTER JOIN t_rag_documents n ON o.doc_id = n.doc_id)
+WHERE _change_type IS NOT NULL"""
+
+CTE["t_questions"] = ("SELECT * FROM (VALUES " + ", ".join(
+    "('suggested-%d', '%s')" % (i, q.replace("'", "''")) for i, q in enumerate(C.SUGGESTED_QUESTIONS))
+    + """) AS v(question_id, question)
+UNION ALL
+SELECT 'conv-' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR), text FROM conversations
+WHERE role = 'user'""")
+
+_ws = "[ \\t\\n\\r\\f\\x0B]"
+_nq = f"lower(regexp_replace(question, '^{_ws}+|{_ws}+$', '', 'g'))"
+CTE["a_texts"] = f"""
+SELECT
+  (SELECT printf('{C.KPI_TEXT}', COUNT(*), COUNT(*) FILTER (WHERE risk_tier = 'High'),
+          {rr('SUM(CAST(round(churn_prob * 1000000) AS BIGINT))', 'COUNT(*) * 10000', 1)}) FROM c_scores) AS kpi,
+  (SELECT CASE WHEN avg_dos IS NOT NULL THEN printf('{C.INVENTORY_TEXT}', cnt, avg_dos) END
+     FROM (SELECT COUNT(*) AS cnt,
+                  {rr('SUM(CAST(round(days_of_supply * 10) AS BIGINT))', 'COUNT(days_of_supply) * 10', 1)} AS avg_dos
+           FROM g_inventory_health WHERE inventory_status = 'REORDER NOW')) AS inventory,
+  (SELECT printf('{C.REGION_TEXT}', COALESCE(string_agg(printf('{C.REGION_ITEM}', region, high_risk), ', '
+                 ORDER BY high_risk DESC, region), ''))
+     FROM (SELECT region, COUNT(*) FILTER (WHERE risk_tier = 'High') AS high_risk FROM c_scores
+           GROUP BY region ORDER BY high_risk DESC, region LIMIT {C.ASSISTANT_TOP_REGIONS})) AS region,
+  (SELECT printf('{C.DEMAND_TEXT}', COALESCE(string_agg(printf('{C.DEMAND_ITEM}', sku_name, category), ', '
+                 ORDER BY demand_7d_avg DESC, sku_id), ''))
+     FROM (SELECT * FROM f_forecast WHERE trend = 'UP' ORDER BY demand_7d_avg DESC, sku_id
+           LIMIT {C.ASSISTANT_TOP_SKUS})) AS demand,
+  (SELECT printf('{C.STAFFING_TEXT}', COUNT(*) FILTER (WHERE staffing_status = 'UNDERSTAFFED'))
+     FROM g_staffing) AS staffing"""
+
+
+def _flag_any(words) -> str:
+    return "(" + " OR ".join(f"contains(nq, '{w}')" for w in words) + ")"
+
+
+def _flag_word(words) -> str:
+    return "(" + " OR ".join(f"contains(' ' || nq || ' ', ' {w} ')" for w in words) + ")"
+
+
+CTE["a_grounded"] = f"""
+SELECT question_id, question, wants_kpi, wants_inventory, wants_region, wants_demand, wants_staffing,
+       CASE WHEN len(parts) > 0 THEN array_to_string(parts, ' ') ELSE '{C.NO_DATA_TEXT}' END AS context,
+       CAST(len(parts) AS INTEGER) AS context_used,
+       'Here''s what the live data shows:' || chr(10) || chr(10)
+         || array_to_string(list_transform(parts, lambda x: '{C.FALLBACK_BULLET}' || x), chr(10)) AS answer
+FROM (SELECT *, list_filter([CASE WHEN wants_kpi THEN kpi END, CASE WHEN wants_inventory THEN inventory END,
+                             CASE WHEN wants_region THEN region END, CASE WHEN wants_demand THEN demand END,
+                             CASE WHEN wants_staffing THEN staffing END], lambda x: x IS NOT NULL) AS parts
+      FROM (SELECT question_id, question, true AS wants_kpi,
+                   {_flag_any(C.INTENT_INVENTORY)} AS wants_inventory,
+                   {_flag_word(C.INTENT_REGION_WORDS)} AS wants_region,
+                   {_flag_any(C.INTENT_DEMAND)} AS wants_demand,
+                   {_flag_any(C.INTENT_STAFFING)} AS wants_staffing
+            FROM (SELECT *, {_nq} AS nq FROM t_questions)), a_texts)"""
+
+CTE["r_centroid_neighbors"] = f"""
+SELECT label, vec_id, CAST(rank AS INTEGER) AS rank, round(s, 6) AS score
+FROM (SELECT c.label, e.vec_id, list_cosine_similarity(c.v, CAST(e.embedding AS DOUBLE[])) AS s,
+             ROW_NUMBER() OVER (PARTITION BY c.label
+                                ORDER BY list_cosine_similarity(c.v, CAST(e.embedding AS DOUBLE[])) DESC,
+                                         e.vec_id) AS rank
+      FROM (SELECT label, list(m ORDER BY pos) AS v
+            FROM (SELECT label, pos, avg(CAST(x AS DOUBLE)) AS m
+                  FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos
+                        FROM embeddings)
+                  GROUP BY label, pos)
+            GROUP BY label) c, embeddings e)
+WHERE rank <= {C.RETRIEVAL_TOP_K}"""
+
+
 def _deps(body: str) -> list[str]:
     return [n for n in CTE if re.search(rf"\b{n}\b", body)]
 

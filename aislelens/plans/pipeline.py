@@ -12,9 +12,10 @@ import os
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Thresholds
-from ..operators import churn, forecast, gold, kpis, silver
+from ..operators import assistant, churn, corpus, forecast, gold, kpis, retrieval, silver
 from ..sources.adapter import Source
 
 
@@ -23,9 +24,9 @@ _FITTED: dict = {}
 
 class Pipeline:
     def __init__(self, spark: SparkSession, sf_dir: str, thresholds: Thresholds = DEFAULT,
-                 orders_as_of=None, events_as_of=None):
+                 orders_as_of=None, events_as_of=None, lag_days: int = 0):
         self.spark = spark
-        self.src = Source(spark, sf_dir)
+        self.src = Source(spark, sf_dir, lag_days)
         self.t = thresholds
         # two clocks: each source is dated by its own latest day unless given
         self.orders_as_of = orders_as_of
@@ -117,6 +118,52 @@ class Pipeline:
     def model_scores(self) -> DataFrame:
         return churn.score_churn(self.fitted[0], self.customer_360())
 
+    # -- text ----------------------------------------------------------------
+    @cached_property
+    def rag_documents(self) -> DataFrame:
+        return corpus.rag_documents(self.customer_360(), self.src.crm_events_raw)
+
+    def rag_changes(self, lag_days: int = 7) -> DataFrame:
+        """Corpus rows changed since the snapshot ``lag_days`` earlier."""
+        before = Pipeline(self.spark, self.src.sf_dir, self.t, lag_days=lag_days).rag_documents
+        cols = ["document", "customer_id", "customer_name", "segment", "region"]
+        return corpus.changes(before, self.rag_documents, "doc_id", cols)
+
+    @cached_property
+    def assistant_texts(self):
+        return assistant.context_texts(self.rule_scores, self.inventory_health, self.demand_forecast,
+                                       self.staffing_summary)
+
+    @cached_property
+    def grounded_questions(self) -> DataFrame:
+        return assistant.ground(self.src.questions, self.assistant_texts)
+
+    @cached_property
+    def embedder(self):
+        return retrieval.embed(self.rag_documents, "document")
+
+    @cached_property
+    def retrieval_hits(self) -> DataFrame:
+        docs = retrieval.vectors(self.embedder, self.rag_documents.select("doc_id", "document"), "document")
+        qs = retrieval.vectors(self.embedder, self.src.questions, "question")
+        return retrieval.top_k(qs.select("question_id", "vector"), docs.select("doc_id", "vector"),
+                               q_id="question_id", c_id="doc_id")
+
+    @cached_property
+    def retrieval_prompts(self) -> DataFrame:
+        ctx = retrieval.assemble_context(self.src.questions, self.retrieval_hits, self.rag_documents)
+        return retrieval.rag_prompts(ctx)
+
+    def centroid_neighbors(self, k: int = 5) -> DataFrame:
+        """G3 on the given vectors: the k nearest embeddings to each
+        label's mean vector."""
+        emb = self.src.table("embeddings")
+        cents = retrieval.label_centroids(emb)
+        hits = retrieval.top_k(cents.select("label", "vector"),
+                               emb.select("vec_id", F.col("embedding").alias("vector")), k,
+                               q_id="label", c_id="vec_id")
+        return hits.select("label", "vec_id", "rank", F.round("score", 6).alias("score"))
+
     # -- KPI inputs ----------------------------------------------------------
     def layer_tables(self, scores: DataFrame | None = None) -> dict[str, DataFrame]:
         """The 14 platform tables by their display names."""

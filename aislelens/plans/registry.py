@@ -81,10 +81,31 @@ def queries() -> dict[str, Query]:
         "stockout_rate": lambda s, d: K.stockout_rate(_p(s, d).inventory_health),
         "weekly_revenue_at_risk": _weekly_revenue,
         "regional_stockouts": _regional_stockouts,
+        # Q32/G1 corpus, S11 change feed, G6-G8 assistant, G2-G5 retrieval
+        "rag_documents": lambda s, d: _p(s, d).rag_documents,
+        "rag_document_changes": lambda s, d: _p(s, d).rag_changes(O.SNAPSHOT_LAG_DAYS),
+        "assistant_grounded": _grounded,
+        "embedding_centroid_neighbors": lambda s, d: _p(s, d).centroid_neighbors(C.RETRIEVAL_TOP_K),
+        "retrieval_hits": lambda s, d: _p(s, d).retrieval_hits,
+        "retrieval_prompts": lambda s, d: _p(s, d).retrieval_prompts,
+        "assistant_messages": _messages,
     }
     return q
 
 
+def _grounded(spark, sf_dir):
+    g = _p(spark, sf_dir).grounded_questions
+    return g.select("question_id", "question", "wants_kpi", "wants_inventory", "wants_region",
+                    "wants_demand", "wants_staffing", "context", "context_used", "answer")
+
+
+def _messages(spark, sf_dir):
+    from ..operators import assistant as A
+    p = _p(spark, sf_dir)
+    return A.chat_messages(p.grounded_questions, p.assistant_texts["total_customers"]).select(
+        "question_id", "system_message", "user_message")
+
+
 def _revenue_at_risk(spark, sf_dir):
     p = _p(spark, sf_dir)
     return K.revenue_at_risk(p.rule_scores, p.customer_360())
@@ -210,4 +231,13 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT s.region, COUNT(*) AS combos,
                          COUNT(*) FILTER (WHERE h.inventory_status = 'REORDER NOW') AS reorder_now
                   FROM g_inventory_health h JOIN b_stores s USING (store_id) GROUP BY s.region)"""),
+        "rag_documents": s("t_rag_documents"),
+        "rag_document_changes": s("t_rag_changes"),
+        "assistant_grounded": s("a_grounded"),
+        "embedding_centroid_neighbors": s("r_centroid_neighbors"),
+        "assistant_messages": O.sql(f"""SELECT question_id,
+            printf('{C.ASSISTANT_SYSTEM_TEMPLATE}', (SELECT COUNT(*) FROM c_scores)) AS system_message,
+            'LIVE RETAIL DATA:' || chr(10) || context || chr(10) || chr(10) || 'QUESTION: ' || question
+              AS user_message
+            FROM a_grounded"""),
     }

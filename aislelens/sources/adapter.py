@@ -35,9 +35,18 @@ def _case(key: Column, mapping: dict, default=None) -> Column:
 class Source:
     """Lazily read driver tables and the bronze views built over them."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, lag_days: int = 0):
+        """``lag_days`` > 0 gives the sources as they stood that many days
+        before their latest order / event (for snapshot comparisons)."""
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self.lag_days = lag_days
+
+    def _lagged(self, df: DataFrame, column: str) -> DataFrame:
+        if not self.lag_days:
+            return df
+        cutoff = F.date_sub(df.agg(F.max(column)).scalar(), self.lag_days)
+        return df.filter(F.col(column) <= cutoff)
 
     def table(self, name: str) -> DataFrame:
         """Read a table by name."""
@@ -88,25 +97,27 @@ class Source:
     @cached_property
     def orders_raw(self) -> DataFrame:
         o, c = self.table("orders"), self.table("customer")
-        return (o.join(c.select("c_custkey", "c_nationkey"), o.o_custkey == c.c_custkey)
-                .select(F.col("o_orderkey").alias("order_id"),
-                        F.col("o_custkey").alias("customer_id"),
-                        F.col("c_nationkey").cast("long").alias("store_id"),
-                        F.col("o_orderdate").cast("date").alias("order_date"),
-                        F.col("o_totalprice").alias("order_value"),
-                        (F.col("o_orderkey") % 8 == 0).alias("is_returned")))
+        raw = (o.join(c.select("c_custkey", "c_nationkey"), o.o_custkey == c.c_custkey)
+               .select(F.col("o_orderkey").alias("order_id"),
+                       F.col("o_custkey").alias("customer_id"),
+                       F.col("c_nationkey").cast("long").alias("store_id"),
+                       F.col("o_orderdate").cast("date").alias("order_date"),
+                       F.col("o_totalprice").alias("order_value"),
+                       (F.col("o_orderkey") % 8 == 0).alias("is_returned")))
+        return self._lagged(raw, "order_date")
 
     @cached_property
     def crm_events_raw(self) -> DataFrame:
         e = self.table("events")
         etype = _case(F.col("event_type"), C.CRM_EVENT_TYPES, C.CRM_DEFAULT_EVENT_TYPE)
-        return (e.select(F.col("event_id"),
-                         F.col("user_id").alias("customer_id"),
-                         etype.alias("event_type"),
-                         F.col("ts").cast("date").alias("event_date"))
-                .withColumn("notes", F.concat(F.lit("Customer "), F.col("customer_id").cast("string"),
-                                              F.lit(" contacted regarding "), F.col("event_type"),
-                                              F.lit("."))))
+        raw = (e.select(F.col("event_id"),
+                        F.col("user_id").alias("customer_id"),
+                        etype.alias("event_type"),
+                        F.col("ts").cast("date").alias("event_date"))
+               .withColumn("notes", F.concat(F.lit("Customer "), F.col("customer_id").cast("string"),
+                                             F.lit(" contacted regarding "), F.col("event_type"),
+                                             F.lit("."))))
+        return self._lagged(raw, "event_date")
 
     @cached_property
     def inventory_raw(self) -> DataFrame:
@@ -129,7 +140,6 @@ class Source:
     def staffing_raw(self) -> DataFrame:
         s = self.table("supplier")
         role_i = (F.col("s_suppkey") % 4).cast("int")
-        role = F.element_at(F.array(*[F.lit(r) for r in C.STAFF_ROLES]), role_i + 1)
         return (s.groupBy(F.col("s_nationkey").alias("nk"), role_i.alias("role_i"))
                 .agg(F.count(F.lit(1)).alias("n"))
                 .select(F.col("nk").cast("long").alias("store_id"),
