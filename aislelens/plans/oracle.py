@@ -404,6 +404,46 @@ FROM (SELECT c.label, e.vec_id, list_cosine_similarity(c.v, CAST(e.embedding AS
 WHERE rank <= {C.RETRIEVAL_TOP_K}"""
 
 
+# ---------------------------------------------------------------- quality
+_exp_parts = []
+for _ds, _cte in [("customers", "s_customers"), ("orders", "s_orders"), ("inventory", "s_inventory")]:
+    for _rule, _pred in C.EXPECTATIONS[_ds].items():
+        _exp_parts.append(f"SELECT '{_ds}' AS dataset, '{_rule}' AS rule, COUNT(*) AS \"rows\", "
+                          f"COUNT(*) FILTER (WHERE NOT COALESCE({_pred}, false)) AS failed FROM {_cte}")
+CTE["q_expectations"] = "\nUNION ALL\n".join(_exp_parts)
+
+_latest_inv = "(SELECT * FROM s_inventory WHERE txn_date = (SELECT MAX(txn_date) FROM s_inventory))"
+_checks = [
+    ("silver.customers one row per customer_id", "SELECT COUNT(DISTINCT customer_id) FROM b_customers_raw",
+     "SELECT COUNT(*) FROM s_customers"),
+    ("silver.orders one row per order_id", "SELECT COUNT(DISTINCT order_id) FROM b_orders_raw",
+     "SELECT COUNT(*) FROM s_orders"),
+    ("silver.inventory one row per store, sku, day",
+     "SELECT COUNT(*) FROM (SELECT DISTINCT store_id, sku_id, txn_date FROM b_inventory_raw)",
+     "SELECT COUNT(*) FROM s_inventory"),
+    ("silver.crm_summary one row per customer with events",
+     "SELECT COUNT(DISTINCT customer_id) FROM b_crm_events_raw", "SELECT COUNT(*) FROM s_crm_summary"),
+    ("gold.customer_360 one row per customer", "SELECT COUNT(*) FROM s_customers",
+     "SELECT COUNT(*) FROM g_customer_360"),
+    ("gold.churn_scores one row per customer", "SELECT COUNT(*) FROM g_customer_360",
+     "SELECT COUNT(*) FROM c_scores"),
+    ("churn labels = max(2, floor(0.3 n))",
+     f"SELECT GREATEST({C.CHURN_LABEL_MINIMUM}, CAST(floor(CAST({C.CHURN_LABEL_SHARE} AS DOUBLE) * COUNT(*)) AS BIGINT)) FROM g_customer_360",
+     "SELECT SUM(churn_label) FROM c_labels"),
+    ("gold.inventory_health one row per series on the latest day",
+     f"SELECT COUNT(*) FROM (SELECT DISTINCT store_id, sku_id FROM {_latest_inv})",
+     "SELECT COUNT(*) FROM g_inventory_health"),
+    ("gold.demand_forecast one row per sku on the latest day",
+     f"SELECT COUNT(DISTINCT sku_id) FROM {_latest_inv}", "SELECT COUNT(*) FROM f_forecast"),
+    ("gold.store_staffing_summary one row per known store role",
+     "SELECT COUNT(*) FROM b_staffing_raw WHERE store_id IN (SELECT store_id FROM b_stores)",
+     "SELECT COUNT(*) FROM g_staffing"),
+]
+CTE["q_checks"] = "SELECT *, expected = actual AS ok FROM (" + "\nUNION ALL\n".join(
+    f"SELECT '{n}' AS \"check\", CAST(({e}) AS BIGINT) AS expected, CAST(({a}) AS BIGINT) AS actual"
+    for n, e, a in _checks) + ")"
+
+
 def _deps(body: str) -> list[str]:
     return [n for n in CTE if re.search(rf"\b{n}\b", body)]
 

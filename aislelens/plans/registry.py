@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .. import config as C
 from ..operators import forecast as FC
 from ..operators import kpis as K
+from ..operators import quality as Q
+from ..streaming.incremental import refresh_crm_summary
 from . import oracle as O
 from .pipeline import Pipeline
 
@@ -89,10 +91,19 @@ def queries() -> dict[str, Query]:
         "retrieval_hits": lambda s, d: _p(s, d).retrieval_hits,
         "retrieval_prompts": lambda s, d: _p(s, d).retrieval_prompts,
         "assistant_messages": _messages,
+        # D1-D3 quality, ST1 incremental refresh
+        "expectation_report": _expectation_report,
+        "validation_checks": lambda s, d: Q.validation_checks(_p(s, d)),
+        "crm_summary_incremental": lambda s, d: refresh_crm_summary(s, d, "events.parquet"),
     }
     return q
 
 
+def _expectation_report(spark, sf_dir):
+    p = _p(spark, sf_dir)
+    return Q.expectation_report({"customers": p.customers, "orders": p.orders, "inventory": p.inventory()})
+
+
 def _grounded(spark, sf_dir):
     g = _p(spark, sf_dir).grounded_questions
     return g.select("question_id", "question", "wants_kpi", "wants_inventory", "wants_region",
@@ -235,6 +246,9 @@ def oracle_sql() -> dict[str, str]:
         "rag_document_changes": s("t_rag_changes"),
         "assistant_grounded": s("a_grounded"),
         "embedding_centroid_neighbors": s("r_centroid_neighbors"),
+        "expectation_report": s("q_expectations"),
+        "validation_checks": s("q_checks"),
+        "crm_summary_incremental": s("s_crm_summary"),
         "assistant_messages": O.sql(f"""SELECT question_id,
             printf('{C.ASSISTANT_SYSTEM_TEMPLATE}', (SELECT COUNT(*) FROM c_scores)) AS system_message,
             'LIVE RETAIL DATA:' || chr(10) || context || chr(10) || chr(10) || 'QUESTION: ' || question

@@ -32,6 +32,18 @@ def _case(key: Column, mapping: dict, default=None) -> Column:
     return out.otherwise(F.lit(default)) if default is not None else out
 
 
+def crm_from_events(events: DataFrame) -> DataFrame:
+    """CRM events (bronze) from the raw event log; batch or stream."""
+    etype = _case(F.col("event_type"), C.CRM_EVENT_TYPES, C.CRM_DEFAULT_EVENT_TYPE)
+    return (events.select(F.col("event_id"),
+                          F.col("user_id").alias("customer_id"),
+                          etype.alias("event_type"),
+                          F.col("ts").cast("date").alias("event_date"))
+            .withColumn("notes", F.concat(F.lit("Customer "), F.col("customer_id").cast("string"),
+                                          F.lit(" contacted regarding "), F.col("event_type"),
+                                          F.lit("."))))
+
+
 class Source:
     """Lazily read driver tables and the bronze views built over them."""
 
@@ -108,16 +120,7 @@ class Source:
 
     @cached_property
     def crm_events_raw(self) -> DataFrame:
-        e = self.table("events")
-        etype = _case(F.col("event_type"), C.CRM_EVENT_TYPES, C.CRM_DEFAULT_EVENT_TYPE)
-        raw = (e.select(F.col("event_id"),
-                        F.col("user_id").alias("customer_id"),
-                        etype.alias("event_type"),
-                        F.col("ts").cast("date").alias("event_date"))
-               .withColumn("notes", F.concat(F.lit("Customer "), F.col("customer_id").cast("string"),
-                                             F.lit(" contacted regarding "), F.col("event_type"),
-                                             F.lit("."))))
-        return self._lagged(raw, "event_date")
+        return self._lagged(crm_from_events(self.table("events")), "event_date")
 
     @cached_property
     def inventory_raw(self) -> DataFrame:
