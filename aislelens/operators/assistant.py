@@ -38,12 +38,12 @@ def route_intents(questions: DataFrame, text_col: str = "question") -> DataFrame
     """KPI always; inventory, demand and staffing by substring; region
     by space-delimited whole word (punctuation is not a boundary)."""
     q = normalized(F.col(text_col))
-    return (questions
-            .withColumn("wants_kpi", F.lit(True))
-            .withColumn("wants_inventory", _any_substring(q, C.INTENT_INVENTORY))
-            .withColumn("wants_region", _any_word(q, C.INTENT_REGION_WORDS))
-            .withColumn("wants_demand", _any_substring(q, C.INTENT_DEMAND))
-            .withColumn("wants_staffing", _any_substring(q, C.INTENT_STAFFING)))
+    return questions.withColumns({
+        "wants_kpi": F.lit(True),
+        "wants_inventory": _any_substring(q, C.INTENT_INVENTORY),
+        "wants_region": _any_word(q, C.INTENT_REGION_WORDS),
+        "wants_demand": _any_substring(q, C.INTENT_DEMAND),
+        "wants_staffing": _any_substring(q, C.INTENT_STAFFING)})
 
 
 def context_texts(scores: DataFrame, health: DataFrame, forecast: DataFrame,
@@ -76,16 +76,17 @@ def ground(questions: DataFrame, texts: dict[str, Column], text_col: str = "ques
     inventory, region, demand, staffing - and how many were used."""
     routed = route_intents(questions, text_col)
     names = ["kpi", "inventory", "region", "demand", "staffing"]
-    for n in names:                      # subqueries may not sit inside the lambda below
-        routed = routed.withColumn(f"_t_{n}", texts[n])
+    # subqueries may not sit inside the lambda below: project them first
+    routed = routed.withColumns({f"_t_{n}": texts[n] for n in names})
     parts = F.filter(F.array(*[F.when(F.col(f"wants_{n}"), F.col(f"_t_{n}")) for n in names]),
                      lambda x: x.isNotNull())
     return (routed.withColumn("_parts", parts)
-            .withColumn("context", F.when(F.size("_parts") > 0, F.array_join("_parts", " "))
-                        .otherwise(F.lit(C.NO_DATA_TEXT)))
-            .withColumn("context_used", F.size("_parts"))
-            .withColumn("answer", F.concat(F.lit(C.FALLBACK_HEADER), F.array_join(
-                F.transform("_parts", lambda p: F.concat(F.lit(C.FALLBACK_BULLET), p)), "\n")))
+            .withColumns({
+                "context": F.when(F.size("_parts") > 0, F.array_join("_parts", " "))
+                            .otherwise(F.lit(C.NO_DATA_TEXT)),
+                "context_used": F.size("_parts"),
+                "answer": F.concat(F.lit(C.FALLBACK_HEADER), F.array_join(
+                    F.transform("_parts", lambda p: F.concat(F.lit(C.FALLBACK_BULLET), p)), "\n"))})
             .drop("_parts", *[f"_t_{n}" for n in names]))
 
 

@@ -85,8 +85,7 @@ def rule_scores(c360: DataFrame, cuts=C.TIER_CUTS) -> DataFrame:
     z = -(F.col("recency_days") - 60) / 20.0 + 0.3 * F.col("order_count_90d")
     prob = F.round(1.0 / (1.0 + F.exp(z)), 6)
     return (c360.withColumn("churn_prob", prob)
-            .withColumn("risk_tier", risk_tier(F.col("churn_prob"), cuts))
-            .select(*SCORE_COLUMNS))
+            .select(*SCORE_COLUMNS[:-1], risk_tier(F.col("churn_prob"), cuts).alias("risk_tier")))
 
 
 def _features(c360: DataFrame, labels: DataFrame | None):
@@ -95,8 +94,7 @@ def _features(c360: DataFrame, labels: DataFrame | None):
     data = c360.na.fill(0, C.CHURN_FEATURES)
     if labels is not None:
         data = data.join(labels.select("customer_id", "churn_label"), "customer_id")
-    for f in C.CHURN_FEATURES:
-        data = data.withColumn(f, F.col(f).cast("double"))
+    data = data.withColumns({f: F.col(f).cast("double") for f in C.CHURN_FEATURES})
     return VectorAssembler(inputCols=C.CHURN_FEATURES, outputCol="features").transform(data)
 
 
@@ -112,15 +110,16 @@ def fit_churn(c360: DataFrame, labels: DataFrame, model_path: str | None = None,
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
 
     spark = c360.sparkSession
-    data = _features(c360, labels).select("customer_id", "features",
-                                          F.col("churn_label").cast("double").alias("label"))
+    # features + label written once to the shared folder: the boosting passes
+    # re-read a short lineage, and GBT caches its own training instances
+    data = materialise(_features(c360, labels).select(
+        "customer_id", "features", F.col("churn_label").cast("double").alias("label")), "churn-features")
     is_test = F.pmod(F.xxhash64(F.col("customer_id"), F.lit(seed)), F.lit(C.TEST_SHARE_BUCKETS)) == 0
-    train = data.filter(~is_test).persist()
+    train = data.filter(~is_test)
     test = data.filter(is_test)
     gbt = GBTClassifier(featuresCol="features", labelCol="label", maxIter=max_iter,
                         maxDepth=C.GBT_DEPTH, stepSize=C.GBT_STEP, seed=seed, checkpointInterval=10)
     model = gbt.fit(train)
-    train.unpersist()
     auc = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="probability",
                                         metricName="areaUnderROC").evaluate(model.transform(test))
     run_id = uuid.uuid4().hex

@@ -11,13 +11,6 @@ from ..config import DEFAULT, Thresholds
 from ..functions.exact import cents, round_ratio, round_ratio_long
 
 
-def _sku_labels(df: DataFrame) -> DataFrame:
-    cats = F.array(*[F.lit(c) for c in C.FORECAST_CATEGORIES])
-    return (df.withColumn("sku_name", F.concat(F.lit(C.FORECAST_SKU_PREFIX), F.col("sku_id").cast("string")))
-            .withColumn("category", F.element_at(
-                cats, (F.col("sku_id") % len(C.FORECAST_CATEGORIES) + 1).cast("int"))))
-
-
 def demand_signals_exact(inventory: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     """Per SKU and day, totals over stores plus trailing short/long ROWS
     averages; keeps the exact sums (``_*``) the forecast rounds from.
@@ -34,18 +27,19 @@ def demand_signals_exact(inventory: DataFrame, t: Thresholds = DEFAULT) -> DataF
     base = Window.partitionBy("sku_id").orderBy("txn_date")
     w_s = base.rowsBetween(-(t.short_rows - 1), Window.currentRow)
     w_l = base.rowsBetween(-(t.long_rows - 1), Window.currentRow)
-    out = (daily
-           .withColumn("_s_sum", F.sum("total_qty_sold").over(w_s))
-           .withColumn("_s_n", F.count("total_qty_sold").over(w_s))
-           .withColumn("_l_sum", F.sum("total_qty_sold").over(w_l))
-           .withColumn("_l_n", F.count("total_qty_sold").over(w_l))
-           .withColumn("avg_inventory", F.col("_inv_sum") / F.col("_inv_n"))
-           .withColumn("avg_unit_price", F.col("_price_cents") / (F.col("_price_n") * 100.0))
-           .withColumn("demand_7d_avg", round_ratio(F.col("_s_sum"), F.col("_s_n"), 1))
-           .withColumn("demand_14d_avg", round_ratio(F.col("_l_sum"), F.col("_l_n"), 1))
-           .withColumn("_t7", round_ratio_long(F.col("_s_sum") * 10, F.col("_s_n")))
-           .withColumn("_t14", round_ratio_long(F.col("_l_sum") * 10, F.col("_l_n"))))
-    return _sku_labels(out)
+    rolled = daily.withColumns({
+        "_s_sum": F.sum("total_qty_sold").over(w_s), "_s_n": F.count("total_qty_sold").over(w_s),
+        "_l_sum": F.sum("total_qty_sold").over(w_l), "_l_n": F.count("total_qty_sold").over(w_l)})
+    cats = F.array(*[F.lit(c) for c in C.FORECAST_CATEGORIES])
+    return rolled.withColumns({
+        "avg_inventory": F.col("_inv_sum") / F.col("_inv_n"),
+        "avg_unit_price": F.col("_price_cents") / (F.col("_price_n") * 100.0),
+        "demand_7d_avg": round_ratio(F.col("_s_sum"), F.col("_s_n"), 1),
+        "demand_14d_avg": round_ratio(F.col("_l_sum"), F.col("_l_n"), 1),
+        "_t7": round_ratio_long(F.col("_s_sum") * 10, F.col("_s_n")),
+        "_t14": round_ratio_long(F.col("_l_sum") * 10, F.col("_l_n")),
+        "sku_name": F.concat(F.lit(C.FORECAST_SKU_PREFIX), F.col("sku_id").cast("string")),
+        "category": F.element_at(cats, (F.col("sku_id") % len(C.FORECAST_CATEGORIES) + 1).cast("int"))})
 
 
 SIGNAL_COLUMNS = ["sku_id", "sku_name", "category", "txn_date", "total_qty_sold", "avg_inventory",
@@ -67,10 +61,9 @@ def demand_forecast(signals_exact: DataFrame, t: Thresholds = DEFAULT) -> DataFr
     trend = (F.when(t7 * 100 > t14 * (100 + band), "UP")
              .when(t7 * 100 < t14 * (100 - band), "DOWN").otherwise("FLAT"))
     return (signals_exact.filter(F.col("txn_date") == latest)
-            .withColumn("trend", trend)
-            .select("sku_id", "sku_name", "category", "demand_7d_avg", "demand_14d_avg", "trend",
+            .select("sku_id", "sku_name", "category", "demand_7d_avg", "demand_14d_avg", trend.alias("trend"),
                     round_ratio_long(t7 * t.horizon_days, F.lit(10)).cast("int").alias("predicted_units_7d"),
-                    F.when(F.col("trend") == "DOWN", "Medium").otherwise("High").alias("confidence"),
+                    F.when(trend == "DOWN", "Medium").otherwise("High").alias("confidence"),
                     F.col("txn_date").alias("signal_date"),
                     round_ratio(F.col("_price_cents"), F.col("_price_n") * 100, 2).alias("avg_unit_price")))
 
@@ -107,15 +100,17 @@ def daily_spine(inventory: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     dow = F.dayofweek("txn_date")
     w = (Window.partitionBy("store_id", "sku_id").orderBy("txn_date")
          .rowsBetween(-(t.short_rows - 1), Window.currentRow))
+    on_hand = F.coalesce(F.col("inventory_on_hand"), F.lit(0))
+    qty = F.coalesce(F.col("qty_sold"), F.lit(0))
     dense = (spine.join(facts, ["store_id", "sku_id", "txn_date"], "left")
-             .withColumn("is_observed", F.col("qty_sold").isNotNull() | F.col("inventory_on_hand").isNotNull())
-             .withColumn("qty_sold", F.coalesce(F.col("qty_sold"), F.lit(0)))
-             .withColumn("inventory_on_hand", F.coalesce(F.col("inventory_on_hand"), F.lit(0)))
-             .withColumn("is_stockout", F.col("inventory_on_hand") == 0)
-             .withColumn("day_of_week", dow)
-             .withColumn("seasonal_mult", F.when(dow.isin(1, 7), 1.2).when(dow == 2, 0.85).otherwise(1.0))
-             .withColumn("_sum", F.sum(F.col("qty_sold").cast("long")).over(w))
-             .withColumn("_n", F.count(F.lit(1)).over(w)))
+             .withColumns({
+                 "is_observed": F.col("qty_sold").isNotNull() | F.col("inventory_on_hand").isNotNull(),
+                 "is_stockout": on_hand == 0,
+                 "day_of_week": dow,
+                 "seasonal_mult": F.when(dow.isin(1, 7), 1.2).when(dow == 2, 0.85).otherwise(1.0),
+                 "_sum": F.sum(qty.cast("long")).over(w),
+                 "_n": F.count(F.lit(1)).over(w)})
+             .withColumns({"qty_sold": qty, "inventory_on_hand": on_hand}))
     return dense.select("store_id", "sku_id", "txn_date", "day_of_week", "seasonal_mult",
                         "is_observed", "is_stockout", "qty_sold", "unit_price", "inventory_on_hand",
                         (F.col("_sum") / F.col("_n")).alias("demand_7d_calendar_avg"))

@@ -12,8 +12,8 @@ from .dedup import as_of_date, keep_first
 
 def silver_customers(raw: DataFrame) -> DataFrame:
     """Q1: ints cast, one row per customer_id."""
-    typed = (raw.withColumn("age", F.col("age").try_cast("int"))
-             .withColumn("days_since_join", F.col("days_since_join").try_cast("int")))
+    typed = raw.withColumns({"age": F.col("age").try_cast("int"),
+                             "days_since_join": F.col("days_since_join").try_cast("int")})
     order = [F.col(c).asc_nulls_first() for c in
              ["customer_name", "store_id", "age", "segment", "preferred_channel", "days_since_join"]]
     return keep_first(typed, ["customer_id"], order)
@@ -24,9 +24,9 @@ def silver_orders(raw: DataFrame) -> DataFrame:
     date = F.col("order_date")
     if isinstance(raw.schema["order_date"].dataType, T.StringType):
         date = F.try_to_date(date)
-    typed = (raw.withColumn("order_date", date)
-             .withColumn("order_value", F.col("order_value").try_cast("double"))
-             .withColumn("is_returned", F.col("is_returned").try_cast("boolean")))
+    typed = raw.withColumns({"order_date": date,
+                             "order_value": F.col("order_value").try_cast("double"),
+                             "is_returned": F.col("is_returned").try_cast("boolean")})
     order = [F.col(c).asc_nulls_first() for c in
              ["customer_id", "store_id", "order_date", "order_value", "is_returned"]]
     return keep_first(typed, ["order_id"], order)
@@ -45,8 +45,8 @@ def inventory_rolled(raw: DataFrame, window_rows: int = C.ROLLING_SHORT_ROWS) ->
     w = (Window.partitionBy("store_id", "sku_id").orderBy("txn_date")
          .rowsBetween(-(window_rows - 1), Window.currentRow))
     return (survivors
-            .withColumn("_qty_sum", F.sum(F.col("qty_sold").cast("long")).over(w))
-            .withColumn("_qty_n", F.count("qty_sold").over(w))
+            .withColumns({"_qty_sum": F.sum(F.col("qty_sold").cast("long")).over(w),
+                          "_qty_n": F.count("qty_sold").over(w)})
             .withColumn("avg_daily_demand_7d", F.col("_qty_sum") / F.col("_qty_n")))
 
 

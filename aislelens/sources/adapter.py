@@ -68,7 +68,7 @@ class Source:
     @cached_property
     def stores(self) -> DataFrame:
         nation, region = self.table("nation"), self.table("region")
-        return (nation.join(sized_broadcast(region), nation.n_regionkey == region.r_regionkey)
+        return (nation.join(region, nation.n_regionkey == region.r_regionkey)
                 .select(F.col("n_nationkey").cast("long").alias("store_id"),
                         F.col("n_name").alias("store_name"),
                         F.col("r_name").alias("region"),
