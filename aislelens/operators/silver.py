@@ -42,12 +42,17 @@ def inventory_rolled(raw: DataFrame, window_rows: int = C.ROLLING_SHORT_ROWS) ->
     survivors = keep_first(raw, ["store_id", "sku_id", "txn_date"],
                            [F.col("qty_sold").desc_nulls_last(), F.col("unit_price").desc_nulls_last(),
                             F.col("inventory_on_hand").desc_nulls_last()])
+    return with_window_sums(survivors, window_rows).withColumn(
+        "avg_daily_demand_7d", F.col("_qty_sum") / F.col("_qty_n"))
+
+
+def with_window_sums(inventory: DataFrame, window_rows: int = C.ROLLING_SHORT_ROWS) -> DataFrame:
+    """Exact trailing-``window_rows`` sum and count of qty_sold per
+    (store, sku) series, ordered by day."""
     w = (Window.partitionBy("store_id", "sku_id").orderBy("txn_date")
          .rowsBetween(-(window_rows - 1), Window.currentRow))
-    return (survivors
-            .withColumns({"_qty_sum": F.sum(F.col("qty_sold").cast("long")).over(w),
-                          "_qty_n": F.count("qty_sold").over(w)})
-            .withColumn("avg_daily_demand_7d", F.col("_qty_sum") / F.col("_qty_n")))
+    return inventory.withColumns({"_qty_sum": F.sum(F.col("qty_sold").cast("long")).over(w),
+                                  "_qty_n": F.count("qty_sold").over(w)})
 
 
 def silver_inventory(raw: DataFrame, window_rows: int = C.ROLLING_SHORT_ROWS,
