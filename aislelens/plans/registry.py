@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import config as C
+from ..operators import churn as CH
 from ..operators import forecast as FC
 from ..operators import kpis as K
 from ..operators import quality as Q
@@ -57,6 +58,7 @@ def queries() -> dict[str, Query]:
         "churn_scores_rule": lambda s, d: _p(s, d).rule_scores,
         "churn_scores": lambda s, d: _p(s, d).model_scores,
         "churn_model_metrics": lambda s, d: _p(s, d).fitted[1],
+        "churn_feature_importances": lambda s, d: CH.feature_importances(_p(s, d).fitted[1]),
         # Q14-Q31, Q33-Q36 KPIs (over the rule-score twin, so SQL can check them)
         "risk_tier_distribution": lambda s, d: K.risk_tier_distribution(_p(s, d).rule_scores),
         "top_churn_risk": lambda s, d: K.top_churn_risk(_p(s, d).rule_scores, 10),
