@@ -38,6 +38,21 @@ def vectors(model, df: DataFrame, text_col: str, out: str = "vector") -> DataFra
             .drop("_text", "_tok", "_tf", "_tfidf", "_vec"))
 
 
+def sync_vectors(model, vectors_before: DataFrame, changes: DataFrame, key: str = "doc_id",
+                 text_col: str = "document") -> DataFrame:
+    """G2 (sync): apply an S11 change feed to a vector table.
+
+    Deleted and updated keys leave (anti join on ``key``); inserted and
+    updated rows are embedded again with the same fitted ``model``. Only
+    the changed documents pass through the embedding.
+    """
+    changed = changes.select(key).distinct()
+    kept = vectors_before.join(changed, key, "left_anti")
+    fresh = vectors(model, changes.filter(F.col("_change_type") != "delete").select(key, text_col),
+                    text_col).select(key, "vector")
+    return kept.select(key, "vector").unionByName(fresh)
+
+
 def _block_topk(k: int, q_id: str, c_id: str):
     """Per (query block, corpus block): exact top-k by cosine, ties broken
     by the smaller corpus id. Emits at most k rows per query."""

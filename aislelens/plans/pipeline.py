@@ -129,6 +129,14 @@ class Pipeline:
         cols = ["document", "customer_id", "customer_name", "segment", "region"]
         return corpus.changes(before, self.rag_documents, "doc_id", cols)
 
+    def synced_vectors(self, lag_days: int = 7) -> DataFrame:
+        """G2 sync: vectors of the corpus ``lag_days`` ago brought up to date
+        through the change feed (same embedding model)."""
+        before_docs = Pipeline(self.spark, self.src.sf_dir, self.t, lag_days=lag_days).rag_documents
+        before = retrieval.vectors(self.embedder, before_docs.select("doc_id", "document"), "document")
+        return retrieval.sync_vectors(self.embedder, before.select("doc_id", "vector"),
+                                      self.rag_changes(lag_days))
+
     @cached_property
     def assistant_texts(self):
         return assistant.context_texts(self.rule_scores, self.inventory_health, self.demand_forecast,

@@ -92,6 +92,7 @@ def queries() -> dict[str, Query]:
         "embedding_centroid_neighbors": lambda s, d: _p(s, d).centroid_neighbors(C.RETRIEVAL_TOP_K),
         "retrieval_hits": lambda s, d: _p(s, d).retrieval_hits,
         "retrieval_prompts": lambda s, d: _p(s, d).retrieval_prompts,
+        "rag_vectors_synced": lambda s, d: _p(s, d).synced_vectors(O.SNAPSHOT_LAG_DAYS),
         "assistant_messages": _messages,
         # D1-D3 quality, ST1 incremental refresh
         "expectation_report": _expectation_report,

@@ -39,3 +39,15 @@ def test_stream_refresh_equals_batch(spark):
     cols = ["customer_id", "total_events", "complaints", "return_requests", "last_contact_date",
             "days_since_last_contact"]
     assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
+
+
+def test_vector_sync_equals_full_embedding(spark):
+    from aislelens.operators import retrieval
+
+    p = Pipeline(spark, SMOKE)
+    synced = p.synced_vectors(7)
+    full = retrieval.vectors(p.embedder, p.rag_documents.select("doc_id", "document"), "document")
+    a = sorted((r["doc_id"], tuple(r["vector"])) for r in synced.collect())
+    b = sorted((r["doc_id"], tuple(r["vector"])) for r in full.select("doc_id", "vector").collect())
+    assert a == b
+    assert p.rag_changes(7).count() > 0          # the sync really had work to do
