@@ -48,6 +48,15 @@ class Warehouse:
     def tables(self, names) -> dict[str, DataFrame]:
         return {n: self.table(n) for n in names}
 
+    def register(self, database: str, names) -> None:
+        """Name the written tables in the session catalog as
+        ``database.name`` (external parquet tables at their folders), so SQL
+        text can read them by name."""
+        sql = self.spark.sql
+        sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{self.path('_catalog')}'")
+        for n in names:
+            sql(f"CREATE TABLE IF NOT EXISTS {database}.{n} USING parquet LOCATION '{self.path(n)}'")
+
 
 def _max_date(df: DataFrame, column: str) -> dt.date | None:
     """One scalar: the latest date of a source (its run date)."""
