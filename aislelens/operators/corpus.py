@@ -14,7 +14,7 @@ from ..functions.exact import floor_div
 NOTE_BLOCK = 4096
 
 
-def customer_notes(events: DataFrame, sep: str = "; ") -> DataFrame:
+def customer_notes(events: DataFrame, sep: str = "; ", block_rows: int = NOTE_BLOCK) -> DataFrame:
     """customer_id -> all CRM notes in (event_date, event_id) order.
 
     Two levels: notes are first joined per (customer, day, event-id block),
@@ -22,7 +22,7 @@ def customer_notes(events: DataFrame, sep: str = "; ") -> DataFrame:
     those partial strings, one per (day, block), instead of every event.
     NULL notes are skipped; a customer whose notes are all NULL gets "".
     """
-    block = floor_div(F.col("event_id"), NOTE_BLOCK)
+    block = floor_div(F.col("event_id"), block_rows)
     kept = F.collect_list(F.when(F.col("notes").isNotNull(), F.struct("event_id", "notes")))
     partial = (events.groupBy("customer_id", "event_date", block.alias("_blk"))
                .agg(kept.alias("_items"))
