@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..config import DEFAULT, Thresholds
 from ..functions.exact import cents, round_ratio, round_ratio_long
+from .dedup import as_of_date
 
 
 def demand_signals_exact(inventory: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
@@ -51,11 +52,12 @@ def demand_signals(inventory: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     return demand_signals_exact(inventory, t).select(*SIGNAL_COLUMNS)
 
 
-def demand_forecast(signals_exact: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
+def demand_forecast(signals_exact: DataFrame, t: Thresholds = DEFAULT, latest=None) -> DataFrame:
     """Q10: latest day per SKU -> trend (rounded averages, +/- band),
     ``horizon`` day projection and confidence. SKUs without a row on the
-    single latest day drop, as in the source job."""
-    latest = signals_exact.agg(F.max("txn_date")).scalar()
+    single latest day drop, as in the source job. ``latest`` (date or
+    Column) defaults to the latest day of the signals."""
+    latest = as_of_date(latest, signals_exact, "txn_date")
     band = round(t.band * 100)
     t7, t14 = F.col("_t7"), F.col("_t14")
     trend = (F.when(t7 * 100 > t14 * (100 + band), "UP")
@@ -81,7 +83,7 @@ def demand_serving(forecast: DataFrame, k: int = 20) -> DataFrame:
                     "confidence", "avg_unit_price"))
 
 
-def daily_spine(inventory: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
+def daily_spine(inventory: DataFrame, t: Thresholds = DEFAULT, dates: DataFrame | None = None) -> DataFrame:
     """D-SPINE: every observed (store, sku) series densified to one row per
     calendar day between the first and last day of the whole table.
 
@@ -90,8 +92,9 @@ def daily_spine(inventory: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     trailing average over ``short_rows`` days. The calendar comes from
     ``explode(sequence)`` per series, never from a cross join.
     """
-    first = inventory.agg(F.min("txn_date")).scalar()
-    last = inventory.agg(F.max("txn_date")).scalar()
+    dates = inventory if dates is None else dates      # any frame with the same set of days
+    first = dates.agg(F.min("txn_date")).scalar()
+    last = dates.agg(F.max("txn_date")).scalar()
     series = inventory.select("store_id", "sku_id").distinct()
     spine = series.select("store_id", "sku_id",
                           F.explode(F.sequence(first, last, F.expr("INTERVAL 1 DAY"))).alias("txn_date"))

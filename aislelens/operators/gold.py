@@ -69,14 +69,15 @@ def customer_360(customers: DataFrame, stores: DataFrame, features: DataFrame,
 
 
 def inventory_health(rolled: DataFrame, reorder_days: int = C.REORDER_DAYS,
-                     watch_days: int = C.WATCH_DAYS) -> DataFrame:
+                     watch_days: int = C.WATCH_DAYS, latest=None) -> DataFrame:
     """Q7: reorder status per (store, sku) on the single latest date.
 
     ``rolled`` is ``silver.inventory_rolled`` (window sum/count kept), so
     days of supply = on_hand * n / sum is compared exactly against the
     thresholds; zero or missing demand gives NULL supply and status OK.
+    ``latest`` (date or Column) defaults to the table's own latest day.
     """
-    latest = rolled.agg(F.max("txn_date")).scalar()
+    latest = as_of_date(latest, rolled, "txn_date")
     today = rolled.filter(F.col("txn_date") == latest)
     on_hand, n, total = (F.col("inventory_on_hand").cast("long"), F.col("_qty_n"),
                          F.col("_qty_sum"))

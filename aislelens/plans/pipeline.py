@@ -72,7 +72,15 @@ class Pipeline:
 
     @cached_property
     def inventory_health(self) -> DataFrame:
-        return gold.inventory_health(self.inventory_rolled, self.t.reorder_days, self.t.watch_days)
+        return gold.inventory_health(self.inventory_rolled, self.t.reorder_days, self.t.watch_days,
+                                     self.latest_inventory_day)
+
+    @cached_property
+    def latest_inventory_day(self):
+        """Latest inventory day from the raw rows: dedup keeps every
+        (store, sku, day) key, so this equals the silver table's latest day
+        without the dedup and window shuffles."""
+        return self.src.inventory_raw.agg(F.max("txn_date")).scalar()
 
     @cached_property
     def staffing_summary(self) -> DataFrame:
@@ -89,11 +97,11 @@ class Pipeline:
 
     @cached_property
     def demand_forecast(self) -> DataFrame:
-        return forecast.demand_forecast(self.signals_exact, self.t)
+        return forecast.demand_forecast(self.signals_exact, self.t, self.latest_inventory_day)
 
     @cached_property
     def daily_spine(self) -> DataFrame:
-        return forecast.daily_spine(self.inventory(), self.t)
+        return forecast.daily_spine(self.inventory(), self.t, self.src.inventory_raw.select("txn_date"))
 
     # -- churn -------------------------------------------------------------
     @cached_property
