@@ -71,17 +71,25 @@ def reorder_count(health: DataFrame) -> DataFrame:
     return health.agg(F.count_if(F.col("inventory_status") == "REORDER NOW").alias("reorder_count"))
 
 
-def executive_summary(scores: DataFrame, c360: DataFrame, health: DataFrame) -> DataFrame:
+def executive_summary(scores: DataFrame, c360: DataFrame, health: DataFrame,
+                      with_tiers: bool = False) -> DataFrame:
     """Q19: the one-row executive summary.
 
     churn_rate_pct is the High tier's share (0 without High rows); revenue
-    and High count default to 0.
+    and High count default to 0. ``with_tiers`` adds the tier list
+    (tier, count, pct), largest tier first, as the dashboard shows it.
     """
     tiers = risk_tier_distribution(scores)
     rev = revenue_at_risk(scores, c360)
     totals = customer_store_totals(c360)
     high_pct = tiers.filter(F.col("risk_tier") == HIGH).select("pct").scalar()
+    cols = [] if not with_tiers else [tiers.agg(F.transform(
+        F.array_sort(F.collect_list(F.struct((-F.col("customers")).alias("o"), F.col("risk_tier").alias("tier"),
+                                             F.col("customers").alias("count"), F.col("pct").alias("pct")))),
+        lambda t: F.struct(t["tier"].alias("tier"), t["count"].alias("count"), t["pct"].alias("pct"))))
+        .scalar().alias("risk_tiers")]
     return rev.select(
+        *cols,
         F.coalesce(high_pct, F.lit(0.0)).alias("churn_rate_pct"),
         F.coalesce(F.col("monthly_revenue_at_risk"), F.lit(0.0)).cast("long").alias("revenue_at_risk"),
         F.coalesce(F.col("high_risk_customers"), F.lit(0)).cast("long").alias("high_risk_customers"),

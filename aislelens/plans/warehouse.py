@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..config import DEFAULT, Thresholds
-from ..operators import assistant, churn, corpus, forecast, gold, kpis, quality, silver
+from ..operators import assistant, churn, corpus, forecast, gold, kpis, quality, retrieval, silver
 from ..operators.joins import sized_broadcast
 from ..sources.adapter import Source
 
@@ -125,6 +125,15 @@ def refresh_corpus(wh: Warehouse) -> None:
     wh.write("rag_documents", corpus.rag_documents(wh.table("customer_360"), wh.table("crm_events_raw")))
 
 
+def refresh_vectors(wh: Warehouse) -> None:
+    """Fit the text embedding on the corpus, save it, write the vectors."""
+    docs = wh.table("rag_documents")
+    model = retrieval.embed(docs, "document")
+    model.write().overwrite().save(wh.path("embedding_model"))
+    wh.write("rag_vectors", retrieval.vectors(model, docs.select("doc_id", "document"), "document")
+             .select("doc_id", "vector"))
+
+
 def refresh_all(spark: SparkSession, sf_dir: str, root: str, t: Thresholds = DEFAULT,
                 model: bool = True) -> Warehouse:
     wh = Warehouse(spark, root)
@@ -134,6 +143,7 @@ def refresh_all(spark: SparkSession, sf_dir: str, root: str, t: Thresholds = DEF
     refresh_forecast(wh, t)
     refresh_churn(wh, model)
     refresh_corpus(wh)
+    refresh_vectors(wh)
     return wh
 
 
@@ -143,9 +153,9 @@ def scores_table(wh: Warehouse) -> str:
     return wh.scores
 
 
-def serve_summary(wh: Warehouse) -> DataFrame:
+def serve_summary(wh: Warehouse, with_tiers: bool = True) -> DataFrame:
     return kpis.executive_summary(wh.table(scores_table(wh)), wh.table("customer_360"),
-                                  wh.table("inventory_health"))
+                                  wh.table("inventory_health"), with_tiers=with_tiers)
 
 
 def serve_churn_list(wh: Warehouse) -> DataFrame:
@@ -174,6 +184,21 @@ def serve_platform_stats(wh: Warehouse) -> DataFrame:
     return kpis.platform_stats(tables)
 
 
+def serve_last_updated(wh: Warehouse) -> DataFrame:
+    """Q26: when the customer profile was last rebuilt."""
+    return wh.table("customer_360").agg(F.max("updated_at").alias("last_updated"))
+
+
+def serve_retrieval(wh: Warehouse, questions: DataFrame, k: int = C.RETRIEVAL_TOP_K) -> DataFrame:
+    """Top-k corpus documents per question and the filled prompt."""
+    from pyspark.ml import PipelineModel
+
+    model = PipelineModel.load(wh.path("embedding_model"))
+    qv = retrieval.vectors(model, questions, "question").select("question_id", "vector")
+    hits = retrieval.top_k(qv, wh.table("rag_vectors"), k, q_id="question_id", c_id="doc_id")
+    return retrieval.rag_prompts(retrieval.assemble_context(questions, hits, wh.table("rag_documents")))
+
+
 def serve_chat(wh: Warehouse, questions: DataFrame) -> DataFrame:
     texts = assistant.context_texts(wh.table(scores_table(wh)), wh.table("inventory_health"),
                                     wh.table("demand_forecast"), wh.table("store_staffing_summary"))
@@ -184,4 +209,5 @@ SERVING = {
     "summary": serve_summary, "churn_scores": serve_churn_list, "regional_churn": serve_regional_churn,
     "churn_by_segment": serve_churn_by_segment, "demand_forecast": serve_demand,
     "inventory_alerts": serve_inventory_alerts, "platform_stats": serve_platform_stats,
+    "last_updated": serve_last_updated,
 }
