@@ -51,3 +51,27 @@ def test_vector_sync_equals_full_embedding(spark):
     b = sorted((r["doc_id"], tuple(r["vector"])) for r in full.select("doc_id", "vector").collect())
     assert a == b
     assert p.rag_changes(7).count() > 0          # the sync really had work to do
+
+
+def test_stream_silver_orders_drops_repeats_within_watermark(spark):
+    from aislelens.session import scratch_path
+    from aislelens.sources.adapter import Source
+    from aislelens.streaming.incremental import stream_silver_orders
+
+    raw = Source(spark, SMOKE).orders_raw
+    root = scratch_path(spark, "orders-stream")
+    src, out, ckpt = (os.path.join(root, x) for x in ("in", "out", "ckpt"))
+    raw.write.parquet(src)                                      # initial load
+    first = stream_silver_orders(spark, src, out, ckpt)
+    assert first.count() == raw.count()
+    last_day = raw.agg(F.max("order_date")).first()[0]
+    repeats = raw.orderBy("order_id").limit(50)                 # old dates: late and repeated
+    fresh = (raw.orderBy("order_id").limit(3)
+             .withColumn("order_id", F.col("order_id") + 10 ** 9)
+             .withColumn("order_date", F.lit(last_day)))        # new, on time
+    repeats.unionByName(fresh).write.mode("append").parquet(src)
+    second = stream_silver_orders(spark, src, out, ckpt)
+    got = sorted(r["order_id"] for r in second.select("order_id").collect())
+    want = sorted([r["order_id"] for r in silver.silver_orders(raw).select("order_id").collect()]
+                  + [r["order_id"] for r in fresh.select("order_id").collect()])
+    assert got == want
