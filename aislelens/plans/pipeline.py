@@ -1,21 +1,20 @@
 """The dataset graph: bronze -> silver -> gold, as composed DataFrames.
 
 ``Pipeline`` exposes every dataset lazily; nothing runs until an action.
-``build`` writes the datasets in dependency order into an output folder
-(S4/S5), after which downstream queries read the written tables instead of
-re-running the plans.
+Each registered query is one self-contained plan from the raw tables to its
+result. ``plans.warehouse`` is the materialised counterpart: it writes the
+datasets stage by stage and serves queries from the written tables.
 """
 
 from __future__ import annotations
 
-import os
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Thresholds
-from ..operators import assistant, churn, corpus, forecast, gold, kpis, retrieval, silver
+from ..operators import assistant, churn, corpus, forecast, gold, retrieval, silver
 from ..sources.adapter import Source
 
 
@@ -196,33 +195,3 @@ class Pipeline:
             "gold.demand_forecast": self.demand_forecast,
             "gold.store_staffing_summary": self.staffing_summary,
         }
-
-
-def build(spark: SparkSession, sf_dir: str, out_dir: str,
-          thresholds: Thresholds = DEFAULT) -> dict[str, str]:
-    """Materialise the pipeline datasets (overwrite) under ``out_dir``.
-
-    Returns dataset name -> path. Each write is one Spark job; later
-    datasets read the earlier written ones, so lineage stays short.
-    """
-    p = Pipeline(spark, sf_dir, thresholds)
-    paths: dict[str, str] = {}
-
-    def write(name: str, df: DataFrame) -> DataFrame:
-        path = os.path.join(out_dir, name)
-        df.write.mode("overwrite").parquet(path)
-        paths[name] = path
-        return spark.read.parquet(path)
-
-    for name, df in p.src.bronze().items():
-        write(name, df)
-    customers = write("customers", p.customers)
-    orders = write("orders", p.orders)
-    write("inventory", p.inventory(audit=True))
-    crm = write("crm_summary", p.crm_summary)
-    features = gold.order_features(orders, None, thresholds.lookback_days)
-    write("customer_360", gold.customer_360(customers, p.stores_small, features, crm,
-                                            thresholds.churn_days, audit=True))
-    write("inventory_health", p.inventory_health)
-    write("store_staffing_summary", p.staffing_summary)
-    return paths

@@ -3,7 +3,6 @@
 import pytest
 
 import __spark_entry__ as E
-from aislelens.operators import kpis
 from aislelens.plans import warehouse as W
 from aislelens.session import scratch_path
 from tests.conftest import SMOKE
