@@ -7,6 +7,7 @@ we only invent one when the session leaves it unset (local tests).
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import uuid
@@ -38,6 +39,34 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
+def cluster_conf(input_bytes: int, partition_bytes: int = 256 << 20,
+                 max_shuffle_partitions: int = 100_000) -> dict[str, str]:
+    """Settings sized to the input so tasks fit executor memory.
+
+    Scans split files at ``partition_bytes``; shuffles start with about one
+    partition per ``partition_bytes`` of input (AQE coalesces the small ones
+    after partial aggregation and splits skewed ones). Streaming state lives
+    in RocksDB so per-customer state can exceed the heap.
+    """
+    parts = min(max(200, math.ceil(input_bytes / partition_bytes)), max_shuffle_partitions)
+    return {
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes // 2),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.streaming.stateStore.providerClass":
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    }
+
+
+def apply_conf(spark: SparkSession, conf: dict[str, str]) -> None:
+    """Set runtime SQL settings on the session (call before the jobs)."""
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-shared folder for checkpoints and materialised tables.
 
