@@ -1,6 +1,6 @@
 """The dataset graph: bronze -> silver -> gold, as composed DataFrames.
 
-``Pipeline`` exposes every dataset lazily; nothing runs until an action.
+``Datasets`` exposes every dataset lazily; nothing runs until an action.
 Each registered query is one self-contained plan from the raw tables to its
 result. ``plans.warehouse`` is the materialised counterpart: it writes the
 datasets stage by stage and serves queries from the written tables.
@@ -21,7 +21,7 @@ from ..sources.adapter import Source
 _FITTED: dict = {}
 
 
-class Pipeline:
+class Datasets:
     def __init__(self, spark: SparkSession, sf_dir: str, thresholds: Thresholds = DEFAULT,
                  orders_as_of=None, events_as_of=None, lag_days: int = 0):
         self.spark = spark
@@ -132,14 +132,14 @@ class Pipeline:
 
     def rag_changes(self, lag_days: int = 7) -> DataFrame:
         """Corpus rows changed since the snapshot ``lag_days`` earlier."""
-        before = Pipeline(self.spark, self.src.sf_dir, self.t, lag_days=lag_days).rag_documents
+        before = Datasets(self.spark, self.src.sf_dir, self.t, lag_days=lag_days).rag_documents
         cols = ["document", "customer_id", "customer_name", "segment", "region"]
         return corpus.changes(before, self.rag_documents, "doc_id", cols)
 
     def synced_vectors(self, lag_days: int = 7) -> DataFrame:
         """G2 sync: vectors of the corpus ``lag_days`` ago brought up to date
         through the change feed (same embedding model)."""
-        before_docs = Pipeline(self.spark, self.src.sf_dir, self.t, lag_days=lag_days).rag_documents
+        before_docs = Datasets(self.spark, self.src.sf_dir, self.t, lag_days=lag_days).rag_documents
         before = retrieval.vectors(self.embedder, before_docs.select("doc_id", "document"), "document")
         return retrieval.sync_vectors(self.embedder, before.select("doc_id", "vector"),
                                       self.rag_changes(lag_days))

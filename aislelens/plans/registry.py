@@ -18,13 +18,13 @@ from ..operators import kpis as K
 from ..operators import quality as Q
 from ..streaming.incremental import refresh_crm_summary
 from . import oracle as O
-from .pipeline import Pipeline
+from .datasets import Datasets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _p(spark: SparkSession, sf_dir: str) -> Pipeline:
-    return Pipeline(spark, sf_dir)
+def _p(spark: SparkSession, sf_dir: str) -> Datasets:
+    return Datasets(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:

@@ -6,14 +6,14 @@ import tempfile
 from pyspark.sql import functions as F
 
 from aislelens.operators import churn, silver
-from aislelens.plans.pipeline import Pipeline
+from aislelens.plans.datasets import Datasets
 from aislelens.sources.adapter import crm_from_events
 from aislelens.streaming.incremental import refresh_crm_summary
 from tests.conftest import SMOKE
 
 
 def test_gbt_properties(spark):
-    p = Pipeline(spark, SMOKE)
+    p = Datasets(spark, SMOKE)
     c360 = p.customer_360()
     model, metrics, path = churn.fit_churn(c360, p.churn_labels, max_iter=5)
     scores = churn.score_churn(model, c360)
@@ -43,7 +43,7 @@ def test_stream_refresh_equals_batch(spark):
 def test_vector_sync_equals_full_embedding(spark):
     from aislelens.operators import retrieval
 
-    p = Pipeline(spark, SMOKE)
+    p = Datasets(spark, SMOKE)
     synced = p.synced_vectors(7)
     full = retrieval.vectors(p.embedder, p.rag_documents.select("doc_id", "document"), "document")
     a = sorted((r["doc_id"], tuple(r["vector"])) for r in synced.collect())
