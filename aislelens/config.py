@@ -58,6 +58,32 @@ CRM_EVENT_TYPES = {               # source event type -> CRM event type
     "purchase": "loyalty_redemption",
 }
 CRM_DEFAULT_EVENT_TYPE = "feedback"
+EVENT_COMPLAINT = "complaint"
+EVENT_RETURN_REQUEST = "return_request"
+NOTE_PARTS = ("Customer ", " contacted regarding ", ".")   # note = parts around id and type
+SKU_NAME_FORMAT = "SKU_%04d"
+
+STATUS_REORDER = "REORDER NOW"
+STATUS_WATCH = "WATCH"
+STATUS_OK = "OK"
+STAFF_UNDERSTAFFED = "UNDERSTAFFED"
+STAFF_OK = "OK"
+TREND_UP = "UP"
+TREND_DOWN = "DOWN"
+TREND_FLAT = "FLAT"
+CONFIDENCE_DOWN = "Medium"        # confidence of a DOWN trend
+CONFIDENCE_OTHER = "High"         # confidence of UP and FLAT
+WEEKEND_DAYS = (1, 7)             # dayofweek: 1 = Sunday, 7 = Saturday
+WEEKEND_MULT = 1.2
+MONDAY = 2
+MONDAY_MULT = 0.85
+
+DOC_SEP = " | "                   # between corpus document segments
+NOTES_SEP = "; "                  # between CRM notes of one customer
+DOC_LABELS = ("Customer: ", "Segment: ", "Region: ", "Orders 90d: ", "Spend 90d: $",
+              "Recency days: ", "Churn risk: ", "CRM notes: ")
+DOC_RISK_TEXT = ("Low", "High")   # printed for is_churned 0 / 1
+CONTEXT_SEP = "\n\n"              # between retrieved documents in a prompt context
 
 EXPECTATIONS = {                  # dataset -> rule name -> SQL predicate (warn only)
     "customers": {"valid_customer_id": "customer_id IS NOT NULL",

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import config as C
 from ..functions.exact import floor_div
 
 # CRM notes are concatenated in blocks of this many consecutive event ids
@@ -14,7 +15,7 @@ from ..functions.exact import floor_div
 NOTE_BLOCK = 4096
 
 
-def customer_notes(events: DataFrame, sep: str = "; ", block_rows: int = NOTE_BLOCK) -> DataFrame:
+def customer_notes(events: DataFrame, sep: str = C.NOTES_SEP, block_rows: int = NOTE_BLOCK) -> DataFrame:
     """customer_id -> all CRM notes in (event_date, event_id) order.
 
     Two levels: notes are first joined per (customer, day, event-id block),
@@ -49,15 +50,14 @@ def rag_documents(c360: DataFrame, events: DataFrame) -> DataFrame:
     notes = customer_notes(events)
     c = c360.alias("c").join(notes.alias("n"), "customer_id", "left")
     document = F.concat_ws(
-        " | ",
-        _seg("Customer: ", F.col("customer_name")),
-        _seg("Segment: ", F.col("segment")),
-        _seg("Region: ", F.col("region")),
-        _seg("Orders 90d: ", F.col("order_count_90d").cast("string")),
-        _seg("Spend 90d: $", F.col("total_spend_90d").cast("decimal(18,2)").cast("string")),
-        _seg("Recency days: ", F.col("recency_days").cast("string")),
-        _seg("Churn risk: ", F.when(F.col("is_churned") == 1, "High").otherwise("Low")),
-        _seg("CRM notes: ", F.col("all_notes")))
+        C.DOC_SEP,
+        *[_seg(label, value) for label, value in zip(C.DOC_LABELS, [
+            F.col("customer_name"), F.col("segment"), F.col("region"),
+            F.col("order_count_90d").cast("string"),
+            F.col("total_spend_90d").cast("decimal(18,2)").cast("string"),
+            F.col("recency_days").cast("string"),
+            F.when(F.col("is_churned") == 1, C.DOC_RISK_TEXT[1]).otherwise(C.DOC_RISK_TEXT[0]),
+            F.col("all_notes")])])
     return c.select(F.col("customer_id").cast("string").alias("doc_id"), document.alias("document"),
                     "customer_id", "customer_name", "segment", "region")
 

@@ -60,12 +60,12 @@ def demand_forecast(signals_exact: DataFrame, t: Thresholds = DEFAULT, latest=No
     latest = as_of_date(latest, signals_exact, "txn_date")
     band = round(t.band * 100)
     t7, t14 = F.col("_t7"), F.col("_t14")
-    trend = (F.when(t7 * 100 > t14 * (100 + band), "UP")
-             .when(t7 * 100 < t14 * (100 - band), "DOWN").otherwise("FLAT"))
+    trend = (F.when(t7 * 100 > t14 * (100 + band), C.TREND_UP)
+             .when(t7 * 100 < t14 * (100 - band), C.TREND_DOWN).otherwise(C.TREND_FLAT))
     return (signals_exact.filter(F.col("txn_date") == latest)
             .select("sku_id", "sku_name", "category", "demand_7d_avg", "demand_14d_avg", trend.alias("trend"),
                     round_ratio_long(t7 * t.horizon_days, F.lit(10)).cast("int").alias("predicted_units_7d"),
-                    F.when(trend == "DOWN", "Medium").otherwise("High").alias("confidence"),
+                    F.when(trend == C.TREND_DOWN, C.CONFIDENCE_DOWN).otherwise(C.CONFIDENCE_OTHER).alias("confidence"),
                     F.col("txn_date").alias("signal_date"),
                     round_ratio(F.col("_price_cents"), F.col("_price_n") * 100, 2).alias("avg_unit_price")))
 
@@ -110,7 +110,8 @@ def daily_spine(inventory: DataFrame, t: Thresholds = DEFAULT, dates: DataFrame
                  "is_observed": F.col("qty_sold").isNotNull() | F.col("inventory_on_hand").isNotNull(),
                  "is_stockout": on_hand == 0,
                  "day_of_week": dow,
-                 "seasonal_mult": F.when(dow.isin(1, 7), 1.2).when(dow == 2, 0.85).otherwise(1.0),
+                 "seasonal_mult": F.when(dow.isin(*C.WEEKEND_DAYS), C.WEEKEND_MULT)
+                                  .when(dow == C.MONDAY, C.MONDAY_MULT).otherwise(1.0),
                  "_sum": F.sum(qty.cast("long")).over(w),
                  "_n": F.count(F.lit(1)).over(w)})
              .withColumns({"qty_sold": qty, "inventory_on_hand": on_hand}))

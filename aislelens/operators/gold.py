@@ -86,9 +86,9 @@ def inventory_health(rolled: DataFrame, reorder_days: int = C.REORDER_DAYS,
         "store_id", "sku_id", "inventory_on_hand",
         round_ratio(total, n, 1).alias("avg_daily_demand_7d"),
         F.when(has_demand, round_ratio(on_hand * n, total, 1)).alias("days_of_supply"),
-        F.when(has_demand & (on_hand * n < total * reorder_days), "REORDER NOW")
-         .when(has_demand & (on_hand * n < total * watch_days), "WATCH")
-         .otherwise("OK").alias("inventory_status"),
+        F.when(has_demand & (on_hand * n < total * reorder_days), C.STATUS_REORDER)
+         .when(has_demand & (on_hand * n < total * watch_days), C.STATUS_WATCH)
+         .otherwise(C.STATUS_OK).alias("inventory_status"),
         F.col("txn_date").alias("signal_date"))
 
 
@@ -102,4 +102,4 @@ def staffing_summary(staffing: DataFrame, stores: DataFrame) -> DataFrame:
                     .alias("headcount_gap"),
                     F.col("st.annual_labor_cost"),
                     F.when(F.col("st.current_headcount") < F.col("st.budgeted_headcount"),
-                           "UNDERSTAFFED").otherwise("OK").alias("staffing_status")))
+                           C.STAFF_UNDERSTAFFED).otherwise(C.STAFF_OK).alias("staffing_status")))

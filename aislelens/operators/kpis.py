@@ -68,7 +68,7 @@ def customer_store_totals(c360: DataFrame) -> DataFrame:
 
 def reorder_count(health: DataFrame) -> DataFrame:
     """Q18: store/SKU combinations to reorder now."""
-    return health.agg(F.count_if(F.col("inventory_status") == "REORDER NOW").alias("reorder_count"))
+    return health.agg(F.count_if(F.col("inventory_status") == C.STATUS_REORDER).alias("reorder_count"))
 
 
 def executive_summary(scores: DataFrame, c360: DataFrame, health: DataFrame,
@@ -120,14 +120,14 @@ def churn_by_segment(scores: DataFrame) -> DataFrame:
 
 def inventory_alerts(health: DataFrame, k: int = 20) -> DataFrame:
     """Q23 (validation form): REORDER NOW rows, least supply first."""
-    return (health.filter(F.col("inventory_status") == "REORDER NOW")
+    return (health.filter(F.col("inventory_status") == C.STATUS_REORDER)
             .orderBy(F.col("days_of_supply").asc(), "store_id", "sku_id").limit(k)
             .select("store_id", "sku_id", "inventory_on_hand", "days_of_supply", "inventory_status"))
 
 
 def inventory_alerts_served(health: DataFrame, stores: DataFrame, k: int = 25) -> DataFrame:
     """Q23 (serving form): with the store's region."""
-    return (health.filter(F.col("inventory_status") == "REORDER NOW")
+    return (health.filter(F.col("inventory_status") == C.STATUS_REORDER)
             .join(stores.select("store_id", "region"), "store_id")
             .orderBy(F.col("days_of_supply").asc(), "store_id", "sku_id").limit(k)
             .select("store_id", "region", "sku_id", "inventory_on_hand", "days_of_supply",
@@ -136,7 +136,7 @@ def inventory_alerts_served(health: DataFrame, stores: DataFrame, k: int = 25) -
 
 def staffing_gaps(summary: DataFrame) -> DataFrame:
     """Q24: understaffed roles, largest gap first."""
-    return (summary.filter(F.col("staffing_status") == "UNDERSTAFFED")
+    return (summary.filter(F.col("staffing_status") == C.STAFF_UNDERSTAFFED)
             .orderBy(F.col("headcount_gap").desc(), "store_id", "role")
             .select("store_id", "region", "role", "current_headcount", "budgeted_headcount",
                     "headcount_gap", "staffing_status"))
@@ -177,7 +177,7 @@ def assistant_kpis(scores: DataFrame) -> DataFrame:
 
 def assistant_inventory(health: DataFrame) -> DataFrame:
     """Q28: REORDER NOW count and their mean days of supply."""
-    reorder = health.filter(F.col("inventory_status") == "REORDER NOW")
+    reorder = health.filter(F.col("inventory_status") == C.STATUS_REORDER)
     tenths = F.round(F.col("days_of_supply") * 10).cast("long")
     return reorder.agg(F.count(F.lit(1)).alias("cnt"),
                        round_ratio(F.sum(tenths), F.count(tenths) * 10, 1).alias("avg_dos"))
@@ -191,14 +191,14 @@ def assistant_regions(scores: DataFrame, k: int = C.ASSISTANT_TOP_REGIONS) -> Da
 
 def assistant_demand(forecast: DataFrame, k: int = C.ASSISTANT_TOP_SKUS) -> DataFrame:
     """Q30: top rising SKUs."""
-    return (forecast.filter(F.col("trend") == "UP")
+    return (forecast.filter(F.col("trend") == C.TREND_UP)
             .orderBy(F.col("demand_7d_avg").desc(), F.col("sku_id").asc()).limit(k)
             .select("sku_id", "sku_name", "category", "trend", "demand_7d_avg"))
 
 
 def assistant_staffing(summary: DataFrame) -> DataFrame:
     """Q31: understaffed role/store combinations."""
-    return summary.agg(F.count_if(F.col("staffing_status") == "UNDERSTAFFED").alias("gaps"))
+    return summary.agg(F.count_if(F.col("staffing_status") == C.STAFF_UNDERSTAFFED).alias("gaps"))
 
 
 # --- dashboard bands and prose-only metrics (Q33-Q36) --------------------
@@ -218,7 +218,7 @@ def display_bands(scores: DataFrame, k: int = 25) -> DataFrame:
 def stockout_rate(health: DataFrame) -> DataFrame:
     """Q34: percent of store/SKU combinations at REORDER NOW."""
     n = F.count(F.lit(1))
-    reorder = F.count_if(F.col("inventory_status") == "REORDER NOW")
+    reorder = F.count_if(F.col("inventory_status") == C.STATUS_REORDER)
     return health.agg(n.alias("combos"), reorder.alias("reorder_now"),
                       round_ratio(reorder * 100, n, 1).alias("stockout_rate_pct"))
 
@@ -227,7 +227,7 @@ def weekly_revenue_at_risk(health: DataFrame, inventory: DataFrame, horizon: int
     """Q35: for REORDER NOW combinations, ``horizon`` days of their rounded
     daily demand at that day's unit price, summed (exact, in cents)."""
     prices = inventory.select("store_id", "sku_id", F.col("txn_date").alias("signal_date"), "unit_price")
-    rows = (health.filter(F.col("inventory_status") == "REORDER NOW")
+    rows = (health.filter(F.col("inventory_status") == C.STATUS_REORDER)
             .join(prices, ["store_id", "sku_id", "signal_date"]))
     tenths_cents = (F.round(F.col("avg_daily_demand_7d") * 10).cast("long") * cents("unit_price")
                     * horizon)
@@ -237,7 +237,7 @@ def weekly_revenue_at_risk(health: DataFrame, inventory: DataFrame, horizon: int
 
 def regional_stockouts(health: DataFrame, stores: DataFrame) -> DataFrame:
     """Q36: REORDER NOW count and share per region."""
-    reorder = F.count_if(F.col("inventory_status") == "REORDER NOW")
+    reorder = F.count_if(F.col("inventory_status") == C.STATUS_REORDER)
     return (health.join(stores.select("store_id", "region"), "store_id")
             .groupBy("region")
             .agg(F.count(F.lit(1)).alias("combos"), reorder.alias("reorder_now"))

@@ -132,7 +132,7 @@ def assemble_context(questions: DataFrame, hits: DataFrame, docs: DataFrame,
     texts = hits.join(docs.select(c_id, "document"), c_id)
     ctx = (texts.groupBy(q_id)
            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "document"))),
-                                         lambda s: s["document"]), "\n\n").alias("context")))
+                                         lambda s: s["document"]), C.CONTEXT_SEP).alias("context")))
     return (questions.join(ctx, q_id, "left")
             .withColumn("context", F.coalesce(F.col("context"), F.lit(C.NO_CONTEXT_TEXT))))
 

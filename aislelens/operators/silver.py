@@ -69,7 +69,7 @@ def crm_summary(events: DataFrame, as_of=None) -> DataFrame:
     day = as_of_date(as_of, events, "event_date")
     return (events.groupBy("customer_id")
             .agg(F.count(F.lit(1)).alias("total_events"),
-                 F.count_if(F.col("event_type") == "complaint").alias("complaints"),
-                 F.count_if(F.col("event_type") == "return_request").alias("return_requests"),
+                 F.count_if(F.col("event_type") == C.EVENT_COMPLAINT).alias("complaints"),
+                 F.count_if(F.col("event_type") == C.EVENT_RETURN_REQUEST).alias("return_requests"),
                  F.max(F.col("event_date").cast("date")).alias("last_contact_date"))
             .withColumn("days_since_last_contact", F.datediff(day, F.col("last_contact_date"))))

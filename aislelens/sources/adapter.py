@@ -39,9 +39,9 @@ def crm_from_events(events: DataFrame) -> DataFrame:
                           F.col("user_id").alias("customer_id"),
                           etype.alias("event_type"),
                           F.col("ts").cast("date").alias("event_date"))
-            .withColumn("notes", F.concat(F.lit("Customer "), F.col("customer_id").cast("string"),
-                                          F.lit(" contacted regarding "), F.col("event_type"),
-                                          F.lit("."))))
+            .withColumn("notes", F.concat(F.lit(C.NOTE_PARTS[0]), F.col("customer_id").cast("string"),
+                                          F.lit(C.NOTE_PARTS[1]), F.col("event_type"),
+                                          F.lit(C.NOTE_PARTS[2]))))
 
 
 class Source:
@@ -87,7 +87,7 @@ class Source:
         pos = ((F.col("sku_id") - 1) % len(C.SKU_CATEGORIES) + 1).cast("int")
         return (self.table("part").select(sku.alias("sku_id")).distinct()
                 .select("sku_id",
-                        F.format_string("SKU_%04d", F.col("sku_id")).alias("sku_name"),
+                        F.format_string(C.SKU_NAME_FORMAT, F.col("sku_id")).alias("sku_name"),
                         F.element_at(cats, pos).alias("category"),
                         F.element_at(prices, pos).alias("avg_unit_price")))
 

@@ -16,6 +16,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import config as C
 from ..session import scratch_path
 from ..sources.adapter import crm_from_events
 
@@ -28,8 +29,8 @@ def summary_aggregate(events: DataFrame) -> DataFrame:
     stream)."""
     return (events.groupBy("customer_id")
             .agg(F.count(F.lit(1)).alias("total_events"),
-                 F.count_if(F.col("event_type") == "complaint").alias("complaints"),
-                 F.count_if(F.col("event_type") == "return_request").alias("return_requests"),
+                 F.count_if(F.col("event_type") == C.EVENT_COMPLAINT).alias("complaints"),
+                 F.count_if(F.col("event_type") == C.EVENT_RETURN_REQUEST).alias("return_requests"),
                  F.max("event_date").alias("last_contact_date")))
 
 
