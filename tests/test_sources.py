@@ -32,3 +32,12 @@ def test_register_tables_by_name(spark):
     n = spark.sql("SELECT COUNT(*) AS n FROM aisle_test.customers_raw").first()["n"]
     assert n == wh.table("customers_raw").count()
     assert spark.table("aisle_test.stores").count() == 25
+
+
+def test_cluster_conf_scales_with_input():
+    from aislelens.session import cluster_conf
+
+    small, big = cluster_conf(10 << 20), cluster_conf(100 << 40)
+    assert int(small["spark.sql.shuffle.partitions"]) == 200
+    assert int(big["spark.sql.shuffle.partitions"]) == 100_000
+    assert big["spark.sql.adaptive.skewJoin.enabled"] == "true"
