@@ -23,7 +23,8 @@ def _prob_micro(col: str = "churn_prob"):
 
 
 def _prob_round3():
-    return round_ratio(_prob_micro(), F.lit(1000), 3)
+    """churn_prob rounded HALF_UP to 3 places, from its exact millionths."""
+    return round_ratio(_prob_micro(), F.lit(1_000_000), 3)
 
 
 def risk_tier_distribution(scores: DataFrame) -> DataFrame:

@@ -277,7 +277,7 @@ SELECT COUNT(*) FILTER (WHERE inventory_status = 'REORDER NOW') AS reorder_count
 CTE["k_risk_list"] = f"""
 SELECT customer_id, customer_name, region, segment, recency_days, order_count_90d,
        CAST({cents('total_spend_90d')} AS DOUBLE) / 100 AS total_spend_90d,
-       {rr(_micro, '1000', 3)} AS churn_prob, risk_tier
+       {rr(_micro, '1000000', 3)} AS churn_prob, risk_tier
 FROM c_scores WHERE risk_tier = '{_HIGH}' ORDER BY c_scores.churn_prob DESC, customer_id LIMIT 25"""
 
 CTE["k_layer_counts"] = "\nUNION ALL\n".join(

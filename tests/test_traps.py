@@ -143,3 +143,15 @@ def test_tier_pct_and_revenue(spark):
     c360 = spark.createDataFrame([(1, 90.0), (2, 45.0), (3, 1.0)], "customer_id long, total_spend_90d double")
     r = kpis.revenue_at_risk(scores, c360).collect()[0]
     assert r["monthly_revenue_at_risk"] == 45.0 and r["high_risk_customers"] == 2
+
+
+def test_churn_prob_display_rounding_and_bands(spark):
+    scores = spark.createDataFrame(
+        [(1, "a", "R", "S", 70, 1, 10.0, 0.1235, "High"), (2, "b", "R", "S", 40, 1, 10.0, 0.712349, "High"),
+         (3, "c", "R", "S", 20, 1, 10.0, 0.5005, "High")],
+        "customer_id long, customer_name string, region string, segment string, recency_days int, "
+        "order_count_90d long, total_spend_90d double, churn_prob double, risk_tier string")
+    got = {r["customer_id"]: r["churn_prob"] for r in kpis.top_churn_risk(scores, 10).collect()}
+    assert got == {1: 0.124, 2: 0.712, 3: 0.501}                  # HALF_UP at 3 places
+    bands = {r["customer_id"]: (r["recency_alert"], r["prob_band"]) for r in kpis.display_bands(scores).collect()}
+    assert bands == {1: (True, "green"), 2: (False, "red"), 3: (False, "amber")}

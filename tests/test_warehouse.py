@@ -58,3 +58,26 @@ def test_summary_tier_list_and_retrieval(spark, wh):
     out = W.serve_retrieval(wh, qs)
     assert out.count() == qs.count()
     assert out.filter(out.prompt.contains("CUSTOMER DATA:")).count() == qs.count()
+
+
+def test_validation_sql_equals_dataframe_kpis(spark, wh):
+    from aislelens.operators import forecast, kpis
+    from aislelens.plans import validation_sql
+
+    names = [n for n in validation_sql.LAYER_TABLES.values() if n != "churn_scores"] + ["churn_scores_rule"]
+    wh.register("aisle_kpi", names)
+    got = validation_sql.run(spark, "aisle_kpi", scores="churn_scores_rule")
+    scores = wh.table("churn_scores_rule")
+    want = {
+        "risk_tier_distribution": kpis.risk_tier_distribution(scores),
+        "top_churn_risk": kpis.top_churn_risk(scores, 10),
+        "revenue_at_risk": kpis.revenue_at_risk(scores, wh.table("customer_360")),
+        "inventory_alerts": kpis.inventory_alerts(wh.table("inventory_health"), 20),
+        "demand_top10": forecast.top_demand(wh.table("demand_forecast"), 10),
+        "staffing_gaps": kpis.staffing_gaps(wh.table("store_staffing_summary")),
+    }
+    for name, df in want.items():
+        assert dict(got[name].dtypes) == dict(df.dtypes), name
+        assert same(got[name], df), name
+    counts = {r["tbl"]: r["rows"] for r in got["layer_row_counts"].collect()}
+    assert counts["gold.customer_360"] == wh.table("customer_360").count()
