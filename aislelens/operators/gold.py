@@ -3,7 +3,7 @@ staffing summary."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -68,17 +68,31 @@ def customer_360(customers: DataFrame, stores: DataFrame, features: DataFrame,
     return out.withColumn("updated_at", F.current_timestamp()) if audit else out
 
 
-def inventory_health(rolled: DataFrame, reorder_days: int = C.REORDER_DAYS,
-                     watch_days: int = C.WATCH_DAYS, latest=None) -> DataFrame:
+def inventory_health(inventory: DataFrame, reorder_days: int = C.REORDER_DAYS,
+                     watch_days: int = C.WATCH_DAYS, latest=None,
+                     window_rows: int = C.ROLLING_SHORT_ROWS) -> DataFrame:
     """Q7: reorder status per (store, sku) on the single latest date.
 
-    ``rolled`` is ``silver.inventory_rolled`` (window sum/count kept), so
-    days of supply = on_hand * n / sum is compared exactly against the
-    thresholds; zero or missing demand gives NULL supply and status OK.
-    ``latest`` (date or Column) defaults to the table's own latest day.
+    ``inventory`` is the de-duplicated silver inventory (one row per store,
+    sku and day). Only the last ``window_rows`` rows of each series matter:
+    ``row_number() <= window_rows`` keeps them with a partial top-n before
+    the shuffle, and one aggregate per series gives the trailing sum and
+    count and the latest on-hand - the whole history is never windowed.
+    Series whose last day is the single latest day (``latest``, default the
+    table's own) are kept. Days of supply = on_hand * n / sum is compared
+    exactly against the thresholds; zero or missing demand gives NULL
+    supply and status OK.
     """
-    latest = as_of_date(latest, rolled, "txn_date")
-    today = rolled.filter(F.col("txn_date") == latest)
+    latest = as_of_date(latest, inventory, "txn_date")
+    w = Window.partitionBy("store_id", "sku_id").orderBy(F.col("txn_date").desc())
+    tail = (inventory.withColumn("_rn", F.row_number().over(w))
+            .filter(F.col("_rn") <= window_rows))
+    per_series = (tail.groupBy("store_id", "sku_id")
+                  .agg(F.sum(F.col("qty_sold").cast("long")).alias("_qty_sum"),
+                       F.count("qty_sold").alias("_qty_n"),
+                       F.max("txn_date").alias("txn_date"),
+                       F.max_by("inventory_on_hand", "txn_date").alias("inventory_on_hand")))
+    today = per_series.filter(F.col("txn_date") == latest)
     on_hand, n, total = (F.col("inventory_on_hand").cast("long"), F.col("_qty_n"),
                          F.col("_qty_sum"))
     has_demand = total > 0

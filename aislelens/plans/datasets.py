@@ -49,10 +49,6 @@ class Datasets:
     def orders(self) -> DataFrame:
         return silver.silver_orders(self.src.orders_raw)
 
-    @cached_property
-    def inventory_rolled(self) -> DataFrame:
-        return silver.inventory_rolled(self.src.inventory_raw, self.t.short_rows)
-
     def inventory(self, audit: bool = False) -> DataFrame:
         return silver.silver_inventory(self.src.inventory_raw, self.t.short_rows, audit=audit)
 
@@ -71,8 +67,8 @@ class Datasets:
 
     @cached_property
     def inventory_health(self) -> DataFrame:
-        return gold.inventory_health(self.inventory_rolled, self.t.reorder_days, self.t.watch_days,
-                                     self.latest_inventory_day)
+        return gold.inventory_health(self.inventory(), self.t.reorder_days, self.t.watch_days,
+                                     self.latest_inventory_day, self.t.short_rows)
 
     @cached_property
     def latest_inventory_day(self):

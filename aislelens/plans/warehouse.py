@@ -97,8 +97,8 @@ def refresh_gold(wh: Warehouse, t: Thresholds = DEFAULT) -> None:
     stores = sized_broadcast(wh.table("stores"))
     wh.write("customer_360", gold.customer_360(wh.table("customers"), stores, features,
                                                wh.table("crm_summary"), t.churn_days, audit=True))
-    rolled = silver.with_window_sums(wh.table("inventory"), t.short_rows)
-    wh.write("inventory_health", gold.inventory_health(rolled, t.reorder_days, t.watch_days))
+    wh.write("inventory_health", gold.inventory_health(wh.table("inventory"), t.reorder_days,
+                                                       t.watch_days, window_rows=t.short_rows))
     wh.write("store_staffing_summary", gold.staffing_summary(wh.table("staffing_raw"), stores))
 
 

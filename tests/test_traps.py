@@ -32,7 +32,7 @@ def test_inventory_health_zero_demand_is_ok_and_thresholds_unrounded(spark):
         + [(1, 2, D(2024, 1, d), 10, 1.0, 30) for d in range(1, 8)]                            # exactly 3.0
         + [(1, 3, day, 0, 1.0, 0)]                                                            # no demand
         + [(1, 4, D(2024, 1, d), 3, 1.0, 99) for d in range(1, 8)], INV)                       # 33 days
-    health = gold.inventory_health(silver.inventory_rolled(raw))
+    health = gold.inventory_health(silver.silver_inventory(raw, audit=False))
     got = {r["sku_id"]: (r["days_of_supply"], r["inventory_status"]) for r in health.collect()}
     assert got[1] == (2.9, "REORDER NOW")
     assert got[2] == (3.0, "WATCH")
