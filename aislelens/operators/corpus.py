@@ -78,3 +78,11 @@ def changes(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> Dat
     cur = F.coalesce(F.col("_new"), F.col("_old"))
     return (j.withColumn("_change_type", kind).filter(F.col("_change_type").isNotNull())
             .select(key, "_change_type", *[cur[c].alias(c) for c in columns]))
+
+
+def apply_changes(old: DataFrame, feed: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Consume an S11 change feed: the snapshot ``old`` brought up to date.
+    Changed keys leave ``old`` (anti join); inserted and updated rows come
+    from the feed."""
+    kept = old.select(key, *columns).join(feed.select(key), key, "left_anti")
+    return kept.unionByName(feed.filter(F.col("_change_type") != "delete").select(key, *columns))

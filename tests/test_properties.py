@@ -70,3 +70,19 @@ def test_blocked_top_k_equals_brute_force(spark, nq, nc, k, seed):
         for r, (_, j) in enumerate(sorted(s)[:k]):
             want.append((i, r + 1, j))
     assert got == sorted(want)
+
+
+@SLOW
+@given(st.dictionaries(st.integers(0, 30), st.sampled_from(["a", "b", None]), max_size=20),
+       st.dictionaries(st.integers(0, 30), st.sampled_from(["a", "b", None]), max_size=20))
+def test_change_feed_applied_to_old_gives_new(spark, old, new):
+    from aislelens.operators import corpus
+
+    schema = "doc_id long, document string"
+    o = spark.createDataFrame(sorted(old.items()), schema)
+    n = spark.createDataFrame(sorted(new.items()), schema)
+    feed = corpus.changes(o, n, "doc_id", ["document"])
+    got = sorted(tuple(r) for r in corpus.apply_changes(o, feed, "doc_id", ["document"]).collect())
+    assert got == sorted(new.items())
+    assert feed.count() == sum(1 for k in set(old) | set(new) if old.get(k, "x") != new.get(k, "x")
+                               or (k in old) != (k in new))
