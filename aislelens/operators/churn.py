@@ -30,29 +30,35 @@ def top_share_flag(df: DataFrame, score: str, key: str, share: float = C.CHURN_L
          bucket holding the cut, and a row_number inside that one bucket
          (at most ~sqrt(range) rows) gives the last ``key`` to take.
     Every step is an aggregate or a scalar subquery over small results, so
-    a tie group holding most of the rows is still handled in parallel.
+    a tie group holding most of the rows is still handled in parallel. The
+    input and both histograms are written to the shared folder once; the
+    input is scanned four times in all (score histogram, tie range, bucket
+    histogram, the one cut bucket).
     """
     base = materialise(df.select(key, score), "top-share-input")
-    n = base.agg(F.count(F.lit(1))).scalar()
+    # level 1: one row per distinct score (tiny, written once; its readers
+    # never rescan the input)
+    hist = materialise(base.groupBy(score).agg(F.count(F.lit(1)).alias("_n")), "top-share-hist")
+    n = hist.agg(F.sum("_n")).scalar()
     k = F.greatest(F.lit(minimum).cast("long"), F.floor(F.lit(float(share)) * n).cast("long"))
-
-    hist = (base.groupBy(score).agg(F.count(F.lit(1)).alias("_n"))
-            .withColumn("_cum", F.sum("_n").over(
-                Window.orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0))))
-    cut = hist.filter(F.col("_cum") >= k).agg(F.max(score)).scalar()
-    above = hist.filter(F.col("_cum") < k).agg(F.coalesce(F.max("_cum"), F.lit(0))).scalar()
+    cum = hist.withColumn("_cum", F.sum("_n").over(
+        Window.orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)))
+    cut = cum.filter(F.col("_cum") >= k).agg(F.max(score)).scalar()
+    above = cum.filter(F.col("_cum") < k).agg(F.coalesce(F.max("_cum"), F.lit(0))).scalar()
     need = k - above
 
+    # level 2: the tie group at the cut, bucketed by key into ~sqrt(range) buckets
     ties = base.filter(F.col(score) == cut)
-    lo = ties.agg(F.min(key)).scalar()
-    hi = ties.agg(F.max(key)).scalar()
+    span = ties.agg(F.struct(F.min(key).alias("lo"), F.max(key).alias("hi"))).scalar()
+    lo, hi = span["lo"], span["hi"]
     width = F.greatest(F.ceil(F.sqrt((hi - lo + 1).cast("double"))).cast("long"), F.lit(1).cast("long"))
     bucket = floor_div(F.col(key) - lo, width)
-    hist2 = (ties.groupBy(bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
-             .withColumn("_cum", F.sum("_n").over(
-                 Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))))
-    bcut = hist2.filter(F.col("_cum") >= need).agg(F.min("_b")).scalar()
-    before = hist2.filter(F.col("_cum") < need).agg(F.coalesce(F.max("_cum"), F.lit(0))).scalar()
+    hist2 = materialise(ties.groupBy(bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n")),
+                        "top-share-buckets")
+    cum2 = hist2.withColumn("_cum", F.sum("_n").over(
+        Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)))
+    bcut = cum2.filter(F.col("_cum") >= need).agg(F.min("_b")).scalar()
+    before = cum2.filter(F.col("_cum") < need).agg(F.coalesce(F.max("_cum"), F.lit(0))).scalar()
     inside = (ties.filter(bucket == bcut)
               .withColumn("_rn", F.row_number().over(Window.partitionBy(bucket).orderBy(key))))
     last_key = inside.filter(F.col("_rn") <= need - before).agg(F.max(key)).scalar()
