@@ -97,3 +97,28 @@ def stream_silver_orders(spark: SparkSession, orders_dir: str, out_dir: str, che
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.schema(deduped.schema).parquet(out_dir)
+
+
+def stream_answers(spark: SparkSession, questions_dir: str, out_dir: str, checkpoint: str,
+                   texts: dict, pattern: str = "*.parquet",
+                   max_files_per_trigger: int | None = None) -> DataFrame:
+    """G6-G8 served as a triggered stream: question files dropped into
+    ``questions_dir`` (question_id, question) are routed and grounded per
+    micro-batch against the current gold tables (``texts`` from
+    ``assistant.context_texts``). Each epoch writes its own folder, so a
+    retried epoch overwrites only itself. Returns all answers so far."""
+    from ..operators import assistant
+
+    schema = spark.read.option("pathGlobFilter", pattern).parquet(questions_dir).schema
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+
+    def answer(batch: DataFrame, epoch_id: int) -> None:
+        (assistant.ground(batch, texts)
+         .write.mode("overwrite").parquet(os.path.join(out_dir, f"epoch={epoch_id}")))
+
+    q = (reader.parquet(questions_dir).writeStream.foreachBatch(answer)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out_dir).drop("epoch")

@@ -74,3 +74,19 @@ def test_stream_silver_orders_drops_repeats_within_watermark(spark):
     want = sorted([r["order_id"] for r in silver.silver_orders(raw).select("order_id").collect()]
                   + [r["order_id"] for r in fresh.select("order_id").collect()])
     assert got == want
+
+
+def test_stream_answers_equal_batch_grounding(spark):
+    from aislelens.operators import assistant
+    from aislelens.session import scratch_path
+    from aislelens.streaming.incremental import stream_answers
+
+    p = Datasets(spark, SMOKE)
+    qs = p.src.questions
+    root = scratch_path(spark, "answers-stream")
+    qs.repartition(3, "question_id").write.parquet(os.path.join(root, "in"))
+    got = stream_answers(spark, os.path.join(root, "in"), os.path.join(root, "out"),
+                         os.path.join(root, "ckpt"), p.assistant_texts, max_files_per_trigger=1)
+    want = assistant.ground(qs, p.assistant_texts)
+    cols = ["question_id", "context", "context_used", "answer"]
+    assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
