@@ -95,7 +95,7 @@ def _block_topk(k: int, q_id: str, c_id: str):
 def top_k(queries: DataFrame, corpus: DataFrame, k: int = C.RETRIEVAL_TOP_K,
           q_id: str = "query_id", c_id: str = "doc_id", vec: str = "vector",
           corpus_block_rows: int = CORPUS_BLOCK_ROWS,
-          query_block_rows: int = QUERY_BLOCK_ROWS) -> DataFrame:
+          query_block_rows: int = QUERY_BLOCK_ROWS, min_tasks: int | None = None) -> DataFrame:
     """Exact k nearest corpus rows by cosine for every query.
 
     Queries and corpus are cut into hash blocks sized from their counts
@@ -104,12 +104,18 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = C.RETRIEVAL_TOP_K,
     per query; a final row_number per query merges the partial lists. No
     task holds more than one query block and one corpus block, and no pair
     list is ever materialised.
+    At least ``min_tasks`` blocks pairs are formed (default: the cluster's
+    default parallelism) by cutting the corpus finer, which replicates the
+    query side rather than the corpus.
     Output: q_id, c_id, score (cosine, double), rank (1..k).
     """
+    if min_tasks is None:
+        min_tasks = queries.sparkSession.sparkContext.defaultParallelism
     nq = queries.agg(F.count(F.lit(1))).scalar()
     nc = corpus.agg(F.count(F.lit(1))).scalar()
     qb = F.greatest(F.ceil(nq / float(query_block_rows)), F.lit(1)).cast("long")
-    cb = F.greatest(F.ceil(nc / float(corpus_block_rows)), F.lit(1)).cast("long")
+    cb = F.least(F.greatest(F.ceil(nc / float(corpus_block_rows)), F.ceil(F.lit(float(min_tasks)) / qb),
+                            F.lit(1)), F.greatest(nc, F.lit(1))).cast("long")
     q = (queries.select(F.col(q_id), F.col(vec).alias("_v"),
                         F.pmod(F.xxhash64(q_id), qb).alias("_qb"))
          .withColumn("_cb", F.explode(F.sequence(F.lit(0).cast("long"), cb - 1))))
