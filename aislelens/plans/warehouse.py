@@ -134,6 +134,19 @@ def refresh_vectors(wh: Warehouse) -> None:
              .select("doc_id", "vector"))
 
 
+CONTEXT_NAMES = ["kpi", "inventory", "region", "demand", "staffing", "total_customers"]
+
+
+def refresh_assistant_context(wh: Warehouse) -> None:
+    """G7 inputs, computed once per refresh: the five context sentences and
+    the customer count as a one-row table (the live numbers every question
+    is grounded in until the next refresh)."""
+    texts = assistant.context_texts(wh.table(scores_table(wh)), wh.table("inventory_health"),
+                                    wh.table("demand_forecast"), wh.table("store_staffing_summary"))
+    one = wh.table("stores").agg(F.count(F.lit(1)).alias("_n"))     # any one-row frame
+    wh.write("assistant_context", one.select(*[texts[n].alias(n) for n in CONTEXT_NAMES]).coalesce(1))
+
+
 def refresh_all(spark: SparkSession, sf_dir: str, root: str, t: Thresholds = DEFAULT,
                 model: bool = True) -> Warehouse:
     wh = Warehouse(spark, root)
@@ -144,6 +157,7 @@ def refresh_all(spark: SparkSession, sf_dir: str, root: str, t: Thresholds = DEF
     refresh_churn(wh, model)
     refresh_corpus(wh)
     refresh_vectors(wh)
+    refresh_assistant_context(wh)
     return wh
 
 
@@ -200,9 +214,9 @@ def serve_retrieval(wh: Warehouse, questions: DataFrame, k: int = C.RETRIEVAL_TO
 
 
 def serve_chat(wh: Warehouse, questions: DataFrame) -> DataFrame:
-    texts = assistant.context_texts(wh.table(scores_table(wh)), wh.table("inventory_health"),
-                                    wh.table("demand_forecast"), wh.table("store_staffing_summary"))
-    return assistant.ground(questions, texts)
+    """G6-G8 over the context table written by the refresh."""
+    ctx = wh.table("assistant_context")
+    return assistant.ground(questions, {n: ctx.select(n).scalar() for n in CONTEXT_NAMES})
 
 
 SERVING = {

@@ -81,3 +81,14 @@ def test_validation_sql_equals_dataframe_kpis(spark, wh):
         assert same(got[name], df), name
     counts = {r["tbl"]: r["rows"] for r in got["layer_row_counts"].collect()}
     assert counts["gold.customer_360"] == wh.table("customer_360").count()
+
+
+def test_chat_from_refreshed_context_equals_query(spark, wh):
+    from aislelens.sources.adapter import Source
+
+    W.refresh_assistant_context(wh)
+    qs = Source(spark, SMOKE).questions
+    got = W.serve_chat(wh, qs).select("question_id", "context", "context_used", "answer")
+    want = E.queries()["assistant_grounded"](spark, SMOKE).select("question_id", "context", "context_used",
+                                                                   "answer")
+    assert same(got, want)
