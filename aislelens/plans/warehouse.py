@@ -49,13 +49,36 @@ class Warehouse:
         return {n: self.table(n) for n in names}
 
     def register(self, database: str, names) -> None:
-        """Name the written tables in the session catalog as
-        ``database.name`` (external parquet tables at their folders), so SQL
-        text can read them by name."""
+        """Name the written tables in the session catalog as
+        ``database.name`` (external parquet tables at their folders, with a
+        description), so SQL text can read them by name."""
         sql = self.spark.sql
         sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{self.path('_catalog')}'")
         for n in names:
-            sql(f"CREATE TABLE IF NOT EXISTS {database}.{n} USING parquet LOCATION '{self.path(n)}'")
+            note = TABLE_COMMENTS.get(n, "").replace("'", "")
+            sql(f"CREATE TABLE IF NOT EXISTS {database}.{n} USING parquet LOCATION '{self.path(n)}'"
+                + (f" COMMENT '{note}'" if note else ""))
+
+
+TABLE_COMMENTS = {
+    "customers_raw": "Bronze customer rows as received",
+    "orders_raw": "Bronze order rows as received",
+    "inventory_raw": "Bronze daily inventory movements as received",
+    "crm_events_raw": "Bronze CRM events with generated notes",
+    "staffing_raw": "Bronze headcount per store and role",
+    "stores": "Store dimension with region", "skus": "SKU dimension with category and list price",
+    "customers": "Typed customers, one row per customer_id",
+    "orders": "Typed orders, one row per order_id, sorted by date within files",
+    "inventory": "One row per store, SKU and day with the trailing 7-row demand average",
+    "crm_summary": "Per-customer CRM event counts and last contact",
+    "customer_360": "One row per customer: 90-day order features, CRM counts, churn flag",
+    "inventory_health": "Latest-day days of supply and reorder status per store and SKU",
+    "store_staffing_summary": "Headcount gap and status per store and role",
+    "demand_forecast": "Latest-day 7/14-row demand, trend and 7-day projection per SKU",
+    "churn_scores": "Model churn probability and risk tier per customer",
+    "churn_scores_rule": "Rule-based churn probability and risk tier per customer",
+    "rag_documents": "One labelled text document per customer",
+}
 
 
 def _max_date(df: DataFrame, column: str) -> dt.date | None:

@@ -32,6 +32,8 @@ def test_register_tables_by_name(spark):
     n = spark.sql("SELECT COUNT(*) AS n FROM aisle_test.customers_raw").first()["n"]
     assert n == wh.table("customers_raw").count()
     assert spark.table("aisle_test.stores").count() == 25
+    desc = {r["col_name"]: r["data_type"] for r in spark.sql("DESCRIBE TABLE EXTENDED aisle_test.stores").collect()}
+    assert desc.get("Comment") == W.TABLE_COMMENTS["stores"]
 
 
 def test_cluster_conf_scales_with_input():
