@@ -153,9 +153,12 @@ def layer_row_counts(tables: dict[str, DataFrame]) -> DataFrame:
 def platform_stats(tables: dict[str, DataFrame]) -> DataFrame:
     """Q26: layer and source label per table with its row count; a missing
     table counts 0."""
-    spark = next(iter(tables.values())).sparkSession
-    labels = spark.createDataFrame(C.LAYER_TABLES, "tbl string, layer string, source string")
-    counts = layer_row_counts(tables)
+    return platform_stats_from(layer_row_counts(tables))
+
+
+def platform_stats_from(counts: DataFrame) -> DataFrame:
+    """Q26 from (tbl, rows) counts, live or recorded at write time."""
+    labels = counts.sparkSession.createDataFrame(C.LAYER_TABLES, "tbl string, layer string, source string")
     return (labels.join(counts, "tbl", "left")
             .select(F.col("tbl").alias("table"), "layer", "source",
                     F.coalesce(F.col("rows"), F.lit(0)).cast("long").alias("rows")))

@@ -14,8 +14,9 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -30,6 +31,7 @@ class Warehouse:
         self.spark = spark
         self.root = root.rstrip("/")
         self.scores = scores          # which churn score table serving reads
+        self.counts: dict[str, int] = {}   # rows of each table, observed while writing
 
     def path(self, name: str) -> str:
         return os.path.join(self.root, name)
@@ -39,9 +41,16 @@ class Warehouse:
         file so min/max statistics can skip row groups on that column."""
         if sort_by:
             df = df.sortWithinPartitions(*sort_by)
-        df.write.mode("overwrite").parquet(self.path(name))
+        obs = Observation(f"rows-{name}-{uuid.uuid4().hex[:8]}")
+        df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(self.path(name))
+        self.counts[name] = int(obs.get["rows"])
         return self.table(name)
 
+    def save_counts(self) -> None:
+        """Write the row counts observed during this refresh (one small table)."""
+        rows = [(n, c) for n, c in self.counts.items() if n != "table_counts"]
+        self.write("table_counts", self.spark.createDataFrame(rows, "name string, rows long").coalesce(1))
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
 
@@ -181,6 +190,7 @@ def refresh_all(spark: SparkSession, sf_dir: str, root: str, t: Thresholds = DEF
     refresh_corpus(wh)
     refresh_vectors(wh)
     refresh_assistant_context(wh)
+    wh.save_counts()
     return wh
 
 
@@ -215,10 +225,21 @@ def serve_inventory_alerts(wh: Warehouse) -> DataFrame:
     return kpis.inventory_alerts_served(wh.table("inventory_health"), sized_broadcast(wh.table("stores")), 25)
 
 
-def serve_platform_stats(wh: Warehouse) -> DataFrame:
+def _layer_names(wh: Warehouse) -> dict[str, str]:
     names = {label: label.split(".", 1)[1] for label, _, _ in C.LAYER_TABLES}
-    tables = {label: wh.table(n if n != "churn_scores" else scores_table(wh)) for label, n in names.items()}
-    return kpis.platform_stats(tables)
+    return {label: (n if n != "churn_scores" else scores_table(wh)) for label, n in names.items()}
+
+
+def serve_platform_stats(wh: Warehouse) -> DataFrame:
+    """Q26 from the row counts the refresh recorded while writing."""
+    labels = wh.spark.createDataFrame(list(_layer_names(wh).items()), "tbl string, name string")
+    counts = labels.join(wh.table("table_counts"), "name").select("tbl", "rows")
+    return kpis.platform_stats_from(counts)
+
+
+def serve_platform_stats_live(wh: Warehouse) -> DataFrame:
+    """Q26 by counting every table now."""
+    return kpis.platform_stats({label: wh.table(n) for label, n in _layer_names(wh).items()})
 
 
 def serve_last_updated(wh: Warehouse) -> DataFrame:

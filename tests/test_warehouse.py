@@ -18,6 +18,7 @@ def wh(spark):
     W.refresh_forecast(w)
     W.refresh_churn(w, model=False)
     W.refresh_corpus(w)
+    w.save_counts()
     return w
 
 
@@ -40,6 +41,7 @@ def test_serving_equals_queries(spark, wh):
     assert same(W.serve_summary(wh, with_tiers=False), E.queries()["executive_summary"](spark, SMOKE))
     assert same(W.serve_inventory_alerts(wh), E.queries()["inventory_alerts_served"](spark, SMOKE))
     assert same(W.serve_platform_stats(wh), E.queries()["platform_stats"](spark, SMOKE))
+    assert same(W.serve_platform_stats_live(wh), E.queries()["platform_stats"](spark, SMOKE))
 
 
 def test_expectations_written(wh):
