@@ -94,3 +94,25 @@ def test_chat_from_refreshed_context_equals_query(spark, wh):
     want = E.queries()["assistant_grounded"](spark, SMOKE).select("question_id", "context", "context_used",
                                                                    "answer")
     assert same(got, want)
+
+
+def test_bucketed_warehouse_joins_without_customer_shuffle(spark):
+    import contextlib
+    import io
+
+    from aislelens.operators import gold
+
+    w = W.Warehouse(spark, scratch_path(spark, "bucketed-wh"), database="aisle_bucketed", buckets=8)
+    W.refresh_bronze(w, SMOKE)
+    W.refresh_silver(w)
+    W.refresh_gold(w)
+    assert same(w.table("customer_360").drop("updated_at"), E.queries()["customer_360"](spark, SMOKE))
+    orders = w.table("orders")
+    feats = gold.order_features(orders, W._max_date(orders, "order_date"))
+    plan = gold.customer_360(w.table("customers"), w.table("stores"), feats, w.table("crm_summary"),
+                             audit=False)
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        plan.explain()
+    assert "hashpartitioning(customer_id" not in buf.getvalue()
+    assert "Bucketed: true" in buf.getvalue()
