@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, token_files
+from . import exact_dedup, mixing, packing, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op4_token_files": token_files.query,
+        "op7_mixing": mixing.query,
         "op8_exact_dedup": exact_dedup.query,
         "op9_packing": packing.query,
     }
