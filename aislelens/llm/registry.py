@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, packing, token_files
+from . import exact_dedup, language, mixing, packing, simhash, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_simhash": simhash.query,
         "op4_token_files": token_files.query,
         "op7_mixing": mixing.query,
         "op8_exact_dedup": exact_dedup.query,
         "op9_packing": packing.query,
+        "op10_language": language.query,
     }
 
 

@@ -99,7 +99,7 @@ def _groups(texts: Iterable[str | None]) -> Iterator[list[list[bytes]]]:
     """Texts in groups of about SLICE bytes; a longer text in parts cut at white space."""
     group, held = [], 0
     for text in texts:
-        parts = list(_parts((text or "").encode()))
+        parts = list(text_parts((text or "").encode()))
         group.append(parts)
         held += sum(map(len, parts))
         if held >= SLICE:
@@ -109,7 +109,8 @@ def _groups(texts: Iterable[str | None]) -> Iterator[list[list[bytes]]]:
         yield group
 
 
-def _parts(data: bytes) -> Iterator[bytes]:
+def text_parts(data: bytes) -> Iterator[bytes]:
+    """Slices of about SLICE bytes, cut behind white space."""
     at = 0
     while len(data) - at > SLICE:
         cut = max(data.rfind(b" ", at, at + SLICE), data.rfind(b"\n", at, at + SLICE))

@@ -12,18 +12,46 @@ from pyspark.sql import DataFrame, SparkSession
 
 from aislelens.llm.common import table
 from aislelens.llm.exact_dedup import DigestIndex, exact_dedup
+from aislelens.llm.language import keep_known
+from aislelens.llm.mixing import mix
+from aislelens.llm.packing import digest_rows
+from aislelens.llm.simhash import near_dedup
 from aislelens.session import materialise
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without letters, or hardly in any learnt language, go."""
+    return keep_known(docs)
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the smallest doc_id stays."""
     return exact_dedup(docs, DigestIndex(spark))
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked fingerprints, the row with the smallest doc_id stays."""
+    return near_dedup(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sources come at their target weights: a row for each time that the mix takes a document."""
+    return mix(docs).drop("shard", "place")
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences."""
+    return digest_rows(docs)
+
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language),
     ("exact_dedup", exact),
+    ("near_dedup", near),
+    ("mixing", mixed),
+    ("packing", packed),
 ]
 
 #: Language models, fingerprints and token ids can't be written in SQL; tests hold run() against brute force.
