@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language, mixing, packing, simhash, token_files
+from . import exact_dedup, language, mixing, packing, simhash, token_files, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_simhash": simhash.query,
         "op4_token_files": token_files.query,
+        "op6_warc": warc.query,
         "op7_mixing": mixing.query,
         "op8_exact_dedup": exact_dedup.query,
         "op9_packing": packing.query,
