@@ -37,7 +37,7 @@ def encoded(docs: DataFrame, vocab, end_id: int = END_ID) -> DataFrame:
         encoder, part, at = worker_encoder(vocab.value), TaskContext.get().partitionId(), 0
         end = end_id.to_bytes(4, "little")
         for batch in batches:
-            ids = [x + end for x in encoder.encode(batch.column("text").to_pylist())]
+            ids = [x.tobytes() + end for x in encoder.encode(batch.column("text"))]
             n = [len(x) // 4 for x in ids]
             starts = []
             for k in n:

@@ -197,12 +197,12 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str | None = None, shard
         encoder, shard = worker_encoder(vocab.value), TaskContext.get().partitionId()
         width = 2 if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         path, writer = f"{folder}/ids-{shard:06d}.bin", None
-        end = end_id.to_bytes(4, "little")
+        end = np.array([end_id], "<u4")
         for batch in batches:
-            ids = encoder.encode(batch.column("text").to_pylist())
+            ids = encoder.encode(batch.column("text"))
             for doc_id, x in zip(batch.column("doc_id").to_pylist(), ids, strict=True):
                 writer = writer or ShardWriter(path, width)
-                writer.add(doc_id, np.frombuffer(x + end, "<u4"))
+                writer.add(doc_id, np.concatenate([x, end]))
         if writer:
             n_docs, n_ids = writer.close()
             yield pa.RecordBatch.from_pylist(

@@ -1,23 +1,30 @@
 """Token ids of whole texts by a public tokenizer, computed inside tasks.
 
 The tokenizer splits at white space before it merges, so a text's ids are the ids of its words one after
-another. Words repeat, so each Python worker keeps a bounded cache word -> ids and encodes only new words,
-many at a time. Tests hold this to ``Tokenizer.encode`` of whole texts.
+another. Arrow splits a batch of texts into words and numbers the distinct ones; only these are looked at in
+Python, and of these only the ones that the worker's cache lacks are encoded, many in one call. The ids are then
+gathered by the words' numbers. Tests hold this to ``Tokenizer.encode`` of whole texts.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
-#: Bytes of text whose words are held at once, and words that a worker's cache holds before it starts anew.
-SLICE = 1 << 20
-CACHE_WORDS = 600_000
-#: ASCII signs that the tokenizer cuts off the end of a word as one piece.
-SIGNS = b'.,!?;:%*#$&|"()'
+#: Bytes of text that are split at once, and words in a generation of a worker's cache (it holds two).
+SLICE = 8 << 20
+CACHE_WORDS = 400_000
+#: Words in one call of the tokenizer.
+CALL_WORDS = 2000
+#: Letters that no normaliser step turns into anything but one letter, and behind them, before
+#: white space, signs that the tokenizer takes as one piece. A space between the two changes no id.
+LETTER_SIGNS = r'([A-Za-zÀ-ÖØ-öø-ÿ])([.,!?;:%*#$&|"()]+[ \n]|[.,!?;:%*#$&|"()]+$)'
 
 
 def vocabulary(spark: SparkSession, path: str | None = None):
@@ -41,72 +48,81 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_str(blob.decode())
         self.cache_words = cache_words
-        self.known: dict[bytes, bytes] = {}
-        special = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items()
-                   if t.special and not (t.lstrip or t.rstrip or t.single_word)]
-        self.mark_id, self.mark = min(special) if special else (None, None)
-
-    def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        """The ids of each text; null counts as empty."""
-        for group in _groups(texts):
-            words = [[part.split() for part in parts] for parts in group]
-            new = {w for parts in words for part in parts for w in part if w not in self.known}
-            if len(self.known) + len(new) > self.cache_words:
-                self.known.clear()
-                new = {w for parts in words for part in parts for w in part}
-            self._learn(new)
-            get = self.known.__getitem__
-            for parts in words:
-                yield b"".join([b"".join(map(get, part)) for part in parts])
-
-    def _learn(self, words: set[bytes]) -> None:
-        """A word of letters and signs behind them is encoded as the letters (ASCII ones in lower case, as the
-        tokenizer lowers them) and the signs, which more words share."""
-        split: dict[bytes, tuple[bytes, bytes]] = {}
-        pieces = set()
-        for w in words:
-            stem = w.rstrip(SIGNS)
-            text = stem.decode()
-            if text.isalpha():
-                split[w] = (stem.lower() if text.isascii() else stem, w[len(stem):])
-                pieces.update(split[w])
+        self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        size = self.tokenizer.get_vocab_size()
+        #: whether an id ends a piece; all False if the vocabulary has no ends
+        self.ends = np.array([bool(suffix) and (self.tokenizer.id_to_token(k) or "").endswith(suffix)
+                              for k in range(size)])
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text of an Arrow string array; null counts as empty."""
+        texts = texts.fill_null("")
+        sizes = pc.binary_length(texts).to_numpy()
+        at = 0
+        while at < len(sizes):
+            if sizes[at] > SLICE:
+                parts = pa.array([p.decode() for p in text_parts(texts[at].as_py().encode())], pa.string())
+                yield np.concatenate([x for k in range(len(parts)) for x in self._group(parts.slice(k, 1))])
+                at += 1
+                continue
+            end = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:at + 20_000]), SLICE, "right")))
+            yield from self._group(texts.slice(at, end - at))
+            at = end
+
+    def _group(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        words = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, LETTER_SIGNS, r"\1 \2"))
+        per_text = pc.list_value_length(words).to_numpy()
+        coded = words.flatten().dictionary_encode()
+        values = self._ids_of(coded.dictionary.to_pylist())
+        n = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        pool, first = np.frombuffer(b"".join(values), "<u4"), np.cumsum(n) - n
+        which = coded.indices.to_numpy()
+        sizes = n[which]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        out = pool[np.repeat(first[which] - (ends - sizes), sizes) + np.arange(total)] if total else pool[:0]
+        cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(per_text)])]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield out[a:b]
+
+    def _ids_of(self, words: list[str]) -> list[bytes]:
+        values = list(map(self.known.get, words))
+        missing = [k for k, v in enumerate(values) if v is None]
+        new = []
+        for k in missing:
+            values[k] = ids = self.older.get(words[k])
+            if ids is None:
+                new.append(words[k])
             else:
-                pieces.add(w)
-        known = self.known
-        self._encode_words([p for p in pieces if p not in known])
-        for w, (stem, signs) in split.items():
-            known[w] = known[stem] + known[signs]
-
-    def _encode_words(self, words: list[bytes]) -> None:
-        """Many words in one call, with a special token between them where no word can hold one."""
-        joined = [w for w in words if w and self.mark and self.mark[:2].encode() not in w]
-        for k in range(0, len(joined), 2000):
-            some = joined[k:k + 2000]
-            text = self.mark.join([w.decode() for w in some])
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(ids == self.mark_id) * 4
-            data = ids.tobytes()
-            starts = [0, *(cuts + 4).tolist()]
-            ends = [*cuts.tolist(), len(data)]
-            self.known.update(zip(some, [data[a:b] for a, b in zip(starts, ends)], strict=True))
-        for w in words:
-            if w not in self.known:
-                ids = self.tokenizer.encode(w.decode(), add_special_tokens=False).ids
-                self.known[w] = np.array(ids, "<u4").tobytes()
-
-
-def _groups(texts: Iterable[str | None]) -> Iterator[list[list[bytes]]]:
-    """Texts in groups of about SLICE bytes; a longer text in parts cut at white space."""
-    group, held = [], 0
-    for text in texts:
-        parts = list(text_parts((text or "").encode()))
-        group.append(parts)
-        held += sum(map(len, parts))
-        if held >= SLICE:
-            yield group
-            group, held = [], 0
-    if group:
-        yield group
+                self.known[words[k]] = ids
+        self._learn(new)
+        for k in missing:
+            values[k] = self.known[words[k]]
+        if len(self.known) > self.cache_words:
+            self.older, self.known = self.known, {"": b""}
+        return values
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Words that are one run of letters whatever the tokenizer's normaliser does are encoded together, with
+        spaces between them: each ends with the only id that ends a piece. Others are encoded alone."""
+        sure, alone = [], []
+        for p in pieces:
+            letters = p.isalpha() and (p.isascii() or (is_normalized("NFC", p) and len(low := p.lower()) == len(p) and low.isalpha()))
+            (sure if letters else alone).append(p)
+        for k in range(0, len(sure), CALL_WORDS):
+            some = sure[k:k + CALL_WORDS]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(ends) != len(some) or ends[-1] != 4 * len(ids):
+                alone += some
+                continue
+            data, ends = ids.tobytes(), ends.tolist()
+            self.known.update(zip(some, [data[a:b] for a, b in zip([0, *ends], ends)], strict=True))  # noqa: B905
+        for p in alone:
+            ids = self.tokenizer.encode(p, add_special_tokens=False).ids
+            self.known[p] = np.array(ids, "<u4").tobytes()
 
 
 def text_parts(data: bytes) -> Iterator[bytes]:
