@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language, minhash, mixing, packing, secrets, simhash, token_files, warc
+from . import exact_dedup, html_text, language, minhash, mixing, packing, secrets, simhash, token_files, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_simhash": simhash.query,
         "op2_secrets": secrets.query,
+        "op3_html_text": html_text.query,
         "op4_token_files": token_files.query,
         "op5_minhash": minhash.query,
         "op6_warc": warc.query,
