@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialise
@@ -19,11 +20,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def numbered(df: DataFrame, name: str, **columns: Column) -> DataFrame:
-    """``df`` packed into the struct ``row`` (so no name of its can clash) beside the given columns and a
-    row number, written to the shared folder: the numbers are fixed even if executors are lost later."""
-    packed = df.select(F.struct("*").alias("row"), *[c.alias(k) for k, c in columns.items()])
-    return materialise(packed.withColumn("rid", F.monotonically_increasing_id()), name)
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` packed into the struct ``row`` (so no name of its can clash) beside a row id ``rid``.
+
+    Rows read from parquet are identified by file and place in it, which any later read gives again. Other
+    frames are written to the shared folder first, so their numbers are fixed even if executors are lost.
+    """
+    packed = [F.struct("*").alias("row")]
+    try:
+        place = df.metadataColumn("_metadata")
+        return df.select(*packed, F.struct(F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("at")).alias("rid"))
+    except AnalysisException:
+        return materialise(df.select(*packed, F.struct(F.lit(0).cast("long").alias("file"),
+                                                       F.monotonically_increasing_id().alias("at")).alias("rid")), name)
 
 
 def unpacked(df: DataFrame, like: DataFrame) -> DataFrame:

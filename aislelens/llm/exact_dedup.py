@@ -63,7 +63,8 @@ class DigestIndex:
         new = materialise(self.unseen(groups), "digest-new")
         old = self.frame.hint("merge").withColumnRenamed("keep_id", "held_id")
         held = (groups.join(old, "digest")
-                .select("digest", F.col("held_id").alias("keep_id"), F.lit(None).cast("long").alias("keep_rid"), "group_size"))
+                .select("digest", F.col("held_id").alias("keep_id"), F.lit(None).cast(groups.schema["keep_rid"].dataType).alias("keep_rid"),
+                        "group_size"))
         held = materialise(held, "digest-held")
         self.append(new)
         decided = new.unionByName(held)
@@ -74,8 +75,10 @@ class DigestIndex:
 
 def exact_dedup(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns; their digests are appended to ``index``."""
-    rows = numbered(docs, "digest-rows", doc_id=F.col("doc_id"), digest=digest(F.col("text")))
-    return unpacked(index.add(rows).filter("kept"), docs)
+    rows = numbered(docs, "digest-docs")
+    light = rows.select("rid", F.col("row.doc_id").alias("doc_id"), digest(F.col("row.text")).alias("digest"))
+    stay = index.add(materialise(light, "digest-rows")).filter("kept").select("rid")
+    return unpacked(rows.join(stay, "rid", "left_semi"), docs)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

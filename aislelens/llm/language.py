@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import numbered, table, unpacked
+from .common import table
 
 #: First code points of ranges of letters of one script (Unicode blocks), and the script's number.
 SCRIPTS = (
@@ -238,6 +238,8 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) ->
 
 def _label(texts: list[str | None], model: Model, with_spans: bool) -> list[dict]:
     """lang, score and, if asked for, spans of each text."""
+    if not model.langs:
+        return [{"lang_pred": UNKNOWN, "score": 0.0, "spans": []} for _ in texts]
     letters = _Letters.get()
     scores, starts, ends, known, per_text = _words([t or "" for t in texts], model, letters)
     labels = viterbi(scores, per_text)
@@ -245,7 +247,7 @@ def _label(texts: list[str | None], model: Model, with_spans: bool) -> list[dict
     for n in per_text.tolist():
         a, b, label, sure = (x[at:at + n] for x in (starts, ends, labels, known))
         at += n
-        if not n or not model.langs:
+        if not n:
             out.append({"lang_pred": UNKNOWN, "score": 0.0, "spans": []})
             continue
         size = b - a
@@ -304,11 +306,23 @@ LEAST_SCORE = 0.2
 def keep_known(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
     """The rows of ``docs`` with a language: rejected are texts without letters and texts whose letters are
     hardly in any learnt language."""
-    model = _learnt(docs)
-    rows = numbered(docs, "language-rows")
-    known = identify(rows.select("rid", F.col("row.text").alias("text")), model, "rid", spans=False)
-    stay = known.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).select("rid")
-    return unpacked(rows.join(stay, "rid", "left_semi"), docs)
+    shared = docs.sparkSession.sparkContext.broadcast(_learnt(docs))
+    text_at = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            done, texts, held = 0, [], 0
+            for k, t in enumerate(batch.column(text_at)):
+                texts.append(t.as_py())
+                held += len(texts[-1] or "")
+                if held > 4 * WORDS or k + 1 == batch.num_rows:
+                    found = _label(texts, model, False)
+                    stay = [x["lang_pred"] != UNKNOWN and x["score"] >= least_score for x in found]
+                    yield batch.slice(done, len(texts)).filter(pa.array(stay, pa.bool_()))
+                    done, texts, held = k + 1, [], 0
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -153,7 +153,7 @@ def _coprime(n: int, seed: int) -> int:
 
 def draws(rows: DataFrame, seed: int = SEED, block_words: int = BLOCK_WORDS,
           shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame]:
-    """Of numbered rows (rid, source, size, h): per copy that the mix takes (rid, copy, shard, taken), and the targets."""
+    """Of numbered rows (rid, source, size, h): per copy that the mix takes (rid, copy, shard, size, taken, h), and the targets."""
     spark = rows.sparkSession
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     goals = materialise(targets(sizes).withColumn(
@@ -173,17 +173,13 @@ def draws(rows: DataFrame, seed: int = SEED, block_words: int = BLOCK_WORDS,
               .select("*", F.explode(copies).alias("copy"))
               .withColumn("at", F.col("copy") * F.col("source_size") + F.col("pos"))
               .select("rid", "h", "copy", "source_no", F.floor(F.col("at") / block_words).alias("block"),
-                      F.least("size", F.col("quota") - F.col("at")).alias("taken")))
+                      "size", F.least("size", F.col("quota") - F.col("at")).alias("taken")))
     dealt = quotas(spark, blocks, shards, seed)
     dealt = dealt.select("shard", "source_no", F.explode(F.expr("sequence(first, first + count - 1)")).alias("turn"))
     step = (F.col("turn").cast("decimal(38,0)") * F.col("step") + seed) % F.col("blocks")
     dealt = (dealt.join(steps, "source_no")
              .select("source_no", "shard", step.cast("long").alias("block")))
-    return copied.join(dealt, ["source_no", "block"]).select("rid", "copy", "shard", "taken", "h"), goals
-
-
-def _keyed(seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
+    return copied.join(dealt, ["source_no", "block"]).select("rid", "copy", "shard", "size", "taken", "h"), goals
 
 
 def _first_words(text: str | None, n: int) -> str | None:
@@ -197,26 +193,27 @@ def _first_words(text: str | None, n: int) -> str | None:
 def mix(docs: DataFrame, seed: int = SEED, **sizes: int) -> DataFrame:
     """The mixed rows in shards: the columns of ``docs`` (text cut where its source's target ends, n_chars alike),
     then ``shard`` and ``place`` in it. A document stands as often as the mix takes it."""
-    rows = numbered(docs, "mix-rows", doc_id=F.col("doc_id"), source=F.col("source").cast("string"),
-                    size=words(F.col("text")), h=_keyed(seed))
-    taken, _ = draws(rows.select("rid", "source", "size", "h"), seed, **sizes)
-    out = rows.select("rid", "row", "size").join(taken, "rid")
-    first_words = F.udf(_first_words, "string")  # gets the text of the cut rows only, one per source
-    cut = first_words(F.when(F.col("taken") < F.col("size"), F.col("row.text")), "taken")
-    text = F.coalesce(cut, F.col("row.text"))
-    own = [("text", text)] + ([("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))]
-                              if "n_chars" in docs.columns else [])
-    fresh = dict(own)
-    order = F.xxhash64(F.lit(seed), "shard", "h", "copy")
+    rows = numbered(docs, "mix-docs")
+    light = rows.select("rid", F.col("row.source").cast("string").alias("source"), words(F.col("row.text")).alias("size"),
+                        F.xxhash64(F.lit(seed), "row.doc_id", "row.text").alias("h"))
+    light = materialise(light, "mix-rows")
+    taken, _ = draws(light, seed, **sizes)
+    order = F.xxhash64(F.lit(seed), "shard", "h", "copy")  # the shuffle inside a shard, before the texts join
     place = F.row_number().over(Window.partitionBy("shard").orderBy(order, "rid", "copy"))
-    return out.select(*[fresh.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns
-                        if c not in ("shard", "place")], "shard", place.alias("place"))
+    out = rows.join(taken.withColumn("place", place), "rid")
+    first_words = F.udf(_first_words, "string")  # gets the text of the cut rows only, one per source
+    text = F.coalesce(first_words(F.when(F.col("taken") < F.col("size"), F.col("row.text")), "taken"), F.col("row.text"))
+    fresh = {"text": text}
+    if "n_chars" in docs.columns:
+        fresh["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[fresh.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns if c not in ("shard", "place")],
+                      "shard", "place")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op7: per document, the words that the mix takes."""
     docs = table(spark, sf_dir, "documents")
-    rows = materialise(docs.select("doc_id", F.col("source"), words(F.col("text")).alias("size"), _keyed(SEED).alias("h"))
+    rows = materialise(docs.select("doc_id", F.col("source"), words(F.col("text")).alias("size"), F.xxhash64(F.lit(SEED), "doc_id", "text").alias("h"))
                        .withColumn("rid", F.monotonically_increasing_id()), "mix-rows")
     taken, goals = draws(rows)
     per_doc = taken.groupBy("rid").agg(F.sum("taken").alias("taken"))

@@ -107,8 +107,9 @@ def fingerprints(rows: DataFrame, size: int = SHINGLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), pa.array(
                 np.concatenate(fps).view(np.int64))], ["rid", "doc_id", "fp"])
 
+    kind = rows.schema["rid"].dataType.simpleString()
     return (rows.select("rid", F.col("doc_id").cast("long"), F.col("text").cast("string"))
-            .mapInArrow(prints, "rid long, doc_id long, fp long"))
+            .mapInArrow(prints, f"rid {kind}, doc_id long, fp long"))
 
 
 def _tiles(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -232,8 +233,9 @@ def grouped(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def near_dedup(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the one with the smallest doc_id."""
-    rows = numbered(docs, "simhash-rows", doc_id=F.col("doc_id").cast("long"))
-    prints = materialise(fingerprints(rows.select("rid", "doc_id", F.col("row.text").alias("text")), size), "simhash-fps")
+    rows = numbered(docs, "simhash-rows")
+    read = rows.select("rid", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"))
+    prints = materialise(fingerprints(read, size), "simhash-fps")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid"))
     stay = grouped(prints, radius).groupBy("root").agg(first.alias("first")).select("first.rid")
     return unpacked(rows.join(stay, "rid", "left_semi"), docs)
