@@ -64,13 +64,13 @@ MARKS = np.array([1e-9, 0.005, 0.02])
 SLOTS = (len(TAGS), len(TAGS), 20, 10, 8, 6)
 STARTS = np.concatenate([[0], np.cumsum([*SLOTS, WORDS])])
 
-SAMPLE_PAGES = 300
+SAMPLE_PAGES = 200
 SAMPLE_BYTES = 1 << 16
 LEAST_PAGES = 5
 VARIANTS = 3
-ROUNDS = 120
-RATE = 0.1
-PENALTY = 0.002
+ROUNDS = 150
+RATE = 0.3
+PENALTY = 0.0005
 #: Nodes whose messages run together.
 BATCH_NODES = 200_000
 
