@@ -33,7 +33,6 @@ SKU_CATEGORY_PRICE = {
     "frozen": 5.99, "personal_care": 6.99, "household": 7.49,
     "bakery": 3.49, "electronics": 49.99, "apparel": 29.99,
 }
-N_SKUS = 20
 
 CHURN_LABEL_SHARE = 0.30          # top share by recency labelled churned
 CHURN_LABEL_MINIMUM = 2
@@ -47,6 +46,7 @@ GBT_STEP = 0.1
 GBT_SEED = 42
 TEST_SHARE_BUCKETS = 5            # 1 of 5 hash buckets is the 20 % test split
 TIER_CUTS = (0.33, 0.66)          # right-closed: <=0.33 Low, <=0.66 Medium, else High
+TIER_TOP = 1.001                  # upper end of the last tier
 TIER_LABELS = ("Low", "Medium", "High")
 DISPLAY_RECENCY_ALERT = 60        # at-risk list: recency badge turns red above this
 DISPLAY_PROB_BANDS = (0.5, 0.7)   # at-risk list: amber above 0.5, red above 0.7
@@ -73,11 +73,6 @@ TREND_DOWN = "DOWN"
 TREND_FLAT = "FLAT"
 CONFIDENCE_DOWN = "Medium"        # confidence of a DOWN trend
 CONFIDENCE_OTHER = "High"         # confidence of UP and FLAT
-WEEKEND_DAYS = (1, 7)             # dayofweek: 1 = Sunday, 7 = Saturday
-WEEKEND_MULT = 1.2
-MONDAY = 2
-MONDAY_MULT = 0.85
-
 DOC_SEP = " | "                   # between corpus document segments
 NOTES_SEP = "; "                  # between CRM notes of one customer
 DOC_LABELS = ("Customer: ", "Segment: ", "Region: ", "Orders 90d: ", "Spend 90d: $",
@@ -120,7 +115,7 @@ RAG_PROMPT_TEMPLATE = (
     "CUSTOMER DATA:\n%s\n\nQUESTION: %s\n\nANSWER:")
 ASSISTANT_SYSTEM_TEMPLATE = (
     "You are RetailAdvisor, an AI assistant for retail executives at a %d-customer retail chain. "
-    "Answer using ONLY the data provided. Be concise \u2014 2-3 sentences max \u2014 and give a "
+    "Answer using ONLY the data provided. Be concise — 2-3 sentences max — and give a "
     "concrete recommendation.")
 ASSISTANT_USER_TEMPLATE = "LIVE RETAIL DATA:\n%s\n\nQUESTION: %s"
 KPI_TEXT = "KPIs: %d total customers, %d at high churn risk (%.1f%% avg churn probability)."

@@ -1,9 +1,10 @@
 """Exact arithmetic on Columns.
 
-Money here has two decimals and counts are integers, so every average and
+Counts are integers and money is summed in millionths, so every average and
 ratio the queries round is a ratio of two integers. Rounding that ratio with
 integer arithmetic gives the mathematically right HALF_UP result, the same in
-every engine, instead of whatever a double sum happened to produce.
+every engine, instead of whatever a double sum happened to produce. Products
+are formed in decimal(38), so sums far beyond 2^53 (or 2^63) stay exact.
 """
 
 from __future__ import annotations
@@ -11,17 +12,27 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+MONEY_SCALE = 1_000_000           # money is exact to a millionth
+PROB_SCALE = 1_000_000_000_000    # probabilities to 10^-12
 
-def cents(col: Column | str) -> Column:
-    """Two-decimal money value as an exact integer number of cents."""
+WIDE = "decimal(38,0)"
+
+
+def scaled(col: Column | str, scale: int) -> Column:
+    """A double as an exact integer number of 1/``scale``."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.round(c * 100).cast("long")
+    return F.round(c * scale).cast("long")
+
+
+def micros(col: Column | str) -> Column:
+    """A money value in millionths; sum it as decimal, which can't overflow."""
+    return scaled(col, MONEY_SCALE).cast("decimal(20,0)")
 
 
 def floor_div(a: Column, b: Column | int) -> Column:
-    """floor(a / b) for integer a and positive integer b, exactly."""
+    """floor(a / b) as long for integer a and positive integer b, by integral division."""
     b = F.lit(b) if isinstance(b, int) else b
-    return ((a - F.pmod(a, b)) / b).cast("long")
+    return F.call_function("div", a - F.pmod(a, b), b).cast("long")
 
 
 def round_ratio(num: Column, den: Column | int, places: int) -> Column:
@@ -29,24 +40,21 @@ def round_ratio(num: Column, den: Column | int, places: int) -> Column:
 
     num >= 0 and den > 0 are integers; den = 0 gives NULL.
     """
-    den = F.lit(den) if isinstance(den, int) else den
-    scale = 10 ** places
-    q = floor_div(num.cast("long") * (2 * scale) + den, den.cast("long") * 2)
-    value = q.cast("double") if places == 0 else q / float(scale)
-    return F.when(den != 0, value)
+    value = _half_up(num, den, 10 ** places)
+    return value.cast("double") if places == 0 else value / float(10 ** places)
 
 
 def round_ratio_long(num: Column, den: Column | int) -> Column:
     """HALF_UP round of num/den to an integer, as long."""
-    den = F.lit(den) if isinstance(den, int) else den
-    return F.when(den != 0, floor_div(num.cast("long") * 2 + den, den.cast("long") * 2))
+    return _half_up(num, den, 1)
 
 
-def money(cents_col: Column) -> Column:
-    """Integer cents back to a double amount."""
-    return cents_col / 100.0
+def _half_up(num: Column, den: Column | int, scale: int) -> Column:
+    den = F.lit(den) if isinstance(den, int) else den
+    wide = (num.cast("decimal(30,0)") * F.lit(2 * scale) + den.cast("decimal(28,0)")).cast(WIDE)
+    return F.when(den != 0, F.call_function("div", wide, den.cast("decimal(28,0)") * F.lit(2)).cast("long"))
 
 
-def days_between(start: Column, end: Column) -> Column:
-    """Whole days from ``start`` to ``end`` (both dates)."""
-    return F.datediff(end, start)
+def money(micros_col: Column) -> Column:
+    """Integer millionths back to a double amount."""
+    return micros_col.cast("double") / float(MONEY_SCALE)

@@ -50,7 +50,8 @@ def context_texts(scores: DataFrame, health: DataFrame, forecast: DataFrame,
                   staffing: DataFrame) -> dict[str, Column]:
     """The five context sentences as scalar-subquery Columns."""
     k = K.assistant_kpis(scores)
-    kpi = k.select(F.format_string(C.KPI_TEXT, "total_customers", "high_risk", "avg_churn_pct")).scalar()
+    kpi = k.select(F.when(F.col("avg_churn_pct").isNotNull(), F.format_string(
+        C.KPI_TEXT, "total_customers", "high_risk", "avg_churn_pct"))).scalar()
     inv_df = K.assistant_inventory(health)
     inv = inv_df.select(F.when(F.col("avg_dos").isNotNull(),
                                F.format_string(C.INVENTORY_TEXT, "cnt", "avg_dos"))).scalar()

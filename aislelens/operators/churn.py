@@ -12,6 +12,7 @@ from .. import config as C
 from ..functions.exact import floor_div
 from ..session import materialise, shared_dir
 
+FIT_ROWS = 200_000                # labelled customers used to fit the model, at most
 SCORE_COLUMNS = ["customer_id", "customer_name", "store_id", "region", "segment", "recency_days",
                  "order_count_90d", "total_spend_90d", "churn_prob", "risk_tier"]
 
@@ -78,10 +79,11 @@ def churn_label(c360: DataFrame, share: float = C.CHURN_LABEL_SHARE,
 
 
 def risk_tier(prob: Column, cuts=C.TIER_CUTS) -> Column:
-    """M7: right-closed bins (-inf, 0.33] Low, (0.33, 0.66] Medium, else High."""
+    """M7: right-closed bins up to 0.33 Low, 0.66 Medium, 1.001 High; no tier
+    beyond or without a probability."""
     low, mid = cuts
     return (F.when(prob <= low, C.TIER_LABELS[0]).when(prob <= mid, C.TIER_LABELS[1])
-            .otherwise(C.TIER_LABELS[2]))
+            .when(prob <= C.TIER_TOP, C.TIER_LABELS[2]))
 
 
 def rule_scores(c360: DataFrame, cuts=C.TIER_CUTS) -> DataFrame:
@@ -105,11 +107,13 @@ def _features(c360: DataFrame, labels: DataFrame | None):
 
 
 def fit_churn(c360: DataFrame, labels: DataFrame, model_path: str | None = None,
-              seed: int = C.GBT_SEED, max_iter: int = C.GBT_TREES):
+              seed: int = C.GBT_SEED, max_iter: int = C.GBT_TREES, fit_rows: int = FIT_ROWS):
     """M2-M5, M8, M9: gradient-boosted trees on the nine features.
 
     Split: 1 in 5 customers by a hash of customer_id is test data (stable
-    under repartitioning, unlike ``randomSplit``). Returns
+    under repartitioning, unlike ``randomSplit``). At most about
+    ``fit_rows`` training customers (by another hash) are used to fit; the
+    labels, the test measure and the scores cover all. Returns
     (model, metrics DataFrame[run_id, key, value], model path).
     """
     from pyspark.ml.classification import GBTClassifier
@@ -121,7 +125,9 @@ def fit_churn(c360: DataFrame, labels: DataFrame, model_path: str | None = None,
     data = materialise(_features(c360, labels).select(
         "customer_id", "features", F.col("churn_label").cast("double").alias("label")), "churn-features")
     is_test = F.pmod(F.xxhash64(F.col("customer_id"), F.lit(seed)), F.lit(C.TEST_SHARE_BUCKETS)) == 0
-    train = data.filter(~is_test)
+    share = min(1.0, fit_rows / max(data.count(), 1))
+    fitted = F.pmod(F.xxhash64(F.lit(seed), F.col("customer_id")), F.lit(1 << 20)) < int(share * (1 << 20))
+    train = data.filter(~is_test & fitted)
     test = data.filter(is_test)
     gbt = GBTClassifier(featuresCol="features", labelCol="label", maxIter=max_iter,
                         maxDepth=C.GBT_DEPTH, stepSize=C.GBT_STEP, seed=seed, checkpointInterval=10)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..config import DEFAULT, Thresholds
-from ..functions.exact import cents, round_ratio, round_ratio_long
+from ..functions.exact import MONEY_SCALE, micros, money, round_ratio, round_ratio_long
 from .dedup import as_of_date
 
 
@@ -23,7 +23,7 @@ def demand_signals_exact(inventory: DataFrame, t: Thresholds = DEFAULT) -> DataF
              .agg(F.sum(F.col("qty_sold").cast("long")).alias("total_qty_sold"),
                   F.sum(F.col("inventory_on_hand").cast("long")).alias("_inv_sum"),
                   F.count("inventory_on_hand").alias("_inv_n"),
-                  F.sum(cents("unit_price")).alias("_price_cents"),
+                  F.sum(micros("unit_price")).alias("_price_sum"),
                   F.count("unit_price").alias("_price_n")))
     base = Window.partitionBy("sku_id").orderBy("txn_date")
     w_s = base.rowsBetween(-(t.short_rows - 1), Window.currentRow)
@@ -34,7 +34,7 @@ def demand_signals_exact(inventory: DataFrame, t: Thresholds = DEFAULT) -> DataF
     cats = F.array(*[F.lit(c) for c in C.FORECAST_CATEGORIES])
     return rolled.withColumns({
         "avg_inventory": F.col("_inv_sum") / F.col("_inv_n"),
-        "avg_unit_price": F.col("_price_cents") / (F.col("_price_n") * 100.0),
+        "avg_unit_price": money(F.col("_price_sum")) / F.col("_price_n"),
         "demand_7d_avg": round_ratio(F.col("_s_sum"), F.col("_s_n"), 1),
         "demand_14d_avg": round_ratio(F.col("_l_sum"), F.col("_l_n"), 1),
         "_t7": round_ratio_long(F.col("_s_sum") * 10, F.col("_s_n")),
@@ -67,7 +67,7 @@ def demand_forecast(signals_exact: DataFrame, t: Thresholds = DEFAULT, latest=No
                     round_ratio_long(t7 * t.horizon_days, F.lit(10)).cast("int").alias("predicted_units_7d"),
                     F.when(trend == C.TREND_DOWN, C.CONFIDENCE_DOWN).otherwise(C.CONFIDENCE_OTHER).alias("confidence"),
                     F.col("txn_date").alias("signal_date"),
-                    round_ratio(F.col("_price_cents"), F.col("_price_n") * 100, 2).alias("avg_unit_price")))
+                    round_ratio(F.col("_price_sum"), F.col("_price_n") * MONEY_SCALE, 2).alias("avg_unit_price")))
 
 
 def top_demand(forecast: DataFrame, k: int) -> DataFrame:
@@ -83,24 +83,21 @@ def demand_serving(forecast: DataFrame, k: int = 20) -> DataFrame:
                     "confidence", "avg_unit_price"))
 
 
-def daily_spine(inventory: DataFrame, t: Thresholds = DEFAULT, dates: DataFrame | None = None) -> DataFrame:
+def daily_spine(inventory: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     """D-SPINE: every observed (store, sku) series densified to one row per
-    calendar day between the first and last day of the whole table.
+    calendar day between its own first and last day.
 
-    Days without a row are stock-outs (qty and on-hand 0). Adds the weekday
-    demand multiplier (weekend 1.2, Monday 0.85) and a calendar-true
-    trailing average over ``short_rows`` days. The calendar comes from
-    ``explode(sequence)`` per series, never from a cross join.
+    Days without a row are stock-outs (qty and on-hand 0). Adds a
+    calendar-true trailing average over ``short_rows`` days. The calendar
+    comes from ``explode(sequence)`` per series, never from a cross join,
+    and the series' bounds are one map-side combined aggregate.
     """
-    dates = inventory if dates is None else dates      # any frame with the same set of days
-    first = dates.agg(F.min("txn_date")).scalar()
-    last = dates.agg(F.max("txn_date")).scalar()
-    series = inventory.select("store_id", "sku_id").distinct()
+    series = inventory.groupBy("store_id", "sku_id").agg(F.min("txn_date").alias("_first"),
+                                                         F.max("txn_date").alias("_last"))
     spine = series.select("store_id", "sku_id",
-                          F.explode(F.sequence(first, last, F.expr("INTERVAL 1 DAY"))).alias("txn_date"))
+                          F.explode(F.sequence("_first", "_last", F.expr("INTERVAL 1 DAY"))).alias("txn_date"))
     facts = inventory.select("store_id", "sku_id", "txn_date", "qty_sold", "unit_price",
                              "inventory_on_hand")
-    dow = F.dayofweek("txn_date")
     w = (Window.partitionBy("store_id", "sku_id").orderBy("txn_date")
          .rowsBetween(-(t.short_rows - 1), Window.currentRow))
     on_hand = F.coalesce(F.col("inventory_on_hand"), F.lit(0))
@@ -109,12 +106,18 @@ def daily_spine(inventory: DataFrame, t: Thresholds = DEFAULT, dates: DataFrame
              .withColumns({
                  "is_observed": F.col("qty_sold").isNotNull() | F.col("inventory_on_hand").isNotNull(),
                  "is_stockout": on_hand == 0,
-                 "day_of_week": dow,
-                 "seasonal_mult": F.when(dow.isin(*C.WEEKEND_DAYS), C.WEEKEND_MULT)
-                                  .when(dow == C.MONDAY, C.MONDAY_MULT).otherwise(1.0),
                  "_sum": F.sum(qty.cast("long")).over(w),
                  "_n": F.count(F.lit(1)).over(w)})
              .withColumns({"qty_sold": qty, "inventory_on_hand": on_hand}))
-    return dense.select("store_id", "sku_id", "txn_date", "day_of_week", "seasonal_mult",
-                        "is_observed", "is_stockout", "qty_sold", "unit_price", "inventory_on_hand",
-                        (F.col("_sum") / F.col("_n")).alias("demand_7d_calendar_avg"))
+    return dense.select("store_id", "sku_id", "txn_date", "is_observed", "is_stockout", "qty_sold", "unit_price",
+                        "inventory_on_hand", (F.col("_sum") / F.col("_n")).alias("demand_7d_calendar_avg"))
+
+
+def spine_summary(spine: DataFrame) -> DataFrame:
+    """Per series of the dense spine: its days, observed and stock-out days,
+    units and highest calendar-true average."""
+    return spine.groupBy("store_id", "sku_id").agg(
+        F.min("txn_date").alias("first_day"), F.max("txn_date").alias("last_day"),
+        F.count(F.lit(1)).alias("days"), F.count_if("is_observed").alias("observed_days"),
+        F.count_if("is_stockout").alias("stockout_days"), F.sum("qty_sold").alias("units"),
+        F.max("demand_7d_calendar_avg").alias("peak_demand_7d"))

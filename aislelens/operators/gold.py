@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions.exact import cents, money, round_ratio
+from ..functions.exact import MONEY_SCALE, micros, money, round_ratio
 from .dedup import as_of_date
 
 
@@ -16,21 +16,21 @@ def order_features(orders: DataFrame, as_of=None,
     """Q5: per customer over the last ``lookback_days`` (inclusive, no upper
     bound): count, spend, average value, last date, recency, return rate.
 
-    Aggregated per customer before any join; money is summed in cents so the
-    rounded average is exact.
+    Aggregated per customer before any join; money is summed in millionths so
+    the rounded average is exact.
     """
     day = as_of_date(as_of, orders, "order_date")
     recent = orders.filter(F.col("order_date") >= F.date_sub(day, lookback_days))
     agg = (recent.groupBy("customer_id")
            .agg(F.count(F.lit(1)).alias("order_count_90d"),
-                F.sum(cents("order_value")).alias("_spend_cents"),
+                F.sum(micros("order_value")).alias("_spend"),
                 F.max("order_date").alias("last_order_date"),
                 F.count_if(F.col("is_returned")).alias("_returned")))
     n = F.col("order_count_90d")
     return agg.select(
         "customer_id", "order_count_90d",
-        money(F.col("_spend_cents")).alias("total_spend_90d"),
-        round_ratio(F.col("_spend_cents"), n * 100, 2).alias("avg_order_value"),
+        money(F.col("_spend")).alias("total_spend_90d"),
+        round_ratio(F.col("_spend"), n * MONEY_SCALE, 2).alias("avg_order_value"),
         "last_order_date",
         F.datediff(day, F.col("last_order_date")).alias("recency_days"),
         round_ratio(F.col("_returned"), n, 3).alias("return_rate"))

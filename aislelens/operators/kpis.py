@@ -12,19 +12,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions.exact import cents, money, round_ratio
+from ..functions.exact import MONEY_SCALE, PROB_SCALE, micros, round_ratio, scaled
 
 HIGH = C.TIER_LABELS[2]
 
 
-def _prob_micro(col: str = "churn_prob"):
-    """churn_prob (6 decimals) as exact integer millionths."""
-    return F.round(F.col(col) * 1_000_000).cast("long")
+def _prob_exact(col: str = "churn_prob"):
+    """The raw churn_prob as an exact integer (10^-12 units)."""
+    return scaled(col, PROB_SCALE)
 
 
 def _prob_round3():
-    """churn_prob rounded HALF_UP to 3 places, from its exact millionths."""
-    return round_ratio(_prob_micro(), F.lit(1_000_000), 3)
+    """The raw churn_prob rounded HALF_UP to 3 places, once."""
+    return round_ratio(_prob_exact(), F.lit(PROB_SCALE), 3)
 
 
 def risk_tier_distribution(scores: DataFrame) -> DataFrame:
@@ -47,7 +47,7 @@ def churn_risk_list(scores: DataFrame, k: int = 25) -> DataFrame:
     return (scores.filter(F.col("risk_tier") == HIGH)
             .orderBy(F.col("churn_prob").desc(), F.col("customer_id").asc()).limit(k)
             .select("customer_id", "customer_name", "region", "segment", "recency_days",
-                    "order_count_90d", money(cents("total_spend_90d")).alias("total_spend_90d"),
+                    "order_count_90d", round_ratio(micros("total_spend_90d"), F.lit(MONEY_SCALE), 2).alias("total_spend_90d"),
                     _prob_round3().alias("churn_prob"), "risk_tier"))
 
 
@@ -56,7 +56,7 @@ def revenue_at_risk(scores: DataFrame, c360: DataFrame) -> DataFrame:
     rounded) and the number of High-tier customers."""
     high = scores.filter(F.col("risk_tier") == HIGH).select("customer_id")
     joined = high.join(c360.select("customer_id", "total_spend_90d"), "customer_id")
-    return joined.agg(round_ratio(F.sum(cents("total_spend_90d")), F.lit(300), 0)
+    return joined.agg(round_ratio(F.sum(micros("total_spend_90d")), F.lit(3 * MONEY_SCALE), 0)
                       .alias("monthly_revenue_at_risk"),
                       F.count(F.lit(1)).alias("high_risk_customers"))
 
@@ -176,7 +176,7 @@ def assistant_kpis(scores: DataFrame) -> DataFrame:
     n = F.count(F.lit(1))
     return scores.agg(n.alias("total_customers"),
                       F.count_if(F.col("risk_tier") == HIGH).alias("high_risk"),
-                      round_ratio(F.sum(_prob_micro()), n * 10_000, 1).alias("avg_churn_pct"))
+                      round_ratio(F.sum(_prob_exact().cast("decimal(20,0)")), n * (PROB_SCALE // 100), 1).alias("avg_churn_pct"))
 
 
 def assistant_inventory(health: DataFrame) -> DataFrame:
@@ -229,13 +229,12 @@ def stockout_rate(health: DataFrame) -> DataFrame:
 
 def weekly_revenue_at_risk(health: DataFrame, inventory: DataFrame, horizon: int = 7) -> DataFrame:
     """Q35: for REORDER NOW combinations, ``horizon`` days of their rounded
-    daily demand at that day's unit price, summed (exact, in cents)."""
+    daily demand at that day's unit price, summed (exact, in millionths)."""
     prices = inventory.select("store_id", "sku_id", F.col("txn_date").alias("signal_date"), "unit_price")
     rows = (health.filter(F.col("inventory_status") == C.STATUS_REORDER)
             .join(prices, ["store_id", "sku_id", "signal_date"]))
-    tenths_cents = (F.round(F.col("avg_daily_demand_7d") * 10).cast("long") * cents("unit_price")
-                    * horizon)
-    return rows.agg(round_ratio(F.sum(tenths_cents), F.lit(1000), 2).alias("weekly_revenue_at_risk"),
+    tenths = F.round(F.col("avg_daily_demand_7d") * 10).cast("decimal(12,0)") * micros("unit_price") * F.lit(horizon)
+    return rows.agg(round_ratio(F.sum(tenths), F.lit(10 * MONEY_SCALE), 2).alias("weekly_revenue_at_risk"),
                     F.count(F.lit(1)).alias("reorder_combos"))
 
 

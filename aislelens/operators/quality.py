@@ -42,10 +42,6 @@ def expectation_report(datasets: dict[str, DataFrame],
     return reduce(DataFrame.unionByName, parts)
 
 
-def _check(name: str, expected: Column, actual: Column) -> tuple:
-    return name, expected, actual
-
-
 def validation_checks(p) -> DataFrame:
     """D3: invariants between pipeline layers, one row per check:
     (check, expected, actual, ok)."""
@@ -69,6 +65,9 @@ def validation_checks(p) -> DataFrame:
         ("silver.orders one row per order_id", distinct(src.orders_raw, ["order_id"]), n(p.orders)),
         ("silver.inventory one row per store, sku, day",
          distinct(src.inventory_raw, ["store_id", "sku_id", "txn_date"]), n(inv)),
+        ("units in silver.inventory = units in lineitem",
+         src.table("lineitem").agg(F.sum(F.col("l_quantity").cast("long"))).scalar(),
+         inv.agg(F.sum("qty_sold")).scalar()),
         ("silver.crm_summary one row per customer with events",
          distinct(src.crm_events_raw, ["customer_id"]), n(p.crm_summary)),
         ("gold.customer_360 one row per customer", n(p.customers), n_c360),
@@ -79,7 +78,7 @@ def validation_checks(p) -> DataFrame:
         ("gold.demand_forecast one row per sku on the latest day",
          distinct(inv.filter(F.col("txn_date") == latest), ["sku_id"]), n(p.demand_forecast)),
         ("gold.store_staffing_summary one row per known store role",
-         n(src.staffing_raw.join(src.stores_small.select("store_id"), "store_id", "left_semi")),
+         n(src.staffing_raw.join(src.stores.select("store_id"), "store_id", "left_semi")),
          n(p.staffing_summary)),
     ]
     base = p.stores.agg(F.count(F.lit(1)).alias("_one"))   # a one-row frame to hang the values on

@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 
 EMBED_DIM = 512
-CORPUS_BLOCK_ROWS = 20_000     # corpus rows scored together in one task
-QUERY_BLOCK_ROWS = 1_024       # queries scored together in one task
+QUERY_BLOCK_BYTES = 64 << 20   # query vectors sent to the tasks at once
 
 
 def embed(docs: DataFrame, text_col: str, dim: int = EMBED_DIM):
@@ -53,80 +52,63 @@ def sync_vectors(model, vectors_before: DataFrame, changes: DataFrame, key: str
     return kept.select(key, "vector").unionByName(fresh)
 
 
-def _block_topk(k: int, q_id: str, c_id: str):
-    """Per (query block, corpus block): exact top-k by cosine, ties broken
-    by the smaller corpus id. Emits at most k rows per query."""
-
-    def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({q_id: pd.Series([], dtype=q[q_id].dtype if len(q) else "object"),
-                              c_id: pd.Series([], dtype=c[c_id].dtype if len(c) else "object"),
-                              "score": pd.Series([], dtype="float64")})
-        if len(q) == 0 or len(c) == 0:
-            return empty
-        qm = np.stack([np.asarray(v, dtype=np.float64) for v in q["_v"]])
-        cm = np.stack([np.asarray(v, dtype=np.float64) for v in c["_v"]])
-        qn = np.linalg.norm(qm, axis=1)
-        cn = np.linalg.norm(cm, axis=1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            s = (qm @ cm.T) / np.outer(qn, cn)
-        s = np.where(np.isfinite(s), s, -np.inf)
-        ids = c[c_id].to_numpy()
-        kk = min(k, len(c))
-        out_q, out_c, out_s = [], [], []
-        for i, qid in enumerate(q[q_id].to_numpy()):
-            row = s[i]
-            kth = np.partition(row, len(row) - kk)[len(row) - kk]
-            above = np.nonzero(row > kth)[0]
-            tied = np.nonzero(row == kth)[0]
-            need = kk - len(above)
-            if need > 0:
-                tied = tied[np.argsort(ids[tied], kind="stable")[:need]]
-                take = np.concatenate([above, tied])
-            else:
-                take = above
-            out_q.extend([qid] * len(take))
-            out_c.extend(ids[take].tolist())
-            out_s.extend(row[take].tolist())
-        return pd.DataFrame({q_id: out_q, c_id: out_c, "score": out_s})
-
-    return run
+def _best(cand: pd.DataFrame, k: int, q_id: str, c_id: str) -> pd.DataFrame:
+    """At most k rows per query: highest score, ties by the smaller corpus id."""
+    return (cand.sort_values([q_id, "score", c_id], ascending=[True, False, True], kind="stable")
+            .groupby(q_id, sort=False).head(k))
+
+
+def _batch_best(ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, q_id: str,
+                c_id: str) -> pd.DataFrame:
+    """The exact top-k (with all ties at the k-th score) of one corpus batch for every query."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        s = (q @ c.T) / np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(c, axis=1))
+    s = np.where(np.isfinite(s), s, -np.inf)
+    kth = np.partition(s, max(s.shape[1] - k, 0), axis=1)[:, max(s.shape[1] - k, 0)]
+    i, j = np.nonzero(s >= kth[:, None])
+    return _best(pd.DataFrame({q_id: ids[i], c_id: c_ids[j], "score": s[i, j]}), k, q_id, c_id)
 
 
 def top_k(queries: DataFrame, corpus: DataFrame, k: int = C.RETRIEVAL_TOP_K,
           q_id: str = "query_id", c_id: str = "doc_id", vec: str = "vector",
-          corpus_block_rows: int = CORPUS_BLOCK_ROWS,
-          query_block_rows: int = QUERY_BLOCK_ROWS, min_tasks: int | None = None) -> DataFrame:
+          query_block_bytes: int = QUERY_BLOCK_BYTES) -> DataFrame:
     """Exact k nearest corpus rows by cosine for every query.
 
-    Queries and corpus are cut into hash blocks sized from their counts
-    (scalar subqueries). Each (query block, corpus block) pair is one
-    cogroup task that scores its block in numpy and keeps a partial top-k
-    per query; a final row_number per query merges the partial lists. No
-    task holds more than one query block and one corpus block, and no pair
-    list is ever materialised.
-    At least ``min_tasks`` blocks pairs are formed (default: the cluster's
-    default parallelism) by cutting the corpus finer, which replicates the
-    query side rather than the corpus.
+    The corpus stays where it lies: its vectors are never shuffled. Queries
+    are cut into hash blocks of about ``query_block_bytes`` (measured), each
+    sent to all tasks as one broadcast of that size; a task scores its part
+    of the corpus batch by batch and keeps k rows per query, and a
+    row_number per query merges the parts' lists: k x queries x partitions
+    rows at most are shuffled.
     Output: q_id, c_id, score (cosine, double), rank (1..k).
     """
-    if min_tasks is None:
-        min_tasks = queries.sparkSession.sparkContext.defaultParallelism
-    nq = queries.agg(F.count(F.lit(1))).scalar()
-    nc = corpus.agg(F.count(F.lit(1))).scalar()
-    qb = F.greatest(F.ceil(nq / float(query_block_rows)), F.lit(1)).cast("long")
-    cb = F.least(F.greatest(F.ceil(nc / float(corpus_block_rows)), F.ceil(F.lit(float(min_tasks)) / qb),
-                            F.lit(1)), F.greatest(nc, F.lit(1))).cast("long")
-    q = (queries.select(F.col(q_id), F.col(vec).alias("_v"),
-                        F.pmod(F.xxhash64(q_id), qb).alias("_qb"))
-         .withColumn("_cb", F.explode(F.sequence(F.lit(0).cast("long"), cb - 1))))
-    c = (corpus.select(F.col(c_id), F.col(vec).alias("_v"),
-                       F.pmod(F.xxhash64(c_id), cb).alias("_cb"))
-         .withColumn("_qb", F.explode(F.sequence(F.lit(0).cast("long"), qb - 1))))
+    spark = queries.sparkSession
     q_type = queries.schema[q_id].dataType.simpleString()
     c_type = corpus.schema[c_id].dataType.simpleString()
     schema = f"{q_id} {q_type}, {c_id} {c_type}, score double"
-    cand = (q.groupBy("_qb", "_cb").cogroup(c.groupBy("_qb", "_cb"))
-            .applyInPandas(_block_topk(k, q_id, c_id), schema))
+    size = queries.agg(F.sum(F.size(vec).cast("long") * 8)).first()[0] or 0
+    blocks = max(1, -(-size // query_block_bytes))
+    cand = spark.createDataFrame([], schema)
+    for b in range(blocks):
+        block = queries.filter(F.pmod(F.xxhash64(q_id), F.lit(blocks)) == b).select(q_id, vec).collect()
+        if not block:
+            continue
+        shared = spark.sparkContext.broadcast((
+            np.array([r[0] for r in block], dtype=object if q_type == "string" else None),
+            np.array([r[1] for r in block], dtype=np.float64)))
+
+        def score(batches, shared=shared):
+            ids, q = shared.value
+            best = None
+            for pdf in batches:
+                if len(pdf):
+                    c = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec]])
+                    new = _batch_best(ids, q, pdf[c_id].to_numpy(), c, k, q_id, c_id)
+                    best = new if best is None else _best(pd.concat([best, new]), k, q_id, c_id)
+            if best is not None:
+                yield best
+
+        cand = cand.unionByName(corpus.select(c_id, vec).mapInPandas(score, schema))
     w = Window.partitionBy(q_id).orderBy(F.col("score").desc(), F.col(c_id).asc())
     return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
@@ -150,10 +132,10 @@ def rag_prompts(contexts: DataFrame, question_col: str = "question") -> DataFram
 
 
 def label_centroids(embeddings: DataFrame, label: str = "label", vec: str = "embedding") -> DataFrame:
-    """Mean vector per label (double), computed element-wise with a
-    map-side-combined aggregate per (label, position)."""
-    parts = (embeddings.select(label, F.posexplode(vec).alias("_pos", "_x"))
-             .groupBy(label, "_pos").agg(F.avg(F.col("_x").cast("double")).alias("_m")))
-    return (parts.groupBy(label)
-            .agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_m"))),
-                             lambda s: s["_m"]).alias("vector")))
+    """Mean vector per label (double): one map-side-combined vector aggregate."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    rows = embeddings.select(label, array_to_vector(F.col(vec).cast("array<double>")).alias("_v"))
+    return (rows.groupBy(label).agg(Summarizer.mean(F.col("_v")).alias("_m"))
+            .select(label, vector_to_array("_m").alias("vector")))

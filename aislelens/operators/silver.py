@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,17 +19,37 @@ def silver_customers(raw: DataFrame) -> DataFrame:
     return keep_first(typed, ["customer_id"], order)
 
 
+# which of several rows of an order stays: the latest, then a total order on the rest
+def order_survivor() -> list[Column]:
+    return [F.col("order_date").desc_nulls_last()] + [
+        F.col(c).asc_nulls_first() for c in ["customer_id", "store_id", "order_value", "is_returned"]]
+
+
 def silver_orders(raw: DataFrame) -> DataFrame:
-    """Q2: date parsed, value/flag typed, one row per order_id."""
+    """Q2: date parsed, value/flag typed, one row per order_id (``order_survivor``)."""
+    return keep_first(typed_orders(raw), ["order_id"], order_survivor())
+
+
+def typed_orders(raw: DataFrame) -> DataFrame:
+    """Orders with date, value and flag typed; what does not parse is NULL."""
     date = F.col("order_date")
     if isinstance(raw.schema["order_date"].dataType, T.StringType):
         date = F.try_to_date(date)
-    typed = raw.withColumns({"order_date": date,
-                             "order_value": F.col("order_value").try_cast("double"),
-                             "is_returned": F.col("is_returned").try_cast("boolean")})
-    order = [F.col(c).asc_nulls_first() for c in
-             ["customer_id", "store_id", "order_date", "order_value", "is_returned"]]
-    return keep_first(typed, ["order_id"], order)
+    return raw.withColumns({"order_date": date,
+                            "order_value": F.col("order_value").try_cast("double"),
+                            "is_returned": F.col("is_returned").try_cast("boolean")})
+
+
+def recent_orders(raw: DataFrame, since: Column) -> DataFrame:
+    """``silver_orders(raw)`` from the day ``since`` on, read no further back.
+
+    The latest date is the first survivor key, so an order whose survivor is
+    recent has all its recent rows here, and one whose survivor is older has
+    none: filtering before the dedup gives the same rows, and the filter
+    reaches the scan instead of shuffling the whole history.
+    """
+    recent = typed_orders(raw).filter(F.col("order_date") >= since)
+    return keep_first(recent, ["order_id"], order_survivor())
 
 
 def inventory_rolled(raw: DataFrame, window_rows: int = C.ROLLING_SHORT_ROWS) -> DataFrame:
@@ -64,6 +84,13 @@ def silver_inventory(raw: DataFrame, window_rows: int = C.ROLLING_SHORT_ROWS,
     return out.withColumn("load_ts", F.current_timestamp()) if audit else out
 
 
+def _as_date(df: DataFrame, column: str) -> Column:
+    """A date column; strings that are no date become NULL instead of ending the job."""
+    if isinstance(df.schema[column].dataType, T.StringType):
+        return F.try_to_date(F.col(column))
+    return F.col(column).try_cast("date")
+
+
 def crm_summary(events: DataFrame, as_of=None) -> DataFrame:
     """Q4: per-customer event counts, last contact and days since it."""
     day = as_of_date(as_of, events, "event_date")
@@ -71,5 +98,5 @@ def crm_summary(events: DataFrame, as_of=None) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("total_events"),
                  F.count_if(F.col("event_type") == C.EVENT_COMPLAINT).alias("complaints"),
                  F.count_if(F.col("event_type") == C.EVENT_RETURN_REQUEST).alias("return_requests"),
-                 F.max(F.col("event_date").cast("date")).alias("last_contact_date"))
+                 F.max(_as_date(events, "event_date")).alias("last_contact_date"))
             .withColumn("days_since_last_contact", F.datediff(day, F.col("last_contact_date"))))

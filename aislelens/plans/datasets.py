@@ -15,9 +15,12 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Thresholds
 from ..operators import assistant, churn, corpus, forecast, gold, retrieval, silver
+from ..operators.dedup import as_of_date
+from ..session import file_state
 from ..sources.adapter import Source
 
 
+# fitted churn models of this process, by application, thresholds and the state of the input files
 _FITTED: dict = {}
 
 
@@ -36,10 +39,6 @@ class Datasets:
     def stores(self) -> DataFrame:
         return self.src.stores
 
-    @property
-    def stores_small(self) -> DataFrame:
-        return self.src.stores_small
-
     # -- silver ------------------------------------------------------------
     @cached_property
     def customers(self) -> DataFrame:
@@ -59,10 +58,15 @@ class Datasets:
     # -- gold --------------------------------------------------------------
     @cached_property
     def order_features(self) -> DataFrame:
-        return gold.order_features(self.orders, self.orders_as_of, self.t.lookback_days)
+        """Over the recent orders alone: the run date comes from the raw scan,
+        and the date filter reaches it."""
+        raw = self.src.orders_raw
+        day = as_of_date(self.orders_as_of, silver.typed_orders(raw), "order_date")
+        recent = silver.recent_orders(raw, F.date_sub(day, self.t.lookback_days))
+        return gold.order_features(recent, day, self.t.lookback_days)
 
     def customer_360(self, audit: bool = False) -> DataFrame:
-        return gold.customer_360(self.customers, self.stores_small, self.order_features,
+        return gold.customer_360(self.customers, self.stores, self.order_features,
                                  self.crm_summary, self.t.churn_days, audit=audit)
 
     @cached_property
@@ -79,7 +83,7 @@ class Datasets:
 
     @cached_property
     def staffing_summary(self) -> DataFrame:
-        return gold.staffing_summary(self.src.staffing_raw, self.stores_small)
+        return gold.staffing_summary(self.src.staffing_raw, self.stores)
 
     # -- forecast ----------------------------------------------------------
     @cached_property
@@ -96,7 +100,7 @@ class Datasets:
 
     @cached_property
     def daily_spine(self) -> DataFrame:
-        return forecast.daily_spine(self.inventory(), self.t, self.src.inventory_raw.select("txn_date"))
+        return forecast.daily_spine(self.inventory(), self.t)
 
     # -- churn -------------------------------------------------------------
     @cached_property
@@ -111,8 +115,10 @@ class Datasets:
     @property
     def fitted(self):
         """(model, metrics, path) of the GBT churn model, fitted once per
-        input folder and session; later calls load the saved model."""
-        key = (id(self.spark), self.src.sf_dir, self.t)
+        state of the input files; new data in the same folder is fitted anew."""
+        state = tuple(file_state(self.spark, f"{self.src.sf_dir}/{t}.parquet")
+                      for t in ("customer", "orders", "events", "nation", "region"))
+        key = (self.spark.sparkContext.applicationId, self.src.sf_dir, self.t, state)
         if key not in _FITTED:
             _FITTED[key] = churn.fit_churn(self.customer_360(), self.churn_labels)
         return _FITTED[key]

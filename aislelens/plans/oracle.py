@@ -12,8 +12,6 @@ import re
 
 from .. import config as C
 
-SKU_N = C.N_SKUS
-
 
 def rr(num: str, den: str, places: int) -> str:
     """HALF_UP round of num/den (integers) to ``places`` decimals, as DOUBLE."""
@@ -26,8 +24,8 @@ def rr_long(num: str, den: str) -> str:
     return f"(CASE WHEN ({den}) <> 0 THEN CAST((({num}) * 2 + ({den})) // (({den}) * 2) AS BIGINT) END)"
 
 
-def cents(x: str) -> str:
-    return f"CAST(round(({x}) * 100) AS BIGINT)"
+def micros(x: str) -> str:
+    return f"CAST(round(({x}) * 1000000) AS BIGINT)"
 
 
 def _sql_list(words) -> str:
@@ -48,9 +46,9 @@ FROM nation JOIN region ON n_regionkey = r_regionkey"""
 
 CTE["b_skus"] = f"""
 SELECT sku_id, printf('SKU_%04d', sku_id) AS sku_name,
-       {_case_index('(sku_id - 1) % 10', C.SKU_CATEGORIES)} AS category,
-       CASE {' '.join(f"WHEN (sku_id - 1) % 10 = {i} THEN CAST({C.SKU_CATEGORY_PRICE[c]} AS DOUBLE)" for i, c in enumerate(C.SKU_CATEGORIES))} END AS avg_unit_price
-FROM (SELECT DISTINCT p_partkey % {SKU_N} + 1 AS sku_id FROM part)"""
+       {_case_index('(sku_id + 9) % 10', C.SKU_CATEGORIES)} AS category,
+       CASE {' '.join(f"WHEN (sku_id + 9) % 10 = {i} THEN CAST({C.SKU_CATEGORY_PRICE[c]} AS DOUBLE)" for i, c in enumerate(C.SKU_CATEGORIES))} END AS avg_unit_price
+FROM (SELECT DISTINCT CAST(p_partkey AS BIGINT) AS sku_id FROM part)"""
 
 CTE["b_customers_raw"] = f"""
 SELECT c_custkey AS customer_id, c_name AS customer_name, CAST(c_nationkey AS BIGINT) AS store_id,
@@ -63,7 +61,7 @@ CTE["b_orders_raw"] = """
 SELECT o_orderkey AS order_id, o_custkey AS customer_id, CAST(c_nationkey AS BIGINT) AS store_id,
        CAST(o_orderdate AS DATE) AS order_date, o_totalprice AS order_value,
        o_orderkey % 8 = 0 AS is_returned
-FROM orders JOIN customer ON o_custkey = c_custkey"""
+FROM orders LEFT JOIN customer ON o_custkey = c_custkey"""
 
 _crm_type = ("CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in C.CRM_EVENT_TYPES.items())
              + f" ELSE '{C.CRM_DEFAULT_EVENT_TYPE}' END")
@@ -73,14 +71,17 @@ SELECT event_id, customer_id, event_type, event_date,
 FROM (SELECT event_id, user_id AS customer_id, {_crm_type} AS event_type, CAST(ts AS DATE) AS event_date
       FROM events)"""
 
-CTE["b_inventory_raw"] = f"""
-SELECT CAST(s_nationkey AS BIGINT) AS store_id, l_partkey % {SKU_N} + 1 AS sku_id, d AS txn_date,
-       CAST(l_quantity AS INTEGER) AS qty_sold, p_retailprice AS unit_price,
-       CAST(CASE WHEN (date_diff('day', DATE '1995-01-01', d) + l_partkey) % 10 = 0 THEN 0
-                 ELSE 10 + (date_diff('day', DATE '1995-01-01', d) * 7 + l_partkey * 3) % 80 END AS INTEGER)
-         AS inventory_on_hand
-FROM (SELECT *, CAST(l_shipdate AS DATE) AS d FROM lineitem)
-JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey"""
+CTE["b_inventory_raw"] = """
+SELECT store_id, sku_id, txn_date, CAST(SUM(qty) AS BIGINT) AS qty_sold, MAX(price) AS unit_price,
+       MAX(on_hand) AS inventory_on_hand
+FROM (SELECT CAST(s_nationkey AS BIGINT) AS store_id, CAST(l_partkey AS BIGINT) AS sku_id, d AS txn_date,
+             CAST(l_quantity AS BIGINT) AS qty, p_retailprice AS price,
+             CAST(CASE WHEN (date_diff('day', DATE '1995-01-01', d) + l_partkey) % 10 = 0 THEN 0
+                       ELSE 10 + (date_diff('day', DATE '1995-01-01', d) * 7 + l_partkey * 3) % 80 END AS INTEGER)
+               AS on_hand
+      FROM (SELECT *, CAST(l_shipdate AS DATE) AS d FROM lineitem)
+      LEFT JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN part ON l_partkey = p_partkey)
+GROUP BY store_id, sku_id, txn_date"""
 
 CTE["b_staffing_raw"] = f"""
 SELECT CAST(s_nationkey AS BIGINT) AS store_id,
@@ -102,8 +103,8 @@ WHERE rn = 1"""
 
 CTE["s_orders"] = """
 SELECT order_id, customer_id, store_id, order_date, order_value, is_returned
-FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY order_id ORDER BY customer_id NULLS FIRST,
-             store_id NULLS FIRST, order_date NULLS FIRST, order_value NULLS FIRST,
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY order_id ORDER BY order_date DESC NULLS LAST,
+             customer_id NULLS FIRST, store_id NULLS FIRST, order_value NULLS FIRST,
              is_returned NULLS FIRST) AS rn
       FROM b_orders_raw)
 WHERE rn = 1"""
@@ -135,12 +136,12 @@ FROM b_crm_events_raw GROUP BY customer_id"""
 # ---------------------------------------------------------------- gold
 CTE["g_order_features"] = f"""
 SELECT customer_id, COUNT(*) AS order_count_90d,
-       CAST(SUM(c) AS DOUBLE) / 100 AS total_spend_90d,
-       {rr('SUM(c)', 'COUNT(*) * 100', 2)} AS avg_order_value,
+       CAST(SUM(c) AS DOUBLE) / 1000000 AS total_spend_90d,
+       {rr('SUM(c)', 'COUNT(*) * 1000000', 2)} AS avg_order_value,
        MAX(order_date) AS last_order_date,
        CAST(date_diff('day', MAX(order_date), (SELECT MAX(order_date) FROM s_orders)) AS INTEGER) AS recency_days,
        {rr('COUNT(*) FILTER (WHERE is_returned)', 'COUNT(*)', 3)} AS return_rate
-FROM (SELECT *, {cents('order_value')} AS c FROM s_orders)
+FROM (SELECT *, {micros('order_value')} AS c FROM s_orders)
 WHERE order_date >= (SELECT MAX(order_date) FROM s_orders) - {C.CHURN_LOOKBACK_DAYS}
 GROUP BY customer_id"""
 
@@ -188,15 +189,15 @@ _fcat = _case_index("sku_id % 5", C.FORECAST_CATEGORIES)
 CTE["f_signals_exact"] = f"""
 SELECT sku_id, '{C.FORECAST_SKU_PREFIX}' || CAST(sku_id AS VARCHAR) AS sku_name, {_fcat} AS category, txn_date,
        total_qty_sold, CAST(_inv_sum AS DOUBLE) / _inv_n AS avg_inventory,
-       CAST(_price_cents AS DOUBLE) / CAST(_price_n * 100 AS DOUBLE) AS avg_unit_price,
+       CAST(_price_sum AS DOUBLE) / 1000000 / _price_n AS avg_unit_price,
        {rr('_s_sum', '_s_n', 1)} AS demand_7d_avg, {rr('_l_sum', '_l_n', 1)} AS demand_14d_avg,
        {rr_long('_s_sum * 10', '_s_n')} AS _t7, {rr_long('_l_sum * 10', '_l_n')} AS _t14,
-       _price_cents, _price_n
+       _price_sum, _price_n
 FROM (SELECT *, SUM(total_qty_sold) OVER ws AS _s_sum, COUNT(total_qty_sold) OVER ws AS _s_n,
              SUM(total_qty_sold) OVER wl AS _l_sum, COUNT(total_qty_sold) OVER wl AS _l_n
       FROM (SELECT sku_id, txn_date, CAST(SUM(CAST(qty_sold AS BIGINT)) AS BIGINT) AS total_qty_sold,
                    SUM(CAST(inventory_on_hand AS BIGINT)) AS _inv_sum, COUNT(inventory_on_hand) AS _inv_n,
-                   SUM({cents('unit_price')}) AS _price_cents, COUNT(unit_price) AS _price_n
+                   SUM({micros('unit_price')}) AS _price_sum, COUNT(unit_price) AS _price_n
             FROM s_inventory GROUP BY sku_id, txn_date)
       WINDOW ws AS (PARTITION BY sku_id ORDER BY txn_date ROWS BETWEEN {C.ROLLING_SHORT_ROWS - 1} PRECEDING AND CURRENT ROW),
              wl AS (PARTITION BY sku_id ORDER BY txn_date ROWS BETWEEN {C.ROLLING_LONG_ROWS - 1} PRECEDING AND CURRENT ROW))"""
@@ -213,26 +214,24 @@ FROM (SELECT sku_id, sku_name, category, demand_7d_avg, demand_14d_avg,
              CASE WHEN _t7 * 100 > _t14 * {100 + _band} THEN 'UP'
                   WHEN _t7 * 100 < _t14 * {100 - _band} THEN 'DOWN' ELSE 'FLAT' END AS trend,
              CAST({rr_long(f'_t7 * {C.FORECAST_HORIZON_DAYS}', '10')} AS INTEGER) AS predicted_units_7d,
-             txn_date AS signal_date, {rr('_price_cents', '_price_n * 100', 2)} AS avg_unit_price
+             txn_date AS signal_date, {rr('_price_sum', '_price_n * 1000000', 2)} AS avg_unit_price
       FROM f_signals_exact WHERE txn_date = (SELECT MAX(txn_date) FROM f_signals_exact))"""
 
 CTE["f_spine"] = f"""
-SELECT store_id, sku_id, txn_date, day_of_week, seasonal_mult, is_observed, is_stockout, qty_sold,
-       unit_price, inventory_on_hand,
-       CAST(SUM(CAST(qty_sold AS BIGINT)) OVER w AS DOUBLE) / COUNT(*) OVER w AS demand_7d_calendar_avg
-FROM (SELECT sp.store_id, sp.sku_id, sp.txn_date, CAST(dayofweek(sp.txn_date) + 1 AS INTEGER) AS day_of_week,
-             CASE WHEN dayofweek(sp.txn_date) + 1 IN (1, 7) THEN CAST(1.2 AS DOUBLE)
-                  WHEN dayofweek(sp.txn_date) + 1 = 2 THEN CAST(0.85 AS DOUBLE) ELSE CAST(1.0 AS DOUBLE) END
-               AS seasonal_mult,
-             (i.qty_sold IS NOT NULL OR i.inventory_on_hand IS NOT NULL) AS is_observed,
-             COALESCE(i.inventory_on_hand, 0) = 0 AS is_stockout,
-             COALESCE(i.qty_sold, 0) AS qty_sold, i.unit_price, COALESCE(i.inventory_on_hand, 0) AS inventory_on_hand
-      FROM (SELECT store_id, sku_id, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS txn_date
-            FROM (SELECT DISTINCT store_id, sku_id FROM s_inventory),
-                 (SELECT MIN(txn_date) AS lo, MAX(txn_date) AS hi FROM s_inventory)) sp
-      LEFT JOIN s_inventory i ON sp.store_id = i.store_id AND sp.sku_id = i.sku_id AND sp.txn_date = i.txn_date)
-WINDOW w AS (PARTITION BY store_id, sku_id ORDER BY txn_date
-             ROWS BETWEEN {C.ROLLING_SHORT_ROWS - 1} PRECEDING AND CURRENT ROW)"""
+SELECT store_id, sku_id, MIN(txn_date) AS first_day, MAX(txn_date) AS last_day, COUNT(*) AS days,
+       COUNT(*) FILTER (WHERE is_observed) AS observed_days, COUNT(*) FILTER (WHERE is_stockout) AS stockout_days,
+       CAST(SUM(qty_sold) AS BIGINT) AS units, MAX(_avg) AS peak_demand_7d
+FROM (SELECT *, CAST(SUM(qty_sold) OVER w AS DOUBLE) / COUNT(*) OVER w AS _avg
+      FROM (SELECT sp.store_id, sp.sku_id, sp.txn_date,
+                   (i.qty_sold IS NOT NULL OR i.inventory_on_hand IS NOT NULL) AS is_observed,
+                   COALESCE(i.inventory_on_hand, 0) = 0 AS is_stockout, COALESCE(i.qty_sold, 0) AS qty_sold
+            FROM (SELECT store_id, sku_id, CAST(unnest(generate_series(MIN(txn_date), MAX(txn_date), INTERVAL 1 DAY)) AS DATE)
+                           AS txn_date
+                  FROM s_inventory GROUP BY store_id, sku_id) sp
+            LEFT JOIN s_inventory i ON sp.store_id = i.store_id AND sp.sku_id = i.sku_id AND sp.txn_date = i.txn_date)
+      WINDOW w AS (PARTITION BY store_id, sku_id ORDER BY txn_date
+                   ROWS BETWEEN {C.ROLLING_SHORT_ROWS - 1} PRECEDING AND CURRENT ROW))
+GROUP BY store_id, sku_id"""
 
 # ---------------------------------------------------------------- churn
 CTE["c_labels"] = f"""
@@ -257,13 +256,13 @@ FROM (SELECT *, round(CAST(1 AS DOUBLE) / (CAST(1 AS DOUBLE)
 
 # ---------------------------------------------------------------- KPIs
 _HIGH = C.TIER_LABELS[2]
-_micro = "CAST(round(churn_prob * 1000000) AS BIGINT)"
+_prob = "CAST(round(churn_prob * 1000000000000) AS BIGINT)"
 CTE["k_tiers"] = f"""
 SELECT risk_tier, customers, {rr('customers * 100', 'SUM(customers) OVER ()', 1)} AS pct
 FROM (SELECT risk_tier, COUNT(*) AS customers FROM c_scores GROUP BY risk_tier)"""
 
 CTE["k_revenue"] = f"""
-SELECT {rr(f"SUM({cents('c.total_spend_90d')})", '300', 0)} AS monthly_revenue_at_risk,
+SELECT {rr(f"SUM({micros('c.total_spend_90d')})", '3000000', 0)} AS monthly_revenue_at_risk,
        COUNT(*) AS high_risk_customers
 FROM c_scores cs JOIN g_customer_360 c USING (customer_id) WHERE cs.risk_tier = '{_HIGH}'"""
 
@@ -276,8 +275,8 @@ SELECT COUNT(*) FILTER (WHERE inventory_status = 'REORDER NOW') AS reorder_count
 
 CTE["k_risk_list"] = f"""
 SELECT customer_id, customer_name, region, segment, recency_days, order_count_90d,
-       CAST({cents('total_spend_90d')} AS DOUBLE) / 100 AS total_spend_90d,
-       {rr(_micro, '1000000', 3)} AS churn_prob, risk_tier
+       {rr(micros('total_spend_90d'), '1000000', 2)} AS total_spend_90d,
+       {rr(_prob, '1000000000000', 3)} AS churn_prob, risk_tier
 FROM c_scores WHERE risk_tier = '{_HIGH}' ORDER BY c_scores.churn_prob DESC, customer_id LIMIT 25"""
 
 CTE["k_layer_counts"] = "\nUNION ALL\n".join(
@@ -348,7 +347,7 @@ _nq = f"lower(regexp_replace(question, '^{_ws}+|{_ws}+$', '', 'g'))"
 CTE["a_texts"] = f"""
 SELECT
   (SELECT printf('{C.KPI_TEXT}', COUNT(*), COUNT(*) FILTER (WHERE risk_tier = 'High'),
-          {rr('SUM(CAST(round(churn_prob * 1000000) AS BIGINT))', 'COUNT(*) * 10000', 1)}) FROM c_scores) AS kpi,
+          {rr(f'SUM({_prob})', 'COUNT(*) * 10000000000', 1)}) FROM c_scores) AS kpi,
   (SELECT CASE WHEN avg_dos IS NOT NULL THEN printf('{C.INVENTORY_TEXT}', cnt, avg_dos) END
      FROM (SELECT COUNT(*) AS cnt,
                   {rr('SUM(CAST(round(days_of_supply * 10) AS BIGINT))', 'COUNT(days_of_supply) * 10', 1)} AS avg_dos
@@ -421,6 +420,8 @@ _checks = [
     ("silver.inventory one row per store, sku, day",
      "SELECT COUNT(*) FROM (SELECT DISTINCT store_id, sku_id, txn_date FROM b_inventory_raw)",
      "SELECT COUNT(*) FROM s_inventory"),
+    ("units in silver.inventory = units in lineitem",
+     "SELECT SUM(CAST(l_quantity AS BIGINT)) FROM lineitem", "SELECT SUM(qty_sold) FROM s_inventory"),
     ("silver.crm_summary one row per customer with events",
      "SELECT COUNT(DISTINCT customer_id) FROM b_crm_events_raw", "SELECT COUNT(*) FROM s_crm_summary"),
     ("gold.customer_360 one row per customer", "SELECT COUNT(*) FROM s_customers",

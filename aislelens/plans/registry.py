@@ -16,7 +16,7 @@ from ..operators import churn as CH
 from ..operators import forecast as FC
 from ..operators import kpis as K
 from ..operators import quality as Q
-from ..streaming.incremental import refresh_crm_summary
+from ..streaming.incremental import refresh_crm_summary, refresh_silver_orders
 from . import oracle as O
 from .datasets import Datasets
 
@@ -52,7 +52,7 @@ def queries() -> dict[str, Query]:
         "demand_forecast": lambda s, d: _p(s, d).demand_forecast,
         "demand_top10": lambda s, d: FC.top_demand(_p(s, d).demand_forecast, 10),
         "demand_top20": lambda s, d: FC.demand_serving(_p(s, d).demand_forecast, 20),
-        "inventory_daily_spine": lambda s, d: _p(s, d).daily_spine,
+        "inventory_daily_spine": lambda s, d: FC.spine_summary(_p(s, d).daily_spine),
         # M1/Q12 label, rule-score twin of Q13, Q13 model scores (rows-only)
         "churn_label": lambda s, d: _p(s, d).churn_labels,
         "churn_scores_rule": lambda s, d: _p(s, d).rule_scores,
@@ -97,7 +97,9 @@ def queries() -> dict[str, Query]:
         # D1-D3 quality, ST1 incremental refresh
         "expectation_report": _expectation_report,
         "validation_checks": lambda s, d: Q.validation_checks(_p(s, d)),
-        "crm_summary_incremental": lambda s, d: refresh_crm_summary(s, d, "events.parquet"),
+        "crm_summary_incremental": lambda s, d: refresh_crm_summary(s, f"{d}/events.parquet"),
+        "silver_orders_incremental": lambda s, d: refresh_silver_orders(
+            s, f"{d}/orders.parquet", _p(s, d).src.table("customer")),
     }
     return q
 
@@ -132,7 +134,7 @@ def _executive_summary(spark, sf_dir):
 
 def _alerts_served(spark, sf_dir):
     p = _p(spark, sf_dir)
-    return K.inventory_alerts_served(p.inventory_health, p.stores_small, 25)
+    return K.inventory_alerts_served(p.inventory_health, p.stores, 25)
 
 
 def _weekly_revenue(spark, sf_dir):
@@ -142,7 +144,7 @@ def _weekly_revenue(spark, sf_dir):
 
 def _regional_stockouts(spark, sf_dir):
     p = _p(spark, sf_dir)
-    return K.regional_stockouts(p.inventory_health, p.stores_small)
+    return K.regional_stockouts(p.inventory_health, p.stores)
 
 
 def oracle_sql() -> dict[str, str]:
@@ -234,7 +236,7 @@ def oracle_sql() -> dict[str, str]:
             {O.rr("COUNT(*) FILTER (WHERE inventory_status = 'REORDER NOW') * 100", 'COUNT(*)', 1)} AS stockout_rate_pct
             FROM g_inventory_health"""),
         "weekly_revenue_at_risk": O.sql(f"""SELECT
-            {O.rr(f"SUM(CAST(round(h.avg_daily_demand_7d * 10) AS BIGINT) * {O.cents('i.unit_price')} * 7)", '1000', 2)}
+            {O.rr(f"SUM(CAST(round(h.avg_daily_demand_7d * 10) AS BIGINT) * {O.micros('i.unit_price')} * 7)", '10000000', 2)}
               AS weekly_revenue_at_risk,
             COUNT(*) AS reorder_combos
             FROM g_inventory_health h JOIN s_inventory i
@@ -252,6 +254,7 @@ def oracle_sql() -> dict[str, str]:
         "expectation_report": s("q_expectations"),
         "validation_checks": s("q_checks"),
         "crm_summary_incremental": s("s_crm_summary"),
+        "silver_orders_incremental": s("s_orders"),
         "assistant_messages": O.sql(f"""SELECT question_id,
             printf('{C.ASSISTANT_SYSTEM_TEMPLATE}', (SELECT COUNT(*) FROM c_scores)) AS system_message,
             'LIVE RETAIL DATA:' || chr(10) || context || chr(10) || chr(10) || 'QUESTION: ' || question

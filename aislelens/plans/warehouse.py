@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..config import DEFAULT, Thresholds
 from ..operators import assistant, churn, corpus, forecast, gold, kpis, quality, retrieval, silver
-from ..operators.joins import sized_broadcast
 from ..sources.adapter import Source
 
 
@@ -150,7 +149,7 @@ def refresh_gold(wh: Warehouse, t: Thresholds = DEFAULT) -> None:
     orders = wh.table("orders")
     as_of = _max_date(orders, "order_date")
     features = gold.order_features(orders, as_of, t.lookback_days)
-    stores = sized_broadcast(wh.table("stores"))
+    stores = wh.table("stores")
     wh.write("customer_360", gold.customer_360(wh.table("customers"), stores, features,
                                                wh.table("crm_summary"), t.churn_days, audit=True))
     wh.write("inventory_health", gold.inventory_health(wh.table("inventory"), t.reorder_days,
@@ -246,7 +245,7 @@ def serve_demand(wh: Warehouse) -> DataFrame:
 
 
 def serve_inventory_alerts(wh: Warehouse) -> DataFrame:
-    return kpis.inventory_alerts_served(wh.table("inventory_health"), sized_broadcast(wh.table("stores")), 25)
+    return kpis.inventory_alerts_served(wh.table("inventory_health"), wh.table("stores"), 25)
 
 
 def _layer_names(wh: Warehouse) -> dict[str, str]:

@@ -39,8 +39,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
-def cluster_conf(input_bytes: int, partition_bytes: int = 256 << 20,
-                 max_shuffle_partitions: int = 100_000) -> dict[str, str]:
+def cluster_conf(input_bytes: int, partition_bytes: int = 256 << 20) -> dict[str, str]:
     """Settings sized to the input so tasks fit executor memory.
 
     Scans split files at ``partition_bytes``; shuffles start with about one
@@ -48,7 +47,7 @@ def cluster_conf(input_bytes: int, partition_bytes: int = 256 << 20,
     after partial aggregation and splits skewed ones). Streaming state lives
     in RocksDB so per-customer state can exceed the heap.
     """
-    parts = min(max(200, math.ceil(input_bytes / partition_bytes)), max_shuffle_partitions)
+    parts = max(200, math.ceil(input_bytes / partition_bytes))
     return {
         "spark.sql.files.maxPartitionBytes": str(partition_bytes),
         "spark.sql.shuffle.partitions": str(parts),
@@ -70,11 +69,15 @@ def apply_conf(spark: SparkSession, conf: dict[str, str]) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-shared folder for checkpoints and materialised tables.
 
-    Read from ``spark.checkpoint.dir``; only when it is unset (local runs)
-    a fresh folder is created and registered, as tests do.
+    Read from ``spark.checkpoint.dir``; only when it is unset on a local
+    master a fresh folder is created and registered, as tests do. On a
+    cluster an unset folder is an error: each executor would write to its
+    own disk.
     """
     d = spark.conf.get(CHECKPOINT_CONF, None)
     if not d:
+        if not is_local(spark.sparkContext.master):
+            raise ValueError(f"{CHECKPOINT_CONF} must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="aislelens-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, d)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -82,6 +85,36 @@ def shared_dir(spark: SparkSession) -> str:
     return d
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process."""
+    return master == "local" or master.startswith("local[")
+
+
+def file_state(spark: SparkSession, path: str) -> tuple:
+    """(name, length, modification time) of a file, or of the files in a folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
+
+
+def is_file(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile()
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Removes a folder of the shared store that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder; none if it does not exist."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in fs.listStatus(at)) if fs.exists(at) else []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique path below the shared folder."""
     return os.path.join(shared_dir(spark), "tables", f"{name}-{uuid.uuid4().hex[:12]}")

@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..operators.joins import sized_broadcast
 
 DRIVER_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
                  "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -44,6 +43,18 @@ def crm_from_events(events: DataFrame) -> DataFrame:
                                           F.lit(C.NOTE_PARTS[2]))))
 
 
+def orders_view(o: DataFrame, c: DataFrame) -> DataFrame:
+    """Orders (bronze) from the raw orders, batch or stream; an order of an
+    unknown customer stays, without a store."""
+    return (o.join(c.select("c_custkey", "c_nationkey"), o.o_custkey == c.c_custkey, "left")
+            .select(F.col("o_orderkey").alias("order_id"),
+                    F.col("o_custkey").alias("customer_id"),
+                    F.col("c_nationkey").cast("long").alias("store_id"),
+                    F.col("o_orderdate").cast("date").alias("order_date"),
+                    F.col("o_totalprice").alias("order_value"),
+                    (F.col("o_orderkey") % 8 == 0).alias("is_returned")))
+
+
 class Source:
     """Lazily read driver tables and the bronze views built over them."""
 
@@ -74,18 +85,12 @@ class Source:
                         F.col("r_name").alias("region"),
                         F.col("n_name").alias("state")))
 
-    @cached_property
-    def stores_small(self) -> DataFrame:
-        """Stores, broadcast when the row-count check allows it."""
-        return sized_broadcast(self.stores)
-
     @cached_property
     def skus(self) -> DataFrame:
-        sku = (F.col("p_partkey") % C.N_SKUS + 1).cast("long")
         cats = F.array(*[F.lit(c) for c in C.SKU_CATEGORIES])
         prices = F.array(*[F.lit(C.SKU_CATEGORY_PRICE[c]) for c in C.SKU_CATEGORIES])
-        pos = ((F.col("sku_id") - 1) % len(C.SKU_CATEGORIES) + 1).cast("int")
-        return (self.table("part").select(sku.alias("sku_id")).distinct()
+        pos = (F.pmod(F.col("sku_id") - 1, F.lit(len(C.SKU_CATEGORIES))) + 1).cast("int")
+        return (self.table("part").select(F.col("p_partkey").cast("long").alias("sku_id")).distinct()
                 .select("sku_id",
                         F.format_string(C.SKU_NAME_FORMAT, F.col("sku_id")).alias("sku_name"),
                         F.element_at(cats, pos).alias("category"),
@@ -108,15 +113,7 @@ class Source:
 
     @cached_property
     def orders_raw(self) -> DataFrame:
-        o, c = self.table("orders"), self.table("customer")
-        raw = (o.join(c.select("c_custkey", "c_nationkey"), o.o_custkey == c.c_custkey)
-               .select(F.col("o_orderkey").alias("order_id"),
-                       F.col("o_custkey").alias("customer_id"),
-                       F.col("c_nationkey").cast("long").alias("store_id"),
-                       F.col("o_orderdate").cast("date").alias("order_date"),
-                       F.col("o_totalprice").alias("order_value"),
-                       (F.col("o_orderkey") % 8 == 0).alias("is_returned")))
-        return self._lagged(raw, "order_date")
+        return self._lagged(orders_view(self.table("orders"), self.table("customer")), "order_date")
 
     @cached_property
     def crm_events_raw(self) -> DataFrame:
@@ -129,15 +126,21 @@ class Source:
         dn = F.datediff(day, F.lit(EPOCH).cast("date"))
         on_hand = (F.when((dn + F.col("l_partkey")) % 10 == 0, F.lit(0))
                    .otherwise(10 + (dn * 7 + F.col("l_partkey") * 3) % 80)).cast("int")
-        return (li.select("l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
-                .join(s.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
-                .join(p.select("p_partkey", "p_retailprice"), F.col("l_partkey") == F.col("p_partkey"))
-                .select(F.col("s_nationkey").cast("long").alias("store_id"),
-                        (F.col("l_partkey") % C.N_SKUS + 1).cast("long").alias("sku_id"),
-                        day.alias("txn_date"),
-                        F.col("l_quantity").cast("int").alias("qty_sold"),
-                        F.col("p_retailprice").alias("unit_price"),
-                        on_hand.alias("inventory_on_hand")))
+        # a line whose supplier or part is unknown stays (store or price null): bronze loses no units
+        lines = (li.select("l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
+                 .join(s.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"), "left")
+                 .join(p.select("p_partkey", "p_retailprice"), F.col("l_partkey") == F.col("p_partkey"), "left")
+                 .select(F.col("s_nationkey").cast("long").alias("store_id"),
+                         F.col("l_partkey").cast("long").alias("sku_id"),
+                         day.alias("txn_date"),
+                         F.col("l_quantity").cast("long").alias("qty_sold"),
+                         F.col("p_retailprice").alias("unit_price"),
+                         on_hand.alias("inventory_on_hand")))
+        # one movement per store, SKU and day: units add up; price and on-hand are functions
+        # of the part and the day, so all lines of a movement agree on them
+        return (lines.groupBy("store_id", "sku_id", "txn_date")
+                .agg(F.sum("qty_sold").alias("qty_sold"), F.max("unit_price").alias("unit_price"),
+                     F.max("inventory_on_hand").alias("inventory_on_hand")))
 
     @cached_property
     def staffing_raw(self) -> DataFrame:

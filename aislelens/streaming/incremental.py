@@ -1,27 +1,82 @@
-"""ST1: triggered (availableNow) incremental refresh of the CRM summary.
-
-New event files are picked up by a file stream and mapped with the same
-bronze logic as the batch path. The per-customer counts and last contact
-date are a streaming aggregation: Spark keeps them in the state store under
-the checkpoint location, so a restarted refresh resumes where it stopped
-and only reads new files. Each micro-batch writes the complete summary to
-its own ``v<batch>`` folder (no MERGE in parquet, and a failed write never
-clobbers the previous snapshot).
+"""ST1, U2: triggered (availableNow) incremental refreshes.
+
+New files are picked up by a file stream over the table path (a file or a
+directory of part files) and mapped with the same bronze logic as the batch
+path. Each micro-batch writes only what it changed to its own ``epoch=<n>``
+folder, so a retried batch overwrites only itself, nothing depends on how
+late a row arrives, and a trigger without new files leaves everything as it
+is. Readers take the rows of the latest state per key; after a refresh with
+many epochs they are compacted into one ``base=<n>`` folder.
 """
 
 from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..session import scratch_path
-from ..sources.adapter import crm_from_events
+from ..operators.dedup import keep_first
+from ..operators.silver import order_survivor, typed_orders
+from ..session import delete_path, folder_names, is_file, scratch_path
+from ..sources.adapter import crm_from_events, orders_view
 
-SUMMARY_SCHEMA = ("customer_id long, total_events long, complaints long, return_requests long, "
-                  "last_contact_date date")
+COMPACT_EPOCHS = 20
+
+
+class Epochs:
+    """Rows by epoch in ``folder``; ``keys`` and ``order`` say which row of a key is current.
+
+    ``order`` may use the column ``epoch``.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, schema, keys: list[str], order: list[Column]):
+        self.spark, self.folder, self.schema, self.keys, self.order = spark, folder, schema, keys, order
+
+    def write(self, rows: DataFrame, epoch: int) -> None:
+        rows.write.mode("overwrite").parquet(os.path.join(self.folder, f"epoch={epoch}"))
+
+    def _complete(self, kind: str) -> list[int]:
+        found = [int(n.split("=")[1]) for n in folder_names(self.spark, self.folder) if n.startswith(f"{kind}=")]
+        return sorted(n for n in found if "_SUCCESS" in folder_names(self.spark, os.path.join(self.folder, f"{kind}={n}")))
+
+    def _state(self) -> tuple[list[int], list[int]]:
+        bases = self._complete("base")
+        return bases, [n for n in self._complete("epoch") if not bases or n > bases[-1]]
+
+    def current(self) -> DataFrame:
+        """The current row of each key."""
+        bases, epochs = self._state()
+        parts = [("base", n) for n in bases[-1:]] + [("epoch", n) for n in epochs]
+        rows = self.spark.createDataFrame([], self.schema).withColumn("epoch", F.lit(0).cast("long"))
+        for kind, n in parts:
+            part = self.spark.read.schema(self.schema).parquet(os.path.join(self.folder, f"{kind}={n}"))
+            rows = rows.unionByName(part.withColumn("epoch", F.lit(n).cast("long")))
+        return keep_first(rows, self.keys, self.order).drop("epoch")
+
+    def compact(self, at_least: int = COMPACT_EPOCHS) -> None:
+        """One new base of all epochs; the base before stays for running readers, older folders go."""
+        bases, epochs = self._state()
+        if len(epochs) < at_least:
+            return
+        self.current().write.mode("overwrite").parquet(os.path.join(self.folder, f"base={epochs[-1]}"))
+        for n in bases[:-1]:
+            delete_path(self.spark, os.path.join(self.folder, f"base={n}"))
+        for n in self._complete("epoch"):
+            if bases and n <= bases[-1]:
+                delete_path(self.spark, os.path.join(self.folder, f"epoch={n}"))
+
+
+def _read_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None) -> DataFrame:
+    """The files of a table that is a file or a folder of part files."""
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    if is_file(spark, path):  # a stream's path is a folder
+        folder, _, name = path.rpartition("/")
+        return reader.option("pathGlobFilter", name).parquet(folder)
+    return reader.parquet(path)
 
 
 def summary_aggregate(events: DataFrame) -> DataFrame:
@@ -34,69 +89,50 @@ def summary_aggregate(events: DataFrame) -> DataFrame:
                  F.max("event_date").alias("last_contact_date")))
 
 
-def _snapshot_writer(out_dir: str):
-    def run(batch: DataFrame, epoch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(os.path.join(out_dir, f"v{epoch_id:08d}"))
-    return run
-
-
-def refresh_crm_summary(spark: SparkSession, events_dir: str, pattern: str = "*.parquet",
-                        out_dir: str | None = None, checkpoint: str | None = None,
-                        max_files_per_trigger: int | None = None, as_of=None) -> DataFrame:
-    """Run the triggered refresh over the event files in ``events_dir``
-    matching ``pattern`` to completion and return the summary.
+def refresh_crm_summary(spark: SparkSession, events_path: str, out_dir: str | None = None,
+                        checkpoint: str | None = None, max_files_per_trigger: int | None = None,
+                        as_of=None) -> DataFrame:
+    """Run the triggered refresh over the event files at ``events_path`` to
+    completion and return the summary as it stands.
 
+    The counts are a streaming aggregation whose state lives under the
+    checkpoint; each batch emits the changed customers only (update mode).
     ``days_since_last_contact`` is computed on read against ``as_of``
     (default: the latest contact in the summary, i.e. the latest event).
     """
     out_dir = out_dir or scratch_path(spark, "crm-summary-stream")
     checkpoint = checkpoint or scratch_path(spark, "crm-summary-checkpoint")
-    schema = spark.read.option("pathGlobFilter", pattern).parquet(events_dir).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    summary = summary_aggregate(crm_from_events(reader.parquet(events_dir)))
-    q = (summary.writeStream.outputMode("complete")
-         .foreachBatch(_snapshot_writer(out_dir))
-         .option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
+    summary = summary_aggregate(crm_from_events(_read_stream(spark, events_path, max_files_per_trigger)))
+    store = Epochs(spark, out_dir, summary.schema, ["customer_id"], [F.col("epoch").desc()])
+    q = (summary.writeStream.outputMode("update").foreachBatch(store.write)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    batches = [p["batchId"] for p in q.recentProgress if p.get("numInputRows", 0) > 0]
-    if not batches:
-        snap = spark.createDataFrame([], SUMMARY_SCHEMA)
-    else:
-        snap = spark.read.parquet(os.path.join(out_dir, f"v{max(batches):08d}"))
+    store.compact()
+    snap = store.current()
     day = snap.agg(F.max("last_contact_date")).scalar() if as_of is None else F.lit(str(as_of)).cast("date")
     return snap.withColumn("days_since_last_contact", F.datediff(day, F.col("last_contact_date")))
 
 
-def stream_silver_orders(spark: SparkSession, orders_dir: str, out_dir: str, checkpoint: str,
-                         pattern: str = "*.parquet", late_days: int = 7,
-                         max_files_per_trigger: int | None = None) -> DataFrame:
-    """U2 (streaming form): append newly arrived raw orders to silver
-    orders, dropping repeats of an order_id within ``late_days`` of event
-    time (``dropDuplicatesWithinWatermark``). State is bounded by the
-    watermark, unlike an unbounded ``dropDuplicates``. Rows whose order date
-    is older than the watermark (latest date seen minus ``late_days``) are
-    dropped as late, so the stream suits orders arriving roughly in date
-    order; a historical backfill goes through the batch path. Each run
-    resumes from ``checkpoint``. Returns the appended table."""
-    schema = spark.read.option("pathGlobFilter", pattern).parquet(orders_dir).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    typed = (reader.parquet(orders_dir)
-             .withColumns({"order_date": F.col("order_date").cast("date"),
-                           "order_value": F.col("order_value").try_cast("double"),
-                           "is_returned": F.col("is_returned").try_cast("boolean"),
-                           "_event_ts": F.col("order_date").cast("date").cast("timestamp")}))
-    deduped = (typed.withWatermark("_event_ts", f"{late_days} days")
-               .dropDuplicatesWithinWatermark(["order_id"]).drop("_event_ts"))
-    q = (deduped.writeStream.format("parquet").outputMode("append")
-         .option("checkpointLocation", checkpoint).option("path", out_dir)
+def refresh_silver_orders(spark: SparkSession, orders_path: str, customers: DataFrame, out_dir: str | None = None,
+                          checkpoint: str | None = None, max_files_per_trigger: int | None = None) -> DataFrame:
+    """U2 (streaming form): silver orders kept up to date from newly arrived
+    raw orders. Each batch writes the survivors among its own rows; the
+    survivor of an order over all batches is chosen by the same total order
+    as in the batch path, so the result does not depend on arrival order and
+    no order is too late."""
+    out_dir = out_dir or scratch_path(spark, "orders-stream")
+    checkpoint = checkpoint or scratch_path(spark, "orders-checkpoint")
+    typed = typed_orders(orders_view(_read_stream(spark, orders_path, max_files_per_trigger), customers))
+    store = Epochs(spark, out_dir, typed.schema, ["order_id"], order_survivor())
+
+    def survivors(batch: DataFrame, epoch: int) -> None:
+        store.write(keep_first(batch, ["order_id"], order_survivor()), epoch)
+
+    q = (typed.writeStream.foreachBatch(survivors).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.schema(deduped.schema).parquet(out_dir)
+    store.compact()
+    return store.current()
 
 
 def stream_answers(spark: SparkSession, questions_dir: str, out_dir: str, checkpoint: str,

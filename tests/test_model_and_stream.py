@@ -52,28 +52,50 @@ def test_vector_sync_equals_full_embedding(spark):
     assert p.rag_changes(7).count() > 0          # the sync really had work to do
 
 
-def test_stream_silver_orders_drops_repeats_within_watermark(spark):
+def test_stream_from_a_file_and_an_idle_trigger(spark):
     from aislelens.session import scratch_path
-    from aislelens.sources.adapter import Source
-    from aislelens.streaming.incremental import stream_silver_orders
 
-    raw = Source(spark, SMOKE).orders_raw
+    out, ckpt = scratch_path(spark, "crm-out"), scratch_path(spark, "crm-ckpt")
+    first = refresh_crm_summary(spark, f"{SMOKE}/events.parquet", out, ckpt)
+    rows = sorted(map(tuple, first.collect()))
+    assert rows
+    again = refresh_crm_summary(spark, f"{SMOKE}/events.parquet", out, ckpt)   # no new file
+    assert sorted(map(tuple, again.collect())) == rows
+
+
+def test_stream_silver_orders_loses_no_order(spark):
+    import datetime as dt
+
+    from aislelens.session import scratch_path
+    from aislelens.streaming.incremental import Epochs, refresh_silver_orders
+
+    orders = spark.read.parquet(f"{SMOKE}/orders.parquet")
+    customers = spark.read.parquet(f"{SMOKE}/customer.parquet")
     root = scratch_path(spark, "orders-stream")
     src, out, ckpt = (os.path.join(root, x) for x in ("in", "out", "ckpt"))
-    raw.write.parquet(src)                                      # initial load
-    first = stream_silver_orders(spark, src, out, ckpt)
-    assert first.count() == raw.count()
-    last_day = raw.agg(F.max("order_date")).first()[0]
-    repeats = raw.orderBy("order_id").limit(50)                 # old dates: late and repeated
-    fresh = (raw.orderBy("order_id").limit(3)
-             .withColumn("order_id", F.col("order_id") + 10 ** 9)
-             .withColumn("order_date", F.lit(last_day)))        # new, on time
-    repeats.unionByName(fresh).write.mode("append").parquet(src)
-    second = stream_silver_orders(spark, src, out, ckpt)
-    got = sorted(r["order_id"] for r in second.select("order_id").collect())
-    want = sorted([r["order_id"] for r in silver.silver_orders(raw).select("order_id").collect()]
-                  + [r["order_id"] for r in fresh.select("order_id").collect()])
-    assert got == want
+
+    def day(d):
+        return F.lit(dt.datetime(2024, *d)).cast(orders.schema["o_orderdate"].dataType)
+
+    orders.limit(300).write.parquet(src)
+    refresh_silver_orders(spark, src, customers, out, ckpt)
+    one = orders.limit(1)
+    new = [one.withColumn("o_orderkey", F.lit(10 ** 9 + k)).withColumn("o_orderdate", day(d))
+           for k, d in enumerate([(3, 1), (2, 1), (3, 2)])]
+    new[0].write.mode("append").parquet(src)
+    refresh_silver_orders(spark, src, customers, out, ckpt)              # restarted from the checkpoint
+    new[1].unionByName(new[2]).unionByName(one.withColumn("o_totalprice", F.lit(1.0))).write.mode("append").parquet(src)
+    got = refresh_silver_orders(spark, src, customers, out, ckpt)        # a late new order, and a repeat
+    from aislelens.sources.adapter import orders_view
+
+    want = silver.silver_orders(orders_view(spark.read.parquet(src), customers))
+    assert {10 ** 9, 10 ** 9 + 1, 10 ** 9 + 2} <= {r["order_id"] for r in got.collect()}
+    rows = sorted(map(str, want.collect()))
+    assert sorted(map(str, got.collect())) == rows
+    assert sorted(map(str, refresh_silver_orders(spark, src, customers, out, ckpt).collect())) == rows
+    store = Epochs(spark, out, want.schema, ["order_id"], silver.order_survivor())
+    store.compact(at_least=2)
+    assert sorted(map(str, store.current().collect())) == rows
 
 
 def test_stream_answers_equal_batch_grounding(spark):

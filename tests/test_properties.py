@@ -61,7 +61,7 @@ def test_blocked_top_k_equals_brute_force(spark, nq, nc, k, seed):
     cv[np.all(cv == 0, axis=1)] = 1.0
     q = spark.createDataFrame([(i, qv[i].tolist()) for i in range(nq)], "query_id long, vector array<double>")
     c = spark.createDataFrame([(100 + j, cv[j].tolist()) for j in range(nc)], "doc_id long, vector array<double>")
-    hits = retrieval.top_k(q, c, k, corpus_block_rows=7, query_block_rows=3)
+    hits = retrieval.top_k(q, c, k, query_block_bytes=200)
     got = sorted((r["query_id"], r["rank"], r["doc_id"]) for r in hits.collect())
     want = []
     for i in range(nq):

@@ -62,13 +62,13 @@ def test_summary_tier_list_and_retrieval(spark, wh):
     assert out.filter(out.prompt.contains("CUSTOMER DATA:")).count() == qs.count()
 
 
-def test_validation_sql_equals_dataframe_kpis(spark, wh):
+def test_validation_equals_dataframe_kpis(spark, wh):
     from aislelens.operators import forecast, kpis
-    from aislelens.plans import validation_sql
+    from aislelens.plans import validation
 
-    names = [n for n in validation_sql.LAYER_TABLES.values() if n != "churn_scores"] + ["churn_scores_rule"]
+    names = [n for n in validation.TABLES.values() if n != "churn_scores"] + ["churn_scores_rule"]
     wh.register("aisle_kpi", names)
-    got = validation_sql.run(spark, "aisle_kpi", scores="churn_scores_rule")
+    got = validation.run(spark, "aisle_kpi", scores="churn_scores_rule")
     scores = wh.table("churn_scores_rule")
     want = {
         "risk_tier_distribution": kpis.risk_tier_distribution(scores),
