@@ -13,6 +13,7 @@ from ..functions.exact import floor_div
 from ..session import materialise, shared_dir
 
 FIT_ROWS = 200_000                # labelled customers used to fit the model, at most
+LEAST_AUC = 0.6                   # label ties are cut by customer_id, which no feature holds
 SCORE_COLUMNS = ["customer_id", "customer_name", "store_id", "region", "segment", "recency_days",
                  "order_count_90d", "total_spend_90d", "churn_prob", "risk_tier"]
 
@@ -156,6 +157,23 @@ def score_churn(model, c360: DataFrame, cuts=C.TIER_CUTS) -> DataFrame:
             .select(*SCORE_COLUMNS))
 
 
+def model_checks(metrics: DataFrame, scores: DataFrame, c360: DataFrame) -> DataFrame:
+    """Facts that hold for any fitted model, one row per check: (check, ok)."""
+    one = scores.agg(
+        (F.count(F.lit(1)) == c360.agg(F.count(F.lit(1))).scalar()).alias("one score per customer"),
+        F.bool_and(F.col("churn_prob").between(0, 1)).alias("probabilities in 0..1"),
+        F.bool_and(F.col("risk_tier") == risk_tier(F.col("churn_prob"))).alias("tiers follow the probabilities"))
+    fit = metrics.agg(
+        (F.abs(F.sum(F.when(F.col("key").startswith("feat_"), F.col("value"))) - 1) < 1e-3).alias("importances sum to 1"),
+        F.bool_and(F.when(F.col("key") == "roc_auc", F.col("value") >= LEAST_AUC)).alias("held-out AUC"))
+    return _as_rows(one).unionByName(_as_rows(fit))
+
+
+def _as_rows(checks: DataFrame) -> DataFrame:
+    named = [F.struct(F.lit(c).alias("check"), F.col(f"`{c}`").alias("ok")) for c in checks.columns]
+    return checks.select(F.inline(F.array(*named)))
+
+
 def feature_importances(metrics: DataFrame) -> DataFrame:
     """M8 as rows: (feature, importance)."""
     return (metrics.filter(F.col("key").startswith("feat_"))

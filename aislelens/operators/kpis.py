@@ -34,6 +34,32 @@ def risk_tier_distribution(scores: DataFrame) -> DataFrame:
     return counts.withColumn("pct", round_ratio(F.col("customers") * 100, total, 1))
 
 
+def ranked(rows: DataFrame, *order) -> DataFrame:
+    """L1: the order in which a short list is served, as a ``rank`` column
+    (for lists of one row per tier, region, segment or table)."""
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy().orderBy(*order)))
+
+
+def served_tiers(scores: DataFrame) -> DataFrame:
+    """Q14/Q19 as served: the tier list, largest tier first."""
+    return ranked(risk_tier_distribution(scores), F.col("customers").desc(), F.col("risk_tier").asc_nulls_last())
+
+
+def served_regions(scores: DataFrame) -> DataFrame:
+    """Q20 as served: one row per region, by name."""
+    return ranked(regional_churn_pivot(scores), F.col("region").asc_nulls_last())
+
+
+def served_segments(scores: DataFrame) -> DataFrame:
+    """Q21 as served: segments by their High share."""
+    return ranked(churn_by_segment(scores), F.col("high_risk_pct").desc(), F.col("segment").asc_nulls_last())
+
+
+def served_row_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """Q25 as served: row counts by table name."""
+    return ranked(layer_row_counts(tables), "tbl")
+
+
 def top_churn_risk(scores: DataFrame, k: int = 10) -> DataFrame:
     """Q15 (validation form): High tier by probability, top ``k``."""
     return (scores.filter(F.col("risk_tier") == HIGH)

@@ -113,6 +113,24 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = C.RETRIEVAL_TOP_K,
     return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def retrieval_checks(questions: DataFrame, docs: DataFrame, hits: DataFrame, prompts: DataFrame, synced: DataFrame,
+                     k: int = C.RETRIEVAL_TOP_K) -> DataFrame:
+    """Facts that hold for any embedding, one row per check: (check, expected, actual)."""
+    n_q, n_d = (df.agg(F.count(F.lit(1))).scalar() for df in (questions, docs))
+    expected_hits = n_q * F.least(F.lit(k).cast("long"), n_d)
+    facts = hits.agg(F.count(F.lit(1)).alias("n"), F.sum("rank").alias("ranks"),
+                     F.count_if(F.col("score").between(-1.000001, 1.000001)).alias("cosines"))
+    rows = [("hits per question", expected_hits, facts.select("n").scalar()),
+            ("ranks 1..k", n_q * F.least(F.lit(k).cast("long"), n_d) * (F.least(F.lit(k).cast("long"), n_d) + 1) / 2,
+             facts.select("ranks").scalar()),
+            ("cosines in -1..1", expected_hits, facts.select("cosines").scalar()),
+            ("one prompt per question", n_q, prompts.agg(F.count(F.lit(1))).scalar()),
+            ("one vector per document after the sync", n_d, synced.agg(F.count_distinct("doc_id")).scalar())]
+    base = docs.sparkSession.range(1)
+    return base.select(F.inline(F.array(*[F.struct(F.lit(c).alias("check"), e.cast("long").alias("expected"),
+                                                   a.cast("long").alias("actual")) for c, e, a in rows])))
+
+
 def assemble_context(questions: DataFrame, hits: DataFrame, docs: DataFrame,
                      q_id: str = "question_id", c_id: str = "doc_id") -> DataFrame:
     """Per question, the hit documents in rank order joined by a blank

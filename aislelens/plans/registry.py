@@ -16,6 +16,7 @@ from ..operators import churn as CH
 from ..operators import forecast as FC
 from ..operators import kpis as K
 from ..operators import quality as Q
+from ..operators import retrieval as R
 from ..streaming.incremental import refresh_crm_summary, refresh_silver_orders
 from . import oracle as O
 from .datasets import Datasets
@@ -97,6 +98,12 @@ def queries() -> dict[str, Query]:
         # D1-D3 quality, ST1 incremental refresh
         "expectation_report": _expectation_report,
         "validation_checks": lambda s, d: Q.validation_checks(_p(s, d)),
+        "served_risk_tiers": lambda s, d: K.served_tiers(_p(s, d).rule_scores),
+        "served_regions": lambda s, d: K.served_regions(_p(s, d).rule_scores),
+        "served_segments": lambda s, d: K.served_segments(_p(s, d).rule_scores),
+        "served_row_counts": lambda s, d: K.served_row_counts(_p(s, d).layer_tables()),
+        "churn_model_checks": _model_checks,
+        "retrieval_checks": _retrieval_checks,
         "crm_summary_incremental": lambda s, d: refresh_crm_summary(s, f"{d}/events.parquet"),
         "silver_orders_incremental": lambda s, d: refresh_silver_orders(
             s, f"{d}/orders.parquet", _p(s, d).src.table("customer")),
@@ -127,6 +134,16 @@ def _revenue_at_risk(spark, sf_dir):
     return K.revenue_at_risk(p.rule_scores, p.customer_360())
 
 
+def _model_checks(spark, sf_dir):
+    p = _p(spark, sf_dir)
+    return CH.model_checks(p.fitted[1], p.model_scores, p.customer_360())
+
+
+def _retrieval_checks(spark, sf_dir):
+    p = _p(spark, sf_dir)
+    return R.retrieval_checks(p.src.questions, p.rag_documents, p.retrieval_hits, p.retrieval_prompts, p.synced_vectors())
+
+
 def _executive_summary(spark, sf_dir):
     p = _p(spark, sf_dir)
     return K.executive_summary(p.rule_scores, p.customer_360(), p.inventory_health)
@@ -253,6 +270,26 @@ def oracle_sql() -> dict[str, str]:
         "embedding_centroid_neighbors": s("r_centroid_neighbors"),
         "expectation_report": s("q_expectations"),
         "validation_checks": s("q_checks"),
+        "served_risk_tiers": O.sql("""SELECT *, CAST(ROW_NUMBER() OVER (ORDER BY customers DESC, risk_tier) AS INTEGER) AS rank
+            FROM k_tiers"""),
+        "served_regions": O.sql("""SELECT region, COUNT(*) FILTER (WHERE risk_tier = 'High') AS "High",
+            COUNT(*) FILTER (WHERE risk_tier = 'Medium') AS "Medium", COUNT(*) FILTER (WHERE risk_tier = 'Low') AS "Low",
+            CAST(ROW_NUMBER() OVER (ORDER BY region NULLS LAST) AS INTEGER) AS rank
+            FROM c_scores GROUP BY region"""),
+        "served_segments": O.sql(f"""SELECT *, CAST(ROW_NUMBER() OVER (ORDER BY high_risk_pct DESC, segment NULLS LAST) AS INTEGER) AS rank
+            FROM (SELECT segment, total, high_risk, {O.rr('high_risk * 100', 'total', 1)} AS high_risk_pct
+                  FROM (SELECT segment, COUNT(*) AS total, COUNT(*) FILTER (WHERE risk_tier = 'High') AS high_risk
+                        FROM c_scores GROUP BY segment))"""),
+        "served_row_counts": O.sql("""SELECT tbl, "rows", CAST(ROW_NUMBER() OVER (ORDER BY tbl) AS INTEGER) AS rank
+            FROM k_layer_counts"""),
+        "churn_model_checks": """SELECT * FROM (VALUES ('one score per customer', true), ('probabilities in 0..1', true),
+            ('tiers follow the probabilities', true), ('importances sum to 1', true), ('held-out AUC', true)) AS v("check", ok)""",
+        "retrieval_checks": O.sql(f"""SELECT "check", CAST(e AS BIGINT) AS expected, CAST(e AS BIGINT) AS actual
+            FROM (SELECT unnest(['hits per question', 'ranks 1..k', 'cosines in -1..1', 'one prompt per question',
+                                 'one vector per document after the sync']) AS "check",
+                         unnest([q * k, q * k * (k + 1) // 2, q * k, q, d]) AS e
+                  FROM (SELECT q, d, LEAST({C.RETRIEVAL_TOP_K}, d) AS k
+                        FROM (SELECT (SELECT COUNT(*) FROM t_questions) AS q, (SELECT COUNT(*) FROM t_rag_documents) AS d)))"""),
         "crm_summary_incremental": s("s_crm_summary"),
         "silver_orders_incremental": s("s_orders"),
         "assistant_messages": O.sql(f"""SELECT question_id,
