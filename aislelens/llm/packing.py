@@ -28,6 +28,8 @@ from .token_ids import vocabulary, worker_encoder
 SEQUENCE = 2048
 END_ID = 1
 PAD_ID = 0
+#: Documents encoded at once.
+ROWS = 1000
 
 
 def encoded(docs: DataFrame, vocab, end_id: int = END_ID) -> DataFrame:
@@ -37,15 +39,17 @@ def encoded(docs: DataFrame, vocab, end_id: int = END_ID) -> DataFrame:
         encoder, part, at = worker_encoder(vocab.value), TaskContext.get().partitionId(), 0
         end = end_id.to_bytes(4, "little")
         for batch in batches:
-            ids = [x.tobytes() + end for x in encoder.encode(batch.column("text"))]
-            n = [len(x) // 4 for x in ids]
-            starts = []
-            for k in n:
-                starts.append(at)
-                at += k
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([part] * len(n), pa.int64()), pa.array(starts, pa.int64()), batch.column("doc_id"),
-                 pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["part", "at", "doc_id", "doc_tokens", "ids"])
+            for k in range(0, batch.num_rows, ROWS):  # the ids of few documents are held at once
+                some = batch.slice(k, ROWS)
+                ids = [x.tobytes() + end for x in encoder.encode(some.column("text"))]
+                n = [len(x) // 4 for x in ids]
+                starts = []
+                for size in n:
+                    starts.append(at)
+                    at += size
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part] * len(n), pa.int64()), pa.array(starts, pa.int64()), some.column("doc_id"),
+                     pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["part", "at", "doc_id", "doc_tokens", "ids"])
 
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
