@@ -16,7 +16,7 @@ from aislelens.llm.language import keep_known
 from aislelens.llm.mixing import mix
 from aislelens.llm.packing import digest_rows
 from aislelens.llm.simhash import near_dedup
-from aislelens.session import materialise
+from aislelens.session import delete_path, scratch_path, scratch_scope
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,9 +59,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Applies the stages to ``documents``; what a stage no longer needs is deleted."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = scratch_path(spark, f"stage-{name}")
+        with scratch_scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            delete_path(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
 
 

@@ -66,3 +66,29 @@ def test_registered():
     names = list(entry.queries())
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
     assert "pipeline" in names and set(entry.oracle_sql()) <= set(names)
+
+
+def _folder(spark, documents, pages):
+    folder = scratch_path(spark, "tables")
+    documents.write.parquet(f"{folder}/documents.parquet")
+    pages.write.parquet(f"{folder}/pages.parquet")
+    return folder
+
+
+def test_every_query_on_empty_and_odd_tables(spark):
+    from aislelens.llm import registry
+
+    schema = "page_id long, url string, html string, rid string, text string, bytes string"
+    odd = [(1, "u", "<p>a", "x", "x", "x"), (1, "u", "<p>a", "x", "x", "x"), (None, None, None, None, None, None),
+           (2, "v", "", "x", "x", "x"), (3, "w", "<p>" + "long " * 50_000, "x", "x", "x")]
+    empty = _folder(spark, cases.empty(spark), spark.createDataFrame([], schema))
+    full = _folder(spark, cases.frame(spark), spark.createDataFrame(odd, schema))
+    for name, query in registry.queries().items():
+        assert query(spark, empty).count() == 0, name
+        n = query(spark, full).count()
+        if name.startswith("op9_"):
+            assert n >= len(cases.rows())
+        else:
+            assert n == (len(odd) if name.startswith(("op3_", "op6_")) else len(cases.rows())), name
+    assert corpus_pipeline.run(spark, empty).count() == 0
+    assert corpus_pipeline.run(spark, full).count() > 0
