@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..config import DEFAULT, Thresholds
 from ..operators import assistant, churn, corpus, forecast, gold, kpis, quality, retrieval, silver
+from ..session import folder_names, scratch_scope
 from ..sources.adapter import Source
 
 
@@ -166,13 +167,14 @@ def refresh_forecast(wh: Warehouse, t: Thresholds = DEFAULT) -> None:
 def refresh_churn(wh: Warehouse, model: bool = True) -> None:
     """M1 labels, rule-score twin and (optionally) the GBT model scores."""
     c360 = wh.table("customer_360")
-    labels = wh.write("churn_labels", churn.churn_label(c360))
-    wh.write("churn_scores_rule", churn.rule_scores(c360))
     wh.scores = "churn_scores" if model else "churn_scores_rule"
-    if model:
-        fitted, metrics, path = churn.fit_churn(c360, labels, model_path=wh.path("churn_model"))
-        wh.write("churn_model_metrics", metrics.coalesce(1))
-        wh.write("churn_scores", churn.score_churn(fitted, c360))
+    with scratch_scope(wh.spark):
+        labels = wh.write("churn_labels", churn.churn_label(c360))
+        wh.write("churn_scores_rule", churn.rule_scores(c360))
+        if model:
+            fitted, metrics, path = churn.fit_churn(c360, labels, model_path=wh.path("churn_model"))
+            wh.write("churn_model_metrics", metrics.coalesce(1))
+            wh.write("churn_scores", churn.score_churn(fitted, c360))
 
 
 def refresh_corpus(wh: Warehouse) -> None:

@@ -11,6 +11,7 @@ import math
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -120,6 +121,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), "tables", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Tables materialised inside are deleted at the end; write what shall
+    stay before."""
+    paths: list[str] = []
+    _SCOPES.append(paths)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(paths)
+        for path in paths:
+            delete_path(spark, path)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as parquet into the shared folder and read it back.
 
@@ -128,5 +146,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    for paths in _SCOPES[-1:]:
+        paths.append(path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

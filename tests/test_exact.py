@@ -66,3 +66,20 @@ def test_date_filter_reaches_the_orders_scan_below_the_dedup(spark):
     assert plan.index("Window") < plan.rindex("Filter")          # the filter lies below the window
     below = plan[plan.index("Window"):]
     assert "o_orderdate" in below and "date_sub" in below or "scalar-subquery" in below
+
+
+def test_scratch_tables_go_at_the_end_of_their_scope(spark):
+    out = session.scratch_path(spark, "kept")
+    with session.scratch_scope(spark):
+        inner = session.materialise(spark.range(5).toDF("x"), "inner")
+        path = inner.inputFiles()[0].rpartition("/")[0]
+        inner.write.parquet(out)
+    assert session.folder_names(spark, path) == [] and spark.read.parquet(out).count() == 5
+
+
+def test_model_cache_sees_new_data(spark):
+    folder = session.scratch_path(spark, "state")
+    spark.range(3).write.parquet(folder)
+    before = session.file_state(spark, folder)
+    spark.range(4).write.mode("overwrite").parquet(folder)
+    assert session.file_state(spark, folder) != before
