@@ -29,7 +29,7 @@ SEQUENCE = 2048
 END_ID = 1
 PAD_ID = 0
 #: Documents encoded at once.
-ROWS = 1000
+ROWS = 2500
 
 
 def encoded(docs: DataFrame, vocab, end_id: int = END_ID) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
 #: Bytes of text that are split at once, and words in a generation of a worker's cache (it holds two).
-SLICE = 4 << 20
+SLICE = 8 << 20
 CACHE_WORDS = 200_000
 #: Words in one call of the tokenizer.
 CALL_WORDS = 2000
@@ -76,13 +76,14 @@ class WordEncoder:
         per_text = pc.list_value_length(words).to_numpy()
         coded = words.flatten().dictionary_encode()
         values = self._ids_of(coded.dictionary.to_pylist())
-        n = np.fromiter(map(len, values), np.int64, len(values)) // 4
-        pool, first = np.frombuffer(b"".join(values), "<u4"), np.cumsum(n) - n
+        n = np.fromiter(map(len, values), np.int32, len(values)) // 4
+        pool, first = np.frombuffer(b"".join(values), "<u4"), np.cumsum(n, dtype=np.int32) - n
         which = coded.indices.to_numpy()
         sizes = n[which]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        out = pool[np.repeat(first[which] - (ends - sizes), sizes) + np.arange(total)] if total else pool[:0]
+        ends = np.cumsum(sizes, dtype=np.int32)
+        at = np.repeat(first[which] - ends + sizes, sizes)
+        at += np.arange(len(at), dtype=np.int32)
+        out = pool[at]
         cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(per_text)])]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             yield out[a:b]
