@@ -2,8 +2,8 @@
 
 Each task writes one ``.warc.zst`` file: a leading skippable frame holds the Zstandard dictionary, then each record
 is a frame of its own (compressed with the dictionary), so records can be read one by one. The dictionary is built
-once from archived records: up to SAMPLE_RECORDS responses of at most SAMPLE_BYTES each, those with the least hash;
-this bounds what the driver gathers. Every record is written whole, whatever its size.
+once from archived records: about SAMPLE_RECORDS (never over twice as many) of at most SAMPLE_BYTES each, by a hash
+of the row; this bounds what the driver gathers. Every record is written whole, whatever its size.
 
 Of records with equal payloads the one with the smallest page_id is a response and the others are revisits that
 refer to it. Payloads are compared by SHA-1, combined before the shuffle; the html itself is moved once, by row.
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialise, scratch_path
-from .common import attach, table
+from .common import attach, numbered, table
 
 #: The skippable frame's magic number, and the profile that revisits name.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -46,13 +46,13 @@ NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the UR
 
 
 def roles(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> tuple[DataFrame, DataFrame]:
-    """The numbered pages with html, and per row what it refers to (null: it is a response)."""
-    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    rows = materialise(pages.select(
-        F.col("page_id").cast("long"), F.col("url").cast("string"), html.alias("html"),
-        F.unhex(F.sha1(F.encode(html, "UTF-8"))).alias("digest"), F.octet_length(html).cast("long").alias("bytes"))
-        .withColumn("rid", F.monotonically_increasing_id()), "warc-pages")
-    light = rows.filter(F.col("bytes") >= least_bytes).select("rid", "page_id", "url", "digest")
+    """The pages with row id, digest and size, and per revisit what it refers to."""
+    html = F.coalesce(F.col("row.html").cast("string"), F.lit(""))
+    rows = numbered(pages, "warc-pages").select(
+        "rid", F.col("row.page_id").cast("long").alias("page_id"), F.col("row.url").cast("string").alias("url"),
+        html.alias("html"), F.unhex(F.sha1(F.encode(html, "UTF-8"))).alias("digest"),
+        F.octet_length(html).cast("long").alias("bytes"))
+    light = materialise(rows.drop("html").filter(F.col("bytes") >= least_bytes).drop("bytes"), "warc-digests")
     first = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "rid", "url")).alias("first")
     groups = light.groupBy("digest").agg(first, F.count("*").alias("n")).filter("n > 1")
     groups = materialise(groups.select("digest", "n", F.col("first.page_id").alias("to_id"),
@@ -61,8 +61,8 @@ def roles(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> tuple[DataFrame,
     return rows, revisits.select("rid", "to_id", "to_rid", "to_url")
 
 
-def _name(page_id: int | None, rid: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(NAMES, f'page:{page_id}:{rid}')}>"
+def _name(page_id: int | None, rid: dict) -> str:
+    return f"<urn:uuid:{uuid.uuid5(NAMES, f'page:{page_id}:{rid['file']}:{rid['at']}')}>"
 
 
 def _line(name: str, value: str | None) -> str:
@@ -98,9 +98,10 @@ def dictionary(rows: DataFrame, size: int = DICTIONARY_BYTES) -> bytes:
     """Trained on the bounded sample; empty if that is too small."""
     import zstandard
 
-    sample = (rows.filter(F.col("bytes") <= SAMPLE_BYTES).orderBy(F.xxhash64("page_id", "digest"), "rid")
-              .limit(SAMPLE_RECORDS).collect())
-    records = [record(r.asDict() | {"to_rid": None}) for r in sample]
+    share = int(min(1.0, SAMPLE_RECORDS / max(rows.count(), 1)) * (1 << 20)) + 1
+    sample = rows.filter((F.col("bytes") <= SAMPLE_BYTES) & (F.pmod(F.xxhash64("page_id", "digest"), F.lit(1 << 20)) < share))
+    sample = sorted(sample.limit(2 * SAMPLE_RECORDS).collect(), key=lambda r: (r.digest, r.rid))
+    records = [record(r.asDict(recursive=True) | {"to_rid": None}) for r in sample]
     total = sum(map(len, records))
     if len(records) < 16 or total < 16 << 10:
         return b""
