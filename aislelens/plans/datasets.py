@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Thresholds
 from ..operators import assistant, churn, corpus, forecast, gold, retrieval, silver
 from ..operators.dedup import as_of_date
-from ..session import file_state
+from ..session import file_state, materialise
 from ..sources.adapter import Source
 
 
@@ -197,3 +197,40 @@ class Datasets:
             "gold.demand_forecast": self.demand_forecast,
             "gold.store_staffing_summary": self.staffing_summary,
         }
+
+
+class WrittenDatasets(Datasets):
+    """The same datasets for queries that count or check many layers: what
+    several of them read is written once to the shared folder, so each layer
+    is computed in one pass instead of once per count."""
+
+    def __init__(self, *args, **kwargs):
+        super().__init__(*args, **kwargs)
+        # the cached property of the source, replaced by its written form
+        self.src.inventory_raw = materialise(self.src.inventory_raw, "inventory-raw")
+
+    @cached_property
+    def customers(self) -> DataFrame:
+        return materialise(Datasets.customers.func(self), "customers")
+
+    @cached_property
+    def orders(self) -> DataFrame:
+        return materialise(Datasets.orders.func(self), "orders")
+
+    @cached_property
+    def crm_summary(self) -> DataFrame:
+        return materialise(Datasets.crm_summary.func(self), "crm-summary")
+
+    @cached_property
+    def _inventory(self) -> DataFrame:
+        return materialise(Datasets.inventory(self), "inventory")
+
+    def inventory(self, audit: bool = False) -> DataFrame:
+        return self._inventory
+
+    @cached_property
+    def _customer_360(self) -> DataFrame:
+        return materialise(Datasets.customer_360(self), "customer-360")
+
+    def customer_360(self, audit: bool = False) -> DataFrame:
+        return self._customer_360

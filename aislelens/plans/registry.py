@@ -19,7 +19,7 @@ from ..operators import quality as Q
 from ..operators import retrieval as R
 from ..streaming.incremental import refresh_crm_summary, refresh_silver_orders
 from . import oracle as O
-from .datasets import Datasets
+from .datasets import Datasets, WrittenDatasets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -74,9 +74,9 @@ def queries() -> dict[str, Query]:
         "inventory_alerts": lambda s, d: K.inventory_alerts(_p(s, d).inventory_health, 20),
         "inventory_alerts_served": _alerts_served,
         "staffing_gaps": lambda s, d: K.staffing_gaps(_p(s, d).staffing_summary),
-        "layer_row_counts": lambda s, d: K.layer_row_counts(_p(s, d).layer_tables()),
-        "platform_stats": lambda s, d: K.platform_stats(_p(s, d).layer_tables()),
-        "platform_total_rows": lambda s, d: K.platform_total_rows(K.platform_stats(_p(s, d).layer_tables())),
+        "layer_row_counts": lambda s, d: K.layer_row_counts(WrittenDatasets(s, d).layer_tables()),
+        "platform_stats": lambda s, d: K.platform_stats(WrittenDatasets(s, d).layer_tables()),
+        "platform_total_rows": lambda s, d: K.platform_total_rows(K.platform_stats(WrittenDatasets(s, d).layer_tables())),
         "assistant_kpis": lambda s, d: K.assistant_kpis(_p(s, d).rule_scores),
         "assistant_inventory": lambda s, d: K.assistant_inventory(_p(s, d).inventory_health),
         "assistant_regions": lambda s, d: K.assistant_regions(_p(s, d).rule_scores),
@@ -101,7 +101,7 @@ def queries() -> dict[str, Query]:
         "served_risk_tiers": lambda s, d: K.served_tiers(_p(s, d).rule_scores),
         "served_regions": lambda s, d: K.served_regions(_p(s, d).rule_scores),
         "served_segments": lambda s, d: K.served_segments(_p(s, d).rule_scores),
-        "served_row_counts": lambda s, d: K.served_row_counts(_p(s, d).layer_tables()),
+        "served_row_counts": lambda s, d: K.served_row_counts(WrittenDatasets(s, d).layer_tables()),
         "churn_model_checks": _model_checks,
         "retrieval_checks": _retrieval_checks,
         "crm_summary_incremental": lambda s, d: refresh_crm_summary(s, f"{d}/events.parquet"),

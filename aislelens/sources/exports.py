@@ -1,8 +1,9 @@
 """Raw operational exports (CSV / JSON / parquet drops) read with
 declared schemas, as batch or as an incremental file stream.
 
-Declared schemas avoid a schema-inference pass over the whole drop and
-make a malformed file fail loudly instead of changing column types.
+Declared schemas avoid a schema-inference pass over the whole drop. Quality
+is warn-only: a malformed CSV or JSON record stays, with what could be read
+and its text in ``_corrupt_record``, and is counted by ``EXPORT_RULES``.
 """
 
 from __future__ import annotations
@@ -24,19 +25,29 @@ RAW_SCHEMAS = {
 }
 
 
+CORRUPT = "_corrupt_record"
+EXPORT_RULES = {"readable": f"{CORRUPT} IS NULL"}     # for quality.expect
+
+
 def _options(fmt: str) -> dict:
-    return {"header": "true", "mode": "FAILFAST"} if fmt == "csv" else {}
+    if fmt not in ("csv", "json"):
+        return {}
+    return {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT} | ({"header": "true"} if fmt == "csv" else {})
+
+
+def _schema(table: str, fmt: str) -> str:
+    return RAW_SCHEMAS[table] + (f", {CORRUPT} string" if fmt in ("csv", "json") else "")
 
 
 def read_export(spark: SparkSession, table: str, path: str, fmt: str = "csv") -> DataFrame:
     """A raw table from an export folder, typed by its declared schema."""
-    return spark.read.schema(RAW_SCHEMAS[table]).format(fmt).options(**_options(fmt)).load(path)
+    return spark.read.schema(_schema(table, fmt)).format(fmt).options(**_options(fmt)).load(path)
 
 
 def stream_export(spark: SparkSession, table: str, path: str, fmt: str = "csv",
                   max_files_per_trigger: int | None = None) -> DataFrame:
     """The same export as a file stream: each trigger reads only new files."""
-    reader = spark.readStream.schema(RAW_SCHEMAS[table]).format(fmt).options(**_options(fmt))
+    reader = spark.readStream.schema(_schema(table, fmt)).format(fmt).options(**_options(fmt))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     return reader.load(path)
