@@ -87,12 +87,14 @@ def risk_tier(prob: Column, cuts=C.TIER_CUTS) -> Column:
             .when(prob <= C.TIER_TOP, C.TIER_LABELS[2]))
 
 
-def rule_scores(c360: DataFrame, cuts=C.TIER_CUTS) -> DataFrame:
+def rule_scores(c360: DataFrame, cuts=C.TIER_CUTS, places: int | None = 6) -> DataFrame:
     """Deterministic twin of the model scores: a logistic rule on recency
-    and recent order count, rounded to 6 places. Same schema as
-    ``score_churn`` so every KPI can be checked against SQL."""
+    and recent order count, rounded to ``places`` (None: raw, as a model's
+    probabilities are). Same schema as ``score_churn`` so every KPI can be
+    checked against SQL."""
     z = -(F.col("recency_days") - 60) / 20.0 + 0.3 * F.col("order_count_90d")
-    prob = F.round(1.0 / (1.0 + F.exp(z)), 6)
+    prob = 1.0 / (1.0 + F.exp(z))
+    prob = prob if places is None else F.round(prob, places)
     return (c360.withColumn("churn_prob", prob)
             .select(*SCORE_COLUMNS[:-1], risk_tier(F.col("churn_prob"), cuts).alias("risk_tier")))
 

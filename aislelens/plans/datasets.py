@@ -112,6 +112,11 @@ class Datasets:
         """Deterministic scores (same schema as the model's) for the KPIs."""
         return churn.rule_scores(self.customer_360())
 
+    @cached_property
+    def raw_rule_scores(self) -> DataFrame:
+        """The rule's unrounded probabilities, as a model gives them."""
+        return churn.rule_scores(self.customer_360(), places=None)
+
     @property
     def fitted(self):
         """(model, metrics, path) of the GBT churn model, fitted once per

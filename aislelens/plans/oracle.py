@@ -243,16 +243,20 @@ SELECT customer_id, recency_days,
 FROM g_customer_360"""
 
 _lo, _mid = C.TIER_CUTS
-CTE["c_scores"] = f"""
+def _scores(prob: str) -> str:
+    return f"""
 SELECT customer_id, customer_name, store_id, region, segment, recency_days, order_count_90d,
        total_spend_90d, churn_prob,
        CASE WHEN churn_prob <= CAST({_lo} AS DOUBLE) THEN '{C.TIER_LABELS[0]}'
             WHEN churn_prob <= CAST({_mid} AS DOUBLE) THEN '{C.TIER_LABELS[1]}'
             ELSE '{C.TIER_LABELS[2]}' END AS risk_tier
-FROM (SELECT *, round(CAST(1 AS DOUBLE) / (CAST(1 AS DOUBLE)
-               + exp(CAST(-(recency_days - 60) AS DOUBLE) / CAST(20 AS DOUBLE)
-                     + CAST(0.3 AS DOUBLE) * order_count_90d)), 6) AS churn_prob
-      FROM g_customer_360)"""
+FROM (SELECT *, {prob} AS churn_prob FROM g_customer_360)"""
+
+
+_rule = ("CAST(1 AS DOUBLE) / (CAST(1 AS DOUBLE) + exp(CAST(-(recency_days - 60) AS DOUBLE) / CAST(20 AS DOUBLE)"
+         " + CAST(0.3 AS DOUBLE) * order_count_90d))")
+CTE["c_scores"] = _scores(f"round({_rule}, 6)")
+CTE["c_scores_raw"] = _scores(_rule)
 
 # ---------------------------------------------------------------- KPIs
 _HIGH = C.TIER_LABELS[2]
@@ -273,11 +277,15 @@ FROM g_customer_360"""
 CTE["k_reorder"] = """
 SELECT COUNT(*) FILTER (WHERE inventory_status = 'REORDER NOW') AS reorder_count FROM g_inventory_health"""
 
-CTE["k_risk_list"] = f"""
+def risk_list(scores: str) -> str:
+    return f"""
 SELECT customer_id, customer_name, region, segment, recency_days, order_count_90d,
        {rr(micros('total_spend_90d'), '1000000', 2)} AS total_spend_90d,
        {rr(_prob, '1000000000000', 3)} AS churn_prob, risk_tier
-FROM c_scores WHERE risk_tier = '{_HIGH}' ORDER BY c_scores.churn_prob DESC, customer_id LIMIT 25"""
+FROM {scores} WHERE risk_tier = '{_HIGH}' ORDER BY {scores}.churn_prob DESC, customer_id LIMIT 25"""
+
+
+CTE["k_risk_list"] = risk_list("c_scores")
 
 CTE["k_layer_counts"] = "\nUNION ALL\n".join(
     f"SELECT '{label}' AS tbl, COUNT(*) AS \"rows\" FROM {cte}" for label, cte in [

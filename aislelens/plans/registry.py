@@ -98,6 +98,10 @@ def queries() -> dict[str, Query]:
         # D1-D3 quality, ST1 incremental refresh
         "expectation_report": _expectation_report,
         "validation_checks": lambda s, d: Q.validation_checks(_p(s, d)),
+        # the KPIs over raw (unrounded) probabilities, as over a model's
+        "risk_tiers_raw_scores": lambda s, d: K.served_tiers(_p(s, d).raw_rule_scores),
+        "churn_risk_list_raw_scores": lambda s, d: K.churn_risk_list(_p(s, d).raw_rule_scores, 25),
+        "assistant_kpis_raw_scores": lambda s, d: K.assistant_kpis(_p(s, d).raw_rule_scores),
         "served_risk_tiers": lambda s, d: K.served_tiers(_p(s, d).rule_scores),
         "served_regions": lambda s, d: K.served_regions(_p(s, d).rule_scores),
         "served_segments": lambda s, d: K.served_segments(_p(s, d).rule_scores),
@@ -270,6 +274,13 @@ def oracle_sql() -> dict[str, str]:
         "embedding_centroid_neighbors": s("r_centroid_neighbors"),
         "expectation_report": s("q_expectations"),
         "validation_checks": s("q_checks"),
+        "risk_tiers_raw_scores": O.sql(f"""SELECT *, CAST(ROW_NUMBER() OVER (ORDER BY customers DESC, risk_tier) AS INTEGER) AS rank
+            FROM (SELECT risk_tier, customers, {O.rr('customers * 100', 'SUM(customers) OVER ()', 1)} AS pct
+                  FROM (SELECT risk_tier, COUNT(*) AS customers FROM c_scores_raw GROUP BY risk_tier))"""),
+        "churn_risk_list_raw_scores": O.sql(O.risk_list("c_scores_raw")),
+        "assistant_kpis_raw_scores": O.sql(f"""SELECT COUNT(*) AS total_customers,
+            COUNT(*) FILTER (WHERE risk_tier = 'High') AS high_risk,
+            {O.rr(f'SUM({O._prob})', 'COUNT(*) * 10000000000', 1)} AS avg_churn_pct FROM c_scores_raw"""),
         "served_risk_tiers": O.sql("""SELECT *, CAST(ROW_NUMBER() OVER (ORDER BY customers DESC, risk_tier) AS INTEGER) AS rank
             FROM k_tiers"""),
         "served_regions": O.sql("""SELECT region, COUNT(*) FILTER (WHERE risk_tier = 'High') AS "High",
