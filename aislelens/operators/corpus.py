@@ -3,7 +3,7 @@ corpus snapshots (S11)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -13,25 +13,36 @@ from ..functions.exact import floor_div
 # before the per-customer merge, so a customer with very many events never
 # ships them one by one to a single task.
 NOTE_BLOCK = 4096
-
-
-def customer_notes(events: DataFrame, sep: str = C.NOTES_SEP, block_rows: int = NOTE_BLOCK) -> DataFrame:
-    """customer_id -> all CRM notes in (event_date, event_id) order.
-
-    Two levels: notes are first joined per (customer, day, event-id block),
-    a group of at most NOTE_BLOCK rows; the per-customer merge then orders
-    those partial strings, one per (day, block), instead of every event.
-    NULL notes are skipped; a customer whose notes are all NULL gets "".
+# A customer with more events than this gets several documents.
+NOTE_CHUNK = 4096
+
+
+def customer_notes(events: DataFrame, sep: str = C.NOTES_SEP, block_rows: int = NOTE_BLOCK,
+                   chunk_rows: int = NOTE_CHUNK) -> DataFrame:
+    """(customer_id, chunk_no) -> CRM notes in (event_date, event_id) order.
+
+    Notes are first joined per (customer, day, event-id block), a group of at
+    most NOTE_BLOCK rows. A customer's blocks in order are then cut into
+    chunks: a new one begins with the block before which another
+    ``chunk_rows`` events are complete, so a chunk holds less than
+    ``chunk_rows + block_rows`` events however many a customer has. The chunk
+    numbers come from the blocks' counts alone; the texts never meet in one
+    task per customer.
+    NULL notes are skipped; a chunk whose notes are all NULL gets "".
     """
-    block = floor_div(F.col("event_id"), block_rows)
+    keys = ["customer_id", "event_date", "_blk"]
+    blocked = events.withColumn("_blk", floor_div(F.col("event_id"), block_rows))
+    before = (Window.partitionBy("customer_id").orderBy("event_date", "_blk")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    numbers = (blocked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+               .withColumn("chunk_no", F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / chunk_rows)))
     kept = F.collect_list(F.when(F.col("notes").isNotNull(), F.struct("event_id", "notes")))
-    partial = (events.groupBy("customer_id", "event_date", block.alias("_blk"))
-               .agg(kept.alias("_items"))
-               .select("customer_id", "event_date", "_blk",
-                       F.when(F.size("_items") > 0, F.array_join(
-                           F.transform(F.array_sort("_items"), lambda s: s["notes"]), sep))
-                        .alias("_part")))
-    return (partial.groupBy("customer_id")
+    partial = (blocked.groupBy(*keys).agg(kept.alias("_items"))
+               .select(*keys, F.when(F.size("_items") > 0, F.array_join(
+                   F.transform(F.array_sort("_items"), lambda s: s["notes"]), sep)).alias("_part")))
+    n, p = numbers.alias("n"), partial.alias("p")
+    joined = p.join(n, [F.col(f"p.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys]).select("p.*", "n.chunk_no")
+    return (joined.groupBy("customer_id", "chunk_no")
             .agg(F.array_join(F.transform(
                 F.array_sort(F.collect_list(F.struct("event_date", "_blk", "_part"))),
                 lambda s: s["_part"]), sep).alias("all_notes")))
@@ -42,7 +53,8 @@ def _seg(label: str, value: Column) -> Column:
 
 
 def rag_documents(c360: DataFrame, events: DataFrame) -> DataFrame:
-    """Q32: one labelled text per customer, segments joined by " | ".
+    """Q32: one labelled text per customer and chunk of notes (almost always
+    one), segments joined by " | ". Later chunks have the id "<customer>-<no>".
 
     A NULL piece drops its whole segment (customers without CRM events have
     no "CRM notes" segment). Spend is printed with two decimals.
@@ -58,7 +70,8 @@ def rag_documents(c360: DataFrame, events: DataFrame) -> DataFrame:
             F.col("recency_days").cast("string"),
             F.when(F.col("is_churned") == 1, C.DOC_RISK_TEXT[1]).otherwise(C.DOC_RISK_TEXT[0]),
             F.col("all_notes")])])
-    return c.select(F.col("customer_id").cast("string").alias("doc_id"), document.alias("document"),
+    doc_id = F.concat_ws("-", F.col("customer_id").cast("string"), F.when(F.col("chunk_no") > 0, F.col("chunk_no").cast("string")))
+    return c.select(doc_id.alias("doc_id"), document.alias("document"),
                     "customer_id", "customer_name", "segment", "region")
 
 

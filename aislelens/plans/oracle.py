@@ -302,12 +302,18 @@ CTE["k_platform"] = "SELECT * FROM (VALUES " + ", ".join(
 
 
 # ---------------------------------------------------------------- text
-CTE["t_notes"] = """
-SELECT customer_id, COALESCE(string_agg(notes, '; ' ORDER BY event_date, event_id), '') AS all_notes
-FROM b_crm_events_raw GROUP BY customer_id"""
+NOTE_ROWS = 4096
+CTE["t_notes"] = f"""
+SELECT customer_id, chunk_no, COALESCE(string_agg(part, '; ' ORDER BY event_date, blk), '') AS all_notes
+FROM (SELECT *, COALESCE(SUM(n) OVER (PARTITION BY customer_id ORDER BY event_date, blk
+                                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // {NOTE_ROWS} AS chunk_no
+      FROM (SELECT customer_id, event_date, event_id // {NOTE_ROWS} AS blk, COUNT(*) AS n,
+                   string_agg(notes, '; ' ORDER BY event_id) AS part
+            FROM b_crm_events_raw GROUP BY customer_id, event_date, event_id // {NOTE_ROWS}))
+GROUP BY customer_id, chunk_no"""
 
 CTE["t_rag_documents"] = """
-SELECT CAST(c.customer_id AS VARCHAR) AS doc_id,
+SELECT CAST(c.customer_id AS VARCHAR) || CASE WHEN n.chunk_no > 0 THEN '-' || CAST(n.chunk_no AS VARCHAR) ELSE '' END AS doc_id,
        concat_ws(' | ', 'Customer: ' || c.customer_name, 'Segment: ' || c.segment, 'Region: ' || c.region,
                  'Orders 90d: ' || CAST(c.order_count_90d AS VARCHAR),
                  'Spend 90d: $' || CAST(CAST(c.total_spend_90d AS DECIMAL(18,2)) AS VARCHAR),

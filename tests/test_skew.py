@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 
+from aislelens import config as C
 from aislelens.operators import corpus, gold, silver
 
 
@@ -14,7 +15,13 @@ def test_hot_customer_notes_merge_in_order(spark):
         cust = 1 if rnd.random() < 0.7 else rnd.randint(2, 20)          # customer 1 holds ~70 %
         rows.append((eid, cust, dt.date(2024, 1, 1 + rnd.randint(0, 9)), f"n{eid}"))
     ev = spark.createDataFrame(rows, "event_id long, customer_id long, event_date date, notes string")
-    got = {r["customer_id"]: r["all_notes"] for r in corpus.customer_notes(ev, block_rows=64).collect()}
+    got = {r["customer_id"]: r["all_notes"] for r in corpus.customer_notes(ev, block_rows=64, chunk_rows=10 ** 6).collect()}
+    parts = corpus.customer_notes(ev, block_rows=64, chunk_rows=200).orderBy("customer_id", "chunk_no").collect()
+    again = {}
+    for r in parts:                                   # nothing is lost, and every chunk is bounded
+        assert r["all_notes"].count(C.NOTES_SEP) + 1 < 200 + 64
+        again[r["customer_id"]] = C.NOTES_SEP.join(filter(None, [again.get(r["customer_id"]), r["all_notes"]]))
+    assert again == got and len(parts) > len(got)
     want = {}
     for eid, cust, day, note in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
         want.setdefault(cust, []).append(note)
