@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,19 +22,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Operators of a plan that keep each row of a scan at most once.
+_SCAN = re.compile(r"[ :+-]*(Relation|Project|Filter|SubqueryAlias)\b")
+
+
+def _is_scan(df: DataFrame) -> bool:
+    plan = df._jdf.queryExecution().analyzed().toString().strip()
+    return all(_SCAN.match(line) for line in plan.splitlines())
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """``df`` packed into the struct ``row`` (so no name of its can clash) beside a row id ``rid``.
 
-    Rows read from parquet are identified by file and place in it, which any later read gives again. Other
+    Rows of a parquet scan are identified by file and place in it, which any later read gives again. Other
     frames are written to the shared folder first, so their numbers are fixed even if executors are lost.
     """
-    packed = [F.struct("*").alias("row")]
-    try:
-        place = df.metadataColumn("_metadata")
-        return df.select(*packed, F.struct(F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("at")).alias("rid"))
-    except AnalysisException:
-        return materialise(df.select(*packed, F.struct(F.lit(0).cast("long").alias("file"),
-                                                       F.monotonically_increasing_id().alias("at")).alias("rid")), name)
+    packed = F.struct("*").alias("row")
+    if _is_scan(df):
+        try:
+            place = df.metadataColumn("_metadata")
+            return df.select(packed, F.struct(F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("at")).alias("rid"))
+        except AnalysisException:  # not parquet
+            pass
+    return materialise(df.select(packed, F.struct(F.lit(0).cast("long").alias("file"),
+                                                  F.monotonically_increasing_id().alias("at")).alias("rid")), name)
 
 
 def unpacked(df: DataFrame, like: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ MOST_COPIES = 3
 SEED = 7
 BLOCK_WORDS = 4096
 SHARD_WORDS = 4 << 20
-#: Rows of a slice of one source's hash order, on average at most.
+#: Rows of a slice of a source, on average at most.
 SLICE_ROWS = 2_000
 #: Levels of the tree that are split before the subtrees are dealt out.
 TOP_LEVELS = 6
@@ -52,7 +52,7 @@ def words(text: Column) -> Column:
 
 
 def targets(sizes: DataFrame) -> DataFrame:
-    """(source, source_size, weight, target) of (source, source_size): one row per source, so small windows.
+    """Adds source_no, weight and target to (source, source_size, ...): one row per source, so small windows.
 
     With the sources ordered by cap / weight, those whose share would pass the cap come first: a source keeps its
     cap if the words left, shared by the weights left, give it at least that.
@@ -73,13 +73,15 @@ def targets(sizes: DataFrame) -> DataFrame:
     level = F.min(F.when(~F.col("capped"), F.struct("rank_by", "level"))).over(Window.partitionBy())
     shared = shared.withColumn("rank_by", F.row_number().over(by_ratio)).withColumn("final", level["level"])
     target = F.when(F.col("capped"), F.col("cap")).otherwise(F.col("weight") * F.col("final"))
-    return shared.select("source", "source_size", F.col("rank").alias("source_no"), "weight", target.alias("target"))
+    return shared.select(*sizes.columns, F.col("rank").alias("source_no"), "weight", target.alias("target"))
 
 
-def positions(rows: DataFrame, n_rows: int) -> DataFrame:
-    """Adds ``pos``: the words of its source before each row in hash order; two passes, by slice and in the slice."""
-    slices = max(1, -(-n_rows // SLICE_ROWS))
-    rows = rows.withColumn("slice", F.pmod(F.shiftrightunsigned("h", 1), F.lit(slices)))
+def positions(rows: DataFrame) -> DataFrame:
+    """Adds ``pos``: the words of its source before each row in hash order; two passes, by slice and in the slice.
+
+    A source of ``source_rows`` rows has a slice for every SLICE_ROWS of them, so slices are alike in every source.
+    """
+    rows = rows.withColumn("slice", F.pmod(F.shiftrightunsigned("h", 1), F.ceil(F.col("source_rows") / SLICE_ROWS)))
     sums = rows.groupBy("source_no", "slice").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("source_no").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select("source_no", "slice", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
@@ -155,7 +157,7 @@ def draws(rows: DataFrame, seed: int = SEED, block_words: int = BLOCK_WORDS,
           shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame]:
     """Of numbered rows (rid, source, size, h): per copy that the mix takes (rid, copy, shard, size, taken, h), and the targets."""
     spark = rows.sparkSession
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
     goals = materialise(targets(sizes).withColumn(
         "quota", F.round("target").cast("long")), "mix-targets")
     # one row per source: the vector that the tree splits. Joins to it are left to Spark, which knows its size
@@ -166,8 +168,8 @@ def draws(rows: DataFrame, seed: int = SEED, block_words: int = BLOCK_WORDS,
     shards = max(1, round(sum(r.quota for r in vector) / shard_words))
     placed = rows.select("rid", F.col("source").alias("s"), "size", "h").join(
         goals, F.col("s").eqNullSafe(F.col("source"))).select(
-        "rid", "size", "h", "source_no", "source_size", "quota")
-    placed = positions(placed.filter("size > 0"), rows.count())
+        "rid", "size", "h", "source_no", "source_size", "source_rows", "quota")
+    placed = positions(placed.filter("size > 0"))
     copies = F.sequence(F.lit(0), F.floor((F.col("quota") - 1 - F.col("pos")) / F.col("source_size")).cast("int"))
     copied = (placed.filter(F.col("pos") < F.col("quota"))
               .select("*", F.explode(copies).alias("copy"))
