@@ -8,6 +8,7 @@ gathered by the words' numbers. Tests hold this to ``Tokenizer.encode`` of whole
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 from unicodedata import is_normalized
@@ -139,11 +140,22 @@ def text_parts(data: bytes) -> Iterator[bytes]:
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
+M_MMAP_THRESHOLD = -3  # fixed value: glibc's option
+
+
+def _return_large_buffers() -> None:
+    """From now on freed buffers of over 1 MB go back to the system: two workers share an executor's memory with
+    its JVM, and the C library and Arrow would keep what a batch needed for a moment."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt"):
+        libc.mallopt(M_MMAP_THRESHOLD, 1 << 20)
 
 
 def worker_encoder(blob: bytes) -> WordEncoder:
     """The encoder of this Python worker: Spark reuses workers, so its cache serves later tasks as well."""
     key = hashlib.sha1(blob).hexdigest()
     if key not in _ENCODERS:
+        _return_large_buffers()
         _ENCODERS[key] = WordEncoder(blob)
     return _ENCODERS[key]
