@@ -20,7 +20,7 @@ from pyspark.sql import SparkSession
 
 #: Bytes of text that are split at once, and words in a generation of a worker's cache (it holds two).
 SLICE = 8 << 20
-CACHE_WORDS = 200_000
+CACHE_WORDS = 300_000
 #: Words in one call of the tokenizer.
 CALL_WORDS = 2000
 #: Letters that no normaliser step turns into anything but one letter, and behind them, before
