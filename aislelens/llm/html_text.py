@@ -18,6 +18,7 @@ not carried.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from zlib import crc32
@@ -37,7 +38,7 @@ BLOCKS = ("address", "article", "aside", "blockquote", "body", "br", "caption",
 INLINE = ("a", "abbr", "b", "cite", "code", "em", "font", "i", "img", "label", "mark", "q", "s", "small", "span", "strong",
           "sub", "sup", "time", "u")
 EMPTY = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
-UNSEEN = ("head", "title", "script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "audio",
+UNSEEN = ("title", "script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "audio",
           "video", "select", "textarea", "button", "datalist")
 #: What an element's start closes: open elements of these names, up to a border.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
@@ -45,6 +46,8 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 BORDERS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"),
            "th": ("table", "tr"), "option": (), "tbody": ("table",)}
 NOT_IN_P = frozenset(BLOCKS) - {"br", "body", "html"}
+#: Starts that end an unseen element which is never closed.
+SHOWN = NOT_IN_P - {"option", "hr"} | {"body"}
 
 #: Names that pages give to what is not the article, for labels and variants.
 OTHER_NAMES = ("ad", "ads", "advert", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent",
@@ -99,13 +102,77 @@ class Page:
 
 
 class _Reader(HTMLParser):
+    """Holds all tags and texts first, as only the rest of a page tells whether an unseen element is ever closed.
+
+    Start and end of a head are left out: what may stand in one is unseen by itself, anything else begins the body.
+    """
+
+    CDATA_CONTENT_ELEMENTS = ("script", "style")
+    RCDATA_CONTENT_ELEMENTS = ()
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.page = Page()
         self.open = [self.page.add(-1, "html")]
-        self.unseen: list[str] = []
         self.data: list[str] = []
         self.gap = True
+        self.events: list[tuple[str, str, list[tuple[str, str | None]]]] = []  # kind, tag or text, attributes
+        self.nested: list[int] = []  # places of the blocks and unseen elements that are open
+        self.count: Counter[str] = Counter()  # of these by tag
+        self.closed: dict[int, int] = {}  # where an unseen element begins and ends
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag in UNSEEN or tag in NOT_IN_P and tag not in EMPTY:
+            self.nested.append(len(self.events))
+            self.count[tag] += 1
+        self.events.append(("start", tag, attrs))
+
+    def handle_endtag(self, tag: str) -> None:
+        if self.count[tag]:
+            name, at = "", 0
+            while name != tag:
+                at = self.nested.pop()
+                name = self.events[at][1]
+                self.count[name] -= 1
+            if tag in UNSEEN:
+                self.closed[at] = len(self.events)
+        self.events.append(("end", tag, []))
+
+    def handle_data(self, data: str) -> None:
+        self.events.append(("text", data, []))
+
+    def read(self) -> Page:
+        """The nodes of the page that was fed."""
+        k = 0
+        while k < len(self.events):
+            kind, x, attrs = self.events[k]
+            if kind == "start" and x in UNSEEN:
+                self._flush()
+                k = self.closed[k] + 1 if k in self.closed else self._shown(k)
+                continue
+            if kind == "start":
+                self._start(x, attrs)
+            elif kind == "end":
+                self._end(x)
+            else:
+                self.data.append(x)
+            k += 1
+        self._flush()
+        return self.page
+
+    def _shown(self, k: int) -> int:
+        """Where the unseen element at place k, which is never closed, ends: at a block's start, or its like's, or the
+        end of a block around it."""
+        around = {self.page.tag[j] for j in self.open}
+        own, j = self.events[k][1], k + 1
+        while j < len(self.events):
+            kind, x, _ = self.events[j]
+            if kind == "start" and (x in SHOWN or x == own):
+                break
+            if kind == "end" and (x in ("head", "body", "html") or x in NOT_IN_P and x in around):
+                break
+            j = self.closed.get(j, j) + 1
+        return j
 
     def _flush(self) -> None:
         text = "".join(self.data)
@@ -123,19 +190,11 @@ class _Reader(HTMLParser):
         """Closes the open elements from place k on."""
         del self.open[k:]
 
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if self.unseen:
-            if tag == self.unseen[-1]:
-                self.unseen.append(tag)
-            return
-        if tag in UNSEEN:
-            self._flush()
-            self.unseen = [tag]
-            return
+    def _start(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in TAG_NO and tag in NOT_IN_P or tag == "br":
             self._flush()
             self.gap = True
-        if tag in EMPTY or tag in ("html", "body"):
+        if tag in EMPTY or tag in ("html", "head", "body"):
             return
         self._flush()
         names = self.page.tag
@@ -157,13 +216,7 @@ class _Reader(HTMLParser):
         words = tuple(w.lower() for w in WORD.findall(named)[:20]) if named else ()
         self.open.append(self.page.add(self.open[-1], tag if tag in TAG_NO else "#other", words))
 
-    def handle_endtag(self, tag: str) -> None:
-        if self.unseen:
-            if tag == self.unseen[-1]:
-                self.unseen.pop()
-            elif tag in ("head", "body", "html"):
-                self.unseen = []
-            return
+    def _end(self, tag: str) -> None:
         self._flush()
         block = tag in NOT_IN_P
         if block:
@@ -177,17 +230,12 @@ class _Reader(HTMLParser):
             if not block and at in NOT_IN_P:
                 return
 
-    def handle_data(self, data: str) -> None:
-        if not self.unseen:
-            self.data.append(data)
-
 
 def parse(html: str) -> Page:
     reader = _Reader()
     reader.feed(html)
     reader.close()
-    reader._flush()
-    return reader.page
+    return reader.read()
 
 
 class Trees:

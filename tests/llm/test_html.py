@@ -63,6 +63,24 @@ def test_held_out_variants(spark, model):
     assert ((p > 0.5) == y)[trees.is_text].mean() > 0.93
 
 
+def _seen(page):
+    return " ".join(t.strip() for t in html_text.parse(page).text if t)
+
+
+def test_unclosed_head_and_unseen_elements(model):
+    story = "A long story, with words and more words. It goes on for a while, and on."
+    for head in ("<head><meta charset=utf-8><title>No</title><script>no</script><link rel=x>", "<html><head><style>p{}</style>", "<head><title>No"):
+        for start in ("<body>", "<body><main>", "<article>", "<div>", "<p>"):
+            assert _seen(f"<!doctype html>{head}{start}<p>{story}</p><p>End.") == f"{story} End."
+    assert _seen(f"<head><title>No</title>{story}") == story
+    for tag in ("button", "select", "noscript", "object", "svg", "iframe", "video", "textarea", "datalist"):
+        for page in ("<div><{0}>No<option>No</div>{1}", "<{0}>No <b>no</b><p>{1}", "<nav><{0}>No<{0}>No</{0}></nav><p>{1}</p>",
+                     "<nav><{0}>No</nav><article>{1}<{0}>No</{0}></article>", "<{0}><div>No</div><p>No</p></{0}>{1}"):
+            assert _seen(page.format(tag, story)) == story, (tag, page)
+    page = f"<html><head><title>T</title><body><nav><ul><li><a>Menu</a></ul></nav><article><p>{story}</p><p>{story}</p></article>"
+    assert html_text.main_texts([html_text.parse(page)], model) == [f"{story} {story}"]
+
+
 def test_odd_pages(spark, model):
     odd = [None, "", "<", "<p", "<!-- x", "<script>", "</p></div>", "<p>" * 500 + "deep", "<div>" * 3000 + "x", "x" * 200_000, "&#0;&bogus;&amp"]
     rows = html_text.extract(spark.createDataFrame([(k, None, h, 1) for k, h in enumerate(odd)],
