@@ -8,7 +8,8 @@ all pages of a batch at once, and give each node's exact marginal; a text node i
 Weights are trained by maximum likelihood (the same messages give the gradient) on labelled pages: pages of a
 bounded sample (about SAMPLE_PAGES of at most SAMPLE_BYTES, by a hash of the row) that mark their article, labelled by
 what they mark, and made-up variants of them with other tags and names and with added sidebars, notices, forms and
-comments. If fewer than LEAST_PAGES can be labelled, all visible text counts as content.
+comments. The sample is drawn from pages with such marks alone. If fewer than LEAST_PAGES of them can be labelled, the
+same messages run with fixed potentials (``prior``).
 
 Defined results: null or empty html, and html without content, gives the empty text; repeated rows get equal texts;
 broken markup is read as a browser would, roughly; an empty table gives an empty result. Extra columns are
@@ -74,6 +75,17 @@ VARIANTS = 3
 ROUNDS = 150
 RATE = 0.3
 PENALTY = 0.0005
+#: Pages that may mark their article, as a Java pattern.
+MARKED = r"(?i)<(article|main)[\s>/]"
+#: Fixed potentials of the prior, in log units: by tag, by lower ends of LENGTHS, LINKS and MARKS, by a name's word.
+PRIOR_TAGS = {"article": 3, "main": 3, "p": 1, "blockquote": 0.5, "pre": 1, "h1": 1, "h2": 0.5, "h3": 0.5, "figure": 0.5,
+              "header": -2, "footer": -4, "nav": -5, "aside": -4, "form": -3, "menu": -4, "dialog": -4, "fieldset": -3,
+              "search": -4, "label": -1, "address": -1, "a": -0.5}
+PRIOR_LENGTHS = (0, 0.25, 0.5, 0.5, 0.75, 1, 1.5, 2, 2, 2)
+PRIOR_LINKS = (0, 0, -0.5, -1.5, -2.5)
+PRIOR_MARKS = (0, 0, 0.5, 1)
+PRIOR_OTHER, PRIOR_MAIN = -4, 1.5
+PRIOR_PAIRS = ((1.5, 0), (0, 1)), ((2, 0), (0, 2))
 #: Nodes whose messages run together.
 BATCH_NODES = 200_000
 
@@ -305,6 +317,20 @@ class Model:
         self.weights, self.pairs = weights, pairs
 
 
+def prior() -> Model:
+    """Fixed potentials, for tables that can't train any."""
+    weights = np.zeros(STARTS[-1])
+    for tag, v in PRIOR_TAGS.items():
+        weights[STARTS[0] + TAG_NO[tag]] = v
+        weights[STARTS[1] + TAG_NO[tag]] = v / 2
+    for slot, values in ((2, PRIOR_LENGTHS), (3, PRIOR_LINKS), (4, PRIOR_MARKS)):
+        weights[STARTS[slot] + 1:STARTS[slot] + 1 + 2 * len(values):2] = values  # of texts
+    for words, v in ((MAIN_NAMES, PRIOR_MAIN), (OTHER_NAMES, PRIOR_OTHER)):
+        for w in words:
+            weights[STARTS[6] + crc32(w.encode()) % WORDS] = v
+    return Model(weights, np.array(PRIOR_PAIRS, float))
+
+
 def labels(page: Page) -> np.ndarray | None:
     """1 for content, by what the page marks; None if it marks no article."""
     n = len(page.tag)
@@ -407,7 +433,7 @@ def variant(page: Page, content: np.ndarray, rng: np.random.Generator, pool: lis
 
 
 def fit(htmls: list[str]) -> Model | None:
-    """Maximum likelihood over the labelled pages and their variants, by Adam on the exact gradient."""
+    """Maximum likelihood over the labelled pages and their variants, by Adam on the exact gradient; None if too few."""
     parsed = [parse(h) for h in htmls]
     known = [(p, c) for p in parsed if (c := labels(p)) is not None]
     if len(known) < LEAST_PAGES:
@@ -444,22 +470,23 @@ def fit(htmls: list[str]) -> Model | None:
 
 
 def train(pages: DataFrame) -> Model | None:
-    """Trains on the driver, over the bounded sample."""
-    n = pages.count()
-    share = int(min(1.0, SAMPLE_PAGES / max(n, 1)) * (1 << 20)) + 1
+    """Trains on the driver, over the bounded sample of pages with marks; None if too few can be labelled."""
     size = F.octet_length("html")
-    some = pages.filter((F.pmod(F.xxhash64("page_id", size), F.lit(1 << 20)) < share) & (size <= SAMPLE_BYTES))
+    able = pages.filter((size <= SAMPLE_BYTES) & F.col("html").cast("string").rlike(MARKED))
+    n = able.count()
+    if n < LEAST_PAGES:
+        return None
+    share = int(min(1.0, SAMPLE_PAGES / n) * (1 << 20)) + 1
+    some = able.filter(F.pmod(F.xxhash64("page_id", size), F.lit(1 << 20)) < share)
     return fit(sorted(r.html for r in some.select(F.col("html").cast("string").alias("html")).limit(2 * SAMPLE_PAGES).collect()))
 
 
 def main_texts(pages: list[Page], model: Model | None) -> list[str]:
-    """The text of the content nodes of each page."""
-    if model is None:
-        keep = [np.array([t is not None for t in p.text], bool) for p in pages]
-    else:
-        trees = Trees(pages)
-        p, _ = trees.marginals(model.weights, model.pairs)
-        keep = np.split((p > 0.5) & trees.is_text, trees.first[1:])
+    """The text of the content nodes of each page; by the prior without a trained model."""
+    model = model or prior()
+    trees = Trees(pages)
+    p, _ = trees.marginals(model.weights, model.pairs)
+    keep = np.split((p > 0.5) & trees.is_text, trees.first[1:])
     out = []
     for page, kept in zip(pages, keep, strict=True):
         parts, gap = [], False

@@ -81,6 +81,28 @@ def test_unclosed_head_and_unseen_elements(model):
     assert html_text.main_texts([html_text.parse(page)], model) == [f"{story} {story}"]
 
 
+def test_few_marked_pages(spark):
+    """Pages without marks train nothing, but menus, notices and footers go all the same."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet").limit(40).collect()
+    rows = [(r.page_id, r.url, re.sub(r"(</?)(article|main)\b", r"\1div", r.html)) for r in pages]
+    plain = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert html_text.train(plain) is None
+    got = {r.page_id: r.text for r in html_text.extract(plain, None).collect()}
+    for r in pages:
+        page = html_text.parse(r.html)
+        content = html_text.labels(page)
+        kept = [t.split() for t, c in zip(page.text, content) if t and c]
+        lost = {w for t, c in zip(page.text, content) if t and not c for w in [" ".join(t.split())] if len(w) > 60}
+        assert len(got[r.page_id]) >= 0.95 * sum(len(" ".join(k)) for k in kept) and not any(w in got[r.page_id] for w in lost)
+
+
+def test_sample_is_of_marked_pages(spark):
+    """Few marked pages among very many others still train the model."""
+    marked = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html").limit(20)
+    other = spark.range(1000, 9000).selectExpr("id AS page_id", "'' AS url", "'<p>No marks here.' AS html")
+    assert html_text.train(marked.union(other)) is not None
+
+
 def test_odd_pages(spark, model):
     odd = [None, "", "<", "<p", "<!-- x", "<script>", "</p></div>", "<p>" * 500 + "deep", "<div>" * 3000 + "x", "x" * 200_000, "&#0;&bogus;&amp"]
     rows = html_text.extract(spark.createDataFrame([(k, None, h, 1) for k, h in enumerate(odd)],
