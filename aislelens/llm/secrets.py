@@ -5,10 +5,11 @@ a secret value or outside (O), from the word's shape, the classes of the two wor
 features of the whole text; Viterbi decodes whole texts. Tagged words that meet no base span are added as kind
 ``crf``, without quotes and sentence signs around them.
 
-The field is trained by maximum likelihood on a bounded sample (about SAMPLE_DOCS texts of at most SAMPLE_BYTES, by a
-hash of the row; the bound is on training alone), with the words of base values as labels; windows around
-assignments that are too short for the patterns are left out, as nobody has judged them. If the sample holds fewer
-than LEAST_VALUES values nothing is learnt and only base spans are found.
+The field is trained by maximum likelihood on a bounded sample (about SAMPLE_DOCS plain texts and SAMPLE_VALUED texts
+with base values, by a hash of the row; of a text over SAMPLE_BYTES the surroundings of its first value; the bound is on
+training alone), with the words of base values as labels; windows around assignments that are too short for the
+patterns are left out, as nobody has judged them. If the sample holds fewer than LEAST_VALUES values, the same decoding
+runs with fixed weights (``prior``).
 
 Defined results: null text is empty and has no spans; repeated rows are scanned each; an empty table gives an
 empty result. Extra columns are not carried.
@@ -33,6 +34,9 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 12, "access": 18, "hex": 16}
+#: Texts with a base value, as a Java pattern.
+VALUED = (r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{12}"""
+          r"|AKIA[A-Z0-9]{14}|[0-9a-f]{16}")
 KINDS = ("assign", "access", "hex", "crf")
 
 #: What a text must hold, in bytes of lower case, for a pattern to match at all.
@@ -44,13 +48,14 @@ NAMES = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "a
          "bearer", "access_key", "private_key")
 
 SAMPLE_DOCS = 4000
+SAMPLE_VALUED = 1000
 SAMPLE_BYTES = 1 << 16
 LEAST_VALUES = 20
 #: How much more likely a tagging with a value must be than one without, in log units.
 MARGIN = 2.5
 #: Made-up forms of each base assignment of the sample.
 VARIANTS = 4
-#: Words on either side of a value that a training window holds.
+#: Words on either side of a value that a training window holds; a shorter text is one window.
 WINDOW = 12
 ROUNDS = 100
 RATE = 0.3
@@ -252,44 +257,75 @@ def _varied(texts: list[str]) -> tuple[list[str], list[np.ndarray]]:
     return out, tags
 
 
+def prior() -> Field:
+    """Fixed weights, for tables that can't train any: a value has digits, changes between classes of signs and eight
+    signs at least, and stands behind a name with its mark, or is joined to it."""
+    w = np.zeros((STARTS[-1], TAGS))
+    n = len(SLOTS)
+    w[STARTS[n + 2]:, 0] = 4.5
+    w[:, 2][STARTS[n + 2]:] = -4
+    for k, low, at_least, below in ((0, 5, 1, -4), (1, 1, 1, 0), (4, 2, 1, 0)):  # length, digits, switches
+        w[STARTS[k]:STARTS[k] + low, 1], w[STARTS[k] + low:STARTS[k] + SLOTS[k], 1] = below, at_least
+    w[STARTS[8] + 16 + 8 + 7, 1] = 3  # named and joined, twelve signs or more
+    for one in range(CLASSES):
+        for two in range(CLASSES + 1):
+            mark_apart = one & 3 == 3 and two < CLASSES and two & 4
+            if one & 6 == 6 or mark_apart:
+                w[STARTS[n] + one * (CLASSES + 1) + two, 1] = 3
+    return Field(w, np.array([[0, 0, -20], [0, 0, 0], [0, 0, 0]], float))
+
+
 def fit(texts: list[str]) -> Field | None:
-    """Maximum likelihood over windows around values and as many others, by Adam on the exact gradient."""
+    """Maximum likelihood over windows around values and as many others, by Adam on the exact gradient; None if there
+    are too few values."""
     labels = [_labels(t) for t in texts]
     more, their = _varied(texts)
     texts, labels = texts + more, labels + [(t, np.zeros(len(t), bool)) for t in their]
     words, which, per_text = split_words(texts)
     own, cls = word_features(words)
     before, after = _around(cls[which], per_text)
-    file = np.repeat(text_features(cls, own[which], per_text), per_text)
+    file = np.repeat(text_features(cls, own[:, :2].astype(np.int8)[which], per_text), per_text)
     k = len(SLOTS)
-    values = np.concatenate([STARTS[:k] + own[which], (STARTS[k] + before)[:, None], (STARTS[k + 1] + after)[:, None],
-                             (STARTS[k + 2] + file)[:, None]], 1)
+
+    def values(at: np.ndarray) -> np.ndarray:  # of the windows' words alone: texts are long
+        return np.concatenate([STARTS[:k] + own[which[at]], (STARTS[k] + before[at])[..., None], (STARTS[k + 1] + after[at])[..., None],
+                               (STARTS[k + 2] + file[at])[..., None]], -1)
+
     tags = np.concatenate([x[0] for x in labels]) if labels else np.zeros(0, np.int8)
     unsure = np.concatenate([x[1] for x in labels]) if labels else np.zeros(0, bool)
     if int((tags == 1).sum()) < LEAST_VALUES:
         return None
     length = 2 * WINDOW + 1
-    starts = []
-    for a, n in zip(np.cumsum(per_text) - per_text, per_text, strict=True):
+    starts: dict[int, list[int]] = {}  # of windows, by their length
+    for a, n in zip((np.cumsum(per_text) - per_text).tolist(), per_text.tolist(), strict=True):
         if n >= length:
             marked = np.flatnonzero(tags[a:a + n] == 1)
-            plain = int(n) * 7919 % int(n - length + 1)  # and one window of every text
-            starts += [a + int(min(max(m - WINDOW, 0), n - length)) for m in [*marked, plain + WINDOW]]
-    starts = np.unique(np.array(starts, np.int64))
-    at = starts[:, None] + np.arange(length)
-    at = at[~unsure[at].any(1)]
-    x, y = values[at], tags[at]  # window x word x slot, window x word
-    one_hot = np.eye(TAGS)[y]
+            plain = n * 7919 % (n - length + 1)  # and one window of every text
+            starts.setdefault(length, []).extend(a + int(min(max(m - WINDOW, 0), n - length)) for m in [*marked, plain + WINDOW])
+        elif n:
+            starts.setdefault(n, []).append(a)
     weights, transitions = np.zeros((STARTS[-1], TAGS)), np.zeros((TAGS, TAGS))
     pairs = np.zeros((TAGS, TAGS))
-    np.add.at(pairs, (y[:, :-1].ravel(), y[:, 1:].ravel()), 1)
+    groups = []  # window x word x slot, (window and word) x tag
+    for size, first in sorted(starts.items()):
+        at = np.unique(np.array(first, np.int64))[:, None] + np.arange(size)
+        at = at[~unsure[at].any(1)]
+        y = tags[at]
+        np.add.at(pairs, (y[:, :-1].ravel(), y[:, 1:].ravel()), 1)
+        if len(at):
+            groups.append((values(at), np.eye(TAGS)[y]))
+    if not groups:
+        return None
+    flat = np.concatenate([x.reshape(-1, x.shape[2]) for x, _ in groups])
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (weights, transitions)]
-    flat = x.reshape(-1, x.shape[2])
-    scale = 1 / len(x)
+    scale = 1 / sum(len(x) for x, _ in groups)
     for step in range(1, ROUNDS + 1):
-        scores = weights[x].sum(2)
-        p_word, p_pair = marginals(scores, transitions)
-        diff = (one_hot - p_word).reshape(-1, TAGS)
+        diffs, p_pair = [], np.zeros((TAGS, TAGS))
+        for x, one_hot in groups:
+            p_word, p_pairs = marginals(weights[x].sum(2), transitions)
+            diffs.append((one_hot - p_word).reshape(-1, TAGS))
+            p_pair += p_pairs
+        diff = np.concatenate(diffs)
         g = np.zeros_like(weights)
         for s in range(flat.shape[1]):
             for t in range(TAGS):
@@ -327,13 +363,22 @@ def marginals(scores: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray,
 
 
 def train(docs: DataFrame) -> Field | None:
-    """Trains on the driver, over the bounded sample."""
-    rows = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-                       F.xxhash64("doc_id", F.octet_length("text")).alias("h"))
-    n = docs.count()
-    share = min(1.0, SAMPLE_DOCS / max(n, 1))
-    some = rows.filter((F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20)) + 1) & (F.octet_length("text") <= SAMPLE_BYTES))
-    texts = [r.text for r in some.select("text").limit(2 * SAMPLE_DOCS).collect()]
+    """Trains on the driver, over the bounded sample; None if it holds too few values."""
+    rows = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("doc_id"))
+    size = F.octet_length("text")
+    rows = rows.withColumn("h", F.pmod(F.xxhash64("doc_id", size), F.lit(1 << 20)))
+    valued = F.col("text").rlike(VALUED)
+    n = rows.agg(F.count("*").alias("all"), F.count_if(valued).alias("valued")).first()
+
+    def share(most: int, of: int) -> int:
+        return int(min(1.0, most / max(of, 1)) * (1 << 20)) + 1
+
+    # of a long text the signs from a little before its first value on, or its first ones
+    first = F.greatest(F.lit(1), F.regexp_instr("text", F.lit(VALUED)) - SAMPLE_BYTES // 16)
+    piece = F.when(size <= SAMPLE_BYTES, F.col("text")).otherwise(F.substring("text", first, F.lit(SAMPLE_BYTES // 4)))
+    plain = rows.filter((F.col("h") < share(SAMPLE_DOCS, n["all"])) & ~valued).limit(2 * SAMPLE_DOCS)
+    some = rows.filter((F.col("h") < share(SAMPLE_VALUED, n["valued"])) & valued).limit(2 * SAMPLE_VALUED)
+    texts = [r.text for r in some.union(plain).select(piece.alias("text")).collect()]
     return fit(sorted(texts))
 
 
@@ -362,8 +407,8 @@ def _added(text: str, tags: np.ndarray, base: list[tuple[int, int, int]]) -> lis
 
 
 def scan(docs: DataFrame, field: Field | None) -> DataFrame:
-    """(doc_id, spans): all spans of each text as (kind, start, end), by start, then kind."""
-    shared = docs.sparkSession.sparkContext.broadcast(field)
+    """By the prior without a trained field. (doc_id, spans): all spans of each text as (kind, start, end), by start, then kind."""
+    shared = docs.sparkSession.sparkContext.broadcast(field or prior())
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,14 +416,13 @@ def scan(docs: DataFrame, field: Field | None) -> DataFrame:
 
         def done(ids: list, texts: list[str]) -> pa.RecordBatch:
             found = [base_spans(t) for t in texts]
-            if field is not None:
-                scores, per_text = field.scores(texts)
-                tags, ends = viterbi(scores, per_text, field.transitions), np.cumsum(per_text)
-                marked = np.concatenate([[0], np.cumsum(tags > 0)])
-                hit = np.flatnonzero(marked[ends] > marked[ends - per_text])
-                for k in hit:
-                    found[k] = sorted(found[k] + _added(texts[k], tags[ends[k] - per_text[k]:ends[k]], found[k]),
-                                      key=lambda s: (s[0], s[2]))
+            scores, per_text = field.scores(texts)
+            tags, ends = viterbi(scores, per_text, field.transitions), np.cumsum(per_text)
+            marked = np.concatenate([[0], np.cumsum(tags > 0)])
+            hit = np.flatnonzero(marked[ends] > marked[ends - per_text])
+            for k in hit:
+                found[k] = sorted(found[k] + _added(texts[k], tags[ends[k] - per_text[k]:ends[k]], found[k]),
+                                  key=lambda s: (s[0], s[2]))
             spans = [[{"kind": KINDS[c], "start": a, "end": b} for a, b, c in x] for x in found]
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(spans, kind)], ["doc_id", "spans"])
 

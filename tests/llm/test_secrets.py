@@ -72,6 +72,29 @@ def test_query_keeps_base_spans_and_spares_clean_texts(spark):
     assert added <= 10
 
 
+def test_few_values_use_the_prior(spark):
+    """A table that trains nothing still gets the field's spans, and clean texts stay clean."""
+    texts = ['and set passwd = "Ab3dEf9hK" in the file now, then go on', "the weather is fine at 10:30 on 2024-01-01, call 555-1234",
+             "we use my token: \"xY12-ff8Qz\" for that", "the secret: a good dinner, and see https://example.org/a1b2/c3d4?x=5"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert secrets.train(docs) is None
+    rows = secrets.scan(docs, secrets.train(docs)).collect()
+    assert {r.doc_id: [texts[r.doc_id][s.start:s.end] for s in r.spans if s.kind == "crf"] for r in rows} == {
+        0: ["Ab3dEf9hK"], 1: [], 2: ["xY12-ff8Qz"], 3: []}
+
+
+def test_learns_from_rare_long_and_short_texts(spark):
+    """Values that are rare among many texts, or in texts over SAMPLE_BYTES, or in short texts alone, are learnt from."""
+    value = "the password = {:016x}Zz is set"
+    rare = spark.range(60_000).selectExpr("id AS doc_id", "IF(id % 6000 = 0, concat('set token = ', sha1(string(id)), 'Z now'), 'plain words') AS text")
+    assert secrets.train(rare) is not None
+    long = [(k, cases.prose(k, 12_000) + " " + value.format(k * 7919)) for k in range(8)]
+    assert all(len(t) > secrets.SAMPLE_BYTES for _, t in long)
+    assert secrets.train(spark.createDataFrame(long, "doc_id long, text string")) is not None
+    field = secrets.fit([value.format(k * 7919 + 12345678901234) for k in range(30)] + ["plain words of a text"] * 200)
+    assert np.isfinite(field.weights).all()
+
+
 def test_odd_rows(spark, field):
     rows = secrets.scan(cases.frame(spark), field).collect()
     assert len(rows) == len(cases.rows()) and all(r.spans == [] for r in rows if r.doc_id in (5, 6, 7, 8))
