@@ -237,9 +237,9 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) ->
 
 
 def _label(texts: list[str | None], model: Model, with_spans: bool) -> list[dict]:
-    """lang, score and, if asked for, spans of each text."""
+    """lang, score and, if asked for, spans of each text; known is the share of letters in spans of any learnt language."""
     if not model.langs:
-        return [{"lang_pred": UNKNOWN, "score": 0.0, "spans": []} for _ in texts]
+        return [{"lang_pred": UNKNOWN, "score": 0.0, "known": 0.0, "spans": []} for _ in texts]
     letters = _Letters.get()
     scores, starts, ends, known, per_text = _words([t or "" for t in texts], model, letters)
     labels = viterbi(scores, per_text)
@@ -248,7 +248,7 @@ def _label(texts: list[str | None], model: Model, with_spans: bool) -> list[dict
         a, b, label, sure = (x[at:at + n] for x in (starts, ends, labels, known))
         at += n
         if not n:
-            out.append({"lang_pred": UNKNOWN, "score": 0.0, "spans": []})
+            out.append({"lang_pred": UNKNOWN, "score": 0.0, "known": 0.0, "spans": []})
             continue
         size = b - a
         held = np.bincount(label[sure], weights=size[sure], minlength=len(model.langs))
@@ -259,7 +259,8 @@ def _label(texts: list[str | None], model: Model, with_spans: bool) -> list[dict
             cut = np.flatnonzero(np.diff(label)) + 1
             for i, j in zip([0, *cut], [*cut, n], strict=True):
                 spans.append({"lang": model.langs[label[i]] if label[i] >= 0 else UNKNOWN, "start": int(a[i]), "end": int(b[j - 1])})
-        out.append({"lang_pred": model.langs[top], "score": float(held[top] / size.sum()), "spans": spans})
+        out.append({"lang_pred": model.langs[top], "score": float(held[top] / size.sum()),
+                    "known": float(held.sum() / size.sum()), "spans": spans})
     return out
 
 
@@ -299,13 +300,17 @@ def _learnt(docs: DataFrame) -> Model:
     return fit(docs.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))))
 
 
-#: keep_known rejects a text of which less than this share of letters is in spans of its language.
+#: keep_known rejects a text of which less than this share of letters is in spans of learnt languages.
 LEAST_SCORE = 0.2
 
 
+def _has_letters(text: str | None) -> bool:
+    return any(map(str.isalpha, text or ""))
+
+
 def keep_known(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
     """The rows of ``docs`` with a language: rejected are texts without letters and texts whose letters are
-    hardly in any learnt language."""
+    hardly in any learnt language (if nothing could be learnt, texts without letters alone)."""
     shared = docs.sparkSession.sparkContext.broadcast(_learnt(docs))
     text_at = docs.columns.index("text")
 
@@ -317,8 +322,11 @@ def keep_known(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
                 texts.append(t.as_py())
                 held += len(texts[-1] or "")
                 if held > 4 * WORDS or k + 1 == batch.num_rows:
-                    found = _label(texts, model, False)
-                    stay = [x["lang_pred"] != UNKNOWN and x["score"] >= least_score for x in found]
+                    if model.langs:
+                        found = _label(texts, model, False)
+                        stay = [x["lang_pred"] != UNKNOWN and x["known"] >= least_score for x in found]
+                    else:
+                        stay = [_has_letters(t) for t in texts]
                     yield batch.slice(done, len(texts)).filter(pa.array(stay, pa.bool_()))
                     done, texts, held = k + 1, [], 0
 

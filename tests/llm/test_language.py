@@ -1,6 +1,7 @@
 import itertools
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from aislelens.llm import language
 
@@ -47,6 +48,20 @@ def test_viterbi_is_the_best_path():
         at += n
 
 
+def test_keeps_texts_in_many_languages(spark):
+    """Seven languages of similar shares: none has a fifth of the letters, all letters are in learnt spans."""
+    signs = ["abcdef", "αβγδεζ", "абвгде", "աբգդեզ", "אבגדהו", "ابتثجح", "กขคงจฉ"]
+    words = [" ".join(s[k % 5] + s[k % 4] + s[k % 3] for k in range(30)) for s in signs]
+    rows = [(100 * k + j, w, f"l{k}") for k, w in enumerate(words) for j in range(9)]
+    rows += [(9000, " ".join(words), None), (9001, "1234 !!", None), (9002, "あいう" * 40, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    (mixed,) = language.identify(docs.filter("doc_id = 9000"), language._learnt(docs)).collect()
+    assert 0 < mixed.score < language.LEAST_SCORE
+    assert {r.doc_id for r in language.keep_known(docs).collect()} == {r[0] for r in rows} - {9001, 9002}
+    blank = docs.withColumn("lang", F.lit(None).cast("string"))  # nothing is learnt
+    assert {r.doc_id for r in language.keep_known(blank).collect()} == {r[0] for r in rows} - {9001}
+
+
 def test_odd_rows(spark):
     docs = cases.frame(spark)
     model = language.fit(docs)
