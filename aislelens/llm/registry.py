@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_text, language, minhash, mixing, packing, secrets, sharding, simhash, token_files, warc
+from . import exact_dedup, hard_negatives, html_text, language, minhash, mixing, packing, secrets, sharding, simhash, token_files, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,7 @@ def queries() -> dict[str, Query]:
         "op8_exact_dedup": exact_dedup.query,
         "op9_packing": packing.query,
         "op10_language": language.query,
+        "op11_hard_negatives": hard_negatives.query,
         "op13_sharding": sharding.query,
     }
 
@@ -30,4 +31,5 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op8_exact_dedup": exact_dedup.SQL,
+        "op11_hard_negatives": hard_negatives.SQL,
     }
