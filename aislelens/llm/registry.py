@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, hard_negatives, html_text, language, minhash, mixing, packing, secrets, sharding, simhash, token_files, warc
+from . import (
+    conversations,
+    exact_dedup,
+    hard_negatives,
+    html_text,
+    language,
+    minhash,
+    mixing,
+    packing,
+    secrets,
+    sharding,
+    simhash,
+    token_files,
+    warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +38,7 @@ def queries() -> dict[str, Query]:
         "op9_packing": packing.query,
         "op10_language": language.query,
         "op11_hard_negatives": hard_negatives.query,
+        "op12_conversations": conversations.query,
         "op13_sharding": sharding.query,
     }
 
