@@ -72,6 +72,9 @@ def _folder(spark, documents, pages):
     folder = scratch_path(spark, "tables")
     documents.write.parquet(f"{folder}/documents.parquet")
     pages.write.parquet(f"{folder}/pages.parquet")
+    empty = documents.limit(0)
+    empty.selectExpr("doc_id AS vec_id", "array(1f) AS embedding", "1 AS label").write.parquet(f"{folder}/embeddings.parquet")
+    empty.selectExpr("doc_id AS conv_id", "doc_id AS turn", "lang AS role", "text").write.parquet(f"{folder}/conversations.parquet")
     return folder
 
 
@@ -86,7 +89,9 @@ def test_every_query_on_empty_and_odd_tables(spark):
     for name, query in registry.queries().items():
         assert query(spark, empty).count() == 0, name
         n = query(spark, full).count()
-        if name.startswith("op9_"):
+        if name.startswith(("op11_", "op12_")):
+            assert n == 0  # their own tests hold odd rows
+        elif name.startswith("op9_"):
             assert n >= len(cases.rows())
         else:
             assert n == (len(odd) if name.startswith(("op3_", "op6_")) else len(cases.rows())), name
