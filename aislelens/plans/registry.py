@@ -18,6 +18,7 @@ from ..operators import kpis as K
 from ..operators import quality as Q
 from ..operators import retrieval as R
 from ..streaming.incremental import refresh_crm_summary, refresh_silver_orders
+from . import ingested as I
 from . import oracle as O
 from .datasets import Datasets, WrittenDatasets
 
@@ -111,6 +112,12 @@ def queries() -> dict[str, Query]:
         "crm_summary_incremental": lambda s, d: refresh_crm_summary(s, f"{d}/events.parquet"),
         "silver_orders_incremental": lambda s, d: refresh_silver_orders(
             s, f"{d}/orders.parquet", _p(s, d).src.table("customer")),
+        # Drops of export files
+        "orders_ingested": I.orders_ingested,
+        "silver_orders_ingested": I.silver_orders_ingested,
+        "customers_ingested": I.customers_ingested,
+        "customers_unreadable": I.customers_unreadable,
+        "ingest_commits": I.ingest_commits,
     }
     return q
 
@@ -303,6 +310,19 @@ def oracle_sql() -> dict[str, str]:
                         FROM (SELECT (SELECT COUNT(*) FROM t_questions) AS q, (SELECT COUNT(*) FROM t_rag_documents) AS d)))"""),
         "crm_summary_incremental": s("s_crm_summary"),
         "silver_orders_incremental": s("s_orders"),
+        "orders_ingested": O.sql("""SELECT order_id, customer_id, store_id, CAST(order_date AS VARCHAR) AS order_date,
+            order_value, is_returned FROM b_orders_raw"""),
+        "silver_orders_ingested": s("s_orders"),
+        "customers_ingested": O.sql("""SELECT customer_id, customer_name, store_id, age, segment,
+            CASE WHEN customer_id % 2 <> 0 THEN preferred_channel END AS preferred_channel, days_since_join,
+            CASE WHEN customer_id % 2 <> 0 THEN CAST(customer_id % 5 AS VARCHAR) END AS loyalty FROM b_customers_raw"""),
+        "customers_unreadable": O.sql(f"""SELECT '{{"customer_id": ' || customer_id || ', "cut' AS record
+            FROM b_customers_raw WHERE customer_id % {I.BROKEN_EACH} = 0"""),
+        "ingest_commits": O.sql(f"""SELECT CAST("commit" AS BIGINT) AS "commit", CAST(COUNT(*) AS BIGINT) AS "rows",
+            CAST(SUM(bad) AS BIGINT) AS unreadable
+            FROM (SELECT CASE WHEN customer_id % 2 = 0 THEN 1 ELSE 2 END AS "commit", 0 AS bad FROM b_customers_raw
+                  UNION ALL SELECT 2, 1 FROM b_customers_raw WHERE customer_id % {I.BROKEN_EACH} = 0)
+            GROUP BY 1"""),
         "assistant_messages": O.sql(f"""SELECT question_id,
             printf('{C.ASSISTANT_SYSTEM_TEMPLATE}', (SELECT COUNT(*) FROM c_scores)) AS system_message,
             'LIVE RETAIL DATA:' || chr(10) || context || chr(10) || chr(10) || 'QUESTION: ' || question

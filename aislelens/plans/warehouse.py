@@ -24,6 +24,8 @@ from ..config import DEFAULT, Thresholds
 from ..operators import assistant, churn, corpus, forecast, gold, kpis, quality, retrieval, silver
 from ..session import folder_names, scratch_scope
 from ..sources.adapter import Source
+from ..sources.exports import RAW_SCHEMAS
+from ..sources.ingest import Bronze
 
 
 class Warehouse:
@@ -40,6 +42,7 @@ class Warehouse:
         self.database = database
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.catalog_tables: set[str] = set()
+        self.bronze: dict[str, Bronze] = {}        # tables that are read as ingested
         if database:
             spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{self.path('_catalog')}'")
 
@@ -71,6 +74,8 @@ class Warehouse:
         self.write("table_counts", self.spark.createDataFrame(rows, "name string, rows long").coalesce(1))
 
     def table(self, name: str) -> DataFrame:
+        if name in self.bronze:
+            return self.bronze[name].current()
         if name in self.catalog_tables:           # keeps the bucketing information
             return self.spark.table(f"{self.database}.{name}")
         return self.spark.read.parquet(self.path(name))
@@ -124,6 +129,21 @@ def refresh_bronze(wh: Warehouse, sf_dir: str) -> None:
         wh.write(name, df)
 
 
+def ingest_bronze(wh: Warehouse, drops: str, fmt: str = "csv") -> dict[str, int]:
+    """Takes in the new export files below ``drops``/<table>; the tables are then read as ingested.
+
+    Returns the new commit of each table that had news.
+    """
+    found = {}
+    for name in RAW_SCHEMAS:
+        bronze = Bronze(wh.spark, wh.path(f"ingest_{name}"), name, fmt)
+        commit = bronze.ingest(os.path.join(drops, name))
+        if commit is not None:
+            found[name] = commit
+        wh.bronze[name] = bronze
+    return found
+
+
 def refresh_silver(wh: Warehouse, t: Thresholds = DEFAULT) -> None:
     """Q1-Q4 from the bronze tables, with warn-only expectations observed
     while writing (D1) and written to ``expectations``."""
