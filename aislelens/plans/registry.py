@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import config as C
 from ..operators import churn as CH
@@ -17,6 +18,9 @@ from ..operators import forecast as FC
 from ..operators import kpis as K
 from ..operators import quality as Q
 from ..operators import retrieval as R
+from ..operators.select import rank_sum
+from ..session import materialise, scratch_path
+from ..streaming import profile as PF
 from ..streaming.incremental import refresh_crm_summary, refresh_silver_orders
 from . import ingested as I
 from . import oracle as O
@@ -57,7 +61,9 @@ def queries() -> dict[str, Query]:
         "inventory_daily_spine": lambda s, d: FC.spine_summary(_p(s, d).daily_spine),
         # M1/Q12 label, rule-score twin of Q13, Q13 model scores (rows-only)
         "churn_label": lambda s, d: _p(s, d).churn_labels,
+        "high_value_label": lambda s, d: CH.high_value_label(_p(s, d).customer_360()),
         "churn_scores_rule": lambda s, d: _p(s, d).rule_scores,
+        "churn_auc_rule": _auc_rule,
         "churn_scores": lambda s, d: _p(s, d).model_scores,
         "churn_model_metrics": lambda s, d: _p(s, d).fitted[1],
         "churn_feature_importances": lambda s, d: CH.feature_importances(_p(s, d).fitted[1]),
@@ -112,6 +118,7 @@ def queries() -> dict[str, Query]:
         "crm_summary_incremental": lambda s, d: refresh_crm_summary(s, f"{d}/events.parquet"),
         "silver_orders_incremental": lambda s, d: refresh_silver_orders(
             s, f"{d}/orders.parquet", _p(s, d).src.table("customer")),
+        "customer_360_incremental": _customer_360_incremental,
         # Drops of export files
         "orders_ingested": I.orders_ingested,
         "silver_orders_ingested": I.silver_orders_ingested,
@@ -147,7 +154,39 @@ def _revenue_at_risk(spark, sf_dir):
 
 def _model_checks(spark, sf_dir):
     p = _p(spark, sf_dir)
-    return CH.model_checks(p.fitted[1], p.model_scores, p.customer_360())
+    c360 = materialise(p.customer_360(), "customer-360")
+    return CH.model_checks(p.fitted[1], p.model_scores, c360, CH.decided_metrics(c360))
+
+
+def _auc_rule(spark, sf_dir):
+    """M5: the exact AUC of the rule's scores against the churn label."""
+    p = _p(spark, sf_dir)
+    both = p.rule_scores.select("customer_id", "churn_prob").join(p.churn_labels.select("customer_id", "churn_label"), "customer_id")
+    return rank_sum(both, "churn_prob", "churn_label").withColumn("twice_u", F.col("twice_u").cast("long"))
+
+
+def _customer_360_incremental(spark, sf_dir):
+    """ST1: the profile of an altered earlier state, brought up to date by signed changes.
+
+    Before, the last weeks' orders and events were missing, some rows had other values or another customer, and
+    there were customers and orders (the latest ones of all, so the window moves back as they go) that exist no more.
+    """
+    p, lag = _p(spark, sf_dir), Datasets(spark, sf_dir, lag_days=O.SNAPSHOT_LAG_DAYS * 5)
+    customers = p.customers.select(*PF.names("customers"))
+    orders, events = p.orders.select(*PF.names("orders")), p.src.crm_events_raw.select(*PF.names("events"))
+    cid, oid, last = F.col("customer_id"), F.col("order_id"), p.orders.agg(F.max("order_date")).scalar()
+    was = customers.filter(cid % 40 != 0).withColumn("segment", F.when(cid % 41 == 0, "OLD").otherwise(F.col("segment")))
+    was = was.unionByName(customers.filter(cid % 43 == 0).withColumn("customer_id", -cid))
+    before = lag.orders.select(*PF.names("orders")).withColumns({
+        "order_value": F.when(oid % 50 == 1, F.col("order_value") + 1).otherwise(F.col("order_value")),
+        "customer_id": F.when(oid % 50 == 2, cid + 1).otherwise(cid)})
+    before = before.unionByName(orders.filter(oid % 47 == 0).withColumns({"order_id": -oid, "order_date": F.date_add(last, 3)}))
+    said = lag.src.crm_events_raw.select(*PF.names("events"))
+    said = said.unionByName(events.filter(F.col("event_id") % 53 == 0))
+    store = PF.ProfileStore(spark, scratch_path(spark, "profile"))
+    store.refresh(*[df.withColumn("_sign", F.lit(1)) for df in (was, before, said)])
+    store.refresh(PF.signed_changes(was, customers), PF.signed_changes(before, orders), PF.signed_changes(said, events))
+    return store.profile(p.stores)
 
 
 def _retrieval_checks(spark, sf_dir):
@@ -201,7 +240,20 @@ def oracle_sql() -> dict[str, str]:
             confidence, avg_unit_price FROM f_forecast ORDER BY demand_7d_avg DESC, sku_id LIMIT 20"""),
         "inventory_daily_spine": s("f_spine"),
         "churn_label": s("c_labels"),
+        "high_value_label": O.sql(f"""SELECT customer_id, total_spend_90d,
+            CASE WHEN ROW_NUMBER() OVER (ORDER BY total_spend_90d DESC, customer_id)
+                      <= (SELECT CAST(floor({C.CHURN_LABEL_SHARE} * COUNT(*)) AS BIGINT) FROM g_customer_360)
+                 THEN 1 ELSE 0 END AS high_value FROM g_customer_360"""),
         "churn_scores_rule": s("c_scores"),
+        "churn_auc_rule": O.sql(f"""SELECT p AS positives, q AS negatives, CAST(u AS BIGINT) AS twice_u, {O.rr('u', '2 * p * q', 6)} AS auc
+            FROM (SELECT COUNT(*) FILTER (WHERE churn_label = 1) AS p, COUNT(*) FILTER (WHERE churn_label = 0) AS q,
+                         CAST(SUM(CASE WHEN churn_label = 1 THEN 2 * below + tied END) AS HUGEINT) AS u
+                  FROM (SELECT churn_label,
+                               COUNT(*) FILTER (WHERE churn_label = 0) OVER (PARTITION BY churn_prob) AS tied,
+                               COUNT(*) FILTER (WHERE churn_label = 0) OVER (ORDER BY churn_prob RANGE BETWEEN
+                                   UNBOUNDED PRECEDING AND CURRENT ROW)
+                                 - COUNT(*) FILTER (WHERE churn_label = 0) OVER (PARTITION BY churn_prob) AS below
+                        FROM c_scores JOIN c_labels USING (customer_id)))"""),
         "risk_tier_distribution": s("k_tiers"),
         "top_churn_risk": O.sql(f"""SELECT customer_id, customer_name, region, segment, recency_days,
             order_count_90d, churn_prob, risk_tier FROM k_risk_list
@@ -301,7 +353,8 @@ def oracle_sql() -> dict[str, str]:
         "served_row_counts": O.sql("""SELECT tbl, "rows", CAST(ROW_NUMBER() OVER (ORDER BY tbl) AS INTEGER) AS rank
             FROM k_layer_counts"""),
         "churn_model_checks": """SELECT * FROM (VALUES ('one score per customer', true), ('probabilities in 0..1', true),
-            ('tiers follow the probabilities', true), ('importances sum to 1', true), ('held-out AUC', true)) AS v("check", ok)""",
+            ('tiers follow the probabilities', true), ('importances sum to 1', true), ('held-out AUC', true),
+            ('held-out AUC of a decided label', true)) AS v("check", ok)""",
         "retrieval_checks": O.sql(f"""SELECT "check", CAST(e AS BIGINT) AS expected, CAST(e AS BIGINT) AS actual
             FROM (SELECT unnest(['hits per question', 'ranks 1..k', 'cosines in -1..1', 'one prompt per question',
                                  'one vector per document after the sync']) AS "check",
@@ -310,6 +363,7 @@ def oracle_sql() -> dict[str, str]:
                         FROM (SELECT (SELECT COUNT(*) FROM t_questions) AS q, (SELECT COUNT(*) FROM t_rag_documents) AS d)))"""),
         "crm_summary_incremental": s("s_crm_summary"),
         "silver_orders_incremental": s("s_orders"),
+        "customer_360_incremental": s("g_customer_360"),
         "orders_ingested": O.sql("""SELECT order_id, customer_id, store_id, CAST(order_date AS VARCHAR) AS order_date,
             order_value, is_returned FROM b_orders_raw"""),
         "silver_orders_ingested": s("s_orders"),
