@@ -26,6 +26,7 @@ from ..session import folder_names, scratch_scope
 from ..sources.adapter import Source
 from ..sources.exports import RAW_SCHEMAS
 from ..sources.ingest import Bronze
+from .versions import Versions
 
 
 class Warehouse:
@@ -239,6 +240,29 @@ def refresh_all(spark: SparkSession, sf_dir: str, root: str, t: Thresholds = DEF
     return wh
 
 
+def refresh_atomic(spark: SparkSession, sf_dir: str, root: str, t: Thresholds = DEFAULT, model: bool = True,
+                   keep: int = 2) -> Warehouse:
+    """A refresh whose tables become visible together. Each refresh writes a folder of its own; the manifest
+    that names it is the last thing written. Readers that hold an older version keep it until ``keep`` newer ones exist."""
+    versions = Versions(spark, root)
+    n = versions.next_number()
+    folder = f"refresh-{n}-{uuid.uuid4().hex[:8]}"
+    wh = refresh_all(spark, sf_dir, os.path.join(versions.root, folder), t, model)
+    versions.publish(n, {"folders": [folder], "scores": wh.scores, "tables": wh.counts})
+    versions.retire(keep)
+    return open_version(spark, root, n)
+
+
+def open_version(spark: SparkSession, root: str, n: int | None = None) -> Warehouse:
+    """The tables of a published refresh, the latest one by default."""
+    held = Versions(spark, root).read(n)
+    if held is None:
+        raise FileNotFoundError(f"no refresh has been published at {root}")
+    wh = Warehouse(spark, os.path.join(root, held["folders"][0]), scores=held["scores"])
+    wh.counts = dict(held["tables"])
+    return wh
+
+
 # ---------------------------------------------------------------- serving
 
 def scores_table(wh: Warehouse) -> str:
