@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from .. import config as C
 
 EMBED_DIM = 512
-QUERY_BLOCK_BYTES = 64 << 20   # query vectors sent to the tasks at once
+QUERY_BLOCK_BYTES = 32 << 20   # query vectors that a task holds; no more are ever broadcast
+CORPUS_PART_ROWS = 500_000     # corpus rows that a task streams
 
 
 def embed(docs: DataFrame, text_col: str, dim: int = EMBED_DIM):
@@ -74,45 +75,82 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int = C.RETRIEVAL_TOP_K,
           query_block_bytes: int = QUERY_BLOCK_BYTES) -> DataFrame:
     """Exact k nearest corpus rows by cosine for every query.
 
-    The corpus stays where it lies: its vectors are never shuffled. Queries
-    are cut into hash blocks of about ``query_block_bytes`` (measured), each
-    sent to all tasks as one broadcast of that size; a task scores its part
-    of the corpus batch by batch and keeps k rows per query, and a
-    row_number per query merges the parts' lists: k x queries x partitions
-    rows at most are shuffled.
+    Queries whose measured size is at most ``query_block_bytes`` go to all
+    tasks as one broadcast, and the corpus stays where it lies. More queries
+    are never brought to the driver: queries (in groups of that size) and
+    corpus rows (in parts) are dealt to one task for each group and part,
+    which holds its queries and streams its rows. Either way a task keeps k
+    rows per query, and a row_number per query merges the tasks' lists.
     Output: q_id, c_id, score (cosine, double), rank (1..k).
     """
-    spark = queries.sparkSession
     q_type = queries.schema[q_id].dataType.simpleString()
     c_type = corpus.schema[c_id].dataType.simpleString()
     schema = f"{q_id} {q_type}, {c_id} {c_type}, score double"
     size = queries.agg(F.sum(F.size(vec).cast("long") * 8)).first()[0] or 0
-    blocks = max(1, -(-size // query_block_bytes))
-    cand = spark.createDataFrame([], schema)
-    for b in range(blocks):
-        block = queries.filter(F.pmod(F.xxhash64(q_id), F.lit(blocks)) == b).select(q_id, vec).collect()
-        if not block:
-            continue
-        shared = spark.sparkContext.broadcast((
-            np.array([r[0] for r in block], dtype=object if q_type == "string" else None),
-            np.array([r[1] for r in block], dtype=np.float64)))
-
-        def score(batches, shared=shared):
-            ids, q = shared.value
-            best = None
-            for pdf in batches:
-                if len(pdf):
-                    c = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec]])
-                    new = _batch_best(ids, q, pdf[c_id].to_numpy(), c, k, q_id, c_id)
-                    best = new if best is None else _best(pd.concat([best, new]), k, q_id, c_id)
-            if best is not None:
-                yield best
-
-        cand = cand.unionByName(corpus.select(c_id, vec).mapInPandas(score, schema))
+    if size <= query_block_bytes:
+        cand = _beside_broadcast(queries.select(q_id, vec), corpus.select(c_id, vec), k, schema)
+    else:
+        cand = _by_task(queries.select(q_id, vec), corpus.select(c_id, vec), k, schema, -(-size // query_block_bytes))
     w = Window.partitionBy(q_id).orderBy(F.col("score").desc(), F.col(c_id).asc())
     return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _scored(best, ids, q, c_ids, vectors, k, q_id, c_id):
+    """The best rows so far, after one more batch of the corpus."""
+    c = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+    new = _batch_best(ids, q, c_ids, c, k, q_id, c_id)
+    return new if best is None else _best(pd.concat([best, new]), k, q_id, c_id)
+
+
+def _beside_broadcast(queries: DataFrame, corpus: DataFrame, k: int, schema: str) -> DataFrame:
+    spark, (q_id, vec), c_id = queries.sparkSession, queries.columns, corpus.columns[0]
+    held = queries.collect()  # at most QUERY_BLOCK_BYTES, measured
+    if not held:
+        return spark.createDataFrame([], schema)
+    kind = object if queries.schema[q_id].dataType.simpleString() == "string" else None
+    shared = spark.sparkContext.broadcast((np.array([r[0] for r in held], dtype=kind), np.array([r[1] for r in held], dtype=np.float64)))
+
+    def score(batches):
+        ids, q = shared.value
+        best = None
+        for pdf in batches:
+            if len(pdf):
+                best = _scored(best, ids, q, pdf[c_id].to_numpy(), pdf[vec], k, q_id, c_id)
+        if best is not None:
+            yield best
+
+    return corpus.mapInPandas(score, schema)
+
+
+def _by_task(queries: DataFrame, corpus: DataFrame, k: int, schema: str, groups: int) -> DataFrame:
+    (q_id, vec), c_id = queries.columns, corpus.columns[0]
+    parts = max(queries.sparkSession.sparkContext.defaultParallelism, -(-corpus.count() // CORPUS_PART_ROWS))
+    group = F.pmod(F.xxhash64(q_id), F.lit(groups)).cast("int")
+    part = F.pmod(F.xxhash64(c_id), F.lit(parts)).cast("int")
+    to_parts = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda p: p * groups + group)
+    to_groups = F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda g: part * groups + g)
+    vector = F.col(vec).cast("array<double>").alias("_v")
+    held = queries.select(F.explode(to_parts).alias("_task"), F.lit(0).alias("_kind"), F.col(q_id).alias("_q"), vector)
+    rows = corpus.select(F.explode(to_groups).alias("_task"), F.lit(1).alias("_kind"), F.col(c_id).alias("_c"), vector)
+    dealt = (held.unionByName(rows, allowMissingColumns=True).repartitionById(parts * groups, "_task").sortWithinPartitions("_kind"))
+
+    def score(batches):
+        ids, vectors, q, best = [], [], None, None
+        for pdf in batches:  # the task's queries come first
+            mine = pdf[pdf["_kind"] == 0]
+            ids += list(mine["_q"])
+            vectors += [np.asarray(v, dtype=np.float64) for v in mine["_v"]]
+            pdf = pdf[pdf["_kind"] == 1]
+            if len(pdf) and ids:
+                if q is None:
+                    q, ids = np.stack(vectors), np.array(ids, dtype=object if isinstance(ids[0], str) else None)
+                best = _scored(best, ids, q, pdf["_c"].to_numpy(), pdf["_v"], k, q_id, c_id)
+        if best is not None:
+            yield best
+
+    return dealt.mapInPandas(score, schema)
+
+
 def retrieval_checks(questions: DataFrame, docs: DataFrame, hits: DataFrame, prompts: DataFrame, synced: DataFrame,
                      k: int = C.RETRIEVAL_TOP_K) -> DataFrame:
     """Facts that hold for any embedding, one row per check: (check, expected, actual)."""

@@ -18,6 +18,7 @@ from ..operators import forecast as FC
 from ..operators import kpis as K
 from ..operators import quality as Q
 from ..operators import retrieval as R
+from ..operators import vector_index as VI
 from ..operators.select import rank_sum
 from ..session import materialise, scratch_path
 from ..streaming import profile as PF
@@ -98,6 +99,8 @@ def queries() -> dict[str, Query]:
         "rag_document_changes": lambda s, d: _p(s, d).rag_changes(O.SNAPSHOT_LAG_DAYS),
         "assistant_grounded": _grounded,
         "embedding_centroid_neighbors": lambda s, d: _p(s, d).centroid_neighbors(C.RETRIEVAL_TOP_K),
+        "embedding_index_neighbors": lambda s, d: _index_neighbors(s, d),
+        "vector_index_recall": lambda s, d: _index_recall(s, d),
         "retrieval_hits": lambda s, d: _p(s, d).retrieval_hits,
         "retrieval_prompts": lambda s, d: _p(s, d).retrieval_prompts,
         "rag_vectors_synced": lambda s, d: _p(s, d).synced_vectors(O.SNAPSHOT_LAG_DAYS),
@@ -189,6 +192,27 @@ def _customer_360_incremental(spark, sf_dir):
     return store.profile(p.stores)
 
 
+def _indexed(spark, sf_dir):
+    """The index over all embeddings, those rows, and the query rows (every id divisible by 100)."""
+    rows = _p(spark, sf_dir).src.table("embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    queries = rows.filter(F.col("vec_id") % 100 == 0).withColumnRenamed("vec_id", "query_id")
+    return VI.build(spark, rows, "vec_id"), rows, queries
+
+
+def _index_neighbors(spark, sf_dir):
+    """G3 the exact way: every list is probed."""
+    index, _, queries = _indexed(spark, sf_dir)
+    hits = VI.search(index, queries, C.RETRIEVAL_TOP_K, "query_id", "vec_id", index.lists)
+    return hits.select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
+
+
+def _index_recall(spark, sf_dir):
+    """The calibrated index against brute force: recall of at least 0.9."""
+    index, rows, queries = _indexed(spark, sf_dir)
+    seen = VI.measured_recall(index, queries, rows, C.RETRIEVAL_TOP_K, "query_id", "vec_id")
+    return seen.select("queries", "hits", (F.col("found") >= 0.9 * F.col("hits")).alias("enough"))
+
+
 def _retrieval_checks(spark, sf_dir):
     p = _p(spark, sf_dir)
     return R.retrieval_checks(p.src.questions, p.rag_documents, p.retrieval_hits, p.retrieval_prompts, p.synced_vectors())
@@ -331,6 +355,14 @@ def oracle_sql() -> dict[str, str]:
         "rag_document_changes": s("t_rag_changes"),
         "assistant_grounded": s("a_grounded"),
         "embedding_centroid_neighbors": s("r_centroid_neighbors"),
+        "embedding_index_neighbors": f"""SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score
+            FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
+                  FROM (SELECT q.vec_id AS query_id, c.vec_id,
+                               list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS score
+                        FROM embeddings q JOIN embeddings c ON q.vec_id % 100 = 0))
+            WHERE rank <= {C.RETRIEVAL_TOP_K}""",
+        "vector_index_recall": f"""SELECT COUNT(*) AS queries, COUNT(*) * {C.RETRIEVAL_TOP_K} AS hits, true AS enough
+            FROM embeddings WHERE vec_id % 100 = 0""",
         "expectation_report": s("q_expectations"),
         "validation_checks": s("q_checks"),
         "risk_tiers_raw_scores": O.sql(f"""SELECT *, CAST(ROW_NUMBER() OVER (ORDER BY customers DESC, risk_tier) AS INTEGER) AS rank
