@@ -1,19 +1,21 @@
 """HTML extraction (operator 3): a tree-structured graphical model over the DOM.
 
-Each node (element or text) is main content or not. A node's own potential comes from its tag, its parent's tag, the
-words of its class, id and role, and the length, links and sentence marks of its text; each parent-child pair has a
-potential by the child's kind. Sum-product messages go up from the leaves and down from the root, level by level for
-all pages of a batch at once, and give each node's exact marginal; a text node is kept if content is likelier.
-
-Weights are trained by maximum likelihood (the same messages give the gradient) on labelled pages: pages of a
-bounded sample (about SAMPLE_PAGES of at most SAMPLE_BYTES, by a hash of the row) that mark their article, labelled by
-what they mark, and made-up variants of them with other tags and names and with added sidebars, notices, forms and
-comments. The sample is drawn from pages with such marks alone. If fewer than LEAST_PAGES of them can be labelled, the
-same messages run with fixed potentials (``prior``).
+Each node (element or text) has one of three states: MIXED (an element around both kinds), CONTENT, or OTHER, whose
+descendants are all OTHER, so no text is content inside a comment section or a menu. A node's own potential comes from
+its tag, its parent's tag, the words of its class, id and role, the tags and words of all elements around it (summed
+down the tree), and the length, links and sentence marks of its text; each parent-child pair has a potential by the
+child's kind. Sum-product messages go up from the leaves and down from the root, level by level for all pages of a
+batch at once, and give each node's exact marginals; a text is kept if it is likelier content than not.
+
+Weights are trained by penalised maximum likelihood (the same messages give the gradient) on labelled pages: pages of
+a bounded sample (about SAMPLE_PAGES of at most SAMPLE_BYTES, by a hash of the row) that mark their article, labelled
+by what they mark, and made-up variants of them with other tags and names and with added sidebars, notices, forms and
+comments. The sample is drawn from pages with such marks alone. The penalty's mean is a set of fixed potentials
+(``prior``), to which the weights stay the nearer the fewer pages there are; without any they are the model.
 
 Defined results: null or empty html, and html without content, gives the empty text; repeated rows get equal texts;
-broken markup is read as a browser would, roughly; an empty table gives an empty result. Extra columns are
-not carried.
+broken markup is read as a browser would, roughly (elements nested deeper than DEPTH hang on the element at DEPTH);
+an empty table gives an empty result. Extra columns are not carried.
 """
 
 from __future__ import annotations
@@ -51,10 +53,13 @@ NOT_IN_P = frozenset(BLOCKS) - {"br", "body", "html"}
 SHOWN = NOT_IN_P - {"option", "hr"} | {"body"}
 
 #: Names that pages give to what is not the article, for labels and variants.
-OTHER_NAMES = ("ad", "ads", "advert", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent",
-               "cookie", "disclaimer", "footer", "form", "header", "login", "menu", "modal", "nav", "navbar", "navigation",
-               "newsletter", "notice", "pagination", "popup", "promo", "promotion", "recommended", "related", "replies",
-               "search", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget")
+OTHER_NAMES = ("ad", "ads", "advert", "advertisement", "alert", "banner", "breadcrumb", "breadcrumbs", "consent",
+               "cookie", "cookies", "copyright", "disclaimer", "footer", "form", "gdpr", "header", "legal", "login", "menu",
+               "modal", "nav", "navbar", "navigation", "newsletter", "notice", "overlay", "pagination", "popup", "privacy",
+               "promo", "promotion", "recommended", "related", "search", "share", "sharing", "sidebar", "signup", "social",
+               "sponsor", "sponsored", "subscribe", "tags", "toolbar", "trending", "widget")
+COMMENT_NAMES = ("comment", "comments", "commentlist", "discussion", "disqus", "feedback", "replies", "reply", "respond",
+                 "response", "responses", "review", "reviews", "thread")
 OTHER_TAGS = ("nav", "aside", "footer", "form", "menu", "dialog", "fieldset")
 MAIN_TAGS = ("article", "main")
 MAIN_NAMES = ("article", "body", "content", "entry", "main", "post", "story", "text")
@@ -66,26 +71,38 @@ LENGTHS = np.array([1, 10, 25, 50, 100, 200, 500, 1000, 3000])
 LINKS = np.array([1e-9, 0.2, 0.5, 0.9])
 MARKS = np.array([1e-9, 0.005, 0.02])
 SLOTS = (len(TAGS), len(TAGS), 20, 10, 8, 6)
-STARTS = np.concatenate([[0], np.cumsum([*SLOTS, WORDS])])
+#: The last three: words of a node's own names, words of names around it, tags around it.
+STARTS = np.concatenate([[0], np.cumsum([*SLOTS, WORDS, WORDS, len(TAGS)])])
+
+MIXED, CONTENT, OTHER = range(3)
+#: Nothing but OTHER lies in OTHER, and a text is one or the other.
+NEVER = -1e9
+FORBIDDEN = np.zeros((2, 3, 3))
+FORBIDDEN[:, OTHER, :OTHER] = NEVER
+FORBIDDEN[1, :, MIXED] = NEVER
+#: Elements nested deeper hang on the one at this depth, as in browsers.
+DEPTH = 512
 
 SAMPLE_PAGES = 200
 SAMPLE_BYTES = 1 << 16
-LEAST_PAGES = 5
 VARIANTS = 3
-ROUNDS = 150
+ROUNDS = 120
 RATE = 0.3
-PENALTY = 0.0005
+#: Of the squared distance from the prior's weights, over all pages.
+PENALTY = 0.05
 #: Pages that may mark their article, as a Java pattern.
 MARKED = r"(?i)<(article|main)[\s>/]"
-#: Fixed potentials of the prior, in log units: by tag, by lower ends of LENGTHS, LINKS and MARKS, by a name's word.
+#: Fixed potentials of the prior, in log units: by tag (content above 0, other below), by lower ends of LENGTHS, LINKS
+#: and MARKS for texts, by a name's word, by parent and child state for elements and texts.
 PRIOR_TAGS = {"article": 3, "main": 3, "p": 1, "blockquote": 0.5, "pre": 1, "h1": 1, "h2": 0.5, "h3": 0.5, "figure": 0.5,
               "header": -2, "footer": -4, "nav": -5, "aside": -4, "form": -3, "menu": -4, "dialog": -4, "fieldset": -3,
               "search": -4, "label": -1, "address": -1, "a": -0.5}
+PRIOR_INLINE = 1
 PRIOR_LENGTHS = (0, 0.25, 0.5, 0.5, 0.75, 1, 1.5, 2, 2, 2)
 PRIOR_LINKS = (0, 0, -0.5, -1.5, -2.5)
 PRIOR_MARKS = (0, 0, 0.5, 1)
-PRIOR_OTHER, PRIOR_MAIN = -4, 1.5
-PRIOR_PAIRS = ((1.5, 0), (0, 1)), ((2, 0), (0, 2))
+PRIOR_OTHER, PRIOR_AROUND, PRIOR_MAIN = 4, 3, 1.5
+PRIOR_PAIRS = ((0, 0, 0), (-1, 2, 0), (0, 0, 0)), ((0, 0.5, 0), (0, 2, 0), (0, 0, 0))
 #: Nodes whose messages run together.
 BATCH_NODES = 200_000
 
@@ -126,6 +143,8 @@ class _Reader(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.page = Page()
         self.open = [self.page.add(-1, "html")]
+        self.at: dict[str, list[int]] = {}  # places in ``open`` by tag, the root left out
+        self.blocks: list[int] = []  # of these, the block elements'
         self.data: list[str] = []
         self.gap = True
         self.events: list[tuple[str, str, list[tuple[str, str | None]]]] = []  # kind, tag or text, attributes
@@ -175,13 +194,12 @@ class _Reader(HTMLParser):
     def _shown(self, k: int) -> int:
         """Where the unseen element at place k, which is never closed, ends: at a block's start, or its like's, or the
         end of a block around it."""
-        around = {self.page.tag[j] for j in self.open}
         own, j = self.events[k][1], k + 1
         while j < len(self.events):
             kind, x, _ = self.events[j]
             if kind == "start" and (x in SHOWN or x == own):
                 break
-            if kind == "end" and (x in ("head", "body", "html") or x in NOT_IN_P and x in around):
+            if kind == "end" and (x in ("head", "body", "html") or x in NOT_IN_P and self._last(x)):
                 break
             j = self.closed.get(j, j) + 1
         return j
@@ -190,7 +208,7 @@ class _Reader(HTMLParser):
         text = "".join(self.data)
         self.data = []
         if text.strip(" \t\n\r\x0b\f"):
-            self.page.add(self.open[-1], "#text", (), text, self.gap)
+            self.page.add(self.open[min(len(self.open), DEPTH) - 1], "#text", (), text, self.gap)
             self.gap = False
         elif text:  # white space between words of one block
             if self.page.text and self.page.text[-1] is not None and not self.gap:
@@ -198,8 +216,16 @@ class _Reader(HTMLParser):
             elif not self.gap:
                 self.data = [" "]
 
+    def _last(self, *tags: str) -> int:
+        """The place in ``open`` of the last of these elements; 0 if none is open."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
     def _pop_to(self, k: int) -> None:
         """Closes the open elements from place k on."""
+        for at in self.open[k:]:
+            self.at[self.page.tag[at]].pop()
+        while self.blocks and self.blocks[-1] >= k:
+            self.blocks.pop()
         del self.open[k:]
 
     def _start(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -209,38 +235,30 @@ class _Reader(HTMLParser):
         if tag in EMPTY or tag in ("html", "head", "body"):
             return
         self._flush()
-        names = self.page.tag
         if tag in NOT_IN_P:
-            for k in range(len(self.open) - 1, 0, -1):
-                if names[self.open[k]] == "p":
-                    self._pop_to(k)
-                    break
-                if names[self.open[k]] in ("table", "td", "th", "button"):
-                    break
+            p = self._last("p")
+            if p > self._last("table", "td", "th", "button"):
+                self._pop_to(p)
         if tag in CLOSES:
-            for k in range(len(self.open) - 1, 0, -1):
-                if names[self.open[k]] in BORDERS[tag]:
-                    break
-                if names[self.open[k]] in CLOSES[tag]:
-                    self._pop_to(k)
-                    break
+            border = self._last(*BORDERS[tag])
+            while (k := self._last(*CLOSES[tag])) > border:
+                self._pop_to(k)
         named = " ".join(v for a, v in attrs if v and a in ("class", "id", "role", "itemprop", "aria-label"))
         words = tuple(w.lower() for w in WORD.findall(named)[:20]) if named else ()
-        self.open.append(self.page.add(self.open[-1], tag if tag in TAG_NO else "#other", words))
+        name = tag if tag in TAG_NO else "#other"
+        self.at.setdefault(name, []).append(len(self.open))
+        if name in NOT_IN_P:
+            self.blocks.append(len(self.open))
+        self.open.append(self.page.add(self.open[min(len(self.open), DEPTH) - 1], name, words))
 
     def _end(self, tag: str) -> None:
         self._flush()
         block = tag in NOT_IN_P
         if block:
             self.gap = True
-        name = tag if tag in TAG_NO else "#other"
-        for k in range(len(self.open) - 1, 0, -1):
-            at = self.page.tag[self.open[k]]
-            if at == name:
-                self._pop_to(k)
-                return
-            if not block and at in NOT_IN_P:
-                return
+        k = self._last(tag if tag in TAG_NO else "#other")
+        if k and (block or not self.blocks or k >= self.blocks[-1]):
+            self._pop_to(k)
 
 
 def parse(html: str) -> Page:
@@ -284,32 +302,68 @@ class Trees:
         self.values = STARTS[:6] + np.stack([
             tag, parent_tag, 2 * np.digitize(chars, LENGTHS) + is_text, 2 * np.digitize(linked / size, LINKS) + is_text,
             2 * np.digitize(marks / size, MARKS) + is_text, np.minimum(depth, 5)], 1)
-        words = [(k, STARTS[6] + crc32(w.encode()) % WORDS) for k, ws in enumerate(x for p in pages for x in p.words) for w in ws]
-        self.word_node, self.word_value = (np.array(words, np.int64).reshape(-1, 2).T if words else np.zeros((2, 0), np.int64))
+        own = [(k, w) for k, ws in enumerate(x for p in pages for x in p.words) for w in ws]
+        node = np.array([k for k, _ in own], np.int64)
+        self.word_node, self.word_value = node, STARTS[6] + np.array([crc32(w.encode()) % WORDS for _, w in own], np.int64)
+        element = np.flatnonzero(~self.is_text)
+        self.around_node = np.concatenate([node, element])
+        self.around_value = np.concatenate([self.word_value - STARTS[6] + STARTS[7], tag[element] + STARTS[8]])
+
+    def potentials(self, weights: np.ndarray) -> np.ndarray:
+        """Each node's own potential by state."""
+        out = np.stack([w[self.values].sum(1) for w in weights], 1)
+        np.add.at(out, self.word_node, weights.T[self.word_value])
+        around = np.zeros_like(out)
+        np.add.at(around, self.around_node, weights.T[self.around_value])
+        below = np.zeros_like(out)
+        for level in self.levels[1:]:
+            at = self.parent[level]
+            below[level] = below[at] + around[at]
+        return out + below
+
+    def gradient(self, diff: np.ndarray, size: int) -> np.ndarray:
+        """The sums of ``diff`` (node x state) by weight."""
+        inside = diff.copy()  # of a node and all below it
+        for level in self.levels[:0:-1]:
+            np.add.at(inside, self.parent[level], inside[level])
+        inside -= diff
+        flat = self.values.ravel()
+        out = np.zeros((3, size))
+        for s in (CONTENT, OTHER):
+            out[s] = np.bincount(flat, np.repeat(diff[:, s], self.values.shape[1]), size)
+            out[s] += np.bincount(self.word_value, diff[self.word_node, s], size)
+            out[s] += np.bincount(self.around_value, inside[self.around_node, s], size)
+        return out
 
     def marginals(self, weights: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """P(content) of each node, and the joint probabilities (parent x child) summed by the child's kind.
+        """P(state) of each node, and the joint probabilities (parent x child) summed by the child's kind.
 
         ``pairs``: kind (element, text) x parent state x child state, in log units.
         """
-        n = len(self.parent)
-        up = np.zeros((n, 2))
-        up[:, 1] = weights[self.values].sum(1)
-        np.add.at(up[:, 1], self.word_node, weights[self.word_value])
+        up = self.potentials(weights)
         kind = self.is_text.astype(np.int64)
-        sent = np.zeros((n, 2))  # to the parent
+        pairs = pairs + FORBIDDEN
+        sent = np.zeros_like(up)  # to the parent
         for level in self.levels[:0:-1]:
-            sent[level] = np.logaddexp.reduce(up[level, None, :] + pairs[kind[level]], 2)
+            sent[level] = _log_sum(up[level, None, :] + pairs[kind[level]], 2)
             np.add.at(up, self.parent[level], sent[level])
         whole = up.copy()
-        joint = np.zeros((2, 2, 2))
+        joint = np.zeros((2, 3, 3))
         for level in self.levels[1:]:
             rest = whole[self.parent[level]] - sent[level]
             both = rest[:, :, None] + pairs[kind[level]] + up[level, None, :]
-            whole[level] = np.logaddexp.reduce(both, 1)
-            p = np.exp(both - np.logaddexp.reduce(both.reshape(-1, 4), 1)[:, None, None])
-            np.add.at(joint, kind[level], p)
-        return 1 / (1 + np.exp(np.clip(whole[:, 0] - whole[:, 1], -700, 700))), joint
+            whole[level] = _log_sum(both, 1)
+            p = np.exp(both - both.max((1, 2), keepdims=True))
+            p /= p.sum((1, 2), keepdims=True)
+            for k in (0, 1):
+                joint[k] += p[kind[level] == k].sum(0)
+        p = np.exp(whole - whole.max(1, keepdims=True))
+        return p / p.sum(1, keepdims=True), joint
+
+
+def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
+    most = x.max(axis, keepdims=True)
+    return np.log(np.exp(x - most).sum(axis)) + most.squeeze(axis)
 
 
 class Model:
@@ -318,21 +372,24 @@ class Model:
 
 
 def prior() -> Model:
-    """Fixed potentials, for tables that can't train any."""
-    weights = np.zeros(STARTS[-1])
-    for tag, v in PRIOR_TAGS.items():
-        weights[STARTS[0] + TAG_NO[tag]] = v
-        weights[STARTS[1] + TAG_NO[tag]] = v / 2
+    """Fixed potentials: the mean of the penalty, and the model where no page can be labelled."""
+    weights = np.zeros((3, STARTS[-1]))
+    for tag, v in (dict.fromkeys(INLINE, PRIOR_INLINE) | PRIOR_TAGS).items():
+        state = CONTENT if v > 0 else OTHER
+        weights[state, STARTS[0] + TAG_NO[tag]] = abs(v)
+        weights[state, STARTS[1] + TAG_NO[tag]] = abs(v) / 2
     for slot, values in ((2, PRIOR_LENGTHS), (3, PRIOR_LINKS), (4, PRIOR_MARKS)):
-        weights[STARTS[slot] + 1:STARTS[slot] + 1 + 2 * len(values):2] = values  # of texts
-    for words, v in ((MAIN_NAMES, PRIOR_MAIN), (OTHER_NAMES, PRIOR_OTHER)):
+        weights[CONTENT, STARTS[slot] + 1:STARTS[slot] + 1 + 2 * len(values):2] = values  # of texts
+    for state, words, v in ((CONTENT, MAIN_NAMES, PRIOR_MAIN), (OTHER, OTHER_NAMES + COMMENT_NAMES, PRIOR_OTHER)):
         for w in words:
-            weights[STARTS[6] + crc32(w.encode()) % WORDS] = v
+            weights[state, STARTS[6] + crc32(w.encode()) % WORDS] = v
+    for w in COMMENT_NAMES + OTHER_NAMES:
+        weights[OTHER, STARTS[7] + crc32(w.encode()) % WORDS] = PRIOR_AROUND
     return Model(weights, np.array(PRIOR_PAIRS, float))
 
 
 def labels(page: Page) -> np.ndarray | None:
-    """1 for content, by what the page marks; None if it marks no article."""
+    """The states of a page's nodes, by what it marks; None if it marks no article."""
     n = len(page.tag)
     inside, other = np.zeros(n, bool), np.zeros(n, bool)
     for k in range(n):
@@ -341,27 +398,31 @@ def labels(page: Page) -> np.ndarray | None:
             inside[k], other[k] = inside[p], other[p]
         if page.tag[k] in MAIN_TAGS:
             inside[k] = True
-        if page.tag[k] in OTHER_TAGS or any(w in OTHER_NAMES for w in page.words[k]):
+        if page.tag[k] in OTHER_TAGS or any(w in OTHER_NAMES or w in COMMENT_NAMES for w in page.words[k]):
             other[k] = True
     content = inside & ~other
     return _elements(page, content) if content.any() else None
 
 
 def _elements(page: Page, content: np.ndarray) -> np.ndarray:
-    """An element is content if at least nine tenths of its text are."""
+    """States: an element is CONTENT if nine tenths of its text are, OTHER if none is, else MIXED."""
     n = len(page.tag)
     chars, good = np.zeros(n), np.zeros(n)
     for k in range(n - 1, -1, -1):
         if page.text[k] is not None:
-            chars[k], good[k] = len(page.text[k]), len(page.text[k]) * content[k]
+            chars[k], good[k] = len(page.text[k]), len(page.text[k]) * bool(content[k])
         if page.parent[k] >= 0:
             chars[page.parent[k]] += chars[k]
             good[page.parent[k]] += good[k]
-    return np.where(chars > 0, good >= 0.9 * np.maximum(chars, 1), content).astype(np.int64)
+    some = np.where(chars > 0, good > 0, content)
+    most = np.where(chars > 0, good >= 0.9 * chars, content)
+    return np.where(most, CONTENT, np.where(some, MIXED, OTHER))
 
 
 def variant(page: Page, content: np.ndarray, rng: np.random.Generator, pool: list[str]) -> tuple[Page, np.ndarray]:
-    """The page with its containers named otherwise and with added blocks that are not content."""
+    """The page with its containers named otherwise and with added blocks that are not content; and which of its
+    nodes are content."""
+    content = content == CONTENT
     out, label = Page(), []
     place: dict[int, int] = {}
 
@@ -385,6 +446,42 @@ def variant(page: Page, content: np.ndarray, rng: np.random.Generator, pool: lis
             out.add(inner, "#text", (), pick(pool)[:int(pick((15, 40, 150, 400, 1000)))])
             label.append(0)
 
+    def element(parent: int, tag: str, *words: str) -> int:
+        label.append(0)
+        return out.add(parent, tag, words)
+
+    def said(parent: int, text: str) -> None:
+        label.append(0)
+        out.add(parent, "#text", (), text)
+
+    def comments(parent: int) -> None:
+        """What readers wrote: as long and as well formed as the article."""
+        name = pick(("comment", "comments", *COMMENT_NAMES))
+        at = element(parent, pick(("div", "div", "div", "section", "section", "aside")), name, *pick(((), ("list",), ("area",), ("thread",), ("section",))))
+        if rng.random() < 0.6:
+            said(element(at, pick(("h2", "h3", "h4", "div"))), " ".join(pick(pool).split(" ")[:3]))
+        held = element(at, pick(("ol", "ul", "div"))) if rng.random() < 0.5 else at
+        for _ in range(int(rng.integers(1, 5))):
+            named = (pick(COMMENT_NAMES),) if rng.random() < 0.4 else ()
+            one = element(held, "li" if out.tag[held] in ("ol", "ul") else pick(("div", "article", "p")), *named)
+            if out.tag[one] != "p" and rng.random() < 0.5:
+                said(element(one, pick(("b", "span", "cite", "a", "strong"))), " ".join(pick(pool).split(" ")[:2]))
+            for _ in range(int(rng.integers(1, 5))):
+                inner = one if out.tag[one] == "p" or rng.random() < 0.2 else element(one, "p")
+                said(element(inner, pick(("b", "em", "a"))) if rng.random() < 0.15 else inner, pick(pool))
+
+    def rows(parent: int) -> None:
+        """A table in the text."""
+        at = out.add(parent, "table")
+        label.append(1)
+        head = int(rng.integers(0, 3))
+        for r in range(int(rng.integers(2, 5))):
+            line = out.add(out.add(at, "thead" if r == 0 and head == 2 else "tbody") if head == 2 else at, "tr")
+            label.extend([1] * (1 + (head == 2)))
+            for _ in range(int(rng.integers(1, 4))):
+                out.add(out.add(line, "th" if r == 0 and head else "td"), "#text", (), " ".join(pick(pool).split(" ")[:int(rng.integers(1, 6))]))
+                label.extend((1, 1))
+
     def children_border(k: int) -> bool:
         return page.text[k] is None and k > 0 and page.tag[page.parent[k]] in ("html", *MAIN_TAGS)
 
@@ -425,19 +522,24 @@ def variant(page: Page, content: np.ndarray, rng: np.random.Generator, pool: lis
             text = text[:int(rng.integers(5, 40))]
         place[k] = out.add(parent, tag, words, text, page.gap[k])
         label.append(int(content[k]))
+        if content[k] and tag == "p" and rng.random() < 0.05 and text is None:
+            rows(out.parent[place[k]])
         if page.tag[k] in MAIN_TAGS and rng.random() < 0.3:
             extra(place[k])
+    main = next((k for k in range(len(page.tag)) if page.tag[k] in MAIN_TAGS), 0)
     if rng.random() < 0.8:
         extra(0)
+    if rng.random() < 0.8:
+        comments(pick((0, place[main], place[main], place[page.parent[main]] if main else 0)))
     return out, np.array(label)
 
 
-def fit(htmls: list[str]) -> Model | None:
-    """Maximum likelihood over the labelled pages and their variants, by Adam on the exact gradient; None if too few."""
-    parsed = [parse(h) for h in htmls]
-    known = [(p, c) for p in parsed if (c := labels(p)) is not None]
-    if len(known) < LEAST_PAGES:
-        return None
+def fit(htmls: list[str]) -> Model:
+    """Penalised maximum likelihood over the labelled pages and their variants, by Adam on the exact gradient."""
+    start = prior()
+    known = [(p, c) for p in map(parse, htmls) if (c := labels(p)) is not None]
+    if not known:
+        return start
     rng = np.random.Generator(np.random.Philox(3))
     pool = [t for p, _ in known for t in p.text if t]
     pages, states = [], []
@@ -446,47 +548,42 @@ def fit(htmls: list[str]) -> Model | None:
         states.append(content)
         for _ in range(VARIANTS):
             made, label = variant(page, content, rng, pool)
-            texts = np.array([t is not None for t in made.text])
             pages.append(made)
-            states.append(np.where(texts, label, _elements(made, label.astype(bool))))
+            states.append(_elements(made, label.astype(bool)))
     trees, y = Trees(pages), np.concatenate(states)
-    weights, pairs = np.zeros(STARTS[-1]), np.zeros((2, 2, 2))
-    seen = np.zeros((2, 2, 2))
+    weights, pairs = start.weights.copy(), start.pairs.copy()
+    seen = np.zeros((2, 3, 3))
     child = np.flatnonzero(trees.parent >= 0)
     np.add.at(seen, (trees.is_text[child].astype(int), y[trees.parent[child]], y[child]), 1)
+    truth = np.eye(3)[y]
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (weights, pairs)]
     scale = 1 / len(pages)
     for step in range(1, ROUNDS + 1):
         p, joint = trees.marginals(weights, pairs)
-        diff = y - p
-        g = np.bincount(trees.values.ravel(), weights=np.repeat(diff, trees.values.shape[1]), minlength=len(weights))
-        g += np.bincount(trees.word_value, weights=diff[trees.word_node], minlength=len(weights))
-        for x, grad, (m, v) in zip((weights, pairs), (g * scale - PENALTY * weights, (seen - joint) * scale - PENALTY * pairs),
-                                   moments, strict=True):
+        g = trees.gradient(truth - p, weights.shape[1])
+        for x, grad, (m, v) in zip((weights, pairs), (
+                (g - PENALTY * (weights - start.weights)) * scale, (seen - joint - PENALTY * (pairs - start.pairs)) * scale),
+                moments, strict=True):
             m += 0.1 * (grad - m)
             v += 0.01 * (grad * grad - v)
             x += RATE * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)
     return Model(weights, pairs)
 
 
-def train(pages: DataFrame) -> Model | None:
-    """Trains on the driver, over the bounded sample of pages with marks; None if too few can be labelled."""
+def train(pages: DataFrame) -> Model:
+    """Trains on the driver, over the bounded sample of pages with marks."""
     size = F.octet_length("html")
     able = pages.filter((size <= SAMPLE_BYTES) & F.col("html").cast("string").rlike(MARKED))
-    n = able.count()
-    if n < LEAST_PAGES:
-        return None
-    share = int(min(1.0, SAMPLE_PAGES / n) * (1 << 20)) + 1
+    share = int(min(1.0, SAMPLE_PAGES / max(able.count(), 1)) * (1 << 20)) + 1
     some = able.filter(F.pmod(F.xxhash64("page_id", size), F.lit(1 << 20)) < share)
     return fit(sorted(r.html for r in some.select(F.col("html").cast("string").alias("html")).limit(2 * SAMPLE_PAGES).collect()))
 
 
-def main_texts(pages: list[Page], model: Model | None) -> list[str]:
-    """The text of the content nodes of each page; by the prior without a trained model."""
-    model = model or prior()
+def main_texts(pages: list[Page], model: Model) -> list[str]:
+    """The text of the content nodes of each page."""
     trees = Trees(pages)
     p, _ = trees.marginals(model.weights, model.pairs)
-    keep = np.split((p > 0.5) & trees.is_text, trees.first[1:])
+    keep = np.split((p[:, CONTENT] > 0.5) & trees.is_text, trees.first[1:])
     out = []
     for page, kept in zip(pages, keep, strict=True):
         parts, gap = [], False
@@ -503,7 +600,7 @@ def main_texts(pages: list[Page], model: Model | None) -> list[str]:
     return out
 
 
-def extract(pages: DataFrame, model: Model | None) -> DataFrame:
+def extract(pages: DataFrame, model: Model) -> DataFrame:
     """(page_id, url, text) of every page."""
     shared = pages.sparkSession.sparkContext.broadcast(model)
 
