@@ -3,9 +3,10 @@
 1. Targets. Sources in code point order (null last) weigh 5, 2, 1, 5, ... and share the words of all documents;
    no target is above 3 times its source's words, and the excess is shared again by weight.
 2. Blocks. A source's documents stand in the order of a seeded hash; the source is read as often as its target
-   asks (copy 0, 1, ...), and this stream is cut into blocks of ``block_words`` words, up to the target exactly: a
-   document belongs to the block in which its copy begins, and the copy at the target's end gives its first words
-   only (one document per source).
+   asks (copy 0, 1, ...), and this stream is cut into blocks of ``block_words`` words: a document belongs to the block
+   in which its copy begins. Documents are whole. The stream ends before the copy that would pass the target, and
+   the gap is filled in FILL_ROUNDS rounds from the documents that the last pass has not reached: in each the one
+   that fits it best, in the last one the one that leaves the least, above or below; these join the last block.
 3. Tree. The vector of all sources' block counts is split in two again and again, each time by a multivariate
    hypergeometric draw seeded by the node, until each output shard has its exact quota per source. The first
    levels run once; each task then carries on a subtree of its own.
@@ -16,13 +17,11 @@ Prefix sums are taken in two passes over (source, slice of the hash order), so a
 spread over many tasks. Reruns agree: every draw depends on the data and the seed alone.
 
 Defined results: null text has no words; a source without words has target 0; documents without words are never
-drawn; repeated rows are separate documents; an empty table gives an empty result. Extra columns pass through.
+drawn; repeated rows are separate documents; an empty table gives an empty result. Extra columns of any name pass.
 """
 
 from __future__ import annotations
 
-import itertools
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import materialise
-from .common import WORD, numbered, table
+from .common import WORD, numbered, table, unpacked
 
 #: Fixed values of the contract.
 WEIGHTS = (5, 2, 1)
@@ -43,6 +42,8 @@ BLOCK_WORDS = 4096
 SHARD_WORDS = 4 << 20
 #: Rows of a slice of a source, on average at most.
 SLICE_ROWS = 2_000
+#: Documents that fill the gap before a source's target, at most.
+FILL_ROUNDS = 4
 #: Levels of the tree that are split before the subtrees are dealt out.
 TOP_LEVELS = 6
 
@@ -155,7 +156,7 @@ def _coprime(n: int, seed: int) -> int:
 
 def draws(rows: DataFrame, seed: int = SEED, block_words: int = BLOCK_WORDS,
           shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame]:
-    """Of numbered rows (rid, source, size, h): per copy that the mix takes (rid, copy, shard, size, taken, h), and the targets."""
+    """Of numbered rows (rid, source, size, h): per copy that the mix takes (rid, copy, shard, size, h), and the targets."""
     spark = rows.sparkSession
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
     goals = materialise(targets(sizes).withColumn(
@@ -169,32 +170,45 @@ def draws(rows: DataFrame, seed: int = SEED, block_words: int = BLOCK_WORDS,
     placed = rows.select("rid", F.col("source").alias("s"), "size", "h").join(
         goals, F.col("s").eqNullSafe(F.col("source"))).select(
         "rid", "size", "h", "source_no", "source_size", "source_rows", "quota")
-    placed = positions(placed.filter("size > 0"))
-    copies = F.sequence(F.lit(0), F.floor((F.col("quota") - 1 - F.col("pos")) / F.col("source_size")).cast("int"))
-    copied = (placed.filter(F.col("pos") < F.col("quota"))
-              .select("*", F.explode(copies).alias("copy"))
-              .withColumn("at", F.col("copy") * F.col("source_size") + F.col("pos"))
-              .select("rid", "h", "copy", "source_no", F.floor(F.col("at") / block_words).alias("block"),
-                      "size", F.least("size", F.col("quota") - F.col("at")).alias("taken")))
+    placed = materialise(positions(placed.filter("size > 0")), "mix-places")
+    spare = F.col("quota") - F.col("pos") - F.col("size")
+    copies = F.sequence(F.lit(0), F.floor(spare / F.col("source_size")).cast("int"))
+    streamed = placed.filter(spare >= 0).select("*", F.explode(copies).alias("copy"))
+    at = F.col("copy") * F.col("source_size") + F.col("pos")
+    copied = (streamed.withColumn("block", F.floor(at / block_words)).select("rid", "h", "copy", "source_no", "block", "size")
+              .unionByName(_filled(placed, streamed, goals, block_words)))
     dealt = quotas(spark, blocks, shards, seed)
     dealt = dealt.select("shard", "source_no", F.explode(F.expr("sequence(first, first + count - 1)")).alias("turn"))
     step = (F.col("turn").cast("decimal(38,0)") * F.col("step") + seed) % F.col("blocks")
     dealt = (dealt.join(steps, "source_no")
              .select("source_no", "shard", step.cast("long").alias("block")))
-    return copied.join(dealt, ["source_no", "block"]).select("rid", "copy", "shard", "size", "taken", "h"), goals
-
-
-def _first_words(text: str | None, n: int) -> str | None:
-    """The text up to the end of its n-th word."""
-    if text is None:
-        return None
-    end = next(itertools.islice(re.finditer(WORD, text), n - 1, None)).end()
-    return text[:end]
-
-
-def mix(docs: DataFrame, seed: int = SEED, **sizes: int) -> DataFrame:
-    """The mixed rows in shards: the columns of ``docs`` (text cut where its source's target ends, n_chars alike),
-    then ``shard`` and ``place`` in it. A document stands as often as the mix takes it."""
+    return copied.join(dealt, ["source_no", "block"]).select("rid", "copy", "shard", "size", "h"), goals
+
+
+def _filled(placed: DataFrame, streamed: DataFrame, goals: DataFrame, block_words: int) -> DataFrame:
+    """(rid, h, copy, source_no, block, size) of the documents that fill the gap at the end of each source's stream."""
+    sums = streamed.groupBy("source_no").agg(F.sum("size").alias("words"))
+    words_taken = F.coalesce("words", F.lit(0))
+    gaps = goals.join(sums, "source_no", "left").filter("source_size > 0").select(
+        "source_no", "quota", (F.col("quota") - words_taken).alias("gap"),
+        F.floor(words_taken / F.col("source_size")).cast("int").alias("copy"), (words_taken % F.col("source_size")).alias("reached"))
+    gaps, chosen = materialise(gaps, "mix-gaps"), None  # one row per source
+    for k in range(FILL_ROUNDS):
+        left = placed.select("rid", "h", "source_no", "pos", "size").join(gaps, "source_no").filter("pos >= reached AND gap > 0")
+        left = left.filter(F.abs(F.col("size") - F.col("gap")) < F.col("gap") if k + 1 == FILL_ROUNDS else F.col("size") <= F.col("gap"))
+        if chosen is not None:
+            left = left.join(chosen.select("rid"), "rid", "left_anti")
+        best = F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "h", "rid", "size", "copy", "quota"))
+        pick = materialise(left.groupBy("source_no").agg(best.alias("b")).select("source_no", "b.*"), "mix-pick")
+        chosen = pick if chosen is None else chosen.unionByName(pick)
+        used = pick.select("source_no", F.col("size").alias("used"))
+        gaps = gaps.join(used, "source_no", "left").withColumn("gap", F.col("gap") - F.coalesce("used", F.lit(0))).drop("used")
+        gaps = materialise(gaps, "mix-gaps")
+    return chosen.select("rid", "h", "copy", "source_no", F.floor((F.col("quota") - 1) / block_words).alias("block"), "size")
+
+
+def mixed(docs: DataFrame, seed: int = SEED, **sizes: int) -> DataFrame:
+    """(row, shard, place): the rows of ``docs``, packed, each as often as the mix takes it."""
     rows = numbered(docs, "mix-docs")
     light = rows.select("rid", F.col("row.source").cast("string").alias("source"), words(F.col("row.text")).alias("size"),
                         F.xxhash64(F.lit(seed), "row.doc_id", "row.text").alias("h"))
@@ -202,14 +216,12 @@ def mix(docs: DataFrame, seed: int = SEED, **sizes: int) -> DataFrame:
     taken, _ = draws(light, seed, **sizes)
     order = F.xxhash64(F.lit(seed), "shard", "h", "copy")  # the shuffle inside a shard, before the texts join
     place = F.row_number().over(Window.partitionBy("shard").orderBy(order, "rid", "copy"))
-    out = rows.join(taken.withColumn("place", place), "rid")
-    first_words = F.udf(_first_words, "string")  # gets the text of the cut rows only, one per source
-    text = F.coalesce(first_words(F.when(F.col("taken") < F.col("size"), F.col("row.text")), "taken"), F.col("row.text"))
-    fresh = {"text": text}
-    if "n_chars" in docs.columns:
-        fresh["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
-    return out.select(*[fresh.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns if c not in ("shard", "place")],
-                      "shard", "place")
+    return rows.join(taken.withColumn("place", place), "rid").select("row", "shard", "place")
+
+
+def mix(docs: DataFrame, seed: int = SEED, **sizes: int) -> DataFrame:
+    """The mixed rows with the columns of ``docs`` alone: a document stands as often as the mix takes it."""
+    return unpacked(mixed(docs, seed, **sizes), docs)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,7 +230,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = materialise(docs.select("doc_id", F.col("source"), words(F.col("text")).alias("size"), F.xxhash64(F.lit(SEED), "doc_id", "text").alias("h"))
                        .withColumn("rid", F.monotonically_increasing_id()), "mix-rows")
     taken, goals = draws(rows)
-    per_doc = taken.groupBy("rid").agg(F.sum("taken").alias("taken"))
+    per_doc = taken.groupBy("rid").agg(F.sum("size").alias("taken"))
     goals = goals.withColumnRenamed("source", "s")
     return (rows.join(per_doc, "rid", "left")
             .join(goals, F.col("s").eqNullSafe(F.col("source")))

@@ -50,23 +50,43 @@ def test_quotas_cover_every_block_once(spark):
 
 def test_mix_takes_the_targets(spark):
     docs = cases.frame(spark)
-    size = Counter()
+    size, largest = Counter(), Counter()
     for r in cases.rows():
-        size[r[3]] += len(WORD.findall(r[1] or ""))
+        n = len(WORD.findall(r[1] or ""))
+        size[r[3]] += n
+        largest[r[3]] = max(largest[r[3]], n)
     goal = expected_targets(size)
-    out = mixing.mix(docs, block_words=500, shard_words=5000).collect()
+    mixed = mixing.mixed(docs, block_words=500, shard_words=5000).collect()
+    out = [r.row for r in mixed]
     got = Counter()
     for r in out:
         got[r.source] += len(WORD.findall(r.text))
-        assert r.n_chars == len(r.text)
     for s in size:
-        assert abs(got[s] - goal[s]) <= 1
-    texts = [r[1] or "" for r in cases.rows()]
-    assert all(any(t.startswith(r.text) for t in texts) for r in out)
+        assert abs(got[s] - goal[s]) <= largest[s] / 2 + 1
+    assert {tuple(r) for r in out} <= set(cases.rows())  # whole rows, with their own shard and place
     assert max(Counter((r.doc_id, r.text) for r in out).values()) <= 6  # three times, for a row that stands twice
-    again = mixing.mix(cases.frame(spark, 7), block_words=500, shard_words=5000).collect()
-    assert sorted(map(cases.key, [(r.doc_id, r.text, r.shard, r.place) for r in out])) == sorted(
-        map(cases.key, [(r.doc_id, r.text, r.shard, r.place) for r in again]))
+    again = mixing.mixed(cases.frame(spark, 7), block_words=500, shard_words=5000).collect()
+    key = lambda r: cases.key((r.row.doc_id, r.row.text, r.shard, r.place))
+    assert sorted(map(key, again)) == sorted(map(key, mixed))
+    plain = mixing.mix(docs, block_words=500, shard_words=5000)
+    assert plain.columns == docs.columns and plain.count() == len(out)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_query_comes_near_the_targets(spark, sf):
+    rows = mixing.query(spark, f"/root/testdata/{sf}").collect()
+    docs = {r.doc_id: r for r in spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").collect()}
+    size, taken, target = Counter(), Counter(), {}
+    for r in rows:
+        assert r.size == len(WORD.findall(docs[r.doc_id].text or "")) and r.taken <= 3 * r.size
+        assert r.taken == 0 or r.taken % r.size == 0
+        source = docs[r.doc_id].source
+        size[source] += r.size
+        taken[source] += r.taken
+        target[source] = r.target
+    assert target == pytest.approx(expected_targets(size))
+    for s, goal in target.items():
+        assert abs(taken[s] - goal) <= max(5, 0.01 * goal), (s, taken[s], goal)
 
 
 def test_empty(spark):
