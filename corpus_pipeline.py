@@ -2,6 +2,11 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; ``run`` writes each stage's result as
 parquet in the shared folder and hands it, read again, to the next one.
+
+Defined results of every stage: null text counts as empty (the first stage rejects it, as any text without letters);
+null doc_ids stand last where ids decide; repeated rows are separate documents until the exact stage, which keeps one
+of equal texts; ties are broken by doc_id, then by place; an empty table stays empty; extra columns pass through all
+stages but the last, whatever their names; no stage cuts a text.
 """
 
 from __future__ import annotations
@@ -26,7 +31,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the smallest doc_id stays."""
-    return exact_dedup(docs, DigestIndex(spark))
+    with DigestIndex(spark) as index:
+        return exact_dedup(docs, index)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +42,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sources come at their target weights: a row for each time that the mix takes a document."""
-    return mix(docs).drop("shard", "place")
+    return mix(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
