@@ -5,8 +5,9 @@
 2. Blocks. A source's documents stand in the order of a seeded hash; the source is read as often as its target
    asks (copy 0, 1, ...), and this stream is cut into blocks of ``block_words`` words: a document belongs to the block
    in which its copy begins. Documents are whole. The stream ends before the copy that would pass the target, and
-   the gap is filled in FILL_ROUNDS rounds from the documents that the last pass has not reached: in each the one
-   that fits it best, in the last one the one that leaves the least, above or below; these join the last block.
+   the gap is filled in FILL_ROUNDS rounds by one more copy of documents that stand less than MOST_COPIES times: in
+   each the one that fits it best, in the last one the one that leaves the least, above or below; these join the
+   last block.
 3. Tree. The vector of all sources' block counts is split in two again and again, each time by a multivariate
    hypergeometric draw seeded by the node, until each output shard has its exact quota per source. The first
    levels run once; each task then carries on a subtree of its own.
@@ -194,7 +195,8 @@ def _filled(placed: DataFrame, streamed: DataFrame, goals: DataFrame, block_word
         F.floor(words_taken / F.col("source_size")).cast("int").alias("copy"), (words_taken % F.col("source_size")).alias("reached"))
     gaps, chosen = materialise(gaps, "mix-gaps"), None  # one row per source
     for k in range(FILL_ROUNDS):
-        left = placed.select("rid", "h", "source_no", "pos", "size").join(gaps, "source_no").filter("pos >= reached AND gap > 0")
+        left = placed.select("rid", "h", "source_no", "pos", "size").join(gaps, "source_no").filter("gap > 0")
+        left = left.withColumn("copy", F.col("copy") + (F.col("pos") < F.col("reached")).cast("int")).filter(F.col("copy") < MOST_COPIES)
         left = left.filter(F.abs(F.col("size") - F.col("gap")) < F.col("gap") if k + 1 == FILL_ROUNDS else F.col("size") <= F.col("gap"))
         if chosen is not None:
             left = left.join(chosen.select("rid"), "rid", "left_anti")

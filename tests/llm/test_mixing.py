@@ -76,17 +76,19 @@ def test_mix_takes_the_targets(spark):
 def test_query_comes_near_the_targets(spark, sf):
     rows = mixing.query(spark, f"/root/testdata/{sf}").collect()
     docs = {r.doc_id: r for r in spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").collect()}
-    size, taken, target = Counter(), Counter(), {}
+    size, taken, most, target = Counter(), Counter(), Counter(), {}
     for r in rows:
         assert r.size == len(WORD.findall(docs[r.doc_id].text or "")) and r.taken <= 3 * r.size
         assert r.taken == 0 or r.taken % r.size == 0
         source = docs[r.doc_id].source
         size[source] += r.size
+        most[source] = max(r.size, most[source])
         taken[source] += r.taken
         target[source] = r.target
     assert target == pytest.approx(expected_targets(size))
     for s, goal in target.items():
-        assert abs(taken[s] - goal) <= max(5, 0.01 * goal), (s, taken[s], goal)
+        # fifty documents a source fit the target well; ten leave a part of one of them
+        assert abs(taken[s] - goal) <= (max(5, 0.01 * goal) if sf == "sf0.01" else most[s] / 2), (s, taken[s], goal)
 
 
 def test_empty(spark):
