@@ -2,9 +2,10 @@
 
 Pass 1 encodes each document once, appends the end id and writes, per partition, the ids and their running
 offset in the partition. The totals (one row per partition) give each partition's global offset. Pass 2 adds
-the two, and windows of ``size`` ids follow from the global offset alone: no ids are shuffled. Windows that
-lie in one partition are complete there; the parts of a window that crosses partitions are boundary records,
-which are joined by window.
+the two and cuts windows of ``size`` ids, which follow from the global offset alone: no ids are shuffled. Each window
+is written once, with its members (which part of which document lies where in it). Windows that lie in one
+partition are complete there; the parts of a window that crosses partitions are boundary records, which are joined
+by window. The pieces of documents are read from the written sequences.
 
 Only the last window has padding. Defined results: null text is empty, and an empty text is its end id alone;
 a text longer than a window goes on in the next ones; repeated rows are packed as often as they come; an empty
@@ -68,72 +69,98 @@ def placed(ids: DataFrame) -> DataFrame:
     return ids.join(F.broadcast(bases), "part").withColumn("first", F.col("base") + F.col("at")).drop("base")
 
 
-def pieces(placed_ids: DataFrame, size: int = SEQUENCE) -> DataFrame:
-    """One row per piece of a document in a sequence, with its ids."""
-    n = F.lit(size)
-
-    def piece(window):
-        a = F.greatest(window * n, F.col("first"))
-        b = F.least((window + 1) * n, F.col("first") + F.col("doc_tokens"))
-        start = a - F.col("first")
-        return F.struct(start.alias("start"), (b - a).alias("length"), window.alias("sequence_id"),
-                        (a - window * n).alias("offset"),
-                        F.substring(F.col("ids"), (start * 4 + 1).cast("int"), ((b - a) * 4).cast("int")).alias("ids"))
-
-    last = F.col("first") + F.col("doc_tokens") - 1
-    windows = F.sequence(F.floor(F.col("first") / n), F.floor(last / n))
-    out = placed_ids.select("doc_id", "doc_tokens", F.explode(F.transform(windows, piece)).alias("p"))
-    return out.select("doc_id", "p.start", "p.length", "doc_tokens", "p.sequence_id", "p.offset", "p.ids")
+MEMBERS = "array<struct<doc_id: long, start: long, length: long, doc_tokens: long, offset: long>>"
+#: Bytes of cut windows given on at once.
+BATCH_BYTES = 8 << 20
+
+
+class _Cuts:
+    """Windows and parts of windows as a record batch: sequence_id, offset, ids, members."""
+
+    NAMES = ("doc_id", "start", "length", "doc_tokens", "offset")
+
+    def __init__(self):
+        self.windows: list[tuple[int, int, bytes]] = []
+        self.ends = [0]
+        self.members: list[tuple[int | None, int, int, int, int]] = []
+        self.size = 0
+
+    def add(self, window: int, offset: int, ids: bytes, members: list) -> None:
+        self.windows.append((window, offset, ids))
+        self.members += members
+        self.ends.append(len(self.members))
+        self.size += len(ids)
+
+    def batch(self) -> pa.RecordBatch:
+        columns = list(zip(*self.members, strict=True)) or [()] * len(self.NAMES)
+        members = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], self.NAMES)
+        ids, offsets, texts = zip(*self.windows, strict=True)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ids, pa.int64()), pa.array(offsets, pa.int64()), pa.array(texts, pa.binary()),
+             pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), members)], ["sequence_id", "offset", "ids", "members"])
+
+
+def _cut(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Whole windows, and what is left where the places break off or the rows end."""
+    out, held, members, window, begin, place = _Cuts(), bytearray(), [], 0, 0, -1
+    for batch in batches:
+        columns = (batch.column(c).to_pylist() for c in ("first", "doc_id", "doc_tokens"))
+        for first, doc_id, n, ids in zip(*columns, batch.column("ids"), strict=True):
+            if held and place != first:
+                out.add(window, begin, bytes(held), members)
+                held, members = bytearray(), []
+            data, at = memoryview(ids.as_buffer()), 0
+            while at < n:
+                window, offset = divmod(first + at, size)
+                if not held:
+                    begin = offset
+                take = min(n - at, size - offset)
+                held += data[4 * at:4 * (at + take)]
+                members.append((doc_id, at, take, n, offset))
+                at += take
+                if offset + take == size:
+                    out.add(window, begin, bytes(held), members)
+                    held, members = bytearray(), []
+                    if out.size > BATCH_BYTES:
+                        yield out.batch()
+                        out = _Cuts()
+            place = first + n
+    if held:
+        out.add(window, begin, bytes(held), members)
+    if out.windows:
+        yield out.batch()
 
 
 def sequences(placed_ids: DataFrame, size: int = SEQUENCE, pad_id: int = PAD_ID) -> DataFrame:
-    """The packed sequences themselves: (sequence_id, n_tokens, ids), padded to ``size``."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Whole windows, and what is left where the offsets break off or the rows end."""
-        held, place = bytearray(), 0
-
-        def batch_of(rows):
-            return pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
-                 pa.array([r[2] for r in rows], pa.binary())], ["sequence_id", "offset", "ids"])
-
-        for batch in batches:
-            rows = []
-            for first, ids in zip(batch.column("first").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-                if held and place + len(held) // 4 != first:
-                    rows.append((place // size, place % size, bytes(held)))
-                    held = bytearray()
-                if not held:
-                    place = first
-                held += ids
-                at = 0
-                while len(held) - at >= (size - place % size) * 4:
-                    k = (size - place % size) * 4
-                    rows.append((place // size, place % size, bytes(held[at:at + k])))
-                    at, place = at + k, place + k // 4
-                del held[:at]
-            yield batch_of(rows)
-        if held:
-            yield batch_of([(place // size, place % size, bytes(held))])
-
-    cuts = placed_ids.select("first", "ids").mapInArrow(cut, "sequence_id long, offset long, ids binary")
-    cuts_of = cuts.withColumn("n_tokens", F.floor(F.length("ids") / 4))
-    whole = cuts_of.filter(F.col("n_tokens") == size).select("sequence_id", "n_tokens", "ids")
+    """The packed sequences, written once: (sequence_id, n_tokens, ids, members), padded to ``size``."""
+    path = scratch_path(placed_ids.sparkSession, "packing-sequences")
+    (placed_ids.select("first", "doc_id", "doc_tokens", "ids")
+     .mapInArrow(lambda batches: _cut(batches, size), f"sequence_id long, offset long, ids binary, members {MEMBERS}")
+     .write.option("compression", "zstd").parquet(path))
+    cuts = placed_ids.sparkSession.read.parquet(path).withColumn("n_tokens", F.floor(F.length("ids") / 4))
+    whole = cuts.filter(F.col("n_tokens") == size).select("sequence_id", "n_tokens", "ids", "members")
     # boundary records: at most two per partition and file split; a window has at most `size` of them
-    parts = cuts_of.filter(F.col("n_tokens") < size).groupBy("sequence_id").agg(
-        F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
-    joined = parts.select("sequence_id", "n_tokens", F.aggregate(
-        "parts", F.lit(b""), lambda x, p: F.concat(x, p["ids"])).alias("ids"))
+    parts = cuts.filter(F.col("n_tokens") < size).groupBy("sequence_id").agg(
+        F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("offset", "ids", "members"))).alias("parts"))
     pad = F.lit(pad_id.to_bytes(4, "little"))
     fill = F.unhex(F.repeat(F.hex(pad), (F.lit(size) - F.col("n_tokens")).cast("int")))
-    return whole.unionByName(joined).select("sequence_id", "n_tokens", F.concat("ids", fill).alias("ids"))
+    joined = F.aggregate("parts", F.lit(b""), lambda x, p: F.concat(x, p["ids"]))
+    return whole.unionByName(parts.select("sequence_id", "n_tokens", F.concat(joined, fill).alias("ids"),
+                                          F.flatten(F.transform("parts", lambda p: p["members"])).alias("members")))
+
+
+def pieces(packed: DataFrame) -> DataFrame:
+    """One row per piece of a document in a sequence, with its ids, from the sequences."""
+    m = F.col("m")
+    ids = F.substring(F.col("ids"), (m["offset"] * 4 + 1).cast("int"), (m["length"] * 4).cast("int"))
+    return packed.select("sequence_id", "ids", F.explode("members").alias("m")).select(
+        "m.doc_id", "m.start", "m.length", "m.doc_tokens", "sequence_id", "m.offset", ids.alias("ids"))
 
 
 def pack(docs: DataFrame, size: int = SEQUENCE, tokenizer_path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The pieces and the padded sequences of all documents."""
-    ids = placed(encoded(docs, vocabulary(docs.sparkSession, tokenizer_path)))
-    return pieces(ids, size), sequences(ids, size)
+    packed = sequences(placed(encoded(docs, vocabulary(docs.sparkSession, tokenizer_path))), size)
+    return pieces(packed), packed
 
 
 def digest_rows(docs: DataFrame) -> DataFrame:
