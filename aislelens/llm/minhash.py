@@ -43,8 +43,6 @@ GROUP = 2 << 20
 SLICE = 8 << 20
 #: Classes of a block of a band's bucket.
 BLOCK = 256
-#: Likeness may fall short of the similarity by this much (over four standard errors) before a pair is left out.
-SLACK = 0.15
 
 _RNG = np.random.Generator(np.random.Philox(SEED))
 FACTORS = _RNG.integers(0, 1 << 64, PERMUTATIONS, np.uint64, endpoint=False) | np.uint64(1)
@@ -254,8 +252,11 @@ def verified(prints: np.ndarray, sets: list[np.ndarray], ids: np.ndarray, left:
         return k
 
     links = []
+    size = np.array([len(s) for s in sets])
     for i in np.flatnonzero(left):
-        for j in np.flatnonzero((prints == prints[i]).mean(1) >= similarity - SLACK):
+        # no two sets are more alike than the smaller is large; the likeliest pairs first, as links spare tests
+        able = np.flatnonzero(np.minimum(size, size[i]) >= similarity * np.maximum(size, size[i]))
+        for j in able[np.argsort(-(prints[able] == prints[i]).mean(1), kind="stable")]:
             if i == j or root(i) == root(j):
                 continue
             both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))

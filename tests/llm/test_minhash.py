@@ -67,3 +67,21 @@ def test_near_duplicates(spark):
 def test_empty(spark):
     assert minhash.edits(cases.empty(spark)).count() == 0
     assert minhash.near_duplicates(cases.empty(spark)).count() == 0
+
+
+def test_recall_of_pairs_near_the_threshold(spark):
+    """Pairs of similarity 0.8 to 0.9, by exact Jaccard: all are linked, and none below."""
+    import random
+
+    rng = random.Random(7)
+    rows, pairs = [], []
+    for k in range(150):
+        words = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        other = list(words)
+        for at in rng.sample(range(300), rng.randint(3, 9)):
+            other[at] = f"x{k}-{at}"
+        a, b = ({tuple(x[i:i + 5]) for i in range(296)} for x in (words, other))
+        pairs.append(len(a & b) / len(a | b) >= 0.8)
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[2 * k + 1] == 2 * k for k in range(150)] == pairs and 20 < sum(pairs) < 130
