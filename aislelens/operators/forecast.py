@@ -113,6 +113,43 @@ def daily_spine(inventory: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
                         "inventory_on_hand", (F.col("_sum") / F.col("_n")).alias("demand_7d_calendar_avg"))
 
 
+def spine_summary_direct(inventory: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
+    """``spine_summary(daily_spine(inventory))`` without the days between rows.
+
+    Counts of days follow from a series' first and last day by arithmetic. A
+    trailing calendar average can only peak on a day with a row, on the day
+    before one, on the day a row has left the window, or on the first day
+    whose window is whole; these few days per row stand in for the calendar,
+    and a range window over them adds up the rows of each one's last days.
+    """
+    n = t.short_rows
+    key = ["store_id", "sku_id"]
+    rows = inventory.filter("txn_date IS NOT NULL").select(*key, F.unix_date("txn_date").alias("_day"),
+                                                           "qty_sold", "inventory_on_hand")
+
+    def day(shift: int, real: bool):
+        return F.struct((F.col("_day") + shift).alias("_day"), F.lit(real).alias("_real"),
+                        (F.coalesce(F.col("qty_sold"), F.lit(0)) if real else F.lit(0)).cast("long").alias("_qty"))
+
+    days = rows.select(*key, "qty_sold", "inventory_on_hand", F.explode(F.array(
+        day(0, True), day(-1, False), day(n - 1, False), day(n, False))).alias("_at"))
+    days = days.select(*key, "_at.*", "qty_sold", "inventory_on_hand")
+    series = Window.partitionBy(*key)
+    real_day = F.when(F.col("_real"), F.col("_day"))
+    held = days.withColumns({"_first": F.min(real_day).over(series), "_last": F.max(real_day).over(series)})
+    trailing = series.orderBy("_day").rangeBetween(-(n - 1), Window.currentRow)
+    held = (held.withColumn("_sum", F.sum("_qty").over(trailing))
+            .withColumn("_n", F.least(F.lit(n), F.col("_day") - F.col("_first") + 1)))
+    inside = F.col("_day").between(F.col("_first"), F.col("_last"))
+    seen = F.col("_real") & (F.col("qty_sold").isNotNull() | F.col("inventory_on_hand").isNotNull())
+    total = (F.max("_last") - F.min("_first") + 1).cast("long")
+    return held.groupBy(*key).agg(
+        F.date_from_unix_date(F.min("_first")).alias("first_day"), F.date_from_unix_date(F.max("_last")).alias("last_day"),
+        total.alias("days"), F.count_if(seen).alias("observed_days"),
+        (total - F.count_if(F.col("_real") & (F.coalesce("inventory_on_hand", F.lit(0)) != 0))).alias("stockout_days"),
+        F.sum("_qty").alias("units"), F.max(F.when(inside, F.col("_sum") / F.col("_n"))).alias("peak_demand_7d"))
+
+
 def spine_summary(spine: DataFrame) -> DataFrame:
     """Per series of the dense spine: its days, observed and stock-out days,
     units and highest calendar-true average."""

@@ -59,7 +59,7 @@ def queries() -> dict[str, Query]:
         "demand_forecast": lambda s, d: _p(s, d).demand_forecast,
         "demand_top10": lambda s, d: FC.top_demand(_p(s, d).demand_forecast, 10),
         "demand_top20": lambda s, d: FC.demand_serving(_p(s, d).demand_forecast, 20),
-        "inventory_daily_spine": lambda s, d: FC.spine_summary(_p(s, d).daily_spine),
+        "inventory_daily_spine": lambda s, d: FC.spine_summary_direct(_p(s, d).inventory()),
         # M1/Q12 label, rule-score twin of Q13, Q13 model scores (rows-only)
         "churn_label": lambda s, d: _p(s, d).churn_labels,
         "high_value_label": lambda s, d: CH.high_value_label(_p(s, d).customer_360()),
@@ -74,6 +74,8 @@ def queries() -> dict[str, Query]:
         "churn_risk_list": lambda s, d: K.churn_risk_list(_p(s, d).rule_scores, 25),
         "revenue_at_risk": _revenue_at_risk,
         "customer_store_totals": lambda s, d: K.customer_store_totals(_p(s, d).customer_360()),
+        "distinct_sketches": _distinct_sketches,
+        "last_updated_today": _last_updated,
         "reorder_count": lambda s, d: K.reorder_count(_p(s, d).inventory_health),
         "executive_summary": _executive_summary,
         "regional_churn": lambda s, d: K.regional_churn(_p(s, d).rule_scores),
@@ -161,6 +163,23 @@ def _model_checks(spark, sf_dir):
     return CH.model_checks(p.fitted[1], p.model_scores, c360, CH.decided_metrics(c360))
 
 
+def _distinct_sketches(spark, sf_dir):
+    """A2 at scale: the distinct customers of each store from sketches per store and day, stored and merged, beside
+    the exact count; ``near`` if the two are at most SKETCH_ERROR apart."""
+    orders = _p(spark, sf_dir).src.orders_raw
+    daily = materialise(K.daily_sketches(orders, ["store_id"], "order_date", "customer_id"), "daily-sketches")
+    merged = K.merged_sketches(daily, ["store_id"])
+    exact = orders.groupBy("store_id").agg(F.count_distinct("customer_id").alias("customers"))
+    near = F.abs(F.col("estimate") - F.col("customers")) <= F.greatest(F.lit(1.0), F.col("customers") * K.SKETCH_ERROR)
+    return exact.join(merged, exact["store_id"].eqNullSafe(merged["store_id"])).select(exact["store_id"], "customers", near.alias("near"))
+
+
+def _last_updated(spark, sf_dir):
+    """Q26: the profile was last rebuilt now (its time itself is the clock's)."""
+    updated = _p(spark, sf_dir).customer_360(audit=True).agg(F.max("updated_at").alias("t"), F.count("updated_at").alias("rows"))
+    return updated.select("rows", (F.abs(F.unix_seconds("t") - F.unix_seconds(F.current_timestamp())) < 3600).alias("fresh"))
+
+
 def _auc_rule(spark, sf_dir):
     """M5: the exact AUC of the rule's scores against the churn label."""
     p = _p(spark, sf_dir)
@@ -285,6 +304,9 @@ def oracle_sql() -> dict[str, str]:
         "churn_risk_list": s("k_risk_list"),
         "revenue_at_risk": s("k_revenue"),
         "customer_store_totals": s("k_totals"),
+        "distinct_sketches": O.sql("""SELECT store_id, COUNT(DISTINCT customer_id) AS customers, true AS near
+            FROM b_orders_raw GROUP BY store_id"""),
+        "last_updated_today": O.sql("SELECT COUNT(*) AS rows, true AS fresh FROM g_customer_360"),
         "reorder_count": s("k_reorder"),
         "executive_summary": O.sql("""SELECT
             COALESCE((SELECT pct FROM k_tiers WHERE risk_tier = 'High'), CAST(0 AS DOUBLE)) AS churn_rate_pct,

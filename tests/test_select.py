@@ -79,3 +79,30 @@ def test_rank_sum(spark, parts):
 def test_rank_sum_of_one_class(spark):
     got = rank_sum(spark.createDataFrame([(0.5, 1)], "s double, y int"), "s", "y").first()
     assert (got.positives, got.negatives, got.auc) == (1, 0, None)
+
+
+def test_spine_summary_without_the_spine(spark):
+    """Also with returns (negative units), gaps, nulls and one-day series."""
+    import datetime as dt
+
+    from aislelens.operators import forecast
+
+    rng = random.Random(8)
+    rows = []
+    for s in range(60):
+        days = sorted(rng.sample(range(40), rng.randint(1, 9)))
+        rows += [(s % 4, s, dt.date(2024, 1, 1) + dt.timedelta(d), rng.choice([None, -5, 0, 3, 9]), 2.0, rng.choice([None, 0, 4])) for d in days]
+    inventory = spark.createDataFrame(rows, "store_id long, sku_id long, txn_date date, qty_sold int, unit_price double, inventory_on_hand int")
+    want = forecast.spine_summary(forecast.daily_spine(inventory))
+    got = forecast.spine_summary_direct(inventory).select(*want.columns)
+    key = lambda r: (r.store_id, r.sku_id)
+    assert sorted(got.collect(), key=key) == sorted(want.collect(), key=key)
+
+
+def test_sketches_merge(spark):
+    from aislelens.operators import kpis
+
+    rows = spark.range(40_000).selectExpr("id % 3 AS store_id", "id % 7 AS day", "id % 9001 AS customer_id")
+    merged = {r.store_id: r.estimate for r in kpis.merged_sketches(kpis.daily_sketches(rows, ["store_id"], "day", "customer_id"), ["store_id"]).collect()}
+    exact = {r[0]: r[1] for r in rows.groupBy("store_id").agg(F.count_distinct("customer_id")).collect()}
+    assert all(abs(merged[s] - n) <= kpis.SKETCH_ERROR * n for s, n in exact.items())
