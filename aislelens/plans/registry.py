@@ -22,7 +22,7 @@ from ..operators import vector_index as VI
 from ..operators.select import rank_sum
 from ..session import materialise, scratch_path
 from ..streaming import profile as PF
-from ..streaming.incremental import refresh_crm_summary, refresh_silver_orders
+from ..streaming.incremental import expectations_so_far, refresh_crm_summary, refresh_silver_orders
 from . import ingested as I
 from . import oracle as O
 from .datasets import Datasets, WrittenDatasets
@@ -123,6 +123,7 @@ def queries() -> dict[str, Query]:
         "crm_summary_incremental": lambda s, d: refresh_crm_summary(s, f"{d}/events.parquet"),
         "silver_orders_incremental": lambda s, d: refresh_silver_orders(
             s, f"{d}/orders.parquet", _p(s, d).src.table("customer")),
+        "orders_expectations_streamed": _streamed_expectations,
         "customer_360_incremental": _customer_360_incremental,
         # Drops of export files
         "orders_ingested": I.orders_ingested,
@@ -163,6 +164,13 @@ def _model_checks(spark, sf_dir):
     return CH.model_checks(p.fitted[1], p.model_scores, c360, CH.decided_metrics(c360))
 
 
+def _streamed_expectations(spark, sf_dir):
+    """D1 on a stream: the rules counted epoch by epoch while the orders arrive, summed."""
+    folder = scratch_path(spark, "orders-expectations")
+    refresh_silver_orders(spark, f"{sf_dir}/orders.parquet", _p(spark, sf_dir).src.table("customer"), expectations=folder)
+    return expectations_so_far(spark, folder)
+
+
 def _distinct_sketches(spark, sf_dir):
     """A2 at scale: the distinct customers of each store from sketches per store and day, stored and merged, beside
     the exact count; ``near`` if the two are at most SKETCH_ERROR apart."""
@@ -417,6 +425,7 @@ def oracle_sql() -> dict[str, str]:
                         FROM (SELECT (SELECT COUNT(*) FROM t_questions) AS q, (SELECT COUNT(*) FROM t_rag_documents) AS d)))"""),
         "crm_summary_incremental": s("s_crm_summary"),
         "silver_orders_incremental": s("s_orders"),
+        "orders_expectations_streamed": O.sql("SELECT * FROM q_expectations WHERE dataset = 'orders'"),
         "customer_360_incremental": s("g_customer_360"),
         "orders_ingested": O.sql("""SELECT order_id, customer_id, store_id, CAST(order_date AS VARCHAR) AS order_date,
             order_value, is_returned FROM b_orders_raw"""),

@@ -12,12 +12,14 @@ many epochs they are compacted into one ``base=<n>`` folder.
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as C
 from ..operators.dedup import keep_first
+from ..operators.quality import expect
 from ..operators.silver import order_survivor, typed_orders
 from ..session import delete_path, folder_names, is_file, scratch_path
 from ..sources.adapter import crm_from_events, orders_view
@@ -113,8 +115,29 @@ def refresh_crm_summary(spark: SparkSession, events_path: str, out_dir: str | No
     return snap.withColumn("days_since_last_contact", F.datediff(day, F.col("last_contact_date")))
 
 
+EXPECTED = "epoch long, dataset string, rule string, rows long, failed long"
+
+
+def write_expectations(spark: SparkSession, folder: str, epoch: int, dataset: str, counts: dict) -> None:
+    """D1 on a stream: the counts that were observed while an epoch was written, in that epoch's folder."""
+    rows = [(epoch, dataset, rule, int(counts["rows"]), int(counts[rule])) for rule in C.EXPECTATIONS[dataset]]
+    (spark.createDataFrame(rows, EXPECTED).drop("epoch").coalesce(1)
+     .write.mode("overwrite").parquet(os.path.join(folder, f"epoch={epoch}")))
+
+
+def expectations_so_far(spark: SparkSession, folder: str) -> DataFrame:
+    """(dataset, rule, rows, failed) summed over the epochs that were written whole."""
+    names = [n for n in folder_names(spark, folder) if n.startswith("epoch=")
+             and "_SUCCESS" in folder_names(spark, os.path.join(folder, n))]
+    schema = EXPECTED.removeprefix("epoch long, ")
+    rows = (spark.read.schema(schema).parquet(*[os.path.join(folder, n) for n in names]) if names
+            else spark.createDataFrame([], schema))
+    return rows.groupBy("dataset", "rule").agg(F.sum("rows").alias("rows"), F.sum("failed").alias("failed"))
+
+
 def refresh_silver_orders(spark: SparkSession, orders_path: str, customers: DataFrame, out_dir: str | None = None,
-                          checkpoint: str | None = None, max_files_per_trigger: int | None = None) -> DataFrame:
+                          checkpoint: str | None = None, max_files_per_trigger: int | None = None,
+                          expectations: str | None = None) -> DataFrame:
     """U2 (streaming form): silver orders kept up to date from newly arrived
     raw orders. Each batch writes the survivors among its own rows; the
     survivor of an order over all batches is chosen by the same total order
@@ -126,7 +149,10 @@ def refresh_silver_orders(spark: SparkSession, orders_path: str, customers: Data
     store = Epochs(spark, out_dir, typed.schema, ["order_id"], order_survivor())
 
     def survivors(batch: DataFrame, epoch: int) -> None:
+        batch, seen = expect(batch, C.EXPECTATIONS["orders"], f"orders-{epoch}-{uuid.uuid4().hex[:8]}")
         store.write(keep_first(batch, ["order_id"], order_survivor()), epoch)
+        if expectations:
+            write_expectations(spark, expectations, epoch, "orders", seen.get)
 
     q = (typed.writeStream.foreachBatch(survivors).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())

@@ -80,7 +80,7 @@ def test_stream_silver_orders_loses_no_order(spark):
     orders.limit(300).write.parquet(src)
     refresh_silver_orders(spark, src, customers, out, ckpt)
     one = orders.limit(1)
-    new = [one.withColumn("o_orderkey", F.lit(10 ** 9 + k)).withColumn("o_orderdate", day(d))
+    new = [one.withColumn("o_orderkey", F.lit(10 ** 9 + k).cast("long")).withColumn("o_orderdate", day(d))
            for k, d in enumerate([(3, 1), (2, 1), (3, 2)])]
     new[0].write.mode("append").parquet(src)
     refresh_silver_orders(spark, src, customers, out, ckpt)              # restarted from the checkpoint
@@ -112,3 +112,21 @@ def test_stream_answers_equal_batch_grounding(spark):
     want = assistant.ground(qs, p.assistant_texts)
     cols = ["question_id", "context", "context_used", "answer"]
     assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
+
+
+def test_stream_expectations_per_epoch(spark):
+    """Counts of every epoch are written with it; a restart adds its own; they sum to those of all rows."""
+    from aislelens.session import folder_names, scratch_path
+    from aislelens.streaming import incremental as I
+
+    orders = spark.read.parquet(f"{SMOKE}/orders.parquet")
+    customers = spark.read.parquet(f"{SMOKE}/customer.parquet")
+    root = scratch_path(spark, "orders-expected")
+    src, out, ckpt, said = (os.path.join(root, x) for x in ("in", "out", "ckpt", "said"))
+    bad = orders.limit(7).withColumn("o_totalprice", F.lit(-1.0))
+    for part in (orders.limit(200).repartition(4), bad):
+        part.write.mode("append").parquet(src)
+        I.refresh_silver_orders(spark, src, customers, out, ckpt, max_files_per_trigger=2, expectations=said)
+    got = {r.rule: (r.rows, r.failed) for r in I.expectations_so_far(spark, said).collect()}
+    assert got == {"valid_order_value": (207, 7), "valid_order_date": (207, 0)}
+    assert len(folder_names(spark, said)) >= 3
