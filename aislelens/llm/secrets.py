@@ -5,11 +5,13 @@ a secret value or outside (O), from the word's shape, the classes of the two wor
 features of the whole text; Viterbi decodes whole texts. Tagged words that meet no base span are added as kind
 ``crf``, without quotes and sentence signs around them.
 
-The field is trained by maximum likelihood on a bounded sample (about SAMPLE_DOCS plain texts and SAMPLE_VALUED texts
-with base values, by a hash of the row; of a text over SAMPLE_BYTES the surroundings of its first value; the bound is on
-training alone), with the words of base values as labels; windows around assignments that are too short for the
-patterns are left out, as nobody has judged them. If the sample holds fewer than LEAST_VALUES values, the same decoding
-runs with fixed weights (``prior``).
+The field is trained by penalised maximum likelihood on a bounded sample (about SAMPLE_DOCS plain texts and
+SAMPLE_VALUED texts with base values, by a hash of the row; of a text over SAMPLE_BYTES the surroundings of its first
+value; the bound is on training alone), with the words of base values as labels, on variants of their surroundings, and
+on plain texts in which made-up secrets stand in other forms (``FORMS``); windows around assignments that are too
+short for the patterns are left out, as nobody has judged them. The penalty's mean is a set of fixed weights
+(``prior``), which alone are the model where there is no text to learn from. Tagged runs of fewer than LEAST_ADDED
+characters are not added: so few signs tell no secret from a word.
 
 Defined results: null text is empty and has no spans; repeated rows are scanned each; an empty table gives an
 empty result. Extra columns are not carried.
@@ -45,21 +47,26 @@ HEX_MASK = bytes(1 if chr(c) in "0123456789abcdef" else 0 for c in range(256))
 
 #: Parts of words that name a secret.
 NAMES = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key", "credential", "auth",
-         "bearer", "access_key", "private_key")
-
-SAMPLE_DOCS = 4000
-SAMPLE_VALUED = 1000
+         "bearer", "access_key", "private_key", "passphrase", "ghp_", "gho_", "glpat-", "xoxb-", "xoxp-", "sk_live_", "sk-")
+#: Forms of secrets beside the base ones: {n} a name, {v} a value, {t} a value that begins as tokens do.
+FORMS = ("{n} = {v}", "{n}: {v}", "{n} = \"{v}\"", "{n}={v}", "{n}: '{v}'", "Authorization: Bearer {v}", "Bearer {v}", "{n} is {v}",
+         "the {n} is {v}", "{t}", "{t}", "{n} {t}", "{v24}", "{v24}")
+STARTS_OF_TOKENS = ("ghp_", "gho_", "glpat-", "xoxb-", "xoxp-", "sk_live_", "sk-")
+
+SAMPLE_DOCS = 2000
+SAMPLE_VALUED = 500
 SAMPLE_BYTES = 1 << 16
-LEAST_VALUES = 20
 #: How much more likely a tagging with a value must be than one without, in log units.
 MARGIN = 2.5
+OWN_MARGIN_WINDOWS = 200
 #: Made-up forms of each base assignment of the sample.
 VARIANTS = 4
 #: Words on either side of a value that a training window holds; a shorter text is one window.
 WINDOW = 12
-ROUNDS = 100
+ROUNDS = 60
 RATE = 0.3
-PENALTY = 1e-3
+#: Of the squared distance from the prior's weights, over all windows.
+PENALTY = 4.0
 #: Characters of a group of texts, and least characters of an added span.
 GROUP = 4 << 20
 LEAST_ADDED = 8
@@ -257,8 +264,28 @@ def _varied(texts: list[str]) -> tuple[list[str], list[np.ndarray]]:
     return out, tags
 
 
+def _planted(texts: list[str]) -> tuple[list[str], list[np.ndarray]]:
+    """Windows of plain texts with a made-up secret each, in one of FORMS, and their tags."""
+    rng = np.random.Generator(np.random.Philox(4))
+    signs = np.array(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
+    out, tags = [], []
+    for text in texts:
+        around = text.split()
+        at = int(rng.integers(len(around) + 1))
+        value = "".join(rng.choice(signs[:(62, 36)[rng.integers(2)]], rng.integers(9, 40)))
+        long = "".join(rng.choice(signs, rng.integers(20, 41)))
+        name = NAMES[rng.integers(14)]
+        token = STARTS_OF_TOKENS[rng.integers(len(STARTS_OF_TOKENS))] + long
+        form = FORMS[rng.integers(len(FORMS))]
+        own = form.format(n=name if rng.random() < 0.7 else name.capitalize(), v=value, t=token, v24=long).split()
+        left, right = around[max(0, at - WINDOW - 2):at], around[at:at + WINDOW + 3]
+        out.append(" ".join([*left, *own, *right]))
+        tags.append(np.array([0] * len(left) + [int(value in w or long in w) for w in own] + [0] * len(right), np.int8))
+    return out, tags
+
+
 def prior() -> Field:
-    """Fixed weights, for tables that can't train any: a value has digits, changes between classes of signs and eight
+    """Fixed weights, the mean of the penalty: a value has digits, changes between classes of signs and eight
     signs at least, and stands behind a name with its mark, or is joined to it."""
     w = np.zeros((STARTS[-1], TAGS))
     n = len(SLOTS)
@@ -275,12 +302,13 @@ def prior() -> Field:
     return Field(w, np.array([[0, 0, -20], [0, 0, 0], [0, 0, 0]], float))
 
 
-def fit(texts: list[str]) -> Field | None:
-    """Maximum likelihood over windows around values and as many others, by Adam on the exact gradient; None if there
-    are too few values."""
+def fit(texts: list[str]) -> Field:
+    """Penalised maximum likelihood over windows around values and as many others, by Adam on the exact gradient."""
+    start = prior()
     labels = [_labels(t) for t in texts]
     more, their = _varied(texts)
-    texts, labels = texts + more, labels + [(t, np.zeros(len(t), bool)) for t in their]
+    put, tags_put = _planted([t for t, (y, unsure) in zip(texts, labels, strict=True) if not y.any() and not unsure.any()])
+    texts, labels = texts + more + put, labels + [(t, np.zeros(len(t), bool)) for t in their + tags_put]
     words, which, per_text = split_words(texts)
     own, cls = word_features(words)
     before, after = _around(cls[which], per_text)
@@ -293,8 +321,6 @@ def fit(texts: list[str]) -> Field | None:
 
     tags = np.concatenate([x[0] for x in labels]) if labels else np.zeros(0, np.int8)
     unsure = np.concatenate([x[1] for x in labels]) if labels else np.zeros(0, bool)
-    if int((tags == 1).sum()) < LEAST_VALUES:
-        return None
     length = 2 * WINDOW + 1
     starts: dict[int, list[int]] = {}  # of windows, by their length
     for a, n in zip((np.cumsum(per_text) - per_text).tolist(), per_text.tolist(), strict=True):
@@ -304,7 +330,7 @@ def fit(texts: list[str]) -> Field | None:
             starts.setdefault(length, []).extend(a + int(min(max(m - WINDOW, 0), n - length)) for m in [*marked, plain + WINDOW])
         elif n:
             starts.setdefault(n, []).append(a)
-    weights, transitions = np.zeros((STARTS[-1], TAGS)), np.zeros((TAGS, TAGS))
+    weights, transitions = start.weights.copy(), start.transitions.copy()
     pairs = np.zeros((TAGS, TAGS))
     groups = []  # window x word x slot, (window and word) x tag
     for size, first in sorted(starts.items()):
@@ -315,7 +341,7 @@ def fit(texts: list[str]) -> Field | None:
         if len(at):
             groups.append((values(at), np.eye(TAGS)[y]))
     if not groups:
-        return None
+        return start
     flat = np.concatenate([x.reshape(-1, x.shape[2]) for x, _ in groups])
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (weights, transitions)]
     scale = 1 / sum(len(x) for x, _ in groups)
@@ -330,13 +356,14 @@ def fit(texts: list[str]) -> Field | None:
         for s in range(flat.shape[1]):
             for t in range(TAGS):
                 g[:, t] += np.bincount(flat[:, s], weights=diff[:, t], minlength=len(g))
-        grads = (g * scale - PENALTY * weights, (pairs - p_pair) * scale - PENALTY * transitions)
+        grads = ((g - PENALTY * (weights - start.weights)) * scale, (pairs - p_pair - PENALTY * (transitions - start.transitions)) * scale)
         for p, grad, (m, v) in zip((weights, transitions), grads, moments, strict=True):
             m += 0.1 * (grad - m)
             v += 0.01 * (grad * grad - v)
             p += RATE * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.99 ** step)) + 1e-8)
-    transitions[0, 2] -= 20  # a value begins with B
-    weights[STARTS[len(SLOTS) + 2]:, 0] += MARGIN  # whatever the text
+    transitions[0, 2] = -20  # a value begins with B
+    # whatever the text; the prior has a margin of its own, which the fit outgrows as windows come in
+    weights[STARTS[len(SLOTS) + 2]:, 0] += MARGIN / (1 + OWN_MARGIN_WINDOWS * scale)
     return Field(weights, transitions)
 
 
@@ -362,8 +389,8 @@ def marginals(scores: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray,
     return np.exp(ahead + behind - total[:, None, None]), pairs
 
 
-def train(docs: DataFrame) -> Field | None:
-    """Trains on the driver, over the bounded sample; None if it holds too few values."""
+def train(docs: DataFrame) -> Field:
+    """Trains on the driver, over the bounded sample."""
     rows = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("doc_id"))
     size = F.octet_length("text")
     rows = rows.withColumn("h", F.pmod(F.xxhash64("doc_id", size), F.lit(1 << 20)))
@@ -406,9 +433,9 @@ def _added(text: str, tags: np.ndarray, base: list[tuple[int, int, int]]) -> lis
     return out
 
 
-def scan(docs: DataFrame, field: Field | None) -> DataFrame:
-    """By the prior without a trained field. (doc_id, spans): all spans of each text as (kind, start, end), by start, then kind."""
-    shared = docs.sparkSession.sparkContext.broadcast(field or prior())
+def scan(docs: DataFrame, field: Field) -> DataFrame:
+    """(doc_id, spans): all spans of each text as (kind, start, end), by start, then kind."""
+    shared = docs.sparkSession.sparkContext.broadcast(field)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,4 +1,5 @@
 import itertools
+import random
 import re
 
 import numpy as np
@@ -72,25 +73,61 @@ def test_query_keeps_base_spans_and_spares_clean_texts(spark):
     assert added <= 10
 
 
-def test_few_values_use_the_prior(spark):
-    """A table that trains nothing still gets the field's spans, and clean texts stay clean."""
+@pytest.fixture(scope="module")
+def learnt(spark):
+    """The field of the large table, and plain texts of it that training did not see whole."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    plain = docs.filter(~docs.text.rlike(secrets.VALUED)).filter("length(text) BETWEEN 900 AND 2600").orderBy("doc_id").limit(1500)
+    return secrets.train(docs), [r.text for r in plain.collect()]
+
+
+def test_few_texts_stay_near_the_prior(spark):
+    """A table of four texts gets the same model's spans, and clean texts stay clean."""
     texts = ['and set passwd = "Ab3dEf9hK" in the file now, then go on', "the weather is fine at 10:30 on 2024-01-01, call 555-1234",
              "we use my token: \"xY12-ff8Qz\" for that", "the secret: a good dinner, and see https://example.org/a1b2/c3d4?x=5"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert secrets.train(docs) is None
-    rows = secrets.scan(docs, secrets.train(docs)).collect()
-    assert {r.doc_id: [texts[r.doc_id][s.start:s.end] for s in r.spans if s.kind == "crf"] for r in rows} == {
-        0: ["Ab3dEf9hK"], 1: [], 2: ["xY12-ff8Qz"], 3: []}
+    for field in (secrets.prior(), secrets.train(docs)):
+        rows = secrets.scan(docs, field).collect()
+        assert {r.doc_id: [texts[r.doc_id][s.start:s.end] for s in r.spans if s.kind == "crf"] for r in rows} == {
+            0: ["Ab3dEf9hK"], 1: [], 2: ["xY12-ff8Qz"], 3: []}
+
+
+PLANTED = {"credential =": "credential = {:.20}", "pwd:": "pwd: {:.14}", "private_key:": "private_key: {:.32}", "password, 11 signs": "password = {:.11}",
+           "bearer": "Authorization: Bearer {:.32}", "bare, 24 signs": "{:.24}", "passphrase is": "passphrase is {:.16}", "ghp_": "ghp_{:.36}"}
+
+
+@pytest.mark.parametrize("form", PLANTED)
+@pytest.mark.parametrize("short", [False, True])
+def test_recall_by_form(spark, learnt, form, short):
+    """Of 200 plain texts with one made-up secret each, at least nine tenths are found."""
+    rng, signs = random.Random(form), "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    texts, places = [], []
+    for text in learnt[1][:200]:
+        words = text.split()[:12 if short else None]
+        k = rng.randrange(len(words) + 1)
+        planted = PLANTED[form].format("".join(rng.choice(signs) for _ in range(40)))
+        texts.append(" ".join([*words[:k], planted, *words[k:]]))
+        at = texts[-1].index(planted.split()[-1])
+        places.append((at, at + len(planted.split()[-1])))
+    rows = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), learnt[0]).collect()
+    found = sum(any(s.start < places[r.doc_id][1] and places[r.doc_id][0] < s.end for s in r.spans) for r in rows)
+    assert found >= 180, found
+
+
+def test_plain_texts_stay_clean(spark, learnt):
+    rows = secrets.scan(spark.createDataFrame(list(enumerate(learnt[1])), "doc_id long, text string"), learnt[0]).collect()
+    assert sum(len(r.spans) for r in rows) <= len(rows) / 500
 
 
 def test_learns_from_rare_long_and_short_texts(spark):
     """Values that are rare among many texts, or in texts over SAMPLE_BYTES, or in short texts alone, are learnt from."""
     value = "the password = {:016x}Zz is set"
     rare = spark.range(60_000).selectExpr("id AS doc_id", "IF(id % 6000 = 0, concat('set token = ', sha1(string(id)), 'Z now'), 'plain words') AS text")
-    assert secrets.train(rare) is not None
+    untrained = secrets.prior().weights
+    assert (secrets.train(rare).weights != untrained).any()
     long = [(k, cases.prose(k, 12_000) + " " + value.format(k * 7919)) for k in range(8)]
     assert all(len(t) > secrets.SAMPLE_BYTES for _, t in long)
-    assert secrets.train(spark.createDataFrame(long, "doc_id long, text string")) is not None
+    assert (secrets.train(spark.createDataFrame(long, "doc_id long, text string")).weights != untrained).any()
     field = secrets.fit([value.format(k * 7919 + 12345678901234) for k in range(30)] + ["plain words of a text"] * 200)
     assert np.isfinite(field.weights).all()
 
@@ -99,4 +136,4 @@ def test_odd_rows(spark, field):
     rows = secrets.scan(cases.frame(spark), field).collect()
     assert len(rows) == len(cases.rows()) and all(r.spans == [] for r in rows if r.doc_id in (5, 6, 7, 8))
     assert secrets.scan(cases.empty(spark), field).count() == 0
-    assert secrets.train(cases.empty(spark)) is None
+    assert (secrets.train(cases.empty(spark)).weights == secrets.prior().weights).all()
