@@ -75,11 +75,13 @@ BATCH_BYTES = 8 << 20
 
 
 class _Cuts:
-    """Windows and parts of windows as a record batch: sequence_id, offset, ids, members."""
+    """Windows and parts of windows as a record batch: sequence_id, offset, ids (of whole windows), part (ids of the
+    others, in a column of its own that is read without the whole ones), members."""
 
     NAMES = ("doc_id", "start", "length", "doc_tokens", "offset")
 
-    def __init__(self):
+    def __init__(self, window_bytes: int):
+        self.window_bytes = window_bytes
         self.windows: list[tuple[int, int, bytes]] = []
         self.ends = [0]
         self.members: list[tuple[int | None, int, int, int, int]] = []
@@ -94,15 +96,18 @@ class _Cuts:
     def batch(self) -> pa.RecordBatch:
         columns = list(zip(*self.members, strict=True)) or [()] * len(self.NAMES)
         members = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], self.NAMES)
-        ids, offsets, texts = zip(*self.windows, strict=True)
+        numbers, offsets, ids = zip(*self.windows, strict=True)
+        whole = [x if len(x) == self.window_bytes else None for x in ids]
+        part = [None if len(x) == self.window_bytes else x for x in ids]
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(offsets, pa.int64()), pa.array(texts, pa.binary()),
-             pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), members)], ["sequence_id", "offset", "ids", "members"])
+            [pa.array(numbers, pa.int64()), pa.array(offsets, pa.int64()), pa.array(whole, pa.binary()), pa.array(part, pa.binary()),
+             pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), members)],
+            ["sequence_id", "offset", "ids", "part", "members"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """Whole windows, and what is left where the places break off or the rows end."""
-    out, held, members, window, begin, place = _Cuts(), bytearray(), [], 0, 0, -1
+    out, held, members, window, begin, place = _Cuts(4 * size), bytearray(), [], 0, 0, -1
     for batch in batches:
         columns = (batch.column(c).to_pylist() for c in ("first", "doc_id", "doc_tokens"))
         for first, doc_id, n, ids in zip(*columns, batch.column("ids"), strict=True):
@@ -123,7 +128,7 @@ def _cut(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatc
                     held, members = bytearray(), []
                     if out.size > BATCH_BYTES:
                         yield out.batch()
-                        out = _Cuts()
+                        out = _Cuts(4 * size)
             place = first + n
     if held:
         out.add(window, begin, bytes(held), members)
@@ -135,13 +140,15 @@ def sequences(placed_ids: DataFrame, size: int = SEQUENCE, pad_id: int = PAD_ID)
     """The packed sequences, written once: (sequence_id, n_tokens, ids, members), padded to ``size``."""
     path = scratch_path(placed_ids.sparkSession, "packing-sequences")
     (placed_ids.select("first", "doc_id", "doc_tokens", "ids")
-     .mapInArrow(lambda batches: _cut(batches, size), f"sequence_id long, offset long, ids binary, members {MEMBERS}")
-     .write.option("compression", "zstd").parquet(path))
-    cuts = placed_ids.sparkSession.read.parquet(path).withColumn("n_tokens", F.floor(F.length("ids") / 4))
-    whole = cuts.filter(F.col("n_tokens") == size).select("sequence_id", "n_tokens", "ids", "members")
+     .mapInArrow(lambda batches: _cut(batches, size), f"sequence_id long, offset long, ids binary, part binary, members {MEMBERS}")
+     .write.parquet(path))
+    cuts = placed_ids.sparkSession.read.parquet(path)
+    n_tokens = F.lit(size).cast("long").alias("n_tokens")
+    whole = cuts.filter("part IS NULL").select("sequence_id", n_tokens, "ids", "members")
     # boundary records: at most two per partition and file split; a window has at most `size` of them
-    parts = cuts.filter(F.col("n_tokens") < size).groupBy("sequence_id").agg(
-        F.sum("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("offset", "ids", "members"))).alias("parts"))
+    parts = cuts.filter("part IS NOT NULL").groupBy("sequence_id").agg(
+        F.sum(F.floor(F.length("part") / 4)).alias("n_tokens"),
+        F.array_sort(F.collect_list(F.struct("offset", F.col("part").alias("ids"), "members"))).alias("parts"))
     pad = F.lit(pad_id.to_bytes(4, "little"))
     fill = F.unhex(F.repeat(F.hex(pad), (F.lit(size) - F.col("n_tokens")).cast("int")))
     joined = F.aggregate("parts", F.lit(b""), lambda x, p: F.concat(x, p["ids"]))
