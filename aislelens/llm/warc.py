@@ -39,6 +39,9 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 LEAST_BYTES = 0
 DICTIONARY_BYTES = 64 << 10
 SAMPLE_RECORDS = 1000
+#: What the dictionary's trainer needs, in records and bytes.
+LEAST_RECORDS = 16
+LEAST_TRAINED = 16 << 10
 SAMPLE_BYTES = 64 << 10
 LEVEL = 6
 DATE = "1970-01-01T00:00:00Z"  # the pages have no time of their own
@@ -95,20 +98,22 @@ def record(row: dict) -> bytes:
 
 
 def dictionary(rows: DataFrame, size: int = DICTIONARY_BYTES) -> bytes:
-    """Trained on the bounded sample; empty if that is too small."""
+    """Trained on the bounded sample. Where the trainer can't work (too few records, or nothing that they share), the
+    last ``size`` bytes of the sampled records themselves, which serve as a dictionary of raw content; where no payload
+    is small enough for the sample, those of some records' headers. Empty for an empty table alone."""
     import zstandard
 
     share = int(min(1.0, SAMPLE_RECORDS / max(rows.count(), 1)) * (1 << 20)) + 1
     sample = rows.filter((F.col("bytes") <= SAMPLE_BYTES) & (F.pmod(F.xxhash64("page_id", "digest"), F.lit(1 << 20)) < share))
-    sample = sorted(sample.limit(2 * SAMPLE_RECORDS).collect(), key=lambda r: (r.digest, r.rid))
-    records = [record(r.asDict(recursive=True) | {"to_rid": None}) for r in sample]
+    sample = sample.limit(2 * SAMPLE_RECORDS).collect() or rows.withColumn("html", F.lit("")).limit(LEAST_RECORDS).collect()
+    records = [record(r.asDict(recursive=True) | {"to_rid": None}) for r in sorted(sample, key=lambda r: (r.digest, r.rid))]
     total = sum(map(len, records))
-    if len(records) < 16 or total < 16 << 10:
-        return b""
-    try:
-        return zstandard.train_dictionary(min(size, total // 8), records).as_bytes()
-    except zstandard.ZstdError:  # the trainer finds nothing that records share
-        return b""
+    if len(records) >= LEAST_RECORDS and total >= LEAST_TRAINED:
+        try:
+            return zstandard.train_dictionary(min(size, total // 8), records).as_bytes()
+        except zstandard.ZstdError:  # the trainer finds nothing that records share
+            pass
+    return b"".join(records)[-size:]
 
 
 def write(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES) -> DataFrame:

@@ -3,6 +3,7 @@ import hashlib
 import os
 
 import pyarrow.fs as pafs
+import pytest
 import zstandard
 
 from aislelens.llm import warc
@@ -54,6 +55,18 @@ def test_leading_frame_holds_the_dictionary(spark):
     assert not [f for f in os.listdir(os.path.dirname(at)) if not f.endswith((".warc.zst", ".crc"))]
 
 
+@pytest.mark.parametrize("html", ["<p>one page and another", "x" * 100_000])
+def test_few_or_large_records_have_a_dictionary_too(spark, html):
+    """Too few for the trainer, or too large for its sample: their own bytes serve."""
+    rows = [(k, f"https://example.org/{k}", f"{html} {k}") for k in range(3)]
+    files = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), scratch_path(spark, "warc"))
+    fs, at = pafs.FileSystem.from_uri(files.first().path)
+    data = fs.open_input_file(at).read()
+    size = int.from_bytes(data[4:8], "little")
+    assert int.from_bytes(data[:4], "little") == warc.DICTIONARY_MAGIC and b"WARC" in data[8:8 + size]
+    assert sorted((r.page_id, r.html) for r in warc.read(files).collect()) == [(r[0], r[2]) for r in rows]
+
+
 def test_small_payloads_stay_responses(spark):
     files = warc.write(spark.createDataFrame(pages(), SCHEMA), scratch_path(spark, "warc"), least_bytes=100)
     rows = warc.read(files).collect()
