@@ -1,6 +1,7 @@
 """The inverted-list index and top_k against brute force."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,3 +76,33 @@ def test_many_queries_are_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "_beside_broadcast", None)  # a call would fail
     hits = retrieval.top_k(emb.withColumnRenamed("vec_id", "query_id"), emb, 2, c_id="vec_id", query_block_bytes=10_000)
     assert hits.filter("rank = 1").filter("query_id = vec_id").count() == emb.count()
+
+
+def test_a_task_holds_no_more_for_ties_and_large_batches():
+    import tracemalloc
+
+    ids, rows = np.arange(400), np.tile([0.0, 1.0], (10_000, 1))
+    c_ids = np.array([f"d{k:05d}" for k in reversed(range(len(rows)))], dtype=object)
+    tracemalloc.start()
+    best = retrieval._Best(ids, np.tile([1.0, 0.0], (400, 1)), 3, "query_id", "doc_id")  # all scores are 0
+    best.add(c_ids, pd.Series(list(rows)))
+    got = best.rows()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20  # 4,000,000 pairs tie; as rows they took 600 MB
+    assert got["doc_id"].tolist() == ["d00000", "d00001", "d00002"] * 400
+
+
+def test_tiles_and_batches_leave_the_best(monkeypatch):
+    monkeypatch.setattr(retrieval, "TILE_CELLS", 70)
+    monkeypatch.setattr(retrieval, "LOOSE_ROWS", 5)
+    rng = np.random.default_rng(5)
+    q, c = rng.integers(-1, 2, (9, 3)).astype(float), rng.integers(-1, 2, (300, 3)).astype(float)
+    best = retrieval._Best(np.arange(9), q, 4, "query_id", "doc_id")
+    for at in range(0, 300, 37):
+        best.add(np.arange(at, min(at + 37, 300)), pd.Series(list(c[at:at + 37])))
+    with np.errstate(all="ignore"):
+        s = (q @ c.T) / np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(c, axis=1))
+    s = np.where(np.isfinite(s), s, -np.inf)
+    want = [(i, j) for i in range(9) for j in sorted(range(300), key=lambda j: (-s[i, j], j))[:4]]
+    assert list(map(tuple, best.rows()[["query_id", "doc_id"]].to_numpy().tolist())) == want
