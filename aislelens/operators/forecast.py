@@ -12,12 +12,13 @@ from ..functions.exact import MONEY_SCALE, micros, money, round_ratio, round_rat
 from .dedup import as_of_date
 
 
-def demand_signals_exact(inventory: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
+def demand_signals_exact(inventory: DataFrame, t: Thresholds = DEFAULT, parts: int | None = None) -> DataFrame:
     """Per SKU and day, totals over stores plus trailing short/long ROWS
     averages; keeps the exact sums (``_*``) the forecast rounds from.
 
-    The (sku, day) aggregation combines map-side, so at any input size the
-    windowed series hold one row per SKU and day.
+    The (sku, day) aggregation comes first, so at any input size the windowed
+    series hold one row per SKU and day; they are dealt into ``parts`` tasks
+    (default: as the session's shuffles are).
     """
     daily = (inventory.groupBy("sku_id", "txn_date")
              .agg(F.sum(F.col("qty_sold").cast("long")).alias("total_qty_sold"),
@@ -25,6 +26,8 @@ def demand_signals_exact(inventory: DataFrame, t: Thresholds = DEFAULT) -> DataF
                   F.count("inventory_on_hand").alias("_inv_n"),
                   F.sum(micros("unit_price")).alias("_price_sum"),
                   F.count("unit_price").alias("_price_n")))
+    if parts:
+        daily = daily.repartition(parts, "sku_id")
     base = Window.partitionBy("sku_id").orderBy("txn_date")
     w_s = base.rowsBetween(-(t.short_rows - 1), Window.currentRow)
     w_l = base.rowsBetween(-(t.long_rows - 1), Window.currentRow)
@@ -47,9 +50,9 @@ SIGNAL_COLUMNS = ["sku_id", "sku_name", "category", "txn_date", "total_qty_sold"
                   "avg_unit_price", "demand_7d_avg", "demand_14d_avg"]
 
 
-def demand_signals(inventory: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
+def demand_signals(inventory: DataFrame, t: Thresholds = DEFAULT, parts: int | None = None) -> DataFrame:
     """Q9: the per-SKU daily demand series with rolling averages."""
-    return demand_signals_exact(inventory, t).select(*SIGNAL_COLUMNS)
+    return demand_signals_exact(inventory, t, parts).select(*SIGNAL_COLUMNS)
 
 
 def demand_forecast(signals_exact: DataFrame, t: Thresholds = DEFAULT, latest=None) -> DataFrame:

@@ -88,11 +88,11 @@ class Datasets:
     # -- forecast ----------------------------------------------------------
     @cached_property
     def signals_exact(self) -> DataFrame:
-        return forecast.demand_signals_exact(self.inventory(), self.t)
+        return forecast.demand_signals_exact(self.inventory(), self.t, self.src.inventory_parts)
 
     @cached_property
     def demand_signals(self) -> DataFrame:
-        return forecast.demand_signals(self.inventory(), self.t)
+        return forecast.demand_signals(self.inventory(), self.t, self.src.inventory_parts)
 
     @cached_property
     def demand_forecast(self) -> DataFrame:

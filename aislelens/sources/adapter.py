@@ -10,6 +10,7 @@ the parquet scans.
 
 from __future__ import annotations
 
+import math
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +23,7 @@ DRIVER_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "
                  "conversations"]
 
 EPOCH = "1995-01-01"   # day zero of the synthetic on-hand rule
+PART_LINES = 250_000   # line items that a task groups, sorts and windows, on average
 
 
 def _case(key: Column, mapping: dict, default=None) -> Column:
@@ -119,6 +121,12 @@ class Source:
     def crm_events_raw(self) -> DataFrame:
         return self._lagged(crm_from_events(self.table("events")), "event_date")
 
+    @cached_property
+    def inventory_parts(self) -> int:
+        """Into how many parts the movements are dealt: by the counted lines, so a task's share stays the same."""
+        lines = self.table("lineitem").count()  # from the files' footers
+        return max(self.spark.sparkContext.defaultParallelism, math.ceil(lines / PART_LINES))
+
     @cached_property
     def inventory_raw(self) -> DataFrame:
         li, s, p = self.table("lineitem"), self.table("supplier"), self.table("part")
@@ -137,8 +145,11 @@ class Source:
                          F.col("p_retailprice").alias("unit_price"),
                          on_hand.alias("inventory_on_hand")))
         # one movement per store, SKU and day: units add up; price and on-hand are functions
-        # of the part and the day, so all lines of a movement agree on them
-        return (lines.groupBy("store_id", "sku_id", "txn_date")
+        # of the part and the day, so all lines of a movement agree on them. The lines are dealt
+        # out before they are grouped (nearly each is a movement of its own, and a map over a
+        # file split would hold them all); groups by SKU and day need no other exchange
+        return (lines.repartition(self.inventory_parts, "sku_id", "txn_date")
+                .groupBy("store_id", "sku_id", "txn_date")
                 .agg(F.sum("qty_sold").alias("qty_sold"), F.max("unit_price").alias("unit_price"),
                      F.max("inventory_on_hand").alias("inventory_on_hand")))
 

@@ -6,6 +6,7 @@ import random
 
 from aislelens import config as C
 from aislelens.operators import corpus, gold, silver
+from tests.conftest import SMOKE
 
 
 def test_hot_customer_notes_merge_in_order(spark):
@@ -50,3 +51,18 @@ def test_hot_customer_features_and_crm(spark):
     assert crm[7] == (2000 + sum(1 for i in range(0, 4000, 2) if i % 11 == 7),
                       sum(1 for i in range(4000) if (i % 2 or i % 11 == 7) and i % 5 == 0 and
                           (7 if i % 2 else i % 11) == 7))
+
+
+def test_inventory_is_dealt_by_its_lines(spark, monkeypatch):
+    from aislelens.plans.datasets import Datasets
+    from aislelens.sources import adapter
+
+    want = {tuple(r) for r in Datasets(spark, SMOKE).demand_signals.collect()}
+    monkeypatch.setattr(adapter, "PART_LINES", 200)
+    p = Datasets(spark, SMOKE)
+    parts = -(-p.src.table("lineitem").count() // 200)
+    assert parts > 20 and p.src.inventory_parts == parts
+    assert p.src.inventory_raw.rdd.getNumPartitions() == p.demand_signals.rdd.getNumPartitions() == parts
+    assert {tuple(r) for r in p.demand_signals.collect()} == want
+    plan = p.src.inventory_raw._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("HashAggregate") == plan[:plan.index("REPARTITION_BY_NUM")].count("HashAggregate") > 0  # no map over a file split
