@@ -14,6 +14,7 @@ from ..session import materialise, shared_dir
 from .select import rank_sum, top_rows
 
 FIT_ROWS = 200_000                # labelled customers used to fit the model, at most
+FIT_PART_ROWS = 25_000            # of them in a task of a boosting pass, on average
 LEAST_AUC = 0.9                   # on a label that the features decide
 PLAIN_AUC = 0.6                   # on churn_label, whose ties are cut by customer_id, which no feature holds
 CHECK_TREES = 10
@@ -79,7 +80,9 @@ def fit_churn(c360: DataFrame, labels: DataFrame, model_path: str | None = None,
     Split: 1 in 5 customers by a hash of customer_id is test data (stable
     under repartitioning, unlike ``randomSplit``). At most about
     ``fit_rows`` training customers (by another hash) are used to fit; the
-    labels, the test measure and the scores cover all. Returns
+    labels, the test measure and the scores cover all. The boosting passes
+    (several hundred) run over parts dealt by customer_id, as many as these
+    rows need, however many files the features lie in. Returns
     (model, metrics DataFrame[run_id, key, value], model path).
     """
     from pyspark.ml.classification import GBTClassifier
@@ -91,9 +94,12 @@ def fit_churn(c360: DataFrame, labels: DataFrame, model_path: str | None = None,
     data = materialise(_features(c360, labels).select(
         "customer_id", "features", F.col("churn_label").cast("double").alias("label")), "churn-features")
     is_test = F.pmod(F.xxhash64(F.col("customer_id"), F.lit(seed)), F.lit(C.TEST_SHARE_BUCKETS)) == 0
-    share = min(1.0, fit_rows / max(data.count(), 1))
+    rows = data.count()
+    share = min(1.0, fit_rows / max(rows, 1))
     fitted = F.pmod(F.xxhash64(F.lit(seed), F.col("customer_id")), F.lit(1 << 20)) < int(share * (1 << 20))
-    train = data.filter(~is_test & fitted)
+    parts = max(1, math.ceil(min(rows, fit_rows) / FIT_PART_ROWS))
+    train = materialise(data.filter(~is_test & fitted).repartition(parts, "customer_id")
+                        .sortWithinPartitions("customer_id"), "churn-train")
     test = data.filter(is_test)
     gbt = GBTClassifier(featuresCol="features", labelCol="label", maxIter=max_iter,
                         maxDepth=C.GBT_DEPTH, stepSize=C.GBT_STEP, seed=seed, checkpointInterval=10)
@@ -105,11 +111,11 @@ def fit_churn(c360: DataFrame, labels: DataFrame, model_path: str | None = None,
     model_path = model_path or os.path.join(shared_dir(spark), "models", f"churn-gbt-{run_id}")
     model.write().overwrite().save(model_path)
     imp = model.featureImportances.toArray().tolist()
-    rows = ([(run_id, "roc_auc", round(float(auc), 4))]
-            + [(run_id, f"feat_{f}", round(float(v), 4)) for f, v in zip(C.CHURN_FEATURES, imp)]
-            + [(run_id, "param_n_estimators", float(max_iter)), (run_id, "param_max_depth", float(C.GBT_DEPTH)),
-               (run_id, "param_learning_rate", float(C.GBT_STEP)), (run_id, "param_random_state", float(seed))])
-    metrics = spark.createDataFrame(rows, "run_id string, key string, value double")
+    facts = ([(run_id, "roc_auc", round(float(auc), 4))]
+             + [(run_id, f"feat_{f}", round(float(v), 4)) for f, v in zip(C.CHURN_FEATURES, imp)]
+             + [(run_id, "param_n_estimators", float(max_iter)), (run_id, "param_max_depth", float(C.GBT_DEPTH)),
+                (run_id, "param_learning_rate", float(C.GBT_STEP)), (run_id, "param_random_state", float(seed))])
+    metrics = spark.createDataFrame(facts, "run_id string, key string, value double")
     return model, metrics, model_path
 
 

@@ -117,6 +117,11 @@ class Datasets:
         """The rule's unrounded probabilities, as a model gives them."""
         return churn.rule_scores(self.customer_360(), places=None)
 
+    @cached_property
+    def written_profile(self) -> DataFrame:
+        """The profile written once: the labels, the fit and the scores read it."""
+        return materialise(self.customer_360(), "customer-360")
+
     @property
     def fitted(self):
         """(model, metrics, path) of the GBT churn model, fitted once per
@@ -125,12 +130,12 @@ class Datasets:
                       for t in ("customer", "orders", "events", "nation", "region"))
         key = (self.spark.sparkContext.applicationId, self.src.sf_dir, self.t, state)
         if key not in _FITTED:
-            _FITTED[key] = churn.fit_churn(self.customer_360(), self.churn_labels)
+            _FITTED[key] = churn.fit_churn(self.written_profile, churn.churn_label(self.written_profile))
         return _FITTED[key]
 
     @cached_property
     def model_scores(self) -> DataFrame:
-        return churn.score_churn(self.fitted[0], self.customer_360())
+        return churn.score_churn(self.fitted[0], self.written_profile)
 
     # -- text ----------------------------------------------------------------
     @cached_property

@@ -160,7 +160,7 @@ def _revenue_at_risk(spark, sf_dir):
 
 def _model_checks(spark, sf_dir):
     p = _p(spark, sf_dir)
-    c360 = materialise(p.customer_360(), "customer-360")
+    c360 = p.written_profile
     return CH.model_checks(p.fitted[1], p.model_scores, c360, CH.decided_metrics(c360))
 
 

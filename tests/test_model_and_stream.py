@@ -130,3 +130,28 @@ def test_stream_expectations_per_epoch(spark):
     got = {r.rule: (r.rows, r.failed) for r in I.expectations_so_far(spark, said).collect()}
     assert got == {"valid_order_value": (207, 7), "valid_order_date": (207, 0)}
     assert len(folder_names(spark, said)) >= 3
+
+
+def test_boosting_runs_over_as_few_parts_as_its_rows_need(spark, monkeypatch):
+    from pyspark.ml.classification import GBTClassifier
+
+    c360 = Datasets(spark, SMOKE).customer_360().repartition(40)
+    seen, fit = [], GBTClassifier.fit
+    monkeypatch.setattr(GBTClassifier, "fit", lambda self, data: seen.append((data.rdd.getNumPartitions(), data.count())) or fit(self, data))
+    monkeypatch.setattr(churn, "FIT_PART_ROWS", 50)
+    n = c360.count()
+    churn.fit_churn(c360, churn.churn_label(c360), max_iter=1)
+    (parts, rows), = seen
+    assert parts <= -(-n // 50) < 8 and 0.6 * n < rows < n
+
+
+def test_the_profile_is_computed_once_for_labels_fit_and_scores(spark, monkeypatch):
+    from aislelens.plans import datasets
+
+    calls, profile = [], Datasets.customer_360
+    monkeypatch.setattr(datasets, "_FITTED", {})
+    monkeypatch.setattr(Datasets, "customer_360", lambda self, audit=False: calls.append(1) or profile(self, audit))
+    monkeypatch.setattr(churn, "fit_churn", lambda c360, labels: (labels.count(), None, None))
+    monkeypatch.setattr(churn, "score_churn", lambda model, c360: c360.limit(model))
+    assert Datasets(spark, SMOKE).model_scores.count() == Datasets(spark, SMOKE).customers.count()
+    assert len(calls) == 1
