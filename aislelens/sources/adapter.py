@@ -77,6 +77,12 @@ class Source:
         """Read a table by name."""
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def _dimension(self, name: str, *columns: str) -> DataFrame:
+        """A dimension to join facts with by its key. One of more rows than a task's share is dealt by the key and
+        held as a map by each task: it is not broadcast, and the facts stream past it instead of being sorted."""
+        df = self.table(name).select(*columns)
+        return df.hint("shuffle_hash") if self.table(name).count() > PART_LINES else df
+
     # -- dimensions --------------------------------------------------------
     @cached_property
     def stores(self) -> DataFrame:
@@ -129,15 +135,17 @@ class Source:
 
     @cached_property
     def inventory_raw(self) -> DataFrame:
-        li, s, p = self.table("lineitem"), self.table("supplier"), self.table("part")
+        li = self.table("lineitem")
+        s = self._dimension("supplier", "s_suppkey", "s_nationkey")
+        p = self._dimension("part", "p_partkey", "p_retailprice")
         day = F.col("l_shipdate").cast("date")
         dn = F.datediff(day, F.lit(EPOCH).cast("date"))
         on_hand = (F.when((dn + F.col("l_partkey")) % 10 == 0, F.lit(0))
                    .otherwise(10 + (dn * 7 + F.col("l_partkey") * 3) % 80)).cast("int")
         # a line whose supplier or part is unknown stays (store or price null): bronze loses no units
         lines = (li.select("l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
-                 .join(s.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"), "left")
-                 .join(p.select("p_partkey", "p_retailprice"), F.col("l_partkey") == F.col("p_partkey"), "left")
+                 .join(s, F.col("l_suppkey") == F.col("s_suppkey"), "left")
+                 .join(p, F.col("l_partkey") == F.col("p_partkey"), "left")
                  .select(F.col("s_nationkey").cast("long").alias("store_id"),
                          F.col("l_partkey").cast("long").alias("sku_id"),
                          day.alias("txn_date"),

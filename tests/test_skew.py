@@ -66,3 +66,18 @@ def test_inventory_is_dealt_by_its_lines(spark, monkeypatch):
     assert {tuple(r) for r in p.demand_signals.collect()} == want
     plan = p.src.inventory_raw._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert plan.count("HashAggregate") == plan[:plan.index("REPARTITION_BY_NUM")].count("HashAggregate") > 0  # no map over a file split
+
+
+def test_large_dimensions_are_joined_without_sorting_the_lines(spark, monkeypatch):
+    from aislelens.plans.datasets import Datasets
+    from aislelens.sources import adapter
+
+    def joins():
+        plan = Datasets(spark, SMOKE).src.inventory_raw._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        return {j: plan.count(j) for j in ("BroadcastHashJoin", "SortMergeJoin", "ShuffledHashJoin")}
+
+    assert joins() == {"BroadcastHashJoin": 2, "SortMergeJoin": 0, "ShuffledHashJoin": 0}
+    want = {tuple(r) for r in Datasets(spark, SMOKE).src.inventory_raw.collect()}
+    monkeypatch.setattr(adapter, "PART_LINES", 100)  # parts: 200, suppliers: 10
+    assert joins() == {"BroadcastHashJoin": 1, "SortMergeJoin": 0, "ShuffledHashJoin": 1}
+    assert {tuple(r) for r in Datasets(spark, SMOKE).src.inventory_raw.collect()} == want
