@@ -81,3 +81,15 @@ def test_large_dimensions_are_joined_without_sorting_the_lines(spark, monkeypatc
     monkeypatch.setattr(adapter, "PART_LINES", 100)  # parts: 200, suppliers: 10
     assert joins() == {"BroadcastHashJoin": 1, "SortMergeJoin": 0, "ShuffledHashJoin": 1}
     assert {tuple(r) for r in Datasets(spark, SMOKE).src.inventory_raw.collect()} == want
+
+
+def test_demand_queries_join_large_parts_by_hash(spark, monkeypatch):
+    import __spark_entry__ as E
+    from aislelens.sources import adapter
+
+    want = [tuple(r) for r in E.queries()["assistant_demand"](spark, SMOKE).collect()]
+    monkeypatch.setattr(adapter, "PART_LINES", 100)
+    df = E.queries()["assistant_demand"](spark, SMOKE)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    assert [tuple(r) for r in df.collect()] == want
