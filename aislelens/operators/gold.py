@@ -70,7 +70,7 @@ def customer_360(customers: DataFrame, stores: DataFrame, features: DataFrame,
 
 def inventory_health(inventory: DataFrame, reorder_days: int = C.REORDER_DAYS,
                      watch_days: int = C.WATCH_DAYS, latest=None,
-                     window_rows: int = C.ROLLING_SHORT_ROWS) -> DataFrame:
+                     window_rows: int = C.ROLLING_SHORT_ROWS, parts: int | None = None) -> DataFrame:
     """Q7: reorder status per (store, sku) on the single latest date.
 
     ``inventory`` is the de-duplicated silver inventory (one row per store,
@@ -81,9 +81,13 @@ def inventory_health(inventory: DataFrame, reorder_days: int = C.REORDER_DAYS,
     Series whose last day is the single latest day (``latest``, default the
     table's own) are kept. Days of supply = on_hand * n / sum is compared
     exactly against the thresholds; zero or missing demand gives NULL
-    supply and status OK.
+    supply and status OK. With ``parts``, whole series are dealt into that
+    many tasks instead, which pays where a map task holds few rows of each
+    series, as of movements dealt by SKU and day.
     """
     latest = as_of_date(latest, inventory, "txn_date")
+    if parts:
+        inventory = inventory.repartition(parts, "store_id", "sku_id")
     w = Window.partitionBy("store_id", "sku_id").orderBy(F.col("txn_date").desc())
     tail = (inventory.withColumn("_rn", F.row_number().over(w))
             .filter(F.col("_rn") <= window_rows))

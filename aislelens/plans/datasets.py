@@ -72,7 +72,7 @@ class Datasets:
     @cached_property
     def inventory_health(self) -> DataFrame:
         return gold.inventory_health(self.inventory(), self.t.reorder_days, self.t.watch_days,
-                                     self.latest_inventory_day, self.t.short_rows)
+                                     self.latest_inventory_day, self.t.short_rows, self.src.inventory_parts)
 
     @cached_property
     def latest_inventory_day(self):

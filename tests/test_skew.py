@@ -93,3 +93,14 @@ def test_demand_queries_join_large_parts_by_hash(spark, monkeypatch):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
     assert [tuple(r) for r in df.collect()] == want
+
+
+def test_inventory_health_is_dealt_by_its_lines(spark, monkeypatch):
+    from aislelens.plans.datasets import Datasets
+    from aislelens.sources import adapter
+
+    want = {tuple(r) for r in Datasets(spark, SMOKE).inventory_health.collect()}
+    monkeypatch.setattr(adapter, "PART_LINES", 200)
+    p = Datasets(spark, SMOKE)
+    assert p.src.inventory_parts > 20 and p.inventory_health.rdd.getNumPartitions() == p.src.inventory_parts
+    assert {tuple(r) for r in p.inventory_health.collect()} == want and want
