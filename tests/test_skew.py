@@ -104,3 +104,12 @@ def test_inventory_health_is_dealt_by_its_lines(spark, monkeypatch):
     p = Datasets(spark, SMOKE)
     assert p.src.inventory_parts > 20 and p.inventory_health.rdd.getNumPartitions() == p.src.inventory_parts
     assert {tuple(r) for r in p.inventory_health.collect()} == want and want
+
+
+def test_assistant_messages_read_series_dealt_by_count(spark):
+    import re
+
+    import __spark_entry__ as E
+
+    plan = E.queries()["assistant_messages"](spark, SMOKE)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"RepartitionByExpression \[store_id#\w+, sku_id#\w+\]", plan)
