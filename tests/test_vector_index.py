@@ -106,3 +106,48 @@ def test_tiles_and_batches_leave_the_best(monkeypatch):
     s = np.where(np.isfinite(s), s, -np.inf)
     want = [(i, j) for i in range(9) for j in sorted(range(300), key=lambda j: (-s[i, j], j))[:4]]
     assert list(map(tuple, best.rows()[["query_id", "doc_id"]].to_numpy().tolist())) == want
+
+
+def sparse(n, dim, share, seed):
+    rng = np.random.default_rng(seed)
+    return rng.integers(-1, 4, (n, dim)) * (rng.random((n, dim)) < share) * 1.0
+
+
+def best_pairs(q, c, k):
+    with np.errstate(all="ignore"):
+        s = (q @ c.T) / np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(c, axis=1))
+    s = np.where(np.isfinite(s), s, -np.inf)
+    return [(i, j) for i in range(len(q)) for j in sorted(range(len(c)), key=lambda j: (-s[i, j], j))[:k]]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_sparse_blocks_leave_the_best(monkeypatch, seed):
+    monkeypatch.setattr(retrieval, "FIRST_ROWS", 20)
+    monkeypatch.setattr(retrieval, "LOOSE_ROWS", 5)
+    q, c = sparse(12, 60, 0.1, seed), sparse(400, 60, 0.08, seed + 9)
+    q[3], c[7] = 0, 0  # no cosine; many others tie
+    best = retrieval._Best(np.arange(12), q, 4, "query_id", "doc_id")
+    monkeypatch.setattr(best, "_tile", None)  # a call would fail
+    order = np.random.default_rng(seed).permutation(400)
+    for at in range(0, 400, 150):
+        here = order[at:at + 150]
+        best.add(here, retrieval._Sparse.of(c[here]) if seed % 2 else pd.Series(list(c[here])))
+    assert list(map(tuple, best.rows()[["query_id", "doc_id"]].to_numpy().tolist())) == best_pairs(q, c, 4)
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_vectors_are_dealt_once_however_many_tasks_meet_them(spark, monkeypatch, kind):
+    monkeypatch.setattr(retrieval, "CORPUS_PART_ROWS", 100)
+    monkeypatch.setattr(retrieval, "BLOCK_BYTES", 2000)
+    q, c = sparse(90, 40, 0.2, 1), sparse(700, 40, 0.1, 2)
+    queries = frame(spark, q, [f"q{k:03d}" for k in range(90)], "query_id").withColumn("vector", F.col("vector").cast(f"array<{kind}>"))
+    corpus = frame(spark, c, [f"d{k:03d}" for k in range(700)], "doc_id").withColumn("vector", F.col("vector").cast(f"array<{kind}>"))
+    dealt = retrieval._packed(corpus, F.lit(0), "c", retrieval.BLOCK_BYTES).selectExpr(
+        "size(_c_ids) AS rows", "coalesce(length(_c_counts), 0) + coalesce(length(_c_at), 0) + length(_c_values) AS bytes").collect()
+    assert sum(r.rows for r in dealt) == 700 and len(dealt) > 1
+    assert sum(r.bytes for r in dealt) <= np.count_nonzero(c) * (8 if kind == "float" else 12) + 700 * 4
+    hits = retrieval.top_k(queries, corpus, 5, query_block_bytes=3000)
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" not in plan and "shuffle_replicate_nl" in plan  # a copy for each task would be exploded
+    assert sorted((int(r.query_id[1:]), r.rank, int(r.doc_id[1:])) for r in hits.collect()) == [
+        (i, n % 5 + 1, j) for n, (i, j) in enumerate(best_pairs(q, c, 5))]
