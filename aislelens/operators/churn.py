@@ -13,8 +13,10 @@ from .. import config as C
 from ..session import materialise, shared_dir
 from .select import rank_sum, top_rows
 
-FIT_ROWS = 200_000                # labelled customers used to fit the model, at most
-FIT_PART_ROWS = 25_000            # of them in a task of a boosting pass, on average
+FIT_PART_ROWS = 25_000            # training customers in a task of a boosting pass, on average; more, as long as
+FIT_PART_MOST = 250_000           # each core has a task
+BINS = 32                         # of a feature
+RANKS = 10_000                    # the share of the rows by which a bin's rank may be off is one in so many
 LEAST_AUC = 0.9                   # on a label that the features decide
 PLAIN_AUC = 0.6                   # on churn_label, whose ties are cut by customer_id, which no feature holds
 CHECK_TREES = 10
@@ -64,53 +66,69 @@ def rule_scores(c360: DataFrame, cuts=C.TIER_CUTS, places: int | None = 6) -> Da
 
 
 def _features(c360: DataFrame, labels: DataFrame | None):
-    from pyspark.ml.feature import VectorAssembler
-
     data = c360.na.fill(0, C.CHURN_FEATURES)
     if labels is not None:
         data = data.join(labels.select("customer_id", "churn_label"), "customer_id")
-    data = data.withColumns({f: F.col(f).cast("double") for f in C.CHURN_FEATURES})
-    return VectorAssembler(inputCols=C.CHURN_FEATURES, outputCol="features").transform(data)
+    return data.withColumns({f: F.col(f).cast("double") for f in C.CHURN_FEATURES})
+
+
+def bin_edges(train: DataFrame) -> list[list[float]]:
+    """Per feature the ends of at most BINS bins, from all rows: every value where there are that few, else quantiles
+    (a sketch of all rows, off by one in RANKS of them). A value on an end belongs to the bin below."""
+    ranks = [i / BINS for i in range(1, BINS)]
+    seen = train.agg(*[F.approx_count_distinct(f).alias(f"n_{f}") for f in C.CHURN_FEATURES],
+                     *[F.percentile_approx(f, ranks, RANKS).alias(f"q_{f}") for f in C.CHURN_FEATURES]).first()
+    few = [f for f in C.CHURN_FEATURES if (seen[f"n_{f}"] or 0) <= 2 * BINS]  # the count is a sketch
+    values = train.agg(F.count(F.lit(1)), *[F.collect_set(f).alias(f) for f in few]).first()
+    cuts = {f: sorted(values[f])[:-1] if f in few and len(values[f]) <= BINS else sorted(set(seen[f"q_{f}"]))
+            for f in C.CHURN_FEATURES}
+    inner = ([math.nextafter(v, math.inf) for v in cuts[f]] or [0.0] for f in C.CHURN_FEATURES)
+    return [[-math.inf, *ends, math.inf] for ends in inner]
 
 
 def fit_churn(c360: DataFrame, labels: DataFrame, model_path: str | None = None,
-              seed: int = C.GBT_SEED, max_iter: int = C.GBT_TREES, fit_rows: int = FIT_ROWS):
+              seed: int = C.GBT_SEED, max_iter: int = C.GBT_TREES):
     """M2-M5, M8, M9: gradient-boosted trees on the nine features.
 
     Split: 1 in 5 customers by a hash of customer_id is test data (stable
-    under repartitioning, unlike ``randomSplit``). At most about
-    ``fit_rows`` training customers (by another hash) are used to fit; the
-    labels, the test measure and the scores cover all. The boosting passes
-    (several hundred) run over parts dealt by customer_id, as many as these
-    rows need, however many files the features lie in. Returns
-    (model, metrics DataFrame[run_id, key, value], model path).
+    under repartitioning, unlike ``randomSplit``). All others are used to
+    fit: the ends of the features' bins come from all of them, and so do the
+    trees. The boosting passes (several hundred) run over parts dealt by
+    customer_id, as many as these rows need, however many files the features
+    lie in. Returns (model, metrics DataFrame[run_id, key, value], model path).
     """
+    from pyspark.ml import PipelineModel
     from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import Bucketizer, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
     spark = c360.sparkSession
     # features + label written once to the shared folder: the boosting passes
     # re-read a short lineage, and GBT caches its own training instances
     data = materialise(_features(c360, labels).select(
-        "customer_id", "features", F.col("churn_label").cast("double").alias("label")), "churn-features")
+        "customer_id", *C.CHURN_FEATURES, F.col("churn_label").cast("double").alias("label")), "churn-features")
     is_test = F.pmod(F.xxhash64(F.col("customer_id"), F.lit(seed)), F.lit(C.TEST_SHARE_BUCKETS)) == 0
-    rows = data.count()
-    share = min(1.0, fit_rows / max(rows, 1))
-    fitted = F.pmod(F.xxhash64(F.lit(seed), F.col("customer_id")), F.lit(1 << 20)) < int(share * (1 << 20))
-    parts = max(1, math.ceil(min(rows, fit_rows) / FIT_PART_ROWS))
-    train = materialise(data.filter(~is_test & fitted).repartition(parts, "customer_id")
-                        .sortWithinPartitions("customer_id"), "churn-train")
-    test = data.filter(is_test)
-    gbt = GBTClassifier(featuresCol="features", labelCol="label", maxIter=max_iter,
+    test, fitted = data.filter(is_test), data.filter(~is_test)
+    rows = fitted.count()
+    parts = min(math.ceil(rows / FIT_PART_ROWS), max(spark.sparkContext.defaultParallelism, math.ceil(rows / FIT_PART_MOST)))
+    train = materialise(fitted.repartition(max(1, parts), "customer_id").sortWithinPartitions("customer_id"), "churn-train")
+    names = [f"{f}_bin" for f in C.CHURN_FEATURES]
+    binned = PipelineModel([Bucketizer(splitsArray=bin_edges(train), inputCols=C.CHURN_FEATURES, outputCols=names),
+                            VectorAssembler(inputCols=names, outputCol="features")])
+    # MLlib looks for thresholds in a sample of maxBins ** 2 rows: here that is all of them, and as no feature has
+    # more than BINS values, it is these that it tells apart
+    gbt = GBTClassifier(featuresCol="features", labelCol="label", maxIter=max_iter, maxBins=max(BINS, math.isqrt(rows) + 1),
                         maxDepth=C.GBT_DEPTH, stepSize=C.GBT_STEP, seed=seed, checkpointInterval=10)
-    model = gbt.fit(train)
+    plain = F.col("features").alias("features", metadata={})  # bins are in order, no categories
+    trees = gbt.fit(binned.transform(train).select(plain, "label"))
+    model = PipelineModel([*binned.stages, trees])
     scored = model.transform(test).select("label", vector_to_array("probability").getItem(1).alias("churn_prob"))
     auc = rank_sum(scored, "churn_prob", "label").first()["auc"]
     auc = float("nan") if auc is None else auc  # one class alone has no curve
     run_id = uuid.uuid4().hex
     model_path = model_path or os.path.join(shared_dir(spark), "models", f"churn-gbt-{run_id}")
     model.write().overwrite().save(model_path)
-    imp = model.featureImportances.toArray().tolist()
+    imp = trees.featureImportances.toArray().tolist()
     facts = ([(run_id, "roc_auc", round(float(auc), 4))]
              + [(run_id, f"feat_{f}", round(float(v), 4)) for f, v in zip(C.CHURN_FEATURES, imp)]
              + [(run_id, "param_n_estimators", float(max_iter)), (run_id, "param_max_depth", float(C.GBT_DEPTH)),

@@ -155,3 +155,35 @@ def test_the_profile_is_computed_once_for_labels_fit_and_scores(spark, monkeypat
     monkeypatch.setattr(churn, "score_churn", lambda model, c360: c360.limit(model))
     assert Datasets(spark, SMOKE).model_scores.count() == Datasets(spark, SMOKE).customers.count()
     assert len(calls) == 1
+
+
+def test_all_training_customers_and_rare_values_shape_the_model(spark, monkeypatch):
+    from pyspark.ml.classification import GBTClassifier
+
+    from aislelens import config as C
+
+    ids = spark.range(260_000).withColumnRenamed("id", "customer_id")  # a cap was at 200,000
+    rare = F.col("customer_id") % 20_000 == 7
+    age = F.when(rare, 99).otherwise(F.col("customer_id") % 20 + 20)
+    c360 = ids.select("customer_id", *[(age if f == "age" else F.lit(0)).alias(f) for f in C.CHURN_FEATURES])
+    seen, fit = [], GBTClassifier.fit
+    monkeypatch.setattr(GBTClassifier, "fit", lambda self, data: seen.append((data.count(), self.getMaxBins() ** 2)) or fit(self, data))
+    model, metrics, _ = churn.fit_churn(c360, ids.select("customer_id", rare.cast("int").alias("churn_label")), max_iter=2)
+    is_test = F.pmod(F.xxhash64(F.col("customer_id"), F.lit(C.GBT_SEED)), F.lit(C.TEST_SHARE_BUCKETS)) == 0
+    (rows, sampled), = seen
+    assert rows == ids.filter(~is_test).count() <= sampled  # MLlib takes thresholds from so many rows at most
+    scored = model.transform(c360.withColumn("age", F.col("age").cast("double"))).groupBy("age").agg(F.max("prediction").alias("p"))
+    assert {r.age: r.p for r in scored.collect()} == {99.0: 1.0} | {float(20 + i): 0.0 for i in range(20)}
+    assert {r.key: r.value for r in metrics.collect()}["feat_age"] == 1.0
+
+
+def test_bins_hold_every_value_where_few_and_quantiles_where_many(spark):
+    from aislelens import config as C
+
+    n = 20_000
+    rows = spark.range(n).select(*[F.when(F.col("id") == 5, 9.0).otherwise(F.col("id") % 4).alias(f) if f == "age" else
+                                   F.col("id").cast("double").alias(f) for f in C.CHURN_FEATURES])
+    edges = dict(zip(C.CHURN_FEATURES, churn.bin_edges(rows)))
+    assert [round(v, 9) for v in edges["age"][1:-1]] == [0, 1, 2, 3]  # one row holds the 9
+    many = edges["recency_days"]
+    assert len(many) == churn.BINS + 1 and all(abs(v - i * n / churn.BINS) <= 5 for i, v in enumerate(many) if 0 < i < churn.BINS)
